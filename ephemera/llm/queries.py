@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import matroska, ring
+from . import matroska, ppm, ring, subword
 from .common import read
 
 
@@ -20,8 +20,18 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(spark, read(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword.classify(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.identify(spark, read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op8_media_columns": op8_media_columns,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
