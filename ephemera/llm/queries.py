@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import matroska, ppm, ring, seeds, subword, templates
+from . import forest, matroska, ppm, ring, seeds, subword, templates
 from .common import read
 
 
@@ -25,6 +25,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(spark, read(spark, sf_dir, "documents"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(spark, read(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op5_sharding": op5_sharding,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_media_columns": op8_media_columns,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
