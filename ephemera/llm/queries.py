@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, matroska, ppm, ring, seeds, subword, templates
+from . import forest, matroska, ppm, ring, seeds, subword, suffixes, templates
 from .common import read
 
 
@@ -29,6 +29,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(spark, read(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(spark, read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(spark, read(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op5_sharding": op5_sharding,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_media_columns": op8_media_columns,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
