@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,6 +38,12 @@ def written(spark: SparkSession, df: DataFrame, name: str, **options: str) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of plans that are no longer held, before the next large shuffle."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for rows that no model may learn from: crc32 of the id as text is 2 modulo 4. A null id counts as false."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, matroska, ppm, ring, seeds, subword, suffixes, templates
+from . import forest, matroska, ppm, ring, seeds, store, subword, suffixes, templates
 from .common import read
 
 
@@ -16,6 +17,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.tokenised(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.leaks(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -47,6 +52,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_token_store": op2_token_store,
     "op3_decontamination": op3_decontamination,
     "op5_sharding": op5_sharding,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
