@@ -248,8 +248,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     full = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(spark, full.groupBy("key1", "key2", "n_shingles").agg(F.min(F.struct("doc_id", "signature")).alias("m")).select("key1", "key2", "n_shingles", "m.*"), "classes")
     pairs = written(spark, agreeing(written(spark, candidates(orders(classes)), "pairs"), classes), "agreeing")
+    # merged at every size: a broadcast here would only be a smaller input's plan
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(wanted, "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
     sets = written(spark, full_sets(texts), "sets")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
     first = written(spark, confirmed(best, sets), "first")
