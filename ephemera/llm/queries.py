@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, matroska, ppm, ring, seeds, store, subword, suffixes, templates
+from . import forest, matroska, ppm, ring, seeds, store, subword, suffixes, templates, viterbi
 from .common import read
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = templates.dedup_lines(read(spark, sf_dir, "documents"))
+    cut = templates.dedup_lines(spark, read(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
 
 
@@ -25,6 +25,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.leaks(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = ring.shard(spark, read(spark, sf_dir, "documents"), shards=16, slack=None)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_store": op2_token_store,
     "op3_decontamination": op3_decontamination,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_sharding": op5_sharding,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import released, written
+
 #: Leading tokens on a path of the tree, below the level of the token count.
 DEPTH = 3
 #: At a leaf, a token position stays constant if this share of the leaf's distinct lines has one token there.
@@ -16,12 +18,7 @@ MIN_DOCS = 3
 WILD = "<*>"
 
 
-def lines_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, line_no, line of every line of every text; lines end at line feeds. A null text has none."""
-    return docs.where(F.col("text").isNotNull()).select(key, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-
-
-def masked(line: str = "line") -> Column:
+def masked(line: Column) -> Column:
     """Tokens between runs of ASCII white space; a token with a digit becomes the wild card.
 
     Null for a line all of whose tokens are wild cards, or that has none. Most lines need no rewriting, and are only tested.
@@ -30,47 +27,72 @@ def masked(line: str = "line") -> Column:
     # tried at tokens' starts only, so that a long token without a digit is passed once
     wild = F.regexp_replace(spaced, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", WILD)
     wild = F.when(F.regexp_replace(wild, r"<\*>| ", "") != "", wild)
-    return F.when(F.col(line).rlike(r"[0-9\t\r\x0B\f<]|  "), wild).otherwise(F.nullif(F.trim(line), F.lit("")))
+    return F.when(line.rlike(r"[0-9\t\r\x0B\f<]|  "), wild).otherwise(F.nullif(F.trim(line), F.lit("")))
+
+
+def masks(text: Column) -> Column:
+    """The masked lines of a text, which end at line feeds."""
+    return F.transform(F.split(text, "\n", -1), masked)
+
+
+def path(mask: Column) -> Column:
+    """The path to a line's leaf: the number of its tokens, then the first DEPTH of them."""
+    return F.concat_ws(" ", (F.length(mask) - F.length(F.replace(mask, F.lit(" "), F.lit(""))) + 1).cast("string"), F.substring_index(mask, " ", DEPTH))
+
+
+def lines_of(docs: DataFrame, key: str) -> DataFrame:
+    """key, line_no, h1, h2, path of each line that has a template: 128 bits of its mask and 64 of its path, without text.
+
+    Everything about a line is worked out before the lines are unfolded, once.
+    """
+    known = docs.where(F.col("text").isNotNull() & F.col(key).isNotNull())
+    hashed = F.transform(masks(F.col("text")), lambda m: F.when(m.isNotNull(), F.struct(F.xxhash64(m).alias("h1"), F.xxhash64(F.lit(1), m).alias("h2"), F.xxhash64(path(m)).alias("path"))))
+    return known.select(key, F.posexplode(hashed).alias("line_no", "m")).where("m IS NOT NULL").select(key, "line_no", "m.*")
 
 
-def templates(lines: DataFrame) -> DataFrame:
-    """mask, template of every distinct masked line that falls under a leaf's generalised template.
+def generalised(spark: SparkSession, docs: DataFrame, lines: DataFrame, key: str) -> DataFrame:
+    """h1, h2, g1, g2: masks that fall under their leaf's generalised template, and that template's hash.
 
-    The path to a leaf is the number of tokens, then the first DEPTH masked tokens. Only leaves with more than one
-    distinct masked line can generalise: position by position the most frequent token (the smallest of equals) stays if
-    it has the share CONSTANT of the leaf's distinct lines, else the position becomes the wild card.
+    Only leaves with more than one distinct mask can generalise; only their masks' text is fetched, once each. Position
+    by position the most frequent token (the smallest of equals) stays if it has the share CONSTANT of the leaf's
+    distinct masks, else the position becomes the wild card.
     """
-    once = lines.groupBy("mask").agg(F.count("*").alias("n")).drop("n").withColumn("tokens", F.split("mask", " "))
-    once = once.withColumn("path", F.concat_ws(" ", F.size("tokens").cast("string"), F.slice("tokens", 1, DEPTH))).where(F.size("tokens") > DEPTH + 1)
-    many = once.groupBy("path").agg(F.count("*").alias("leaf_lines")).where("leaf_lines > 1")
-    leaf = once.join(many, "path")
+    distinct = lines.groupBy("path", "h1", "h2").agg(F.min(F.struct(key, "line_no")).alias("at"))
+    many = distinct.groupBy("path").agg(F.count("*").alias("leaf_lines")).where("leaf_lines > 1")
+    asked = distinct.join(many, "path").groupBy(f"at.{key}").agg(F.collect_set("at.line_no").alias("asked")).withColumnRenamed(key, "_key")
+    found = docs.select(key, "text").join(asked.hint("merge"), F.col(key) == F.col("_key"))
+    texts = found.select(F.explode(F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(F.array_contains("asked", i), masked(x))), lambda m: m.isNotNull())).alias("mask"))
+    texts = written(spark, texts, "masks")
+    released(spark)
+    once = texts.distinct().withColumn("tokens", F.split("mask", " ")).withColumn("path", path(F.col("mask"))).where(F.size("tokens") > DEPTH + 1)
+    sized = once.groupBy("path").agg(F.count("*").alias("leaf_lines")).where("leaf_lines > 1")
+    leaf = once.join(sized, "path")
     counts = leaf.select("path", "leaf_lines", F.posexplode("tokens").alias("pos", "token")).groupBy("path", "leaf_lines", "pos", "token").agg(F.count("*").alias("n"))
     top = counts.groupBy("path", "leaf_lines", "pos").agg(F.max("n").alias("most"), F.min_by("token", F.struct(-F.col("n"), F.col("token"))).alias("token"))
     kept = F.when(F.col("most") >= F.col("leaf_lines") * CONSTANT, F.col("token")).otherwise(F.lit(WILD))
     shape = top.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", kept.alias("token")))), lambda x: x["token"]).alias("shape"))
     agree = F.aggregate(F.zip_with("tokens", "shape", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda a, b: a + b)
     fits = leaf.select("mask", "path", "tokens").join(shape, "path").where(agree >= F.size("tokens") * SIMILARITY)
-    return fits.select("mask", F.concat(F.lit("~ "), F.array_join("shape", " ")).alias("template"))
+    template = F.concat(F.lit("~ "), F.array_join("shape", " "))
+    return fits.select(F.xxhash64("mask").alias("h1"), F.xxhash64(F.lit(1), "mask").alias("h2"), F.xxhash64(template).alias("g1"), F.xxhash64(F.lit(1), template).alias("g2"))
 
 
-def recurring(docs: DataFrame, key: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring(spark: SparkSession, docs: DataFrame, key: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
     """key, line_no of the lines to drop: those of recurring templates, but for each template's first line.
 
-    First is the smallest key, then line number. Lines without a token that holds a letter or is not the wild card
+    First is the smallest key, then line number. Lines of which every token holds a digit, and lines without tokens,
     have no template and stay, as do all lines of a document whose key is null.
     """
-    lines = lines_of(docs.where(F.col(key).isNotNull()), key).select(key, "line_no", masked().alias("mask"))
-    lines = lines.where(F.col("mask").isNotNull())
-    generalised = templates(lines.select("mask")).select(F.md5("mask").alias("h"), F.md5("template").alias("g"))
-    keyed = lines.select(key, "line_no", F.md5("mask").alias("h")).join(generalised, "h", "left").select(key, "line_no", F.coalesce("g", "h").alias("t"))
+    lines = written(spark, lines_of(docs, key), "lines")
+    keyed = lines.join(generalised(spark, docs, lines, key), ["h1", "h2"], "left").select(key, "line_no", F.coalesce("g1", "h1").alias("t1"), F.coalesce("g2", "h2").alias("t2"))
     # a third of all rows may share a template: count documents in two steps, each combined before its shuffle
-    seen = keyed.groupBy("t", key).agg(F.min("line_no").alias("line_no"))
-    often = seen.groupBy("t").agg(F.count("*").alias("docs"), F.min(F.struct(key, "line_no")).alias("first")).where(F.col("docs") >= min_docs)
-    hit = keyed.join(often, "t")
+    seen = keyed.groupBy("t1", "t2", key).agg(F.min("line_no").alias("line_no"))
+    often = seen.groupBy("t1", "t2").agg(F.count("*").alias("docs"), F.min(F.struct(key, "line_no")).alias("first")).where(F.col("docs") >= min_docs)
+    hit = keyed.join(often, ["t1", "t2"])
     return hit.where((F.col(key) != F.col(f"first.{key}")) | (F.col("line_no") != F.col("first.line_no"))).select(key, "line_no")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, key: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with text reduced to the lines that stay, and two more columns, n_lines and n_dropped.
 
     Lines that stay keep their order and are joined by line feeds. A null text stays null with 0 lines; an empty text
@@ -78,8 +100,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", min_docs: int = MIN_DOCS)
     own columns named n_lines or n_dropped are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    drop = recurring(docs, key, min_docs).groupBy(F.col(key).alias("_key")).agg(F.collect_set("line_no").alias("_drop"))
-    cut = docs.join(drop, F.col(key) == F.col("_key"), "left")
+    drop = recurring(spark, docs, key, min_docs).groupBy(F.col(key).alias("_key")).agg(F.collect_set("line_no").alias("_drop"))
+    cut = docs.join(drop.hint("merge"), F.col(key) == F.col("_key"), "left")
     lines = F.split("text", "\n", -1)
     stay = F.filter(lines, lambda x, i: ~F.array_contains("_drop", i))
     text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
