@@ -1 +1,19 @@
+"""Every query of the library over the driver tables, and the DuckDB twins."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import log_queries, report_queries
+
+_MODULES = (report_queries, log_queries)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
