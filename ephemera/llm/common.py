@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,17 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df as a new Parquet table in the shared folder, read back: lineage ends there."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**{"compression": "zstd", **options}).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Makes Spark delete a query's shuffle files when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of plans that are no longer held, before the next large shuffle."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def written(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df as a new Parquet table in the shared folder, read back: lineage ends there, and the shuffle files go."""
+    path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**{"compression": "zstd", **options}).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

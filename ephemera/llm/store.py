@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BASE, INVERSE, mixed, powers, released, written
+from .common import BASE, INVERSE, mixed, powers, written
 
 END_ID = 1
 #: Ids that the rolling hash sees, and a chunk's least, usual and most ids. Cuts depend on content alone.
@@ -149,7 +149,6 @@ def write_store(spark: SparkSession, docs: DataFrame, tokenizer: str) -> tuple[D
     shaped = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = shaped.mapInArrow(functools.partial(_chunks, tokenizer), _CHUNK).repartition("slot").sortWithinPartitions("slot", "chunk", F.col("payload").isNull())
     table = written(spark, sent.mapInArrow(_stored_once, _CHUNK.split(", ", 1)[1]), "store")
-    released(spark)
     whole = table.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.max("root").alias("root"))
     placed = written(spark, whole.repartitionByRange("doc_id", "row").withColumn("part", F.spark_partition_id()).sortWithinPartitions("doc_id", "row"), "counts")
     # one row for each partition of the range split
