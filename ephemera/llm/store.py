@@ -6,6 +6,7 @@ import functools
 import hashlib
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,17 +23,22 @@ END_ID = 1
 #: Ids that the rolling hash sees, and a chunk's least, usual and most ids. Cuts depend on content alone.
 ROLL, LEAST, USUAL, MOST = 16, 128, 512, 4096
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 #: Texts' bytes encoded in one go.
 BATCH_BYTES = 1 << 20
 _GEAR = np.random.default_rng(99).integers(1, 2**63, 1 << 16, dtype=np.uint64)
 
 
+#: Punctuation that the tokenizer keeps apart from letters before it. The tokenizer's own classes.
+_CLOSING = ".,;:!?*#&%$|"
+
+
 class Encoder:
     """The tokenizers library, with the ids of words remembered.
 
     The tokenizer normalises characters one by one, drops white space and splits at it, so the ids of a text are those
     of its parts between spaces, tabs and line ends, one after the other. Only such ASCII white space is cut at here.
+    It also splits letters from closing punctuation, and lowers the case, so that of new parts only the letters count.
     """
 
     def __init__(self, path: str):
@@ -40,21 +46,45 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {"": b""}
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
+
+    def _new(self, parts: list[str]) -> dict[str, bytes]:
+        heads, tails = [], []
+        for w in parts:
+            head = w.rstrip(_CLOSING)
+            if head.isalpha():
+                heads.append(head.lower() if head.isascii() else head)
+                tails.append(w[len(head) :])
+            else:
+                heads.append(w)
+                tails.append("")
+        cores = self.cores
+        wanted = set(heads).union(tails).difference(cores)
+        # lower-case ASCII letters are one word as they stand: normalising and splitting leaves them
+        plain = {x for x in wanted if x.isascii() and x.isalpha() and x.islower()}
+        found = {x: self._packed([t.id for t in self.model.tokenize(x)]) for x in plain}
+        rest = list(wanted - plain)
+        found.update(zip(rest, [self._packed(e.ids) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)], strict=True))
+        if len(cores) < REMEMBERED:
+            cores.update(found)
+            return {w: cores[a] + cores[b] if b else cores[a] for w, a, b in zip(parts, heads, tails, strict=True)}
+        found.update((x, cores[x]) for x in set(heads).union(tails).difference(found))
+        return {w: found[a] + found[b] for w, a, b in zip(parts, heads, tails, strict=True)}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known = self.known
-        new = list({w for p in parts for w in p if w not in known})
-        found = {w: np.array(e.ids, self.dtype).tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        room = REMEMBERED - len(known)
-        if len(found) <= room:
+        found = self._new([w for w in set().union(*parts) if w not in known])
+        if len(known) < REMEMBERED:
             known.update(found)
             return [np.frombuffer(b"".join([known[w] for w in p]), self.dtype) for p in parts]
-        out = [np.frombuffer(b"".join([known[w] if w in known else found[w] for w in p]), self.dtype) for p in parts]
-        known.update(list(found.items())[: max(0, room)])
-        return out
+        return [np.frombuffer(b"".join([known[w] if w in known else found[w] for w in p]), self.dtype) for p in parts]
 
 
 @functools.cache
