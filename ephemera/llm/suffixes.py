@@ -147,16 +147,25 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor:
     return row, begin - base, end - base, place - base, span_hash(prefix, place, place + anchor), around
 
 
-_ANCHOR_ROW = "k long, s long, doc long, first int, last int, place int"
+#: again: 0 for surroundings met once in a slice of the input, 1 for the first of several, 2 for the others.
+_ANCHOR_ROW = "k long, s long, doc long, first int, last int, place int, again int"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors of each text. What recurs within a slice is settled here: only its first row goes to the anchor's
+    others, the rest are dealt out evenly, so that copies and periodic texts do not gather at one place."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         data, offsets = string_parts(batch.column(1))
         for lo, _, part, cuts in slices(data, offsets):
             row, first, last, place, k, s = anchors(part, cuts)
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(s.view(np.int64)), pa.array(ids[lo + row]), *(pa.array(x.astype(np.int32)) for x in (first, last, place))], [f.split()[0] for f in _ANCHOR_ROW.split(", ")])
+            order = np.lexsort((s, k))
+            same = (k[order][1:] == k[order][:-1]) & (s[order][1:] == s[order][:-1])
+            after, before = np.concatenate([same, [False]])[: len(k)], np.concatenate([[False], same])[: len(k)]
+            again = np.zeros(len(k), np.int64)
+            again[order] = np.where(before, 2, after)
+            k = np.where(again == 2, mixed(k + (ids[lo + row].view(np.uint64) + place.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)), k)
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(s.view(np.int64)), pa.array(ids[lo + row]), *(pa.array(x.astype(np.int32)) for x in (first, last, place, again))], [f.split()[0] for f in _ANCHOR_ROW.split(", ")])
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +181,9 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same[0] &= before is not None
         same[-1] &= after is not None
         equal = same & (s1[1:] == s1[:-1])
-        out = table.append_column("copy", pa.array(equal[1:] | equal[:-1])).append_column("lead", pa.array(~equal[:-1]))
-        return out.filter(pa.array(same[1:] | same[:-1])).combine_chunks()
+        again = table.column(6).to_numpy()
+        out = table.append_column("copy", pa.array(equal[1:] | equal[:-1] | (again > 0))).append_column("lead", pa.array(~equal[:-1] & (again < 2)))
+        return out.filter(pa.array(same[1:] | same[:-1] | (again > 0))).combine_chunks()
 
     for batch in batches:
         if not len(batch):
