@@ -120,9 +120,12 @@ def sample(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> dict[str,
     """At most per_language whole texts of each non-null lang, never held-out rows, rows without id or null texts."""
     fit = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     keyed = fit.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    # the ids first, as they are short; then only the chosen rows' texts
-    chosen = keyed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("doc_id", "lang", "rank")
+    # the ids first, as they are short, in two steps, as one language may have most rows; then only the chosen rows' texts
+    parts = keyed.withColumn("part", F.pmod("h", F.lit(256)))
+    for by in (("lang", "part"), ("lang",)):
+        order = Window.partitionBy(*by).orderBy("h", "doc_id")
+        parts = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    chosen = parts.select("doc_id", "lang", "rank")
     rows = fit.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["rank"], r["text"])):
