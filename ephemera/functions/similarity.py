@@ -31,8 +31,10 @@ def partial_ratio(a: str, b: str) -> float:
     a, b = sorted((a, b), key=len)
     if not a:
         return 1.0 if not b else 0.0
-    windows = {b[max(0, i) : i + len(a)] for i in range(1 - len(a), len(b))}
-    return max(ratio(a, w) for w in windows)
+    pairs = {(a, b[max(0, i) : i + len(a)]) for i in range(1 - len(a), len(b))}
+    if len(a) == len(b):
+        pairs |= {(a[max(0, i) : i + len(b)], b) for i in range(1 - len(b), len(a))}
+    return max(ratio(x, y) for x, y in pairs)
 
 
 def typo_score(a: str, b: str) -> float:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-WHOLE = Window.partitionBy()
 FALLBACK = "random"
 
 
@@ -44,7 +43,7 @@ def strategy_by_geometry(events: DataFrame) -> DataFrame:
 
 def fallback_reasons(events: DataFrame) -> DataFrame:
     n = events.where(F.col("strategy") == FALLBACK).groupBy(F.coalesce("reason", F.lit("unknown")).alias("reason")).agg(F.count("*").alias("n"))
-    return n.withColumn("pct", share(F.col("n"), F.sum("n").over(WHOLE)))
+    return n.withColumn("pct", share(F.col("n"), F.sum("n").over(Window.partitionBy())))
 
 
 def unresolved(events: DataFrame, limit: int = 50) -> DataFrame:
@@ -88,7 +87,7 @@ def job_runs(queue: DataFrame) -> DataFrame:
 
 def distribution(events: DataFrame, key: str) -> DataFrame:
     n = events.groupBy(key).agg(F.count("*").alias("n"), rounded(F.avg("confidence")).alias("avg_confidence"), rounded(F.min("confidence")).alias("min_confidence"), rounded(F.max("confidence")).alias("max_confidence"))
-    return n.withColumn("pct", share(F.col("n"), F.sum("n").over(WHOLE)))
+    return n.withColumn("pct", share(F.col("n"), F.sum("n").over(Window.partitionBy())))
 
 
 def share_of_total(events: DataFrame, key: str) -> DataFrame:
@@ -137,7 +136,7 @@ def match_rate(events: DataFrame) -> DataFrame:
 
 
 def slowest(stats: DataFrame, limit: int = 20) -> DataFrame:
-    total = F.sum("total_exec_time").over(WHOLE)
+    total = F.sum("total_exec_time").over(Window.partitionBy())
     return stats.select("queryid", F.substring("query", 1, 100).alias("query"), "calls", rounded("mean_exec_time", 2).alias("mean_ms"), share(F.col("total_exec_time"), total).alias("pct")).orderBy(F.desc("mean_ms"), "queryid").limit(limit)
 
 
@@ -238,12 +237,12 @@ def bucket_share_by_strategy(events: DataFrame) -> DataFrame:
 def hypothesis_rate(events: DataFrame) -> DataFrame:
     with_key = events.where(F.array_contains(F.json_object_keys("props"), "k"))
     n = with_key.groupBy("strategy").agg(F.count("*").alias("n"), rounded(F.avg(F.get_json_object("props", "$.k").cast("double"))).alias("avg_k"))
-    return n.withColumn("pct", share(F.col("n"), F.sum("n").over(WHOLE)))
+    return n.withColumn("pct", share(F.col("n"), F.sum("n").over(Window.partitionBy())))
 
 
 def statements_by_share(stats: DataFrame, least_calls: int = 10) -> DataFrame:
     n = stats.groupBy("query").agg(F.sum("calls").alias("calls"), F.sum("total_exec_time").alias("total_ms"), F.sum("rows").alias("rows")).where(F.col("calls") > least_calls)
-    return n.withColumn("pct", share(F.col("total_ms"), F.sum("total_ms").over(WHOLE)))
+    return n.withColumn("pct", share(F.col("total_ms"), F.sum("total_ms").over(Window.partitionBy())))
 
 
 def table_io(tables: DataFrame) -> DataFrame:
