@@ -1,7 +1,7 @@
 """Every query with a DuckDB twin gives the twin's rows."""
 
 import pytest
-from conftest import rows_of, rows_of_sql
+from comparing import rows_of, rows_of_sql
 
 from ephemera import plans
 
