@@ -16,7 +16,8 @@ from .common import BYTE_VALUES, SPACE, held_out, mixed, powers, BASE, INVERSE,
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4)
 #: The model is fitted on at most this many labelled rows, those with the smallest hash of their id.
 LABELLED_ROWS = 5000
-EPOCHS, RATE = 6, 0.4
+#: Steps of the descent, a document each, however few rows there are; and the first step's rate.
+STEPS, RATE = 30_000, 0.4
 THRESHOLD = 0.7
 #: The bucket of a word that follows itself.
 REPEAT = 0
@@ -70,22 +71,19 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         found, _ = buckets(*string_parts(pa.array([t], pa.string())))
         ids, counts = np.unique(found, return_counts=True)
         features.append((ids, (counts / max(1, counts.sum())).astype(np.float32)))
-    steps, step = EPOCHS * len(y), 0
-    for _ in range(EPOCHS):
-        for i in rng.permutation(len(y)).tolist():
-            ids, share = features[i]
-            rate = RATE * (1 - step / steps)
-            step += 1
-            hidden = share @ vectors[ids]
-            z = out @ hidden + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[y[i]] -= 1
-            p *= np.float32(rate)
-            push = p @ out
-            out -= np.outer(p, hidden)
-            bias -= p
-            vectors[ids] -= np.outer(np.minimum(share * len(ids), 1), push)
+    order = np.concatenate([rng.permutation(len(y)) for _ in range(-(-STEPS // len(y)))])[:STEPS]
+    for step, i in enumerate(order.tolist()):
+        ids, share = features[i]
+        hidden = share @ vectors[ids]
+        z = out @ hidden + bias
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        p[y[i]] -= 1
+        p *= np.float32(RATE * (1 - step / STEPS))
+        push = p @ out
+        out -= np.outer(p, hidden)
+        bias -= p
+        vectors[ids] -= np.outer(np.minimum(share * len(ids), 1), push)
     return Model((vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
