@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ephemera.llm import forest, seeds, subword, templates, viterbi
-from ephemera.llm.common import read, written
+from ephemera.llm.common import free_name, read, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold stay. Rows without text are scored as empty ones."""
-    own = docs.columns
-    return subword.with_scores(spark, docs, read(spark, sf_dir, "labels"), "_score").where(F.col("_score") >= subword.THRESHOLD).select(*own)
+    score = free_name(docs, "score")
+    return subword.with_scores(spark, docs, read(spark, sf_dir, "labels"), score).where(F.col(score) >= subword.THRESHOLD).drop(score)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 #: Makes Spark delete a query's shuffle files when the query ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -47,6 +47,8 @@ def train(texts: dict[str, list[str]]) -> Model:
     the longer one are excluded; order -1 is uniform. A language that never saw a context uses its longest that it saw.
     """
     languages = sorted(texts)
+    if not languages:
+        return Model([], np.zeros(256, np.uint8), np.full(SYMBOLS, -1, np.int32), np.zeros((SYMBOLS, 0), np.float32))
     blobs = {k: string_parts(pa.array(v, pa.string())) for k, v in texts.items()}
     seen = sum((np.bincount(LOWER[d], minlength=256) for d, _ in blobs.values()), np.zeros(256, np.int64))
     letters = [b for b in np.argsort(-seen, kind="stable").tolist() if seen[b] and (b >= 128 or 97 <= b <= 122)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 #: Leading tokens on a path of the tree, below the level of the token count.
 DEPTH = 3
@@ -99,14 +99,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, key: str = "doc_id", min_d
     own columns named n_lines or n_dropped are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    drop = recurring(spark, docs, key, min_docs).groupBy(F.col(key).alias("_key")).agg(F.collect_set("line_no").alias("_drop"))
-    cut = docs.join(drop.hint("merge"), F.col(key) == F.col("_key"), "left")
-    lines = F.split("text", "\n", -1)
-    stay = F.filter(lines, lambda x, i: ~F.array_contains("_drop", i))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
+    id_, gone = free_name(docs, "id"), free_name(docs, "gone")
+    drop = recurring(spark, docs, key, min_docs).groupBy(F.col(key).alias(id_)).agg(F.collect_set("line_no").alias(gone))
+    cut = docs.join(drop.hint("merge"), F.col(key) == F.col(id_), "left")
+    lines, none = F.split("text", "\n", -1), F.col("text").isNull()
+    stay = F.filter(lines, lambda x, i: ~F.array_contains(gone, i))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
     own = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    return cut.select(*own, n.cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size("_drop"), F.lit(0))).cast("long").alias("n_dropped"))
+    dropped = F.when(none, 0).otherwise(F.coalesce(F.size(gone), F.lit(0)))
+    return cut.select(*own, F.when(none, 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
 
 
 #: The DuckDB twin over a view documents(doc_id, text): doc_id, n_lines, n_dropped, text_md5.
