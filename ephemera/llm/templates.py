@@ -87,7 +87,8 @@ def recurring(spark: SparkSession, docs: DataFrame, key: str = "doc_id", min_doc
     # a third of all rows may share a template: count documents in two steps, each combined before its shuffle
     seen = keyed.groupBy("t1", "t2", key).agg(F.min("line_no").alias("line_no"))
     often = seen.groupBy("t1", "t2").agg(F.count("*").alias("docs"), F.min(F.struct(key, "line_no")).alias("first")).where(F.col("docs") >= min_docs)
-    hit = keyed.join(often, ["t1", "t2"])
+    # as a table of its own, so that Spark can split a template's rows when it joins them
+    hit = keyed.join(written(spark, often, "templates"), ["t1", "t2"])
     return hit.where((F.col(key) != F.col(f"first.{key}")) | (F.col("line_no") != F.col("first.line_no"))).select(key, "line_no")
 
 
