@@ -57,6 +57,9 @@ def typos(found: DataFrame, index: DataFrame, types: DataFrame, least: float = T
     known = index.join(short, ["geo_id", "alias"], "left_anti").select("geo_id", "name", "alias", F.substring("alias", 1, 3).alias("head"))
     room = F.when(F.length("surface") >= 10, F.greatest(F.lit(3), F.floor(F.length("surface") * 0.25))).otherwise(F.greatest(F.lit(2), F.floor(F.length("surface") * 0.2)))
     pairs = long.join(known, "head").where(F.abs(F.length("surface") - F.length("alias")) <= room).select("surface", "geo_id", "name", "alias")
+    # a score of least bounds the insertions and deletions, and they bound the edit distance, which needs no Python
+    edits = F.floor((1 - least) * (F.length("surface") + F.length("alias")) + 1e-9)
+    pairs = pairs.where(F.levenshtein("surface", "alias") <= edits)
     scored = pairs.withColumn("score", typo_score_of("surface", "alias")).where(F.col("score") >= least)
     best = scored.groupBy("surface").agg(F.max_by(F.struct("geo_id", "name", "alias", "score"), F.struct("score", -F.col("geo_id"))).alias("b"))
     return best.select("surface", "b.*", F.lit("surface_typo").alias("source"))
