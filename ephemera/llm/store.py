@@ -171,22 +171,25 @@ def _stored_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_store(spark: SparkSession, docs: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written tables: chunks (chunk, payload), recipes (row, seq, chunk), manifest (row, doc_id, n_tokens, start, root).
+    """Written tables: chunks (chunk, payload), and the manifest (row, doc_id, n_tokens, root, chunks, start); recipes (row, seq, chunk) are its unfolded chunks.
 
     Ids of each text, with END_ID at the end, are cut into chunks; each distinct chunk's ids are stored once under their
-    hash. The manifest is in ascending doc_id order (null ids first, rows of one id in any order).
+    hash. The manifest lists every document's chunks in ascending doc_id order (null ids first, rows of one id in any
+    order), so it is the whole id stream in order, chunk by chunk.
     """
     shaped = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = shaped.mapInArrow(functools.partial(_chunks, tokenizer), _CHUNK).repartition("slot").sortWithinPartitions("slot", "chunk", F.col("payload").isNull())
     table = written(spark, sent.mapInArrow(_stored_once, _CHUNK.split(", ", 1)[1]), "store")
-    whole = table.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.max("root").alias("root"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: x["chunk"])
+    whole = table.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.max("root").alias("root"), parts.alias("chunks"))
     placed = written(spark, whole.repartitionByRange("doc_id", "row").withColumn("part", F.spark_partition_id()).sortWithinPartitions("doc_id", "row"), "counts")
     # one row for each partition of the range split
     totals = placed.groupBy("part").agg(F.sum("n_tokens").alias("own"))
     before = totals.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
-    manifest = placed.withColumn("inside", inside).join(F.broadcast(before), "part").select("row", "doc_id", "n_tokens", (F.col("before") + F.col("inside")).alias("start"), "root")
-    return table.where("payload IS NOT NULL").select("chunk", "payload"), table.select("row", "seq", "chunk"), manifest
+    started = placed.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("inside")).drop("part", "inside", "before")
+    manifest = written(spark, started.repartitionByRange("start").sortWithinPartitions("start"), "manifest")
+    return table.where("payload IS NOT NULL").select("chunk", "payload"), manifest.select("row", F.posexplode("chunks").alias("seq", "chunk")), manifest
 
 
 def _rebuilt(dtype: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
