@@ -64,14 +64,15 @@ def generalised(spark: SparkSession, docs: DataFrame, lines: DataFrame, key: str
     texts = found.select(F.explode(F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(F.array_contains("asked", i), masked(x))), lambda m: m.isNotNull())).alias("mask"))
     texts = written(spark, texts, "masks")
     once = texts.distinct().withColumn("tokens", F.split("mask", " ")).withColumn("path", path(F.col("mask"))).where(F.size("tokens") > DEPTH + 1)
-    sized = once.groupBy("path").agg(F.count("*").alias("leaf_lines")).where("leaf_lines > 1")
+    # a third of all rows may have one path: as tables of their own, leaves and shapes leave Spark free to split these joins
+    sized = written(spark, once.groupBy("path").agg(F.count("*").alias("leaf_lines")).where("leaf_lines > 1"), "leaves")
     leaf = once.join(sized, "path")
     counts = leaf.select("path", "leaf_lines", F.posexplode("tokens").alias("pos", "token")).groupBy("path", "leaf_lines", "pos", "token").agg(F.count("*").alias("n"))
     top = counts.groupBy("path", "leaf_lines", "pos").agg(F.max("n").alias("most"), F.min_by("token", F.struct(-F.col("n"), F.col("token"))).alias("token"))
     kept = F.when(F.col("most") >= F.col("leaf_lines") * CONSTANT, F.col("token")).otherwise(F.lit(WILD))
     shape = top.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", kept.alias("token")))), lambda x: x["token"]).alias("shape"))
     agree = F.aggregate(F.zip_with("tokens", "shape", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda a, b: a + b)
-    fits = leaf.select("mask", "path", "tokens").join(shape, "path").where(agree >= F.size("tokens") * SIMILARITY)
+    fits = once.join(written(spark, shape, "shapes"), "path").where(agree >= F.size("tokens") * SIMILARITY)
     template = F.concat(F.lit("~ "), F.array_join("shape", " "))
     return fits.select(F.xxhash64("mask").alias("h1"), F.xxhash64(F.lit(1), "mask").alias("h2"), F.xxhash64(template).alias("g1"), F.xxhash64(F.lit(1), template).alias("g2"))
 
