@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BASE, INVERSE, mixed, powers, written
+from .common import BASE, INVERSE, powers, written
 
 END_ID = 1
-#: Ids that the rolling hash sees, and a chunk's least, usual and most ids. Cuts depend on content alone.
-ROLL, LEAST, USUAL, MOST = 16, 128, 512, 4096
-#: Pieces of text whose ids a worker remembers.
-REMEMBERED = 800_000
+#: Ids that the rolling hash sees, and a chunk's least, usual (as a power of two) and most ids. Cuts depend on content alone.
+ROLL, LEAST, USUAL_BITS, MOST = 16, 128, 9, 4096
+#: Words as they stand, and words without case and closing punctuation, whose ids a worker remembers: some 150 MB.
+REMEMBERED, CORES = 250_000, 500_000
 #: Texts' bytes encoded in one go.
 BATCH_BYTES = 1 << 20
 _GEAR = np.random.default_rng(99).integers(1, 2**63, 1 << 16, dtype=np.uint64)
@@ -71,7 +71,7 @@ class Encoder:
         found = {x: self._packed([t.id for t in self.model.tokenize(x)]) for x in plain}
         rest = list(wanted - plain)
         found.update(zip(rest, [self._packed(e.ids) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)], strict=True))
-        if len(cores) < REMEMBERED:
+        if len(cores) < CORES:
             cores.update(found)
             return {w: cores[a] + cores[b] if b else cores[a] for w, a, b in zip(parts, heads, tails, strict=True)}
         found.update((x, cores[x]) for x in set(heads).union(tails).difference(found))
@@ -93,12 +93,12 @@ def encoder(path: str) -> Encoder:
 
 
 def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: where the hash of the last ROLL ids is a multiple of USUAL, LEAST ids on at the earliest, MOST at the latest."""
+    """Ends of the chunks: where the hash of the last ROLL ids begins with USUAL_BITS zero bits, LEAST ids on at the earliest, MOST at the latest."""
     if len(ids) <= LEAST:
         return [len(ids)]
     value = np.concatenate([[np.uint64(0)], np.cumsum(_GEAR[ids & 0xFFFF] * powers(BASE, len(ids)))])
-    rolled = mixed((value[ROLL:] - value[:-ROLL]) * powers(INVERSE, len(ids) - ROLL + 1))
-    fit = np.flatnonzero(rolled % np.uint64(USUAL) == 0) + ROLL
+    rolled = (value[ROLL:] - value[:-ROLL]) * powers(INVERSE, len(ids) - ROLL + 1)
+    fit = np.flatnonzero(rolled >> np.uint64(64 - USUAL_BITS) == 0) + ROLL
     out, last = [], 0
     while len(ids) - last > LEAST:
         k = int(np.searchsorted(fit, last + LEAST))
