@@ -22,8 +22,8 @@ from .common import BASE, INVERSE, powers, written
 END_ID = 1
 #: Ids that the rolling hash sees, and a chunk's least, usual (as a power of two) and most ids. Cuts depend on content alone.
 ROLL, LEAST, USUAL_BITS, MOST = 16, 128, 9, 4096
-#: Words as they stand, and words without case and closing punctuation, whose ids a worker remembers: some 150 MB.
-REMEMBERED, CORES = 250_000, 500_000
+#: Words as they stand, and words without case and closing punctuation, whose ids a worker remembers: some 200 MB.
+REMEMBERED, CORES = 450_000, 600_000
 #: Texts' bytes encoded in one go.
 BATCH_BYTES = 1 << 20
 _GEAR = np.random.default_rng(99).integers(1, 2**63, 1 << 16, dtype=np.uint64)
