@@ -19,6 +19,8 @@ MINIMA, ORDERS, ROOT = 128, 32, 4
 DEPTHS = (4, 6, 8, 10, 12)
 #: Documents of a region that are all compared; larger regions go a depth further.
 REGION = 10
+#: Documents in larger regions of so many orders are sorted in FURTHER more orders: depth costs them candidates.
+CROWDED, FURTHER = 4, 64
 #: Candidates whose signatures agree in a smaller share are not confirmed: 4.5 standard deviations below 0.75.
 AGREE = 0.58
 #: Sorted rows that a task holds at a time.
@@ -26,6 +28,7 @@ RUN = 100_000
 
 _ODD = powers(np.uint64(0xA0761D6478BD642F), MINIMA + WORDS + 2)
 _ORDER = [np.concatenate([np.arange(ROOT * t, ROOT * t + ROOT), np.random.default_rng(t).permutation(np.r_[0 : ROOT * t, ROOT * t + ROOT : MINIMA])[: DEPTHS[-1] - ROOT]]) for t in range(ORDERS)]
+_FURTHER = [np.random.default_rng(ORDERS + t).permutation(MINIMA)[: DEPTHS[-1]] for t in range(FURTHER)]
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +87,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, key1 long, key2 long, signature binary")
 
 
-def orders(sketched: DataFrame) -> DataFrame:
+def orders(sketched: DataFrame, forest: list[np.ndarray] = _ORDER) -> DataFrame:
     """key, rest, doc_id, n: a row per document and order; key is the order with its first ROOT minima, rest the further ones."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +95,7 @@ def orders(sketched: DataFrame) -> DataFrame:
             for at in range(0, len(batch), 2000):
                 ids, n, sign = (batch.column(i).slice(at, 2000) for i in range(3))
                 values = np.frombuffer(b"".join(sign.to_pylist()), np.uint16).reshape(-1, MINIMA)
-                for t, own in enumerate(_ORDER):
+                for t, own in enumerate(forest):
                     root = np.ascontiguousarray(values[:, own[:ROOT]]).view(np.uint64).ravel()
                     rest = np.ascontiguousarray(values[:, own[ROOT:]]).view(f"S{2 * (DEPTHS[-1] - ROOT)}").ravel()
                     width = rest.dtype.itemsize
@@ -108,6 +111,7 @@ def neighbours(key: np.ndarray, rest: np.ndarray, ids: np.ndarray, n: np.ndarray
     A region is a run of rows that agree to some depth. Of regions with at most REGION rows whose region one depth up is
     larger (or which lie at the first depth) all pairs count; regions larger than that at the deepest depth pair each
     row with the first. Rows next to each other, the longest common prefixes, count wherever they agree at the root.
+    A document also comes paired with itself, once for each region larger than REGION at the first depth that it lies in.
     """
     size = len(key)
     if size < 2:
@@ -121,6 +125,8 @@ def neighbours(key: np.ndarray, rest: np.ndarray, ids: np.ndarray, n: np.ndarray
         region = np.concatenate([[0], np.cumsum(~same)])
         many = np.bincount(region)[region]
         fit = undecided & (many <= REGION)
+        if depth == ROOT:
+            crowd = ids[~fit]
         for step in range(2, REGION):
             i = np.flatnonzero(fit[:-step] & (region[step:] == region[:-step]))
             if not len(i):
@@ -136,11 +142,11 @@ def neighbours(key: np.ndarray, rest: np.ndarray, ids: np.ndarray, n: np.ndarray
     a, b = n[p[:, 0]], n[p[:, 1]]
     p = ids[p[100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)]]
     p = np.sort(p, axis=1)
-    return np.unique(p[p[:, 0] < p[:, 1]], axis=0)
+    return np.concatenate([np.unique(p[p[:, 0] < p[:, 1]], axis=0), np.stack([crowd, crowd], 1)])
 
 
 def candidates(ordered: DataFrame) -> DataFrame:
-    """a, b with a < b: distinct candidate pairs of the sorted orders."""
+    """a, b, times: distinct candidate pairs of the sorted orders, a < b; and with a = b in how many orders a document is crowded."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
@@ -166,7 +172,7 @@ def candidates(ordered: DataFrame) -> DataFrame:
             yield flush(kept)
 
     found = ordered.repartition("key").sortWithinPartitions("key", "rest", "doc_id").mapInArrow(scan, "a long, b long")
-    return found.groupBy("a", "b").agg(F.count("*").alias("orders")).drop("orders")
+    return found.groupBy("a", "b").agg(F.count("*").alias("times"))
 
 
 def agreeing(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
@@ -238,7 +244,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Words are runs of bytes other than ASCII white space with A-Z in lower case; a document's set has its distinct
     shingles of WORDS words, or its whole sequence as one if shorter. Documents with equal sets are one class, of which
-    the smallest id goes through the forest. Candidates are confirmed on full sets in two steps: first each document's
+    the smallest id goes through the forest, and through more orders where it lies in crowded regions. Candidates are confirmed on full sets in two steps: first each document's
     best candidate with a smaller id, then all candidates that these links leave in different components.
     component_id is the smallest id reachable over links; kept says that it is the row's own. Null and empty texts and
     texts of white space alone have n_shingles 0 and are linked with nothing, as are rows without an id: those have no
@@ -247,7 +253,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sketched = written(spark, sketches(docs), "sketches")
     full = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(spark, full.groupBy("key1", "key2", "n_shingles").agg(F.min(F.struct("doc_id", "signature")).alias("m")).select("key1", "key2", "n_shingles", "m.*"), "classes")
-    pairs = written(spark, agreeing(written(spark, candidates(orders(classes)), "pairs"), classes), "agreeing")
+    found = written(spark, candidates(orders(classes)), "pairs")
+    crowd = found.where((F.col("a") == F.col("b")) & (F.col("times") >= CROWDED)).select(F.col("a").alias("doc_id"))
+    again = written(spark, candidates(orders(classes.join(crowd.hint("merge"), "doc_id", "left_semi"), _FURTHER)), "further")
+    near = found.union(again).where("a < b").select("a", "b").distinct()
+    pairs = written(spark, agreeing(near, classes), "agreeing")
     # merged at every size: a broadcast here would only be a smaller input's plan
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id"])

@@ -309,6 +309,19 @@ def test_a_dense_group_is_one_component(spark):
     assert out.where("component_id <> 0").count() == 0
 
 
+def test_pairs_within_a_crowd_are_found(spark):
+    """Every document shares a long passage with all others, below the threshold; pairs within that crowd lie just above it."""
+    rng = random.Random(3)
+    passage, docs = [f"p{i}" for i in range(170)], []
+    for _ in range(400):
+        own = [f"o{rng.randrange(1 << 40)}" for _ in range(13)]
+        for _ in range(2):
+            docs.append((len(docs), " ".join([*passage, *own, *(f"t{rng.randrange(1 << 40)}" for _ in range(27))])))
+    out = forest.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in out.collect()} == plain_components(docs)
+    assert out.where("kept").count() == 400
+
+
 def test_near_duplicates_odd_rows(spark, odd, none):
     out = forest.near_duplicates(spark, odd)
     assert out.count() == odd.count()
