@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mixed, powers, slices, string_parts, word_hashes, written
@@ -21,6 +21,8 @@ DEPTHS = (4, 6, 8, 10, 12)
 REGION = 10
 #: Documents in larger regions of so many orders are sorted in FURTHER more orders: depth costs them candidates.
 CROWDED, FURTHER = 4, 64
+#: Shingles are counted by so many leading bits of their hash, to order those of crowded documents.
+COUNT_BITS = 21
 #: Candidates whose signatures agree in a smaller share are not confirmed: 4.5 standard deviations below 0.75.
 AGREE = 0.58
 #: Sorted rows that a task holds at a time.
@@ -191,16 +193,88 @@ def agreeing(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, members: the whole shingle set of each document, sorted."""
+    """doc_id, members, crowded: the whole shingle set of each document, sorted."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_parts(batch.column(1))
             for first, end, part, cuts in slices(data, offsets):
                 h, at = shingle_sets(part, cuts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(end - first)], pa.binary())], ["doc_id", "members"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(end - first)], pa.binary()), batch.column(2).slice(first, end - first)], ["doc_id", "members", "crowded"])
 
-    return docs.select("doc_id", "text").mapInArrow(members, "doc_id long, members binary")
+    return docs.select("doc_id", "text", "crowded").mapInArrow(members, "doc_id long, members binary, crowded boolean")
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """In how many sets the shingles lie whose hashes begin with the same COUNT_BITS; at least each one's own frequency."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(total, np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(64 - COUNT_BITS), 1)
+        some = np.flatnonzero(total)
+        for at in range(0, len(some), 100_000):
+            part = some[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["start", "n"])
+
+    found = sets.select("members").mapInArrow(count, "start long, n long").groupBy("start").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    out = np.ones(1 << COUNT_BITS, np.uint32)
+    out[found["start"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def prefixes(spark: SparkSession, sets: DataFrame) -> DataFrame:
+    """h, doc_id, n, rest: each set's shingles that may be the first common one of a link, the rarest first.
+
+    All sets are in one order, by shingle_counts and hash. n is the set's size and rest counts the shingle and those
+    after it: what two sets share from their first common shingle on is no more than either's rest, and a link shares at
+    least PERCENT of the larger set. Shingles of one set alone are left out.
+    """
+    shared = spark.sparkContext.broadcast(shingle_counts(sets))
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                ids, members = (batch.column(i).slice(at, 500) for i in range(2))
+                out: list[tuple[np.ndarray, ...]] = []
+                for i, x in zip(ids.to_pylist(), members, strict=True):
+                    h = np.frombuffer(x.as_buffer(), np.uint64)
+                    times = counts[h >> np.uint64(64 - COUNT_BITS)]
+                    order = np.lexsort((h, times))
+                    rest = np.arange(len(h), 0, -1)
+                    fit = (100 * rest >= PERCENT * len(h)) & (times[order] > 1)
+                    h, rest = h[order][fit], rest[fit]
+                    out.append((h.view(np.int64), np.full(len(h), i), np.full(len(h), len(np.frombuffer(x.as_buffer(), np.uint64))), rest))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["h", "doc_id", "n", "rest"])
+
+    return sets.select("doc_id", "members").mapInArrow(prefix, "h long, doc_id long, n long, rest long")
+
+
+def linkable(least: Column, both: Column) -> Column:
+    """Whether two sets may be linked that share least shingles at most and have both together."""
+    return (100 + PERCENT) * least >= PERCENT * both
+
+
+def exact_pairs(spark: SparkSession, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: all pairs of sets in different components of labels that can be linked, a < b; no pair that is one is missing.
+
+    A link's first common shingle lies in the prefixes of both, so that an equi-join on the prefixes finds it. Only the
+    smaller of two sets decides whether a shingle can be of use: a passage that all documents of a crowd share lies so late
+    in their order that it joins nothing, unless documents have little else. Of a shingle's documents those in its most
+    frequent component are only joined with the others.
+    """
+    entries = prefixes(spark, sets).join(labels.toDF("doc_id", "c").hint("merge"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+    entries = written(spark, entries, "prefixes")
+    sizes = entries.groupBy("h", "c").agg(F.count("*").alias("size"), F.max(linkable(F.col("rest"), 2 * F.col("n"))).alias("small"))
+    useful = sizes.groupBy("h").agg(F.max_by("c", F.struct("size", "c")).alias("most"), F.count("*").alias("parts"), F.max("small").alias("small")).where("small AND parts > 1")
+    # as a table of its own, so that Spark can split a shingle's rows when it joins them
+    asked = written(spark, entries.join(written(spark, useful.select("h", "most"), "shingles"), "h"), "asked")
+    one = asked.where("c <> most").select("h", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("c").alias("ca"))
+    two = asked.select("h", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("c").alias("cb"))
+    met = one.join(two, "h").where((F.col("ca") != F.col("cb")) & linkable(F.least("ra", "rb"), F.col("na") + F.col("nb")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -217,7 +291,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             fit = pa.array(fit, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(fit), batch.column(1).filter(fit)], ["a", "b"])
 
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    own = sets.select("doc_id", "members")
+    both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
@@ -245,7 +320,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Words are runs of bytes other than ASCII white space with A-Z in lower case; a document's set has its distinct
     shingles of WORDS words, or its whole sequence as one if shorter. Documents with equal sets are one class, of which
     the smallest id goes through the forest, and through more orders where it lies in crowded regions. Candidates are confirmed on full sets in two steps: first each document's
-    best candidate with a smaller id, then all candidates that these links leave in different components.
+    best candidate with a smaller id, then all candidates that these links leave in different components. To the second
+    step come all pairs of crowded documents that can be linked, by an exact join of their rarest shingles.
     component_id is the smallest id reachable over links; kept says that it is the row's own. Null and empty texts and
     texts of white space alone have n_shingles 0 and are linked with nothing, as are rows without an id: those have no
     component and are kept. Repeated rows of an id share its component. An empty table gives no rows.
@@ -254,20 +330,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     full = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(spark, full.groupBy("key1", "key2", "n_shingles").agg(F.min(F.struct("doc_id", "signature")).alias("m")).select("key1", "key2", "n_shingles", "m.*"), "classes")
     found = written(spark, candidates(orders(classes)), "pairs")
-    crowd = found.where((F.col("a") == F.col("b")) & (F.col("times") >= CROWDED)).select(F.col("a").alias("doc_id"))
+    crowd = written(spark, found.where((F.col("a") == F.col("b")) & (F.col("times") >= CROWDED)).select(F.col("a").alias("doc_id")), "crowd")
     again = written(spark, candidates(orders(classes.join(crowd.hint("merge"), "doc_id", "left_semi"), _FURTHER)), "further")
     near = found.union(again).where("a < b").select("a", "b").distinct()
     pairs = written(spark, agreeing(near, classes), "agreeing")
     # merged at every size: a broadcast here would only be a smaller input's plan
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), F.lit(False).alias("crowded")).union(crowd.select("doc_id", F.lit(True)))
+    wanted = wanted.groupBy("doc_id").agg(F.max("crowded").alias("crowded"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
     sets = written(spark, full_sets(texts), "sets")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
     first = written(spark, confirmed(best, sets), "first")
     early = components(spark, first)
     left = pairs.join(early.toDF("a", "ca"), "a", "left").join(early.toDF("b", "cb"), "b", "left")
-    left = left.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).join(best, ["a", "b"], "left_anti").select("a", "b")
-    second = confirmed(left, sets)
+    left = left.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").union(exact_pairs(spark, sets.where("crowded"), early)).distinct()
+    second = confirmed(left.join(best, ["a", "b"], "left_anti"), sets)
     whole = components(spark, first.union(second))
     named = classes.join(whole, "doc_id", "left").select("key1", "key2", "n_shingles", F.coalesce("component", "doc_id").alias("class_component"))
     out = sketched.join(named, ["key1", "key2", "n_shingles"], "left")

@@ -322,6 +322,19 @@ def test_pairs_within_a_crowd_are_found(spark):
     assert out.where("kept").count() == 400
 
 
+def test_pairs_at_the_threshold_within_a_crowd_just_under_it(spark):
+    """Similarity 0.725 within the crowd, 0.75 in its pairs, ids shuffled: a pair is told from the rest by two shingles."""
+    rng = random.Random(7)
+    passage, ids, docs = [f"p{i}" for i in range(104)], list(range(3000)), []
+    rng.shuffle(ids)
+    for k in range(1500):
+        both = [f"o{k}", f"q{k}"]
+        docs += [(ids[2 * k + j], " ".join([*passage, *both, *(f"t{rng.randrange(1 << 40)}" for _ in range(17))])) for j in range(2)]
+    assert plain_components(docs[:200]) == {i: (119, min(pair), i == min(pair)) for k in range(100) for pair in [ids[2 * k : 2 * k + 2]] for i in pair}
+    out = forest.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {i: min(pair) for k in range(1500) for pair in [ids[2 * k : 2 * k + 2]] for i in pair}
+
+
 def test_near_duplicates_odd_rows(spark, odd, none):
     out = forest.near_duplicates(spark, odd)
     assert out.count() == odd.count()
