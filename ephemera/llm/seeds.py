@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -16,8 +18,10 @@ from .common import mixed, powers, slices, string_parts, word_hashes
 #: Fixed masks: 1 marks a token position that is hashed, 0 one that may differ. All span SPAN tokens.
 MASKS = ("110110101011", "101011011101", "111010110011", "111111111111")
 SPAN = 12
-#: An item is leaked into a document where at least this share of its tokens stands in place on one alignment.
+#: An item is leaked into a document where at least this share of its tokens stands in place, on one alignment or on near ones.
 OVERLAP = 0.5
+#: So many tokens of an item in a row are a leak too, whatever share of the item they are.
+VERBATIM = 20
 #: Shortest items that are searched for; between this and SPAN tokens an item must appear whole and unchanged.
 SHORTEST = 5
 #: Test items of one block; their seeds, of bounded number, go to every executor.
@@ -79,23 +83,66 @@ def hits(index: Index, tokens: np.ndarray, row: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
 
+def together(places: list[tuple[int, np.ndarray]], n: int) -> tuple[int, int]:
+    """Most of an item's n tokens that near alignments find together, and the start of the fullest of these.
+
+    Alignments are near if their starts are at most n tokens apart. Tokens of the item and of the document both count
+    once each, so that a phrase which the item repeats must be repeated in the document too.
+    """
+    own, theirs = Counter(), Counter()
+    lo, best = 0, (0, 0, 0)
+    for hi, (at, same) in enumerate(places):
+        own.update(same.tolist())
+        theirs.update((same + at).tolist())
+        while at - places[lo][0] > n:
+            early, gone = places[lo]
+            for count, keys in ((own, gone), (theirs, gone + early)):
+                for k in keys.tolist():
+                    count[k] -= 1
+                    if not count[k]:
+                        del count[k]
+            lo += 1
+        best = max(best, (min(len(own), len(theirs)), -lo, -hi))
+    count, lo, hi = best[0], -best[1], -best[2]
+    return count, max(places[lo : hi + 1], key=lambda p: (len(p[1]), -p[0]))[0]
+
+
+def longest_run(same: np.ndarray) -> int:
+    """The most numbers in a row, of ascending ones."""
+    ends = np.flatnonzero(np.concatenate([[True], np.diff(same) != 1, [True]])) if len(same) else np.zeros(2)
+    return int(np.diff(ends).max())
+
+
 def verify(index: Index, tokens: np.ndarray, row: np.ndarray, found: np.ndarray, overlap: float) -> list[tuple[int, int, int, int, int]]:
-    """(row, item id, start, matching tokens, item's tokens) of the best alignment of each pair that overlaps enough.
+    """(row, item id, start, matching tokens, item's tokens) of each pair that overlaps enough, or has VERBATIM tokens in a row.
 
     An alignment lays the whole item onto the document, and counts places whose tokens are equal; those beyond the
-    document's ends count as different. Of equal counts the first in the document stays.
+    document's ends count as different. The best alignment decides, of equal counts the first in the document. Where it
+    has too few, near alignments are taken together, as words put in or left out move the rest of an item; where these
+    have too few as well, the best alignment with a verbatim run stands for the pair.
     """
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    out = []
     rows = int(row[-1]) + 1 if len(row) else 0
     bounds = np.searchsorted(row, np.arange(rows + 1))
-    for r, i, at in found.tolist():
-        item = index.tokens[index.starts[i] : index.starts[i + 1]]
-        first, end = max(at, bounds[r]), min(at + len(item), bounds[r + 1])
-        same = int(np.count_nonzero(tokens[first:end] == item[first - at : end - at]))
+    for (r, i), group in groupby(found.tolist(), key=lambda f: (f[0], f[1])):
+        item, places = index.tokens[index.starts[i] : index.starts[i + 1]], []
+        for _, _, at in group:
+            first, end = max(at, bounds[r]), min(at + len(item), bounds[r + 1])
+            places.append((at, np.flatnonzero(tokens[first:end] == item[first - at : end - at]) + first - at))
         whole = len(item) if len(item) < SPAN else overlap * len(item)
-        if same >= whole and same > best.get((r, i), (0,))[0]:
-            best[r, i] = same, at - int(bounds[r]), len(item)
-    return [(r, int(index.ids[i]), at, same, n) for (r, i), (same, at, n) in sorted(best.items())]
+        at, same = max(places, key=lambda p: (len(p[1]), -p[0]))
+        count = len(same)
+        if count < whole and len(item) >= SPAN:
+            count, at = together(places, len(item))
+            if count < whole:
+                runs = [p for p in places if longest_run(p[1]) >= VERBATIM]
+                if not runs:
+                    continue
+                at, same = max(runs, key=lambda p: (len(p[1]), -p[0]))
+                count = len(same)
+        if count >= whole or len(item) >= SPAN:
+            out.append((r, int(index.ids[i]), at - int(bounds[r]), count, len(item)))
+    return out
 
 
 def blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str | None]]]:
@@ -118,8 +165,8 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, overlap: f
 
     Tokens are runs of bytes other than ASCII white space, A-Z in lower case. A pair is found where some window of
     SPAN tokens agrees in all marked places of a mask, and then counts if overlap * n_item tokens agree on the whole
-    alignment. Items under SPAN tokens must stand whole in the text, those under SHORTEST are never found. start_token
-    is where the item's first token lies in the document; it is negative if the document begins within the item.
+    alignment or, where words are put in or left out, on near ones together, or if VERBATIM tokens in a row agree. Items under SPAN tokens must stand whole in the text, those under SHORTEST are never found. start_token
+    is where the item's first token lies in the document, by the fullest of near alignments; it is negative if the document begins within the item.
     Null and empty texts contain nothing and are contained in nothing; repeated rows give repeated pairs; an empty
     table gives none; of items with equal ids each counts, and the pair may appear once for each. Null ids are dropped.
     """

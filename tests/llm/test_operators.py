@@ -133,6 +133,24 @@ def test_leaks_equal_brute_force(spark, odd, none):
     assert seeds.leaks(spark, none, bench).count() == seeds.leaks(spark, odd, bench.limit(0)).count() == 0
 
 
+def test_leaks_with_words_put_in_and_excerpts(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    item, phrase = fresh(59), fresh(16)
+    items = [(1, " ".join(item)), (2, " ".join(phrase * 4))]
+    docs = [
+        (10, [*fresh(9), *item[:20], "new", *item[20:40], "new", *item[40:], *fresh(9)]),
+        (11, [*fresh(9), *item[:20], *item[21:40], *item[41:], *fresh(9)]),
+        (12, [*fresh(9), *item[30:], *fresh(9)]),
+        (13, [*fresh(9), *item[:19], *fresh(9)]),
+        (14, [*fresh(9), *phrase, *fresh(9)]),
+        (15, [*item[:15], *fresh(200), *item[15:30]]),
+    ]
+    out = seeds.leaks(spark, spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    # 14 has a quarter of its item, 15 two short parts that lie far apart
+    assert sorted(tuple(r) for r in out.collect()) == [(10, 1, 9, 59, 59), (11, 1, 9, 57, 59), (12, 1, -21, 29, 59)]
+
+
 # 4 SentencePiece
 
 
