@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+import re
 import zlib
-from collections import deque
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -13,46 +15,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, powers
-
 SPACE_MARK = "▁"
-#: Units of at most this many characters are searched side by side with numpy, longer ones one by one.
-SHORT = 32
-#: Units whose ids a worker remembers, and text characters encoded in one go.
-REMEMBERED, BATCH = 600_000, 1 << 20
-_FILTER_BITS = 22
-_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Stretches whose ids a worker remembers, and the longest of them, in characters; text characters encoded in one go.
+REMEMBERED, SHORT, BATCH = 600_000, 32, 1 << 20
+
+
+_NONE = -(1 << 200)  # below all scores
 
 
 class Vocabulary(NamedTuple):
     pieces: dict[str, tuple[int, int]]  # piece -> id, score
+    ends: dict  # the pieces as a tree read from their last character: character -> deeper tree, id of the piece (-1: none), score
     byte_ids: list[int]
     text: list[bytes]  # of each id
     longest: int
     unknown: int  # score of a character that has no piece; its UTF-8 bytes are emitted
-    hashes: np.ndarray  # of the pieces, sorted, with their ids and scores
-    ids: np.ndarray
-    scores: np.ndarray
-    filter: np.ndarray
-
-
-def points(texts: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 @functools.cache
 def vocabulary(path: str) -> Vocabulary:
     """Pieces of a model file. Scores are scaled to whole numbers, so that sums are exact for any length of text.
 
-    Pieces with a space mark behind their first character would cross the start of a word; they are left out (in the
-    public file these are runs of marks with a score that can never win).
+    A ValueError says that a piece has a space mark behind another character, over which no path may go here.
     """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    n = model.get_piece_size()
-    pieces, byte_ids, text = {}, [0] * 256, []
-    for i in range(n):
+    pieces, byte_ids, text, ends = {}, [0] * 256, [], {}
+    for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         if model.is_byte(i):
             byte_ids[int(piece[1:-1], 16)] = i
@@ -60,20 +50,16 @@ def vocabulary(path: str) -> Vocabulary:
         elif model.is_control(i) or model.is_unknown(i):
             text.append(b"")
         else:
+            if SPACE_MARK in piece.lstrip(SPACE_MARK):
+                raise ValueError(f"piece {i} goes on over a space")
             text.append(piece.replace(SPACE_MARK, " ").encode())
-            if SPACE_MARK not in piece[1:]:
-                pieces[piece] = i, round(model.get_score(i) * 1000)
-    keys = list(pieces)
-    values = np.array([_hash(points([k])) for k in keys], np.uint64)
-    order = np.argsort(values)
-    bits = np.zeros(1 << _FILTER_BITS, bool)
-    bits[values >> np.uint64(64 - _FILTER_BITS)] = True
-    ids, scores = (np.array([pieces[k][j] for k in keys], np.int64)[order] for j in (0, 1))
-    return Vocabulary(pieces, byte_ids, text, max(map(len, keys)), int(scores.min()) - 10_000, values[order], ids, scores, bits)
-
-
-def _hash(code: np.ndarray) -> np.uint64:
-    return mixed((mixed(code.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(code))).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(code)))[0]
+            pieces[piece] = i, round(model.get_score(i) * 1000)
+    for piece, found in pieces.items():
+        kids = ends
+        for c in piece[:0:-1]:
+            kids = kids.setdefault(c, ({}, -1, 0))[0]
+        kids[piece[0]] = kids.get(piece[0], ({},))[0], *found
+    return Vocabulary(pieces, ends, byte_ids, text, max(map(len, pieces)), min(s for _, s in pieces.values()) - 10_000)
 
 
 class Stream:
@@ -81,151 +67,106 @@ class Stream:
 
     Scores are kept for the last `longest` positions only, as no piece reaches further back. Every so often the
     backpointers of the positions from which a piece can still start are followed to where they all meet: everything
-    before that boundary is committed, and its backpointers are dropped.
+    before that boundary is committed, and its backpointers are dropped. Of equal scores the longest last piece stays.
     """
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self.tail = ""  # the last longest - 1 characters
-        self.scores: deque[int] = deque([0], vocab.longest)  # of the last positions
-        self.back: dict[int, tuple[int, tuple[int, ...]]] = {}  # position -> start of its last piece, ids
-        self.at = self.done = 0
+        self.scores = [0]  # of the last positions
+        self.back: list[tuple[int, int, str]] = []  # of each position not yet committed: its last piece's length and id (-1: bytes), and its character
         self.widest = 0  # most backpointers held at a time
 
     def feed(self, text: str) -> list[int]:
-        vocab, out = self.vocab, []
-        for c in text:
-            self.tail = (self.tail + c)[-vocab.longest :]
-            self.at += 1
-            best = None
-            for n in range(min(len(self.tail), len(self.scores)), 0, -1):
-                found = vocab.pieces.get(self.tail[-n:])
-                if found is None and n == 1:
-                    found = None if best is not None else (-1, vocab.unknown)
-                if found is not None and (best is None or self.scores[-n] + found[1] > best[0]):
-                    ids = (found[0],) if found[0] >= 0 else tuple(vocab.byte_ids[b] for b in c.encode("utf-8", "replace"))
-                    best = self.scores[-n] + found[1], n, ids
-            self.scores.append(best[0])
-            self.back[self.at] = self.at - best[1], best[2]
-            self.widest = max(self.widest, len(self.back))
-            if len(self.back) >= 2 * vocab.longest:
-                out += self._commit(range(max(self.done, self.at - vocab.longest + 1), self.at + 1))
+        ends, longest, unknown = self.vocab.ends, self.vocab.longest, self.vocab.unknown
+        scores, back, out = self.scores, self.back, []
+        chars = self.tail + text
+        for first in range(len(self.tail), len(chars), longest):
+            for last in range(first, min(first + longest, len(chars))):
+                kids, best, size, ident = ends, _NONE, 1, -1
+                # the score list ends at `last`, so that negative places in it are lengths of pieces
+                for at in range(last, max(-1, last - longest), -1):
+                    node = kids.get(chars[at])
+                    if node is None:
+                        break
+                    kids, found, score = node
+                    if found >= 0:
+                        score += scores[at - last - 1]
+                        if score >= best:
+                            best, size, ident = score, last - at + 1, found
+                scores.append(best if ident >= 0 else scores[-1] + unknown)
+                back.append((size, ident, chars[last]))
+            if len(back) >= 2 * longest:
+                self.widest = max(self.widest, len(back))
+                del scores[:-longest]
+                out += self._commit(range(len(back) - longest + 1, len(back) + 1))
+        self.tail = chars[1 - longest :]
         return out
 
     def _commit(self, alive: Iterable[int]) -> list[int]:
-        """Follows the alive positions back to their common boundary, and emits what lies before it."""
-        alive = set(alive)
+        """Follows the alive positions, counted from the last commit, back to their common boundary, and emits what lies before it."""
+        back, alive = self.back, {*alive}
         while len(alive) > 1:
             last = max(alive)
             alive.discard(last)
-            alive.add(self.back[last][0] if last > self.done else last)
-        meet, path = alive.pop(), []
-        at = meet
-        while at > self.done:
-            at, ids = self.back[at]
-            path.append(ids)
-        for p in range(self.done + 1, meet + 1):
-            del self.back[p]
-        self.done = meet
-        return [i for ids in reversed(path) for i in ids]
+            alive.add(last - back[last - 1][0])
+        at = meet = alive.pop()
+        out: list[int] = []  # from the last id to the first
+        while at:
+            size, ident, c = back[at - 1]
+            if ident >= 0:
+                out.append(ident)
+            else:
+                out += [self.vocab.byte_ids[b] for b in reversed(c.encode("utf-8", "replace"))]
+            at -= size
+        del back[:meet]
+        out.reverse()
+        return out
 
     def close(self) -> list[int]:
-        return self._commit([self.at])
+        return self._commit([len(self.back)])
+
+
+_STRETCH = re.compile(" +[^ ]*")
 
 
-def search_short(vocab: Vocabulary, units: list[str]) -> list[list[int]]:
-    """The same search for many short units side by side, one character position a step.
+def stretches(text: str) -> list[str]:
+    """The text in front of which a space is put, cut before each run of spaces, without each run's first space.
 
-    A unit starts with a space mark or a character that no piece continues over, so all paths meet at its start and its
-    end; between them the same window of scores is kept. Of equal scores the longest last piece stays, as in Stream.
+    No piece goes on over a space that follows another character, so there all paths meet, and the stream commits.
     """
-    if not units:
-        return []
-    count, length = len(units), np.fromiter(map(len, units), np.int64, len(units))
-    order = np.argsort(-length, kind="stable")
-    width = int(length[order[0]])
-    code = np.zeros((count, width), np.uint32)
-    code[np.arange(width) < length[order][:, None]] = points([units[i] for i in order])
-    value = np.zeros((width + 1, count), np.uint64)
-    np.cumsum(mixed(code.astype(np.uint64) + np.uint64(1)).T * powers(_BASE, width)[:, None], axis=0, out=value[1:])
-    inverse = powers(np.uint64(pow(int(_BASE), -1, 2**64)), width + 1)
-    score = np.zeros((width + 1, count), np.int64)
-    step, piece = np.zeros((width + 1, count), np.int16), np.full((width + 1, count), -1, np.int32)
-    for end in range(1, width + 1):
-        live = int(np.searchsorted(-length[order], -end, "right"))
-        best = np.full(live, np.iinfo(np.int64).min)
-        for n in range(min(end, vocab.longest), 0, -1):
-            h = mixed((value[end, :live] - value[end - n, :live]) * inverse[end - n] + np.uint64(n))
-            some = np.flatnonzero(vocab.filter[h >> np.uint64(64 - _FILTER_BITS)])
-            at = np.searchsorted(vocab.hashes, h[some])
-            hit = vocab.hashes[np.minimum(at, len(vocab.hashes) - 1)] == h[some]
-            some, at = some[hit], at[hit]
-            total = score[end - n, some] + vocab.scores[at]
-            better = total > best[some]
-            some, at = some[better], at[better]
-            best[some], step[end, some], piece[end, some] = total[better], n, vocab.ids[at]
-        # a character without a piece of its own: only if nothing longer ends here, as its score is below all others
-        none = np.flatnonzero(best == np.iinfo(np.int64).min)
-        best[none], step[end, none] = score[end - 1, none] + vocab.unknown, 1
-        score[end, :live] = best
-    at, out = length[order].copy(), [[] for _ in range(count)]
-    rows = np.arange(count)
-    while len(rows):
-        ids, back = piece[at[rows], rows], step[at[rows], rows]
-        for r, i in zip(rows.tolist(), ids.tolist(), strict=True):
-            out[r].append(i)
-        lost = rows[ids < 0]
-        for r in lost.tolist():
-            out[r][-1:] = [vocab.byte_ids[b] for b in reversed(units[order[r]][at[r] - 1].encode("utf-8", "replace"))]
-        at[rows] -= back
-        rows = rows[at[rows] > 0]
-    result: list[list[int]] = [[]] * count
-    for r, i in enumerate(order.tolist()):
-        result[i] = out[r][::-1]
-    return result
-
-
-def units_of(text: str) -> list[str]:
-    """The text with a space mark before it and for each space, cut before each mark. A mark of the text itself is kept apart."""
-    return [SPACE_MARK + w for w in text.split(" ")]
+    if text[:1] == " " or "  " in text:
+        return [s[1:] for s in _STRETCH.findall(" " + text)]
+    return text.split(" ")
 
 
 class Encoder:
+    """Streams over texts, with the ids of short stretches remembered."""
+
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self.known: dict[str, bytes] = {}
 
-    def _found(self, units: list[str]) -> dict[str, bytes]:
-        out = {}
+    def _searched(self, stretch: str) -> bytes:
+        ids: list[int] = []
         # marks that are characters of the text go out as bytes, so that decoding gives them back
-        plain = [u for u in units if len(u) <= SHORT and SPACE_MARK not in u[1:]]
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            out.update((u, np.array(ids, np.int32).tobytes()) for u, ids in zip(part, search_short(self.vocab, part), strict=True))
-        for u in units:
-            if u not in out:
-                ids = []
-                for k, part in enumerate(u[1:].split(SPACE_MARK)):
-                    if k:
-                        ids += [self.vocab.byte_ids[b] for b in SPACE_MARK.encode()]
-                    stream = Stream(self.vocab)
-                    ids += stream.feed(part if k else SPACE_MARK + part)
-                    ids += stream.close()
-                out[u] = np.array(ids, np.int32).tobytes()
-        return out
+        for k, part in enumerate((" " + stretch).split(SPACE_MARK)):
+            if k:
+                ids += [self.vocab.byte_ids[b] for b in SPACE_MARK.encode()]
+            stream = Stream(self.vocab)
+            ids += stream.feed(part.replace(" ", SPACE_MARK))
+            ids += stream.close()
+        return array("i", ids).tobytes()
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Piece ids of each text; an empty text has none."""
-        parts = [units_of(t) if t else [] for t in texts]
-        known = self.known
-        found = self._found(list({u for p in parts for u in p if u not in known}))
-        room = REMEMBERED - len(known)
-        if len(found) > room:
-            out = [np.frombuffer(b"".join([known[u] if u in known else found[u] for u in p]), np.int32) for p in parts]
-            known.update([(u, v) for u, v in found.items() if len(u) <= SHORT][: max(0, room)])
-            return out
-        known.update(found)
-        return [np.frombuffer(b"".join([known[u] for u in p]), np.int32) for p in parts]
+        parts = [stretches(t) if t else [] for t in texts]
+        known, searched = self.known, self._searched
+        found = {s: searched(s) for s in set().union(*parts) if s not in known}
+        out = [np.frombuffer(b"".join([known[s] if s in known else found[s] for s in p]), np.int32) for p in parts]
+        room = max(0, REMEMBERED - len(known))
+        known.update(islice(((s, v) for s, v in found.items() if len(s) <= SHORT), room))
+        return out
 
     def text(self, ids: Iterable[int]) -> str:
         """The text of ids: the pieces' bytes, without the space that stands for the first mark."""

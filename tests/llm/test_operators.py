@@ -192,16 +192,26 @@ def as_unigram():
 
 
 def test_viterbi_equals_the_library(spark, sf):
+    """Pieces of raw texts as they stand, and with indentation, tabs and runs of spaces put in."""
     library, own = as_unigram(), viterbi.Encoder(viterbi.vocabulary(PIECES))
     rng = random.Random(2)
-    for (text,) in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(40).collect():
-        w = text.split()
-        k = rng.randrange(max(1, len(w) - 6))
-        part = " ".join(w[k : k + 6])
-        if part:
-            # of paths with equal scores the library may take another
-            ids, best = own.ids([part])[0].tolist(), library.nbest_encode(part, nbest_size=2)[0]
-            assert sum(map(library.get_score, ids)) == sum(map(library.get_score, best)) and library.decode(ids) == part, part
+
+    def scored(ids):
+        low = [library.is_byte(i) or library.get_score(i) < -1e8 for i in ids]
+        return sum(low), sum(library.get_score(i) for i, below in zip(ids, low, strict=True) if not below)
+
+    cut = ["a    b", "  lead", "\tx  y", "   ", "a  ", "def f(x):\n    return  x\n" + " " * 37 + "y", "\n\n  \t "]
+    for (text,) in spark.read.parquet(f"{sf}/documents.parquet").select("text").where("text IS NOT NULL").limit(150).collect():
+        k = rng.randrange(max(1, len(text) - 60))
+        part = text[k : k + 60]
+        cut += [part, part.replace(". ", ".   ").replace("\n", "\n    ").replace(", ", ",\t"), "  " + part]
+    for part in filter(None, cut):
+        # of paths with equal scores the library may take another; its sums are 32-bit floats, whose steps are 64
+        # from a lone mark, a run or an unknown character on, so that it may then miss the best path by some steps
+        ids = own.ids([part])[0].tolist()
+        mine, best = scored(ids), scored(library.nbest_encode(part, nbest_size=2)[0])
+        assert library.decode(ids) == part and mine[0] == best[0], part
+        assert mine[1] == best[1] if not mine[0] else 0 <= mine[1] - best[1] <= 64 * (1 + mine[0]), part
 
 
 def plain_viterbi(vocab, text):
@@ -229,6 +239,15 @@ def test_stream_commits_what_a_whole_search_finds():
     assert stream.widest <= 4 * vocab.longest
 
 
+def test_stretches_meet_at_spaces():
+    """A stretch by stretch search finds what one search over the whole text finds."""
+    vocab, rng = viterbi.vocabulary(PIECES), random.Random(6)
+    own = viterbi.Encoder(vocab)
+    for _ in range(200):
+        text = "".join(rng.choice("theingou  \n\té日") for _ in range(rng.randrange(1, 120)))
+        assert own.ids([text])[0].tolist() == plain_viterbi(vocab, (" " + text).replace(" ", "▁"))
+
+
 def test_encoding_round_trip(spark, odd, none):
     out = viterbi.encode(odd, PIECES)
     assert out.count() == odd.count() and out.where("NOT lossless").count() == 0
