@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,6 +32,9 @@ _GEAR = np.random.default_rng(99).integers(1, 2**63, 1 << 16, dtype=np.uint64)
 
 #: Punctuation that the tokenizer keeps apart from letters before it. The tokenizer's own classes.
 _CLOSING = ".,;:!?*#&%$|"
+#: Letters of which each is one letter in lower case too, whatever stands beside it. ASCII's and Latin-1's.
+#: Others may become a letter and a combining mark, which the tokenizer takes together with the punctuation behind it.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 class Encoder:
@@ -38,7 +42,8 @@ class Encoder:
 
     The tokenizer normalises characters one by one, drops white space and splits at it, so the ids of a text are those
     of its parts between spaces, tabs and line ends, one after the other. Only such ASCII white space is cut at here.
-    It also splits letters from closing punctuation, and lowers the case, so that of new parts only the letters count.
+    It also splits letters from closing punctuation, and lowers the case, so that of new parts in plain letters only
+    the letters count. Every other part goes to the library as it stands.
     """
 
     def __init__(self, path: str):
@@ -58,7 +63,7 @@ class Encoder:
         heads, tails = [], []
         for w in parts:
             head = w.rstrip(_CLOSING)
-            if head.isalpha():
+            if _PLAIN.fullmatch(head):
                 heads.append(head.lower() if head.isascii() else head)
                 tails.append(w[len(head) :])
             else:

@@ -74,6 +74,18 @@ def test_store_encodes_odd_words_like_the_library():
         assert own.tokenizer.encode(w, add_special_tokens=False).ids == own.ids([w])[0].tolist(), w
 
 
+def test_store_encodes_like_the_library_whatever_stands_together(spark):
+    """Letters that change when lowered or composed, marks, special tokens, punctuation and white space, at random."""
+    own, rng = store.Encoder(WORD_BPE), random.Random(5)
+    bits = [*"aBzéÉßẞİıΣσςǅﬁÅÅ각日本ñÑøÀÿ×÷\u0307\u0301\u200d\u00a0\u2028\u0085\x1c\x0b", *".,;:!?*#&%$|'\"-_()/", *"0189½²", " ", "\n", "\t", "\r", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "BELEDİYESİ.", "GAZETESİ:", "e\u0301.", "n\u0303,", "ÜBER!"]
+    cut = ["".join(rng.choices(bits, k=rng.randrange(1, 9))) for _ in range(20_000)]
+    for t, ids in zip(cut, own.ids(cut), strict=True):
+        assert own.tokenizer.encode(t, add_special_tokens=False).ids == ids.tolist(), t
+    rows = [(1, "BELEDİYESİ. sonra"), (2, "next")]
+    out = {r["doc_id"]: r for r in store.tokenised(spark, spark.createDataFrame(rows, "doc_id long, text string"), WORD_BPE).collect()}
+    assert out[2]["start"] == out[1]["n_tokens"] == len(own.tokenizer.encode(rows[0][1], add_special_tokens=False).ids) + 1
+
+
 def test_store_keeps_each_chunk_once(spark):
     rng = np.random.default_rng(1)
     shared = " ".join(map(str, rng.integers(0, 999, 6000)))
