@@ -11,128 +11,151 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, held_out, slices, string_parts
+from .common import LOWER, held_out, mixed, slices, string_parts, written
 
-#: Symbols of the coded alphabet; 0 stands for every byte that is no letter, 1 for rare letters.
-SYMBOLS, BITS, GAP, RARE = 64, 6, 0, 1
 #: Longest context in bytes.
 ORDER = 4
-#: The statistics come from this many texts of each language, those with the smallest hash of their id.
-TEXTS_PER_LANGUAGE = 300
-#: Contexts of one order seen fewer times than this, or beyond this many of one order, fall back to the next shorter.
-LEAST, MOST_CONTEXTS = 4, 12_000
+#: The statistics come from this many whole texts of each language, those with the smallest hash of their id, and of
+#: these from no more than come to so many bytes together (the first counts whatever its length).
+TEXTS_PER_LANGUAGE, BYTES_PER_LANGUAGE = 300, 2_000_000
 UNDETERMINED = "und"
 
 
+class Table(NamedTuple):
+    """Whole numbers with a place each: sorted by their hash, with the first place of each run of leading hash bits."""
+
+    keys: np.ndarray
+    first: np.ndarray
+    shift: np.uint64
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Place of each number, or -1."""
+        bucket = mixed(wanted.astype(np.uint64)) >> self.shift
+        at, end = self.first[bucket], self.first[bucket + np.uint64(1)]
+        out, left = np.full(len(wanted), -1, np.int32), np.flatnonzero(at < end)
+        while len(left):
+            here = at[left]
+            hit = self.keys[here] == wanted[left]
+            out[left[hit]] = here[hit]
+            at[left] += 1
+            left = left[~hit & (here + 1 < end[left])]
+        return out
+
+
 class Model(NamedTuple):
     languages: list[str]
-    symbol: np.ndarray  # of each byte
-    child: np.ndarray  # node * SYMBOLS + symbol before -> longer context's node, or -1
-    cost: np.ndarray  # node * SYMBOLS + next symbol -> bits in each language
+    grams: Table  # order, context and next byte, where some language saw them together
+    cost: np.ndarray  # bits of each in each language
+    contexts: Table  # order and context
+    escape: np.ndarray  # bits of falling back to the next shorter context, for bytes that no language saw in this one
+
+
+def table(keys: np.ndarray) -> tuple[Table, np.ndarray]:
+    """The table of distinct numbers, and the order that their values go into."""
+    h = mixed(keys.astype(np.uint64))
+    order = np.argsort(h)
+    bits = max(4, int(len(keys)).bit_length() + 1)
+    first = np.searchsorted(h[order] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+    return Table(keys[order], first, np.uint64(64 - bits)), order
 
 
-def coded(data: np.ndarray, offsets: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols with ORDER gaps before each text, and where the texts' own symbols stand in them."""
-    rows = np.repeat(np.arange(1, len(offsets)), np.diff(offsets))
-    at = np.arange(len(data)) + ORDER * rows
-    out = np.zeros(len(data) + ORDER * len(offsets), np.uint8)
-    out[at] = symbol[data]
-    return out, at
+def positions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ORDER bytes before each byte as one number, the nearest lowest, and how many of them lie in its text."""
+    context = np.zeros(len(data), np.int64)
+    for d in range(1, ORDER + 1):
+        context[d:] |= data[: max(0, len(data) - d)].astype(np.int64) << 8 * (d - 1)
+    return context, np.minimum(np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets)), ORDER)
+
+
+def cut(context: np.ndarray, order: int) -> np.ndarray:
+    """The order nearest bytes of contexts, told apart from those of other orders."""
+    return context & (1 << 8 * order) - 1 | order << 32
 
 
 def train(texts: dict[str, list[str]]) -> Model:
     """Escape-method-C statistics with exclusion, frozen: each context holds a full distribution in each language.
 
-    A symbol unseen in a context costs its escape plus its cost in the next shorter context, where the symbols seen in
-    the longer one are excluded; order -1 is uniform. A language that never saw a context uses its longest that it saw.
+    A byte unseen in a context costs its escape plus its cost in the next shorter context, where the bytes seen in the
+    longer one are excluded; order -1 is uniform over 256 bytes. A language that never saw a context uses its longest
+    that it saw, at no cost. Contexts do not reach over a text's start. Every context that occurs is kept.
     """
     languages = sorted(texts)
-    if not languages:
-        return Model([], np.zeros(256, np.uint8), np.full(SYMBOLS, -1, np.int32), np.zeros((SYMBOLS, 0), np.float32))
-    blobs = {k: string_parts(pa.array(v, pa.string())) for k, v in texts.items()}
-    seen = sum((np.bincount(LOWER[d], minlength=256) for d, _ in blobs.values()), np.zeros(256, np.int64))
-    letters = [b for b in np.argsort(-seen, kind="stable").tolist() if seen[b] and (b >= 128 or 97 <= b <= 122)]
-    symbol = np.zeros(256, np.uint8)
-    symbol[128:] = RARE
-    symbol[97:123] = RARE
-    for n, b in enumerate(letters[: SYMBOLS - 2]):
-        symbol[b] = n + 2
-    symbol[65:91] = symbol[97:123]
-    streams = {k: coded(d, o, symbol) for k, (d, o) in blobs.items()}
-    wide = {k: s.astype(np.int64) for k, (s, _) in streams.items()}
-    context = {k: np.zeros(len(streams[k][1]), np.int64) for k in languages}
-    cost, child = [], [np.full(SYMBOLS, -1, np.int32)]
-    known, nodes, parent_p = np.zeros(1, np.int64), np.zeros(1, np.int64), np.full((1, SYMBOLS, len(languages)), 1 / SYMBOLS)
-    below: tuple[np.ndarray, np.ndarray] | None = None
-    total = 0
+    streams = [string_parts(pa.array(texts[k], pa.string())) for k in languages]
+    places = [positions(*s) for s in streams]
+    grams, cost, contexts, escape = [], [], [], []
+    before: tuple[np.ndarray, np.ndarray] | None = None
     for order in range(ORDER + 1):
-        if order:
-            for k in languages:
-                s, at = streams[k]
-                context[k] |= wide[k][at - order] << BITS * (order - 1)
-            ids, counts = np.unique(np.concatenate([context[k] for k in languages]), return_counts=True)
-            # a context is kept only if the shorter one is, so that every node has a parent
-            upper = ids & (1 << BITS * (order - 1)) - 1
-            place = np.minimum(np.searchsorted(below[0], upper), len(below[0]) - 1)
-            fit = (below[0][place] == upper) & (counts >= LEAST)
-            if fit.sum() > MOST_CONTEXTS:
-                fit &= counts >= np.sort(counts[fit])[-MOST_CONTEXTS]
-            known, place = ids[fit], place[fit]
-            nodes = total + np.arange(len(known))
-            tail = known >> BITS * (order - 1)
-            child[order - 1][place * SYMBOLS + tail] = nodes
-            parent_p = below[1][place]
-            child.append(np.full(len(known) * SYMBOLS, -1, np.int32))
-        n = np.zeros((len(known), SYMBOLS, len(languages)))
-        for j, k in enumerate(languages):
-            s, at = streams[k]
-            where = np.minimum(np.searchsorted(known, context[k]), max(len(known) - 1, 0))
-            ok = known[where] == context[k] if len(known) else np.zeros(len(where), bool)
-            n[:, :, j] = np.bincount(where[ok] * SYMBOLS + s[at][ok], minlength=len(known) * SYMBOLS).reshape(-1, SYMBOLS)
-        sums, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-        left = 1 - (parent_p * (n > 0)).sum(1, keepdims=True)
-        full = (kinds == SYMBOLS) | (left <= 1e-12)
+        seen = []
+        for (data, _), (context, depth) in zip(streams, places, strict=True):
+            fit = depth >= order
+            seen.append(np.unique(cut(context[fit], order) << 8 | data[fit], return_counts=True))
+        keys = np.unique(np.concatenate([k for k, _ in seen])) if seen else np.zeros(0, np.int64)
+        n = np.zeros((len(keys), len(languages)))
+        for j, (k, count) in enumerate(seen):
+            n[np.searchsorted(keys, k), j] = count
+        nodes, node = np.unique(keys >> 8, return_inverse=True)
+        if before is None:
+            shorter = np.full(n.shape, 1 / 256)
+        else:
+            shorter = before[1][np.searchsorted(before[0], cut(keys >> 8, order - 1) << 8 | keys & 255)]
+        gather = lambda values: np.stack([np.bincount(node, v, len(nodes)) for v in values.T], 1) if len(nodes) else np.zeros((0, len(languages)))  # noqa: E731, B023
+        sums, kinds, left = gather(n), gather((n > 0) * 1.0), np.maximum(1 - gather(shorter * (n > 0)), 1e-12)
         with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.where(n > 0, n / (sums + np.where(full, 0, kinds)), kinds / (sums + kinds) * parent_p / left)
-        p = np.where(sums == 0, parent_p, np.where(full & (n == 0), 1e-12, p))
-        cost.append((-np.log2(p)).reshape(-1, len(languages)).astype(np.float32))
-        below, total = (known, p), total + len(known)
-    return Model(languages, symbol, np.concatenate(child), np.concatenate(cost))
+            out = np.where(sums > 0, kinds / (sums + kinds) / left, 1.0)
+            p = np.where(n > 0, n / (sums + kinds)[node], out[node] * shorter)
+        grams.append(keys)
+        cost.append(-np.log2(p))
+        contexts.append(nodes)
+        escape.append(-np.log2(out))
+        before = keys, p
+    gram_table, by = table(np.concatenate(grams))
+    context_table, at = table(np.concatenate(contexts))
+    return Model(languages, gram_table, np.concatenate(cost)[by].astype(np.float32), context_table, np.concatenate(escape)[at].astype(np.float32))
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits of each text in each language; contexts never reach over a text's start."""
     out = np.zeros((len(offsets) - 1, len(model.languages)))
-    if not len(data):
+    if not len(data) or not model.languages:
         return out
-    stream, at = coded(data, offsets, model.symbol)
-    wide = stream.astype(np.int32)
-    node, alive = np.zeros(len(at), np.int32), None
-    for d in range(1, ORDER + 1):
-        longer = model.child[node * SYMBOLS + wide[at - d]]
-        fits = longer >= 0 if alive is None else alive & (longer >= 0)
-        node, alive = np.where(fits, longer, node), fits
-    bits = model.cost[node * SYMBOLS + wide[at]]
+    context, depth = positions(data, offsets)
+    bits, left = np.zeros((len(data), len(model.languages)), np.float32), np.arange(len(data))
+    for order in range(ORDER, -1, -1):
+        deep = depth[left] >= order
+        at = left[deep]
+        key = cut(context[at], order)
+        gram = model.grams.find(key << 8 | data[at])
+        hit = gram >= 0
+        bits[at[hit]] += model.cost[gram[hit]]
+        at, key = at[~hit], key[~hit]
+        node = model.contexts.find(key)
+        known = node >= 0
+        bits[at[known]] += model.escape[node[known]]
+        left = np.concatenate([left[~deep], at])
+    bits[left] += 8
     full = np.flatnonzero(np.diff(offsets))
     out[full] = np.add.reduceat(bits, offsets[full], axis=0, dtype=np.float64)
     return out
 
 
-def sample(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> dict[str, list[str]]:
-    """At most per_language whole texts of each non-null lang, never held-out rows, rows without id or null texts."""
+def sample(spark: SparkSession, docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, most_bytes: int = BYTES_PER_LANGUAGE) -> dict[str, list[str]]:
+    """Whole texts of each non-null lang, never held-out rows, rows without id or null texts; one text of each id."""
     fit = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    keyed = fit.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    # the ids first, as they are short, in two steps, as one language may have most rows; then only the chosen rows' texts
-    parts = keyed.withColumn("part", F.pmod("h", F.lit(256)))
+    fit = fit.select("doc_id", "lang", "text", F.xxhash64("text").alias("text_hash"))
+    once = fit.groupBy("lang", "doc_id").agg(F.min(F.struct("text_hash", F.octet_length("text").alias("size"))).alias("one"))
+    # without texts first, in two steps, as one language may have most rows; then only the chosen rows' texts
+    parts = once.select("lang", "doc_id", "one.*", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod("h", F.lit(256)))
     for by in (("lang", "part"), ("lang",)):
         order = Window.partitionBy(*by).orderBy("h", "doc_id")
         parts = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
-    chosen = parts.select("doc_id", "lang", "rank")
-    rows = fit.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).collect()
+    total = F.sum("size").over(Window.partitionBy("lang").orderBy("rank"))
+    chosen = parts.withColumn("total", total).where((F.col("rank") == 1) | (F.col("total") <= most_bytes)).select("doc_id", "lang", "text_hash", "rank")
+    # as a table of its own, so that its size is known when Spark chooses how to join it
+    found = fit.join(written(spark, chosen, "chosen"), ["doc_id", "lang", "text_hash"]).dropDuplicates(["doc_id", "lang"])
     out: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["rank"], r["text"])):
+    for r in sorted(found.select("lang", "rank", "text").collect(), key=lambda r: (r["lang"], r["rank"])):
         out.setdefault(r["lang"], []).append(r["text"])
-    return {k: v[:per_language] for k, v in out.items()}
+    return out
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -142,7 +165,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None) -
     with score 0, as is every text when no row can be learned from. Equal lengths go to the first language by name.
     Repeated rows give repeated rows; an empty table gives none; further columns are ignored.
     """
-    model = model or train(sample(docs))
+    model = model or train(sample(spark, docs))
     shared = spark.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

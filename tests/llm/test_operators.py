@@ -531,19 +531,51 @@ def test_language_odd_rows(spark, odd, none):
     assert {r["lang_pred"] for r in ppm.identify(spark, odd.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")).collect()} == {"und"}
 
 
+def plain_code_length(texts, text, order=ppm.ORDER):
+    """Bits of a text by counting and excluding byte by byte, one language at a time."""
+    count = defaultdict(Counter)
+    for t in texts:
+        b = t.encode()
+        for i in range(len(b)):
+            for d in range(min(i, order) + 1):
+                count[b[i - d : i]][b[i]] += 1
+
+    def share(context, byte, all_):
+        """The probability of a byte after a context, in the whole distribution there."""
+        if all_ is None:
+            return 1 / 256
+        seen = count.get(context)
+        shorter = (context[1:], True) if context else (b"", None)
+        if not seen:
+            return share(shorter[0], byte, shorter[1])
+        total = sum(seen.values()) + len(seen)
+        if byte in seen:
+            return seen[byte] / total
+        left = 1 - sum(share(shorter[0], s, shorter[1]) for s in seen)
+        return len(seen) / total * share(shorter[0], byte, shorter[1]) / left
+
+    b = text.encode()
+    return sum(-np.log2(share(b[max(0, i - order) : i], b[i], True)) for i in range(len(b)))
+
+
 def test_code_lengths_equal_a_plain_model():
-    model = ppm.train({"a": ["the oak and the elm stand by the river " * 20], "b": ["der baum und der fluss stehen da " * 20]})
-    p = np.exp2(-model.cost.astype(float)).reshape(-1, ppm.SYMBOLS, 2)
-    assert np.allclose(p.sum(1), 1, atol=1e-5)
-    text = "the river und Oak!"
-    node_bits = np.zeros(2)
-    symbols = [0] * ppm.ORDER + [int(model.symbol[b]) for b in text.encode()]
-    for i in range(ppm.ORDER, len(symbols)):
-        node = 0
-        for d in range(1, ppm.ORDER + 1):
-            longer = model.child[node * ppm.SYMBOLS + symbols[i - d]]
-            if longer < 0:
-                break
-            node = longer
-        node_bits += model.cost[node * ppm.SYMBOLS + symbols[i]]
-    assert np.allclose(ppm.code_lengths(model, *string_parts(pa.array([text])))[0], node_bits)
+    texts = {"a": ["the oak and the elm stand by the river", "the the oak", "日本 oak"], "b": ["der baum und der fluss stehen da, 1 und 2", "Ünter der Ulme"], "c": ["x"]}
+    model = ppm.train(texts)
+    cut = ["the river und Oak!", "x", "", "\x00ÿ日 the elm", "stand by der baum", "zzzz 99"]
+    want = [[plain_code_length(texts[k], t) for k in "abc"] for t in cut]
+    assert np.allclose(ppm.code_lengths(model, *string_parts(pa.array(cut))), want, rtol=1e-5)
+
+
+def test_every_context_is_kept():
+    rng = random.Random(3)
+    texts = {"a": ["".join(rng.choice("abcdefghijklmnop qrst") for _ in range(60_000))], "b": ["short"]}
+    b = texts["a"][0].encode()
+    kept = {int(k) & (1 << 32) - 1 for k in ppm.train(texts).contexts.keys if int(k) >> 32 == 4}
+    assert kept >= {int.from_bytes(b[i - 4 : i], "big") for i in range(4, len(b))} and len(kept) > 12_000
+
+
+def test_the_sample_is_bounded(spark):
+    one = next(i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(one, f"text {i} of one id", "en") for i in range(50)] + [(one, "text 1 of one id", "en")] * 50 + [(i, "word " * 300, "de") for i in range(20, 60)]
+    out = ppm.sample(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), 9, 6000)
+    assert len(out["en"]) == 1 and len(out["de"]) == 4
