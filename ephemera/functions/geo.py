@@ -1,11 +1,15 @@
 """Planar geometry: point operators as Column expressions, line and polygon operators as Arrow-batched helpers.
 
-A geometry is a struct of gtype (POINT, LINESTRING or POLYGON) and pts, its vertices in order; a polygon's ring is closed.
+A geometry is a struct of gtype (POINT, LINESTRING, POLYGON or one of these with MULTI before it), pts, all its vertices in
+order, and starts, the places in pts at which its parts begin (null: one part). A polygon's parts are its closed rings, the
+outer one first; of several polygons they are the rings of all. What lies in an odd number of rings is inside.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +19,7 @@ from pyspark.sql import types as T
 
 _REAL = T.DoubleType()
 _POINTS = T.ArrayType(T.StructType([T.StructField("x", _REAL), T.StructField("y", _REAL)]))
-GEOMETRY = T.StructType([T.StructField("gtype", T.StringType()), T.StructField("pts", _POINTS)])
+GEOMETRY = T.StructType([T.StructField("gtype", T.StringType()), T.StructField("pts", _POINTS), T.StructField("starts", T.ArrayType(T.IntegerType()))])
 #: Half the circumference and the radius of the Web-Mercator sphere. Fixed values.
 HALF, RADIUS = 20037508.342789244, 6378137.0
 
@@ -36,8 +40,20 @@ def latitude(y: Column) -> Column:
     return F.atan(F.exp(y / RADIUS)) * 360 / math.pi - 90
 
 
+def shape(gtype: str, pts: Column) -> Column:
+    """A geometry of one part."""
+    return F.struct(F.lit(gtype).alias("gtype"), pts.alias("pts"), F.lit(None).cast("array<int>").alias("starts"))
+
+
 def point(x: Column, y: Column) -> Column:
-    return F.struct(F.lit("POINT").alias("gtype"), F.array(F.struct(x.alias("x"), y.alias("y"))).alias("pts"))
+    return shape("POINT", F.array(F.struct(x.alias("x"), y.alias("y"))))
+
+
+def part_arrays(geometry: Column) -> Column:
+    """The vertices of each part."""
+    n = F.size(geometry["pts"])
+    starts = F.coalesce(geometry["starts"], F.array(F.lit(0)))
+    return F.transform(starts, lambda a, i: F.slice(geometry["pts"], a + 1, F.coalesce(F.get(starts, i + 1), n) - a))
 
 
 def point_distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -60,9 +76,10 @@ def steps(pts: Column) -> Column:
 
 
 def length(geometry: Column) -> Column:
-    """Length of a line; 0 for points and polygons."""
-    total = F.aggregate(steps(geometry["pts"]), F.lit(0.0), lambda a, b: a + b)
-    return F.when(geometry["gtype"] == "LINESTRING", total).otherwise(0.0)
+    """Length of a line or of several together; 0 for points and polygons."""
+    own = lambda pts: F.aggregate(steps(pts), F.lit(0.0), lambda a, b: a + b)
+    total = F.aggregate(F.transform(part_arrays(geometry), own), F.lit(0.0), lambda a, b: a + b)
+    return F.when(geometry["gtype"].isin("LINESTRING", "MULTILINESTRING"), total).otherwise(0.0)
 
 
 def ring_area(pts: Column) -> Column:
@@ -78,10 +95,19 @@ def compactness(pts: Column) -> Column:
 
 
 def geojson(geometry: Column) -> Column:
-    """GeoJSON text of a geometry in degrees."""
-    pair = F.transform(geometry["pts"], lambda p: F.array(p["x"], p["y"]))
+    """GeoJSON text of a geometry in degrees. Several polygons are given as one each of their rings, without holes among them."""
+    parts = F.transform(part_arrays(geometry), lambda part: F.transform(part, lambda p: F.array(p["x"], p["y"])))
     named = lambda name, c: F.to_json(F.struct(F.lit(name).alias("type"), c.alias("coordinates")))
-    return F.when(geometry["gtype"] == "POINT", named("Point", F.get(pair, 0))).when(geometry["gtype"] == "LINESTRING", named("LineString", pair)).otherwise(named("Polygon", F.array(pair)))
+    kind = geometry["gtype"]
+    flat = F.get(parts, 0)
+    return (
+        F.when(kind == "POINT", named("Point", F.get(flat, 0)))
+        .when(kind == "LINESTRING", named("LineString", flat))
+        .when(kind == "POLYGON", named("Polygon", parts))
+        .when(kind == "MULTIPOINT", named("MultiPoint", F.flatten(parts)))
+        .when(kind == "MULTILINESTRING", named("MultiLineString", parts))
+        .when(kind == "MULTIPOLYGON", named("MultiPolygon", F.transform(parts, lambda ring: F.array(ring))))
+    )
 
 
 def random_point(key: Column, x: float, y: float, radius: float) -> tuple[Column, Column]:
@@ -91,44 +117,83 @@ def random_point(key: Column, x: float, y: float, radius: float) -> tuple[Column
     return x + r * F.cos(a), y + r * F.sin(a)
 
 
-def _array(pts) -> np.ndarray:
-    return np.array([(p["x"], p["y"]) for p in pts], float).reshape(-1, 2)
+def _parts(pts, starts) -> list[np.ndarray]:
+    whole = np.array([(p["x"], p["y"]) for p in pts], float).reshape(-1, 2)
+    return [whole] if starts is None else np.split(whole, list(starts)[1:])
+
+
+_TYPES = ("POINT", "LINESTRING", "POLYGON")
+_WKT = re.compile(r"\s*(?:([A-Za-z]+)|([(),])|([^\s(),]+))")
+
+
+def _groups(tokens: list[str]) -> list:
+    """The nested lists of a bracketed text; a leaf is a list of numbers. Raises ValueError or IndexError."""
+    if tokens.pop(0) != "(":
+        raise ValueError("no bracket")
+    out: list = []
+    while True:
+        if tokens[0] == "(":
+            out.append(_groups(tokens))
+        else:
+            numbers = []
+            while tokens[0] not in ("(", ")", ","):
+                numbers.append(float(tokens.pop(0)))
+            out.append(numbers)
+        if (sign := tokens.pop(0)) == ")":
+            return out
+        if sign != ",":
+            raise ValueError("no comma")
 
 
 def parse_wkt(text: str | None) -> dict | None:
-    """A geometry from well-known text; None for anything that is broken or of another type."""
+    """A geometry from well-known text, several and holes included; None for anything that is broken, empty or of another type."""
     try:
-        kind, _, body = text.strip().partition("(")
-        kind = kind.strip().upper()
-        body = body.strip()
-        if not body.endswith(")") or kind not in ("POINT", "LINESTRING", "POLYGON"):
+        at, tokens = 0, []
+        while text[at:].strip():
+            m = _WKT.match(text, at)
+            tokens.append(m[1] or m[2] or m[3])
+            at = m.end()
+        kind = tokens.pop(0).upper()
+        base = kind.removeprefix("MULTI")
+        if base not in _TYPES:
+            return None
+        body = _groups(tokens)
+        if tokens:
             return None
-        body = body[:-1].strip()
-        if kind == "POLYGON":
-            if not body.startswith("(") or not body.endswith(")") or "(" in body[1:]:
+        if base == "POINT":
+            parts = [[p[0] if p and isinstance(p[0], list) else p] for p in body]
+        elif base == "LINESTRING":
+            parts = body if kind != base else [body]
+        else:
+            parts = body if kind == base else [ring for polygon in body for ring in polygon]
+        least = {"POINT": 1, "LINESTRING": 2, "POLYGON": 4}[base]
+        for part in parts:
+            if len(part) < least or any(len(p) != 2 or not all(map(math.isfinite, p)) for p in part) or (base == "POLYGON" and part[0] != part[-1]):
                 return None
-            body = body[1:-1]
-        pts = [tuple(map(float, p.split())) for p in body.split(",")]
-        least = {"POINT": 1, "LINESTRING": 2, "POLYGON": 4}[kind]
-        if any(len(p) != 2 or not all(map(math.isfinite, p)) for p in pts) or len(pts) < least or (kind == "POINT" and len(pts) > 1) or (kind == "POLYGON" and pts[0] != pts[-1]):
+        if kind == "POINT" and len(parts) > 1:
             return None
-        return {"gtype": kind, "pts": [{"x": x, "y": y} for x, y in pts]}
-    except (AttributeError, ValueError):
+        starts = None if len(parts) == 1 else np.cumsum([0, *map(len, parts[:-1])]).tolist()
+        return {"gtype": kind, "pts": [{"x": x, "y": y} for part in parts for x, y in part], "starts": starts}
+    except (AttributeError, TypeError, ValueError, IndexError):
         return None
 
 
-def made_valid(gtype: str, pts: np.ndarray) -> np.ndarray | None:
-    """Without repeated points, with closed rings; None if too little is left."""
-    if len(pts):
-        pts = pts[np.concatenate([[True], np.any(np.diff(pts, axis=0) != 0, axis=1)])]
-    if gtype == "POLYGON" and len(pts) and (pts[0] != pts[-1]).any():
-        pts = np.vstack([pts, pts[:1]])
-    return pts if len(pts) >= {"POINT": 1, "LINESTRING": 2, "POLYGON": 4}[gtype] else None
+def made_valid(gtype: str, parts: list[np.ndarray]) -> list[np.ndarray]:
+    """Without repeated points, with closed rings; parts of which too little is left go."""
+    out, least = [], {"POINT": 1, "LINESTRING": 2, "POLYGON": 4}[gtype.removeprefix("MULTI")]
+    for pts in parts:
+        if len(pts):
+            pts = pts[np.concatenate([[True], np.any(np.diff(pts, axis=0) != 0, axis=1)])]
+        if gtype.endswith("POLYGON") and len(pts) and (pts[0] != pts[-1]).any():
+            pts = np.vstack([pts, pts[:1]])
+        if len(pts) >= least:
+            out.append(pts)
+    return out
 
 
-def inside(p: np.ndarray, ring: np.ndarray) -> bool:
-    """True for a point strictly inside a closed ring."""
-    a, b = ring[:-1], ring[1:]
+def inside(p: np.ndarray, rings: list[np.ndarray]) -> bool:
+    """True for a point strictly inside closed rings."""
+    a, b = segments(rings)
     if point_segments(p, a, b)[0].min() < 1e-9:
         return False
     up = (a[:, 1] > p[1]) != (b[:, 1] > p[1])
@@ -137,6 +202,42 @@ def inside(p: np.ndarray, ring: np.ndarray) -> bool:
     return bool(np.count_nonzero(up & (p[0] < at)) % 2)
 
 
+def pieces(parts: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """The middles of the stretches into which other's edges and vertices cut the segments of parts."""
+    out = []
+    for p, q in zip(*segments(parts), strict=True):
+        d = q - p
+        n = (d * d).sum()
+        cuts = crossings([np.stack([p, q])], other) if n else np.zeros((0, 2))
+        t = np.unique(np.clip(np.concatenate([[0, 1], ((cuts - p) * d).sum(1) / n if n else []]), 0, 1))
+        out.append(p + ((t[1:] + t[:-1]) / 2)[:, None] * d)
+    return np.vstack(out)
+
+
+def contained(gtype_a: str, a: list[np.ndarray], gtype_b: str, b: list[np.ndarray]) -> bool:
+    """Whether the first geometry lies in the second, whose edge it may touch, but not lie on altogether."""
+    a, b = made_valid(gtype_a, a), made_valid(gtype_b, b)
+    if not a or not b:
+        return False
+    x, y = segments(b)
+    on = lambda p: point_segments(p, x, y)[0].min() < 1e-9
+    probes = np.vstack(a) if gtype_a.endswith("POINT") else np.vstack([*a, pieces(a, b)])
+    if gtype_b.endswith("POLYGON"):
+        deep = [inside(p, b) for p in probes]
+        if not all(d or on(p) for d, p in zip(deep, probes, strict=True)):
+            return False
+        if gtype_a.endswith("POLYGON"):
+            # the second one's edges, of holes as well, must not run through the first
+            return not any(inside(p, a) for p in pieces(b, a))
+        return any(deep)
+    if gtype_a.endswith("POLYGON") or not all(map(on, probes)):
+        return False
+    if gtype_b.endswith("POINT"):
+        return gtype_a.endswith("POINT")
+    ends = [e for part in b if (part[0] != part[-1]).any() for e in (part[0], part[-1])]
+    return gtype_a.endswith("LINESTRING") or any(not any((p == e).all() for e in ends) for p in probes)
+
+
 def point_segments(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distance of a point to each segment, its nearest point there, and how far along."""
     d = b - a
@@ -146,12 +247,15 @@ def point_segments(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndar
     return np.hypot(*(q - p).T), q, f
 
 
-def segments(pts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (pts, pts) if len(pts) == 1 else (pts[:-1], pts[1:])
+def segments(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Both ends of every segment; a part of one point is a segment of no length."""
+    first = [p if len(p) == 1 else p[:-1] for p in parts]
+    last = [p if len(p) == 1 else p[1:] for p in parts]
+    return np.vstack(first), np.vstack(last)
 
 
-def crossings(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Points at which the segments of two vertex lists meet; the ends of a shared stretch count."""
+def crossings(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Points at which the segments of two geometries meet; the ends of a shared stretch count."""
     p, p2 = segments(a)
     q, q2 = segments(b)
     r, s = (p2 - p)[:, None], (q2 - q)[None]
@@ -164,25 +268,21 @@ def crossings(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     i, j = np.nonzero(hit)
     found = [p[i] + t[i, j][:, None] * (p2 - p)[i]]
     for own, (x, y) in ((a, (q, q2)), (b, (p, p2))):
-        on = [v for v in own if point_segments(v, x, y)[0].min() < 1e-9]
+        on = [v for part in own for v in part if point_segments(v, x, y)[0].min() < 1e-9]
         found.append(np.array(on).reshape(-1, 2))
     out = np.vstack(found)
     return out[np.unique(np.round(out, 6), axis=0, return_index=True)[1]] if len(out) else out
 
 
-def shortest_line(gtype_a: str, a: np.ndarray, gtype_b: str, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+def shortest_line(gtype_a: str, a: list[np.ndarray], gtype_b: str, b: list[np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
     """Distance of two geometries and the two nearest points."""
-    if gtype_a == "POLYGON" and inside(b[0], a):
-        return 0.0, b[0], b[0]
-    if gtype_b == "POLYGON" and inside(a[0], b):
-        return 0.0, a[0], a[0]
-    meet = crossings(a, b)
-    if len(meet):
-        return 0.0, meet[0], meet[0]
-    best = (math.inf, a[0], b[0])
+    meet = surface_point(gtype_a, a, gtype_b, b)
+    if meet is not None:
+        return 0.0, meet, meet
+    best = (math.inf, a[0][0], b[0][0])
     for own, other, swap in ((a, b, False), (b, a, True)):
         x, y = segments(other)
-        for v in own:
+        for v in np.vstack(own):
             d, q, _ = point_segments(v, x, y)
             k = int(d.argmin())
             if d[k] < best[0]:
@@ -190,21 +290,22 @@ def shortest_line(gtype_a: str, a: np.ndarray, gtype_b: str, b: np.ndarray) -> t
     return best
 
 
-def surface_point(gtype_a: str, a: np.ndarray, gtype_b: str, b: np.ndarray) -> np.ndarray | None:
-    """A point of the intersection: the first crossing in x, y order, else a vertex inside the other; None if they are apart."""
+def surface_point(gtype_a: str, a: list[np.ndarray], gtype_b: str, b: list[np.ndarray]) -> np.ndarray | None:
+    """A point of the intersection: the first crossing in x, y order, else a part's vertex inside the other; None if they are apart."""
     meet = crossings(a, b)
     if len(meet):
         return meet[np.lexsort((meet[:, 1], meet[:, 0]))[0]]
-    if gtype_a == "POLYGON" and inside(b[0], a):
-        return b[0]
-    if gtype_b == "POLYGON" and inside(a[0], b):
-        return a[0]
+    for kind, own, other in ((gtype_a, a, b), (gtype_b, b, a)):
+        if kind.endswith("POLYGON"):
+            for part in other:
+                if inside(part[0], own):
+                    return part[0]
     return None
 
 
 def locate(line: np.ndarray, p: np.ndarray) -> tuple[float, float]:
     """Fraction of a line's length at which it is nearest to a point, and the distance."""
-    a, b = segments(line)
+    a, b = segments([line])
     d, _, f = point_segments(p, a, b)
     k, own = int(d.argmin()), np.hypot(*(b - a).T)
     total = own.sum()
@@ -213,7 +314,7 @@ def locate(line: np.ndarray, p: np.ndarray) -> tuple[float, float]:
 
 def substring(line: np.ndarray, first: float, last: float) -> np.ndarray:
     """The part of a line between two fractions of its length; one point if they are equal."""
-    a, b = segments(line)
+    a, b = segments([line])
     ends = np.concatenate([[0], np.cumsum(np.hypot(*(b - a).T))])
     lo, hi = first * ends[-1], last * ends[-1]
     at = lambda x: np.array([np.interp(x, ends, line[:, 0]), np.interp(x, ends, line[:, 1])])
@@ -239,43 +340,60 @@ def merged(lines: list[np.ndarray]) -> np.ndarray | None:
     return out
 
 
-def midpoint(line: np.ndarray) -> np.ndarray:
-    return substring(line, 0.5, 0.5)[0]
-
-
 @F.pandas_udf(GEOMETRY)
 def from_wkt(text: pd.Series) -> pd.DataFrame:
     """Geometries of well-known text; null fields for what cannot be read."""
-    return pd.DataFrame([parse_wkt(t) or {"gtype": None, "pts": None} for t in text], columns=["gtype", "pts"])
+    none = {"gtype": None, "pts": None, "starts": None}
+    return pd.DataFrame([parse_wkt(t) or none for t in text], columns=["gtype", "pts", "starts"])
+
+
+@F.pandas_udf(GEOMETRY)
+def line_merged(gtype: pd.Series, pts: pd.Series, starts: pd.Series) -> pd.DataFrame:
+    """Lines of several parts joined end to end; null fields where they branch or leave a gap."""
+    found = [merged(_parts(p, s)) for p, s in zip(pts, starts, strict=True)]
+    rows = [("LINESTRING", [{"x": x, "y": y} for x, y in m], None) if m is not None else (None, None, None) for m in found]
+    return pd.DataFrame(rows, columns=["gtype", "pts", "starts"])
+
+
+def _pairs(*columns: pd.Series) -> Iterator[tuple[str, list[np.ndarray], str, list[np.ndarray]]]:
+    for kind_a, a, sa, kind_b, b, sb in zip(*columns, strict=True):
+        yield kind_a, _parts(a, sa), kind_b, _parts(b, sb)
 
 
 @F.pandas_udf(T.StructType([T.StructField(n, _REAL) for n in ("distance", "anchor_x", "anchor_y", "meet_x", "meet_y")]))
-def pair_measures(ga: pd.Series, pa_: pd.Series, gb: pd.Series, pb: pd.Series) -> pd.DataFrame:
-    """Distance of two geometries, the middle of their shortest connecting line, and a point of their intersection (or null)."""
+def _pair_measures(ga: pd.Series, pa_: pd.Series, sa: pd.Series, gb: pd.Series, pb: pd.Series, sb: pd.Series) -> pd.DataFrame:
     out = []
-    for kind_a, a, kind_b, b in zip(ga, pa_, gb, pb, strict=True):
-        a, b = _array(a), _array(b)
+    for kind_a, a, kind_b, b in _pairs(ga, pa_, sa, gb, pb, sb):
         d, p, q = shortest_line(kind_a, a, kind_b, b)
-        meet = surface_point(kind_a, a, kind_b, b)
-        out.append((d, *((p + q) / 2), *(meet if meet is not None else (None, None))))
+        meet = p if d == 0 else (None, None)
+        out.append((d, *((p + q) / 2), *meet))
     return pd.DataFrame(out, columns=["distance", "anchor_x", "anchor_y", "meet_x", "meet_y"]).astype("Float64")
 
 
 @F.pandas_udf(T.BooleanType())
-def within(ga: pd.Series, pa_: pd.Series, gb: pd.Series, pb: pd.Series) -> pd.Series:
-    """True if the first geometry lies in the second: in a polygon all vertices inside and no edge across, else equal points."""
-    out = []
-    for kind_a, a, kind_b, b in zip(ga, pa_, gb, pb, strict=True):
-        a, b = _array(a), _array(b)
-        out.append(all(inside(v, b) for v in a) if kind_b == "POLYGON" else kind_a == kind_b == "POINT" and bool((a == b).all()))
-    return pd.Series(out)
+def _within(ga: pd.Series, pa_: pd.Series, sa: pd.Series, gb: pd.Series, pb: pd.Series, sb: pd.Series) -> pd.Series:
+    return pd.Series([contained(*pair) for pair in _pairs(ga, pa_, sa, gb, pb, sb)], dtype=bool)
+
+
+def _fields(a: Column, b: Column) -> list[Column]:
+    return [g[f] for g in (a, b) for f in ("gtype", "pts", "starts")]
+
+
+def pair_measures(a: Column, b: Column) -> Column:
+    """Distance of two geometries, the middle of their shortest connecting line, and a point of their intersection (or null)."""
+    return _pair_measures(*_fields(a, b))
+
+
+def within(a: Column, b: Column) -> Column:
+    """Whether the first geometry lies in the second: no vertex and no stretch outside, and not on the edge altogether."""
+    return _within(*_fields(a, b))
 
 
 @F.pandas_udf(T.StructType([T.StructField("fraction", _REAL), T.StructField("distance", _REAL)]))
 def line_locate(pts: pd.Series, x: pd.Series, y: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([locate(_array(p), np.array([u, v])) for p, u, v in zip(pts, x, y, strict=True)], columns=["fraction", "distance"])
+    return pd.DataFrame([locate(_parts(p, None)[0], np.array([u, v])) for p, u, v in zip(pts, x, y, strict=True)], columns=["fraction", "distance"])
 
 
 @F.pandas_udf(_POINTS)
 def line_part(pts: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
-    return pd.Series([[{"x": x, "y": y} for x, y in substring(_array(p), a, b)] for p, a, b in zip(pts, first, last, strict=True)])
+    return pd.Series([[{"x": x, "y": y} for x, y in substring(_parts(p, None)[0], a, b)] for p, a, b in zip(pts, first, last, strict=True)])

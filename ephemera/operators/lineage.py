@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the folder that driver and executors share; a folder of its own where none is set."""
+    """df from a checkpoint in spark.checkpoint.dir, the folder that driver and executors share."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         where = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="ephemera-"))
+        if not where:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(where)
     return df.checkpoint()

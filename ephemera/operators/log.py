@@ -10,24 +10,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.tables import FUTURE_MINUTES, TTL_MINUTES
+from .lineage import cut
 
 
 def minutes(n: int) -> Column:
     return F.expr(f"INTERVAL {n} MINUTES")
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df as the broadcast side of a join if it has no more than most rows, which is looked at; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def all_of(conditions: Sequence[Column | None]) -> Column:
     return reduce(lambda a, b: a & b, [c for c in conditions if c is not None], F.lit(True))
 
 
 def recent(events: DataFrame, now: DataFrame, window: int | None, since: str | None = None, after_id: int | None = None, after_message_id: int | None = None, layers: Sequence[str] | None = None, inclusive: bool = False) -> DataFrame:
     """Rows of the last window minutes (None or 0: of all time) that fulfil every condition given; since excludes equal times."""
-    out = events
-    if window:
-        out = out.join(F.broadcast(now)).where(F.col("event_time") >= F.col("t") - minutes(window)).drop("t")
     time = F.col("event_time")
-    return out.where(
+    return events.where(
         all_of([
+            # a scalar subquery, so that the bound reaches the scan
+            time >= now.select(F.col("t") - minutes(window)).scalar() if window else None,
             None if since is None else (time >= F.lit(since).cast("timestamp") if inclusive else time > F.lit(since).cast("timestamp")),
             None if after_id is None else F.col("id") > after_id,
             None if after_message_id is None else F.col("message_id") > after_message_id,
@@ -57,22 +62,33 @@ def accepted(events: DataFrame, now: DataFrame, past: int = TTL_MINUTES, future:
 
 
 def expired_summary(events: DataFrame, now: DataFrame, window: int = TTL_MINUTES) -> DataFrame:
-    """What retention removes: count, and the files that go with it."""
-    gone = events.join(F.broadcast(now)).where(F.col("event_time") < F.col("t") - minutes(window))
-    return gone.agg(F.count("*").alias("deleted"), F.count("photo_url").alias("files"), F.array_sort(F.collect_set(F.regexp_replace("photo_url", "^.*/", ""))).alias("names"))
+    """What retention removes: how many rows, and how many files go with them."""
+    gone = expired(events, now, window)
+    return gone.agg(F.count("*").alias("deleted"), F.count("photo_url").alias("files"))
+
+
+def expired(events: DataFrame, now: DataFrame, window: int = TTL_MINUTES) -> DataFrame:
+    return events.where(F.col("event_time") < now.select(F.col("t") - minutes(window)).scalar())
+
 
+def expired_files(events: DataFrame, now: DataFrame, window: int = TTL_MINUTES) -> DataFrame:
+    """name: the files that go with the rows that retention removes, a row each."""
+    return expired(events, now, window).where("photo_url IS NOT NULL").select(F.regexp_replace("photo_url", "^.*/", "").alias("name")).distinct()
 
-def insert_new(table: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows of batch to append: the first of each key, if the table does not hold it. Null keys are distinct from all."""
+
+def insert_new(table: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows of batch to append: the first of each key by order, if the table does not hold it. Null keys are distinct from all."""
     null = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
-    fresh = batch.where(~null).dropDuplicates(list(keys)).join(table.select(*keys), list(keys), "left_anti")
-    return fresh.unionByName(batch.where(null))
+    rest = [c for c in batch.columns if c not in keys]
+    first = batch.where(~null).groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*").select(*batch.columns)
+    return first.join(table.select(*keys), list(keys), "left_anti").unionByName(batch.where(null))
 
 
-def upsert(table: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """The table after batch replaced equal keys."""
-    both = table.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
-    return both.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_new")))).where("_rank = 1").drop("_rank", "_new")
+def upsert(table: DataFrame, batch: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """The table after batch replaced equal keys; of a key's rows in batch the last by order stays. Columns of order that the table lacks go."""
+    rest = [c for c in table.columns if c != key]
+    last = batch.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(key, "r.*")
+    return table.join(last.select(key), key, "left_anti").unionByName(last)
 
 
 def latest(events: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -97,14 +113,24 @@ def difference(shown: DataFrame, wanted: DataFrame, key: str, value: str) -> Dat
     return a.join(b, key, "full_outer").select(key, kind.alias("change")).where("change IS NOT NULL")
 
 
-def feature_collection(events: DataFrame, order: Sequence[str]) -> DataFrame:
-    """One GeoJSON document of all rows in order; an empty table gives an empty list of features."""
-    feature = F.struct(
+def feature() -> Column:
+    """An event as a GeoJSON feature; fields without a value are there as null."""
+    return F.struct(
         F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"),
         F.struct("id", "message_id", "layer", "description", "strategy", "confidence").alias("properties"),
     )
-    rows = F.transform(F.array_sort(F.collect_list(F.struct(*order, feature.alias("f")))), lambda x: x["f"])
-    return events.agg(rows.alias("features")).select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.coalesce("features", F.array()).alias("features"))).alias("geojson"), F.size("features").alias("n"))
+
+
+def features(events: DataFrame) -> DataFrame:
+    """id, geojson: each event as a feature of its own, for exports of any size."""
+    return events.select("id", F.to_json(feature(), {"ignoreNullFields": "false"}).alias("geojson"))
+
+
+def feature_collection(events: DataFrame, order: Sequence[str], most: int = 5000) -> DataFrame:
+    """One GeoJSON document of the first most rows in order; an empty table gives an empty list of features."""
+    shown = events.orderBy(*order).limit(most)
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(*order, feature().alias("f")))), lambda x: x["f"])
+    return shown.agg(rows.alias("features")).select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.coalesce("features", F.array()).alias("features")), {"ignoreNullFields": "false"}).alias("geojson"), F.size("features").alias("n"))
 
 
 def requeued(queue: DataFrame, now: DataFrame, lease: int = 5) -> DataFrame:
@@ -147,9 +173,40 @@ def orphans(files: DataFrame, events: DataFrame, oldest: int = 70) -> DataFrame:
 
 def deliveries(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Events for each subscriber; an empty subscription takes everything."""
-    wide = subscriptions.where(F.size("layers") == 0).select("subscriber").join(events.select("id", "layer"))
-    named = subscriptions.select("subscriber", F.explode("layers").alias("layer")).distinct().join(events.select("id", "layer"), "layer").select("subscriber", "id", "layer")
-    return wide.select("subscriber", "id", "layer").unionByName(named)
+    wide = events.select("id", "layer").join(small(subscriptions.where(F.size("layers") == 0).select("subscriber")))
+    asked = subscriptions.select("subscriber", F.explode("layers").alias("layer")).distinct()
+    named = events.select("id", "layer").join(small(asked), "layer")
+    return wide.select("subscriber", "id", "layer").unionByName(named.select("subscriber", "id", "layer"))
+
+
+def changes_after(events: DataFrame, marks: DataFrame) -> DataFrame:
+    """mark, n, last: for each watermark within the log how many rows came after it, and the greatest id of these."""
+    known = resync_flags(events, marks).where("NOT resync").select("mark")
+    return events.select("message_id", "id").join(small(known), F.col("message_id") > F.col("mark")).groupBy("mark").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+
+
+def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """rows with one more column: their place by order, from 0 on. Rows are dealt by ranges, so that no task sees them all.
+
+    The order must tell all rows apart. Only the ranges' counts, a row for each partition, go through one task.
+    """
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+
+
+def content_hash(rows: DataFrame, group: str, ident: str, fan: int = 4096) -> DataFrame:
+    """group, etag: a hash of each group's ids that changes with any of them.
+
+    Ids are hashed in parts of fan numbers, the parts in parts again, and so on over three levels, in order.
+    """
+    level = rows.select(group, F.floor(F.col(ident) / fan).alias("_part"), F.format_string("%d", ident).alias("_h"), F.col(ident).alias("_o"))
+    for _ in range(3):
+        joined = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_h"))), lambda x: x["_h"]), ","))
+        level = level.groupBy(group, "_part").agg(joined.alias("_h")).select(group, F.col("_part").alias("_o"), F.floor(F.col("_part") / fan).alias("_part"), "_h")
+    return level.groupBy(group).agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_h"))), lambda x: x["_h"]), ",")).alias("etag"))
 
 
 def violations(events: DataFrame) -> DataFrame:

@@ -29,9 +29,16 @@ def confidence_bucket(column: str = "confidence") -> Column:
     return F.when(c.isNull(), "none").when(c >= 0.95, "very_high").when(c >= 0.85, "high").when(c >= 0.7, "medium").when(c >= 0.5, "low").otherwise("very_low")
 
 
+def last_hour(events: DataFrame, minutes: int = 60) -> DataFrame:
+    """The rows of the last minutes before the newest, which stands for the present."""
+    return events.where(F.col("event_time") >= events.agg(F.max("event_time") - F.expr(f"INTERVAL {minutes} MINUTES")).scalar())
+
+
 def quality_summary(events: DataFrame) -> DataFrame:
+    """Over the last hour: counts, shares, confidence, and the oldest and newest time."""
     located = F.col("strategy") != FALLBACK
-    return events.agg(
+    return last_hour(events).agg(
+        F.date_format(F.min("event_time"), "yyyy-MM-dd HH:mm:ss").alias("oldest"), F.date_format(F.max("event_time"), "yyyy-MM-dd HH:mm:ss").alias("newest"),
         F.count("*").alias("total"), F.count_if(located).alias("located"), F.count_if(F.col("gtype").isNull()).alias("without_geometry"), share(F.count_if(located), F.count("*")).alias("located_pct"),
         rounded(F.avg(F.when(located, F.col("confidence")))).alias("avg_confidence"), rounded(F.min("confidence")).alias("min_confidence"), rounded(F.max("confidence")).alias("max_confidence"),
     )
@@ -42,7 +49,8 @@ def strategy_by_geometry(events: DataFrame) -> DataFrame:
 
 
 def fallback_reasons(events: DataFrame) -> DataFrame:
-    n = events.where(F.col("strategy") == FALLBACK).groupBy(F.coalesce("reason", F.lit("unknown")).alias("reason")).agg(F.count("*").alias("n"))
+    """Over the last hour, with each reason's share."""
+    n = last_hour(events).where(F.col("strategy") == FALLBACK).groupBy(F.coalesce("reason", F.lit("unknown")).alias("reason")).agg(F.count("*").alias("n"))
     return n.withColumn("pct", share(F.col("n"), F.sum("n").over(Window.partitionBy())))
 
 
@@ -136,7 +144,7 @@ def match_rate(events: DataFrame) -> DataFrame:
 
 
 def slowest(stats: DataFrame, limit: int = 20) -> DataFrame:
-    total = F.sum("total_exec_time").over(Window.partitionBy())
+    total = stats.agg(F.sum("total_exec_time")).scalar()
     return stats.select("queryid", F.substring("query", 1, 100).alias("query"), "calls", rounded("mean_exec_time", 2).alias("mean_ms"), share(F.col("total_exec_time"), total).alias("pct")).orderBy(F.desc("mean_ms"), "queryid").limit(limit)
 
 

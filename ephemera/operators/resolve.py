@@ -41,7 +41,7 @@ def masked(valid: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     region = _ranked(valid.where(F.col("type") == s.mask), ["msg_id"], F.col("geo_id")).select("msg_id", F.col("geo_id").alias("region_id"), F.col("geom").alias("region"))
     others = valid.where(F.col("type") != s.mask).join(region, "msg_id", "left")
     free = others.where("region_id IS NULL")
-    held = others.where("region_id IS NOT NULL").where(geo.within("geom.gtype", "geom.pts", "region.gtype", "region.pts"))
+    held = others.where("region_id IS NOT NULL").where(geo.within(F.col("geom"), F.col("region")))
     return free.unionByName(held).drop("region_id", "region"), region.drop("region")
 
 
@@ -54,7 +54,7 @@ def measured_pairs(kept: DataFrame) -> DataFrame:
     p, q = F.col("ga.pts")[0], F.col("gb.pts")[0]
     d = geo.point_distance(p["x"], p["y"], q["x"], q["y"])
     points = pairs.where(both).select("msg_id", "a", "b", d.alias("distance"), ((p["x"] + q["x"]) / 2).alias("anchor_x"), ((p["y"] + q["y"]) / 2).alias("anchor_y"), F.when(d == 0, p["x"]).alias("meet_x"), F.when(d == 0, p["y"]).alias("meet_y"))
-    rest = pairs.where(~both).withColumn("m", geo.pair_measures("ga.gtype", "ga.pts", "gb.gtype", "gb.pts")).select("msg_id", "a", "b", "m.*")
+    rest = pairs.where(~both).withColumn("m", geo.pair_measures(F.col("ga"), F.col("gb"))).select("msg_id", "a", "b", "m.*")
     return points.unionByName(rest)
 
 
@@ -72,7 +72,8 @@ def main_component(kept: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
 def resolve(candidates: DataFrame, places: DataFrame, messages: DataFrame | None = None, s: Settings = Settings()) -> DataFrame:
     """One row per message: msg_id, strategy, reason, geo_id, confidence, geom, n_members, matches.
 
-    candidates: msg_id, geo_id, score (null counts as 1), text. places: id, name, type, geom (metric). messages, if
+    candidates: msg_id, geo_id, score (null counts as 1), text. places: id, name, type, geom (metric; lines of
+    several parts are joined where they can be). messages, if
     given, are those of which some have no candidate. Hypotheses: a part of a line between crossings, the centre of
     crossings, the mean of pair anchors, one place; the first in this order wins, then the greater score, then the
     smaller id. A far candidate with a high score makes the best single place win instead.
@@ -89,12 +90,14 @@ def resolve(candidates: DataFrame, places: DataFrame, messages: DataFrame | None
     inner, mean = cut(inner), cut(mean)
     meets = inner.where("meet_x IS NOT NULL").select("msg_id", "meet_x", "meet_y")
 
-    lines = members.where("geom.gtype = 'LINESTRING'").join(meets, "msg_id").withColumn("at", geo.line_locate("geom.pts", "meet_x", "meet_y"))
+    own = members.where("geom.gtype = 'LINESTRING'")
+    several = members.where("geom.gtype = 'MULTILINESTRING'").withColumn("geom", geo.line_merged("geom.gtype", "geom.pts", "geom.starts")).where("geom.gtype IS NOT NULL")
+    lines = own.unionByName(several).join(meets, "msg_id").withColumn("at", geo.line_locate("geom.pts", "meet_x", "meet_y"))
     hits = lines.where(F.col("at.distance") <= s.buffer_m).groupBy("msg_id", "geo_id", "score").agg(F.count("*").alias("hits"), F.min("at.fraction").alias("lo"), F.max("at.fraction").alias("hi"), F.first("geom").alias("geom")).where("hits >= 2")
     hits = cut(hits)
     clamp = lambda c: F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.col(c)))
     part = hits.withColumn("pts", geo.line_part("geom.pts", clamp("lo"), clamp("hi")))
-    segment = part.select("msg_id", F.lit("street_segment").alias("strategy"), F.lit(5).alias("priority"), "geo_id", (F.col("score") * 0.9).alias("total"), F.struct(F.lit("LINESTRING").alias("gtype"), "pts").alias("geom"))
+    segment = part.select("msg_id", F.lit("street_segment").alias("strategy"), F.lit(5).alias("priority"), "geo_id", (F.col("score") * 0.9).alias("total"), geo.shape("LINESTRING", F.col("pts")).alias("geom"))
     has_segment = hits.select("msg_id").distinct()
 
     def centre(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -112,13 +115,13 @@ def resolve(candidates: DataFrame, places: DataFrame, messages: DataFrame | None
     single = members.select("msg_id", F.lit("single_match").alias("strategy"), F.lit(1).alias("priority"), "geo_id", F.col("score").alias("total"), "geom")
     best = cut(_ranked(segment.unionByName(crossing).unionByName(centroid).unionByName(single), ["msg_id"], F.desc("priority"), F.desc("total"), F.col("geo_id")))
 
-    line_first = F.when(F.col("geom.gtype") == "LINESTRING", 2).otherwise(1)
+    line_first = F.when(F.col("geom.gtype").isin("LINESTRING", "MULTILINESTRING"), 2).otherwise(1)
     alone = _ranked(members.withColumn("_length", geo.length(F.col("geom"))), ["msg_id"], F.desc("score"), line_first.desc(), F.desc("_length"), F.col("geo_id")).select("msg_id", F.col("geo_id").alias("s_id"), F.col("score").alias("s_total"), F.col("geom").alias("s_geom"))
     strong = members.where(F.col("score") >= s.far_score).select("msg_id", F.col("geom").alias("other")).join(best.select("msg_id", "geom"), "msg_id")
     both = (F.col("geom.gtype") == "POINT") & (F.col("other.gtype") == "POINT")
     p, q = F.col("geom.pts")[0], F.col("other.pts")[0]
     near = strong.where(both).select("msg_id", geo.point_distance(p["x"], p["y"], q["x"], q["y"]).alias("d"))
-    wide = strong.where(~both).select("msg_id", geo.pair_measures("geom.gtype", "geom.pts", "other.gtype", "other.pts")["distance"].alias("d"))
+    wide = strong.where(~both).select("msg_id", geo.pair_measures(F.col("geom"), F.col("other"))["distance"].alias("d"))
     far = near.unionByName(wide).where(F.col("d") > s.far_m).select("msg_id").distinct().withColumn("far", F.lit(True))
 
     chosen = best.join(alone, "msg_id").join(far, "msg_id", "left").withColumn("far", F.coalesce("far", F.lit(False)))

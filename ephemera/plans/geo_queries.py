@@ -24,7 +24,7 @@ def line_places(spark, d):
     xy = lambda dx, dy: F.struct((F.col("mx") + dx).alias("x"), (F.col("my") + dy).alias("y"))
     ring = F.array(xy(-5000, -5000), xy(5000, -5000), xy(5000, 5000), xy(-5000, 5000), xy(-5000, -5000))
     line = F.array(xy(0, 0), xy(150, 200), xy(300, 100))
-    geom = F.when(F.col("type") == "district", F.struct(F.lit("POLYGON").alias("gtype"), ring.alias("pts"))).when(F.col("id") % 3 == 0, F.struct(F.lit("LINESTRING").alias("gtype"), line.alias("pts"))).otherwise(geo.point(F.col("mx"), F.col("my")))
+    geom = F.when(F.col("type") == "district", geo.shape("POLYGON", ring)).when(F.col("id") % 3 == 0, geo.shape("LINESTRING", line)).otherwise(geo.point(F.col("mx"), F.col("my")))
     return p.select("id", F.element_at("names", 1).alias("name"), "type", geom.alias("geom"))
 
 

@@ -31,10 +31,10 @@ STATS = f"{r3('avg(confidence)')} AS avg_confidence, {r3('min(confidence)')} AS
 SUM = "CAST(sum({0}) AS BIGINT) AS {0}"
 
 _events = {
-    "qr1_quality_summary": (r.quality_summary, f"""SELECT count(*) AS total, count(*) FILTER (strategy <> 'random') AS located, count(*) FILTER (gtype IS NULL) AS without_geometry, {pct("count(*) FILTER (strategy <> 'random')", "count(*)")} AS located_pct,
-      {r3("avg(confidence) FILTER (strategy <> 'random')")} AS avg_confidence, {r3("min(confidence)")} AS min_confidence, {r3("max(confidence)")} AS max_confidence FROM events_log"""),
+    "qr1_quality_summary": (r.quality_summary, f"""SELECT strftime(min(event_time), '%Y-%m-%d %H:%M:%S') AS oldest, strftime(max(event_time), '%Y-%m-%d %H:%M:%S') AS newest, count(*) AS total, count(*) FILTER (strategy <> 'random') AS located, count(*) FILTER (gtype IS NULL) AS without_geometry, {pct("count(*) FILTER (strategy <> 'random')", "count(*)")} AS located_pct,
+      {r3("avg(confidence) FILTER (strategy <> 'random')")} AS avg_confidence, {r3("min(confidence)")} AS min_confidence, {r3("max(confidence)")} AS max_confidence FROM events_log, as_of WHERE event_time >= t - INTERVAL 60 MINUTE"""),
     "qr2_strategy_by_geometry": (r.strategy_by_geometry, f"SELECT strategy, coalesce(gtype, 'NONE') AS gtype, count(*) AS n, {r3('avg(confidence)')} AS avg_confidence, min(confidence) AS min_confidence, max(confidence) AS max_confidence FROM events_log GROUP BY ALL"),
-    "qr3_fallback_reasons": (r.fallback_reasons, f"SELECT coalesce(reason, 'unknown') AS reason, count(*) AS n, {pct('count(*)', 'sum(count(*)) OVER ()')} AS pct FROM events_log WHERE strategy = 'random' GROUP BY 1"),
+    "qr3_fallback_reasons": (r.fallback_reasons, f"SELECT coalesce(reason, 'unknown') AS reason, count(*) AS n, {pct('count(*)', 'sum(count(*)) OVER ()')} AS pct FROM events_log, as_of WHERE strategy = 'random' AND event_time >= t - INTERVAL 60 MINUTE GROUP BY 1"),
     "qr4_unresolved_recent": (r.unresolved, f"SELECT id, {HOUR} AS hour, left(description, 120) AS description, layer, reason FROM events_log WHERE strategy = 'random' ORDER BY event_time DESC, id LIMIT 50"),
     "qr5_invariants": (r.invariants, """SELECT count(*) FILTER (strategy <> 'random' AND gtype IS NULL) AS located_without_geometry, count(*) FILTER (strategy = 'street_segment' AND coalesce(gtype, '') <> 'LINESTRING') AS segment_not_line,
       count(*) FILTER (NOT confidence BETWEEN 0 AND 1) AS confidence_out_of_range, count(*) FILTER (length(description) > 500) AS description_too_long,

@@ -35,24 +35,63 @@ def test_similarity_values():
 
 
 def test_wkt():
-    assert geo.parse_wkt("POINT(1 2)") == {"gtype": "POINT", "pts": [{"x": 1.0, "y": 2.0}]}
+    assert geo.parse_wkt("POINT(1 2)") == {"gtype": "POINT", "pts": [{"x": 1.0, "y": 2.0}], "starts": None}
+    several = {"MULTIPOINT(1 1, 2 2)": [0, 1], "MULTIPOINT((1 1), (2 2))": [0, 1], "MULTILINESTRING((0 0, 1 1), (2 2, 3 3, 4 4))": [0, 2], "POLYGON((0 0, 9 0, 9 9, 0 0), (1 1, 2 1, 2 2, 1 1))": [0, 4], "MULTIPOLYGON(((0 0, 9 0, 9 9, 0 0), (1 1, 2 1, 2 2, 1 1)), ((20 20, 21 20, 21 21, 20 20)))": [0, 4, 8]}
+    for wkt, starts in several.items():
+        assert geo.parse_wkt(wkt)["starts"] == starts and geo.parse_wkt(wkt)["gtype"] == wkt.partition("(")[0]
     assert geo.parse_wkt("polygon ((0 0, 4 0, 4 4, 0 0))")["gtype"] == "POLYGON"
-    for bad in (None, "", "POINT(1)", "POINT(a b)", "LINESTRING(0 0)", "POLYGON((0 0, 1 1, 2 2))", "MULTIPOINT(1 1)", "POINT(nan 1)", "POINT(1 2"):
+    for bad in (None, "", "POINT(1)", "POINT(a b)", "LINESTRING(0 0)", "POLYGON((0 0, 1 1, 2 2))", "POLYGON((0 0, 4 0, 4 4))", "GEOMETRYCOLLECTION(POINT(1 1))", "POINT EMPTY", "MULTIPOINT()", "POINT(1 2) x", "POINT(nan 1)", "POINT(1 2"):
         assert geo.parse_wkt(bad) is None
 
 
 def test_geometry():
     a, b = np.array([[0.0, 0], [10, 0]]), np.array([[5.0, -5], [5, 5]])
-    assert geo.crossings(a, b).tolist() == [[5, 0]]
-    assert geo.shortest_line("LINESTRING", a, "POINT", np.array([[5.0, 3]]))[0] == 3
+    assert geo.crossings([a], [b]).tolist() == [[5, 0]]
+    assert geo.shortest_line("LINESTRING", [a], "POINT", [np.array([[5.0, 3]])])[0] == 3
     assert geo.locate(a, np.array([2.0, 7])) == (0.2, 7.0)
     assert geo.substring(a, 0.2, 0.5).tolist() == [[2, 0], [5, 0]]
-    assert geo.midpoint(np.array([[0.0, 0], [0, 2], [6, 2]])).tolist() == [2, 2]
+    assert geo.substring(np.array([[0.0, 0], [0, 2], [6, 2]]), 0.5, 0.5).tolist() == [[2, 2]]
     ring = np.array([[0.0, 0], [4, 0], [4, 4], [0, 4], [0, 0]])
-    assert geo.inside(np.array([1.0, 1]), ring) and not geo.inside(np.array([0.0, 1]), ring) and not geo.inside(np.array([5.0, 1]), ring)
+    assert geo.inside(np.array([1.0, 1]), [ring]) and not geo.inside(np.array([0.0, 1]), [ring]) and not geo.inside(np.array([5.0, 1]), [ring])
     assert geo.merged([a, np.array([[10.0, 0], [10, 5]])]).tolist() == [[0, 0], [10, 0], [10, 5]]
     assert geo.merged([a, np.array([[20.0, 0], [30, 5]])]) is None
-    assert geo.made_valid("LINESTRING", np.array([[0.0, 0], [0, 0]])) is None
+    assert geo.made_valid("LINESTRING", [np.array([[0.0, 0], [0, 0]])]) == []
+    assert geo.made_valid("POLYGON", [ring[:-1]])[0].tolist() == ring.tolist()
+
+
+WITHIN = [
+    ("LINESTRING(1 9, 9 9)", "POLYGON((0 0, 10 0, 10 10, 6 10, 6 3, 4 3, 4 10, 0 10, 0 0))", False),  # across a notch
+    ("LINESTRING(1 1, 9 1)", "POLYGON((0 0, 10 0, 10 10, 6 10, 6 3, 4 3, 4 10, 0 10, 0 0))", True),
+    ("LINESTRING(0 0, 10 0)", "POLYGON((0 0, 10 0, 10 10, 0 10, 0 0))", False),  # on the edge altogether
+    ("LINESTRING(0 0, 5 5)", "POLYGON((0 0, 10 0, 10 10, 0 10, 0 0))", True),
+    ("POINT(5 5)", "POLYGON((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 6 4, 6 6, 4 6, 4 4))", False),
+    ("POINT(3 3)", "POLYGON((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 6 4, 6 6, 4 6, 4 4))", True),
+    ("POLYGON((3 3, 7 3, 7 7, 3 7, 3 3))", "POLYGON((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 6 4, 6 6, 4 6, 4 4))", False),
+    ("POLYGON((1 1, 3 1, 3 3, 1 3, 1 1))", "POLYGON((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 6 4, 6 6, 4 6, 4 4))", True),
+    ("POLYGON((0 0, 10 0, 10 10, 0 10, 0 0))", "POLYGON((0 0, 10 0, 10 10, 0 10, 0 0))", True),
+    ("MULTIPOINT(1 1, 21 21)", "MULTIPOLYGON(((0 0, 9 0, 9 9, 0 9, 0 0)), ((20 20, 30 20, 30 30, 20 30, 20 20)))", True),
+    ("LINESTRING(1 1, 21 21)", "MULTIPOLYGON(((0 0, 9 0, 9 9, 0 9, 0 0)), ((20 20, 30 20, 30 30, 20 30, 20 20)))", False),
+    ("POINT(5 0)", "LINESTRING(0 0, 10 0)", True), ("POINT(0 0)", "LINESTRING(0 0, 10 0)", False), ("POINT(5 1)", "LINESTRING(0 0, 10 0)", False),
+    ("LINESTRING(2 0, 4 0)", "MULTILINESTRING((0 0, 10 0), (0 5, 5 5))", True), ("LINESTRING(8 0, 12 0)", "LINESTRING(0 0, 10 0)", False),
+    ("POINT(1 1)", "POINT(1 1)", True), ("POINT(1 2)", "MULTIPOINT(1 1, 1 2)", True), ("POINT(1 2)", "POINT(1 1)", False),
+]
+
+
+def test_within(spark):
+    df = spark.createDataFrame([(a, b) for a, b, _ in WITHIN], "a string, b string").select("a", "b", geo.from_wkt("a").alias("ga"), geo.from_wkt("b").alias("gb"))
+    got = {(r["a"], r["b"]): r["w"] for r in df.select("a", "b", geo.within(F.col("ga"), F.col("gb")).alias("w")).collect()}
+    assert got == {(a, b): w for a, b, w in WITHIN}
+
+
+def test_lengths_and_geojson_of_several_parts(spark):
+    df = spark.createDataFrame([("MULTILINESTRING((0 0, 3 4), (10 10, 10 12))",), ("POLYGON((0 0, 4 0, 4 3, 0 0), (1 1, 2 1, 2 2, 1 1))",), ("MULTIPOINT(1 2, 3 4)",)], "w string").select(geo.from_wkt("w").alias("g"))
+    got = df.select(geo.length(F.col("g")).alias("l"), geo.geojson(F.col("g")).alias("j")).collect()
+    assert [r["l"] for r in got] == [7.0, 0.0, 0.0]
+    assert [r["j"] for r in got] == [
+        '{"type":"MultiLineString","coordinates":[[[0.0,0.0],[3.0,4.0]],[[10.0,10.0],[10.0,12.0]]]}',
+        '{"type":"Polygon","coordinates":[[[0.0,0.0],[4.0,0.0],[4.0,3.0],[0.0,0.0]],[[1.0,1.0],[2.0,1.0],[2.0,2.0],[1.0,1.0]]]}',
+        '{"type":"MultiPoint","coordinates":[[1.0,2.0],[3.0,4.0]]}',
+    ]
 
 
 def test_mercator_round_trip(spark):
@@ -91,21 +130,23 @@ def test_sync_twice_changes_nothing(spark):
 
 
 def test_arbiter_cases(spark):
-    pt = lambda x, y: ("POINT", [(float(x), float(y))])
-    line = lambda *p: ("LINESTRING", [(float(x), float(y)) for x, y in p])
-    box = ("POLYGON", [(0.0, 0.0), (50.0, 0.0), (50.0, 50.0), (0.0, 50.0), (0.0, 0.0)])
+    pt = lambda x, y: ("POINT", [(float(x), float(y))], None)
+    line = lambda *p: ("LINESTRING", [(float(x), float(y)) for x, y in p], None)
+    box = ("POLYGON", [(0.0, 0.0), (50.0, 0.0), (50.0, 50.0), (0.0, 50.0), (0.0, 0.0)], None)
+    two = ("MULTILINESTRING", [(0.0, 2000.0), (500.0, 2000.0), (500.0, 2000.0), (1000.0, 2000.0)], [0, 2])
     places = [
         (1, "a", "street", line((0, 0), (1000, 0))), (2, "b", "street", line((300, -100), (300, 100))), (3, "c", "street", line((700, -100), (700, 100))),
-        (4, "d", "park", pt(5000, 5000)), (5, "e", "park", pt(5099, 5000)), (6, "f", "park", pt(5201, 5000)), (7, "g", "district", box), (8, "h", "park", pt(10, 10)), (9, "i", "park", pt(90, 90)),
+        (4, "d", "park", pt(5000, 5000)), (5, "e", "park", pt(5099, 5000)), (6, "f", "park", pt(5201, 5000)), (7, "g", "district", box), (8, "h", "park", pt(10, 10)), (9, "i", "park", pt(90, 90)), (10, "j", "street", two), (11, "k", "street", line((300, 1900), (300, 2100))), (12, "l", "street", line((700, 1900), (700, 2100))),
     ]
-    places = spark.createDataFrame(places, "id long, name string, type string, geom struct<gtype: string, pts: array<struct<x: double, y: double>>>")
+    places = spark.createDataFrame(places, "id long, name string, type string, geom struct<gtype: string, pts: array<struct<x: double, y: double>>, starts: array<int>>")
     cases = {
-        1: [(4, 0.9)], 2: [(1, 0.9), (2, 0.9), (3, 0.9)], 3: [(1, 0.9), (2, 0.8)], 4: [(4, 0.9), (5, 0.8)], 5: [(5, 0.9), (6, 0.8)], 6: [(4, 0.7)], 7: [(7, 0.9)], 8: [(7, 0.9), (8, 0.8), (9, 0.95)],
+        1: [(4, 0.9)], 2: [(1, 0.9), (2, 0.9), (3, 0.9)], 3: [(1, 0.9), (2, 0.8)], 4: [(4, 0.9), (5, 0.8)], 5: [(5, 0.9), (6, 0.8)], 6: [(4, 0.7)], 7: [(7, 0.9)], 8: [(7, 0.9), (8, 0.8), (9, 0.95)], 10: [(10, 0.9), (11, 0.9), (12, 0.9)],
     }
     rows = [(m, g, s, f"t{g}") for m, c in cases.items() for g, s in c]
     out = resolve.resolve(spark.createDataFrame(rows, "msg_id long, geo_id long, score double, text string"), places, spark.createDataFrame([(m,) for m in [*cases, 9]], "msg_id long"))
     got = {r["msg_id"]: r for r in out.collect()}
-    assert [(m, got[m]["strategy"]) for m in sorted(got)] == [(1, "single_match"), (2, "street_segment"), (3, "intersection"), (4, "weighted_centroid"), (5, "single_match"), (6, "random_null"), (7, "random_null"), (8, "single_match"), (9, "random_null")]
+    assert [(m, got[m]["strategy"]) for m in sorted(got)] == [(1, "single_match"), (2, "street_segment"), (3, "intersection"), (4, "weighted_centroid"), (5, "single_match"), (6, "random_null"), (7, "random_null"), (8, "single_match"), (9, "random_null"), (10, "street_segment")]
+    assert [(p["x"], p["y"]) for p in got[10]["geom"]["pts"]] == [(pytest.approx(300), 2000), (500, 2000), (pytest.approx(700), 2000)] and got[10]["geo_id"] == 10
     assert [(p["x"], p["y"]) for p in got[2]["geom"]["pts"]] == [(pytest.approx(300), 0), (pytest.approx(700), 0)] and got[2]["geo_id"] == 1
     assert (got[3]["geom"]["pts"][0]["x"], got[3]["confidence"]) == (300, pytest.approx(0.85))
     assert got[4]["geom"]["pts"][0]["x"] == 5049.5
