@@ -17,10 +17,9 @@ WORDS, PERCENT = 5, 75
 MINIMA, ORDERS, ROOT = 128, 32, 4
 #: Depths, in minima, at which a region is looked at again; the last is the deepest.
 DEPTHS = (4, 6, 8, 10, 12)
-#: Documents of a region that are all compared; larger regions go a depth further.
+#: Documents of a region that are all compared; larger regions go a depth further, and their documents are also joined
+#: on their rarest shingles, as depth costs them candidates.
 REGION = 10
-#: Documents in larger regions of so many orders are sorted in FURTHER more orders: depth costs them candidates.
-CROWDED, FURTHER = 4, 64
 #: Shingles are counted by so many leading bits of their hash, to order those of crowded documents.
 COUNT_BITS = 21
 #: Candidates whose signatures agree in a smaller share are not confirmed: 4.5 standard deviations below 0.75.
@@ -30,7 +29,6 @@ RUN = 100_000
 
 _ODD = powers(np.uint64(0xA0761D6478BD642F), MINIMA + WORDS + 2)
 _ORDER = [np.concatenate([np.arange(ROOT * t, ROOT * t + ROOT), np.random.default_rng(t).permutation(np.r_[0 : ROOT * t, ROOT * t + ROOT : MINIMA])[: DEPTHS[-1] - ROOT]]) for t in range(ORDERS)]
-_FURTHER = [np.random.default_rng(ORDERS + t).permutation(MINIMA)[: DEPTHS[-1]] for t in range(FURTHER)]
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +64,15 @@ def signatures(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Two 64-bit keys of each set, 0 for an empty one."""
+    full = np.flatnonzero(np.diff(at))
+    keys = np.zeros((2, len(at) - 1), np.uint64)
+    for j in range(2 if len(full) else 0):
+        keys[j, full] = np.add.reduceat(mixed(h + _ODD[j + 1]), at[full])
+    return keys
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, key1, key2 (of the set), signature (null for an empty set)."""
     fields = ["doc_id", "n_shingles", "key1", "key2", "signature"]
@@ -77,11 +84,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 h, at = shingle_sets(part, cuts)
                 size = np.diff(at)
                 full = np.flatnonzero(size)
-                keys = np.zeros((2, len(size)), np.uint64)
+                keys = set_keys(h, at)
                 sign: list[bytes | None] = [None] * len(size)
                 if len(full):
-                    for j in range(2):
-                        keys[j, full] = np.add.reduceat(mixed(h + _ODD[j + 1]), at[full])
                     for r, s in zip(full.tolist(), signatures(h, at[full]), strict=True):
                         sign[r] = s.tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(size, pa.int64()), *(pa.array(k.view(np.int64)) for k in keys), pa.array(sign, pa.binary())], fields)
@@ -89,7 +94,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, key1 long, key2 long, signature binary")
 
 
-def orders(sketched: DataFrame, forest: list[np.ndarray] = _ORDER) -> DataFrame:
+def orders(sketched: DataFrame) -> DataFrame:
     """key, rest, doc_id, n: a row per document and order; key is the order with its first ROOT minima, rest the further ones."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +102,7 @@ def orders(sketched: DataFrame, forest: list[np.ndarray] = _ORDER) -> DataFrame:
             for at in range(0, len(batch), 2000):
                 ids, n, sign = (batch.column(i).slice(at, 2000) for i in range(3))
                 values = np.frombuffer(b"".join(sign.to_pylist()), np.uint16).reshape(-1, MINIMA)
-                for t, own in enumerate(forest):
+                for t, own in enumerate(_ORDER):
                     root = np.ascontiguousarray(values[:, own[:ROOT]]).view(np.uint64).ravel()
                     rest = np.ascontiguousarray(values[:, own[ROOT:]]).view(f"S{2 * (DEPTHS[-1] - ROOT)}").ravel()
                     width = rest.dtype.itemsize
@@ -113,7 +118,7 @@ def neighbours(key: np.ndarray, rest: np.ndarray, ids: np.ndarray, n: np.ndarray
     A region is a run of rows that agree to some depth. Of regions with at most REGION rows whose region one depth up is
     larger (or which lie at the first depth) all pairs count; regions larger than that at the deepest depth pair each
     row with the first. Rows next to each other, the longest common prefixes, count wherever they agree at the root.
-    A document also comes paired with itself, once for each region larger than REGION at the first depth that it lies in.
+    A document also comes paired with itself if it lies in a region larger than REGION at the first depth.
     """
     size = len(key)
     if size < 2:
@@ -148,7 +153,10 @@ def neighbours(key: np.ndarray, rest: np.ndarray, ids: np.ndarray, n: np.ndarray
 
 
 def candidates(ordered: DataFrame) -> DataFrame:
-    """a, b, times: distinct candidate pairs of the sorted orders, a < b; and with a = b in how many orders a document is crowded."""
+    """a, b: distinct candidate pairs of the sorted orders, a < b; and with a = b the documents crowded in some order.
+
+    A region of more than RUN rows is looked at in parts. All its documents are crowded, so that no pair is lost by that.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
@@ -162,19 +170,26 @@ def candidates(ordered: DataFrame) -> DataFrame:
         for batch in batches:
             key, ids, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
             rest = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(key), -1)
-            # what is held ends with a whole region, or with RUN rows of one
+            rows = key, rest, ids, n
+            # the rows of the batch's last key may go on in the next batch
             cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            kept.append((key[:cut], rest[:cut], ids[:cut], n[:cut])) if cut else None
-            if kept and (cut or held >= RUN):
+            if kept and len(key) and (cut or key[0] != kept[-1][0][-1]):
+                yield flush([*kept, tuple(x[:cut] for x in rows)])
+                kept, held = [], 0
+            elif cut:
+                yield flush([tuple(x[:cut] for x in rows)])
+            elif held >= RUN:
                 yield flush(kept)
-                kept, held = [tuple(x[-1:] for x in kept[-1])] if not cut else [], 0
-            kept.append((key[cut:], rest[cut:], ids[cut:], n[cut:]))
+                # so many rows that the region's next part is crowded as well
+                kept = [tuple(np.concatenate([k[i] for k in kept])[-REGION - 1 :] for i in range(4))]
+                held = 0
+            kept.append(tuple(x[cut:] for x in rows))
             held += len(key) - cut
         if kept:
             yield flush(kept)
 
     found = ordered.repartition("key").sortWithinPartitions("key", "rest", "doc_id").mapInArrow(scan, "a long, b long")
-    return found.groupBy("a", "b").agg(F.count("*").alias("times"))
+    return found.distinct()
 
 
 def agreeing(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
@@ -193,16 +208,20 @@ def agreeing(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, members, crowded: the whole shingle set of each document, sorted."""
+    """doc_id, members, crowded: the whole shingle set of each document, sorted, if it is the set that its keys name."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_parts(batch.column(1))
+            wanted = [batch.column(i).to_numpy().view(np.uint64) for i in (3, 4)]
             for first, end, part, cuts in slices(data, offsets):
                 h, at = shingle_sets(part, cuts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(end - first)], pa.binary()), batch.column(2).slice(first, end - first)], ["doc_id", "members", "crowded"])
+                keys = set_keys(h, at)
+                own = np.flatnonzero((keys[0] == wanted[0][first:end]) & (keys[1] == wanted[1][first:end]))
+                packed = pa.array([h[at[i] : at[i + 1]].tobytes() for i in own], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + own)), packed, batch.column(2).take(pa.array(first + own))], ["doc_id", "members", "crowded"])
 
-    return docs.select("doc_id", "text", "crowded").mapInArrow(members, "doc_id long, members binary, crowded boolean")
+    return docs.select("doc_id", "text", "crowded", "key1", "key2").mapInArrow(members, "doc_id long, members binary, crowded boolean")
 
 
 def shingle_counts(sets: DataFrame) -> np.ndarray:
@@ -319,25 +338,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Words are runs of bytes other than ASCII white space with A-Z in lower case; a document's set has its distinct
     shingles of WORDS words, or its whole sequence as one if shorter. Documents with equal sets are one class, of which
-    the smallest id goes through the forest, and through more orders where it lies in crowded regions. Candidates are confirmed on full sets in two steps: first each document's
+    the smallest id goes through the forest. Candidates are confirmed on full sets in two steps: first each document's
     best candidate with a smaller id, then all candidates that these links leave in different components. To the second
-    step come all pairs of crowded documents that can be linked, by an exact join of their rarest shingles.
+    step come all pairs that can be linked of documents that lie in a crowded region of any order, by an exact join of
+    their rarest shingles. So a link is found if its documents share the first minima of any order: their region there
+    is either small, and all its pairs are candidates, or crowded, and both documents are joined exactly.
     component_id is the smallest id reachable over links; kept says that it is the row's own. Null and empty texts and
     texts of white space alone have n_shingles 0 and are linked with nothing, as are rows without an id: those have no
-    component and are kept. Repeated rows of an id share its component. An empty table gives no rows.
+    component and are kept. Repeated rows of an id share its component. Of an id's different texts the set with the
+    smallest keys stands for the id; its other sets are linked with equal ones alone. An empty table gives no rows.
     """
     sketched = written(spark, sketches(docs), "sketches")
     full = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(spark, full.groupBy("key1", "key2", "n_shingles").agg(F.min(F.struct("doc_id", "signature")).alias("m")).select("key1", "key2", "n_shingles", "m.*"), "classes")
-    found = written(spark, candidates(orders(classes)), "pairs")
-    crowd = written(spark, found.where((F.col("a") == F.col("b")) & (F.col("times") >= CROWDED)).select(F.col("a").alias("doc_id")), "crowd")
-    again = written(spark, candidates(orders(classes.join(crowd.hint("merge"), "doc_id", "left_semi"), _FURTHER)), "further")
-    near = found.union(again).where("a < b").select("a", "b").distinct()
-    pairs = written(spark, agreeing(near, classes), "agreeing")
+    # one class of each id: nearly always the only one
+    nodes = classes.groupBy("doc_id").agg(F.min(F.struct("key1", "key2", "n_shingles", "signature")).alias("m")).select("doc_id", "m.*")
+    nodes = written(spark, nodes, "nodes")
+    found = written(spark, candidates(orders(nodes)), "pairs")
+    crowd = found.where("a = b").select(F.col("a").alias("doc_id"))
+    pairs = written(spark, agreeing(found.where("a < b"), nodes), "agreeing")
     # merged at every size: a broadcast here would only be a smaller input's plan
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), F.lit(False).alias("crowded")).union(crowd.select("doc_id", F.lit(True)))
-    wanted = wanted.groupBy("doc_id").agg(F.max("crowded").alias("crowded"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
+    wanted = wanted.groupBy("doc_id").agg(F.max("crowded").alias("crowded")).join(nodes.select("doc_id", "key1", "key2").hint("merge"), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(wanted.hint("merge"), "doc_id")
+    texts = texts.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"])
     sets = written(spark, full_sets(texts), "sets")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
     first = written(spark, confirmed(best, sets), "first")
