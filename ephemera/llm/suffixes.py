@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mixed, prefix_hash, slices, span_hash, string_parts, written
@@ -38,8 +38,10 @@ def deep_shallow(words: np.ndarray, starts: np.ndarray, group: np.ndarray, limit
     """The order of suffixes by (group, first limit bytes); suffixes equal that far keep their order.
 
     First multikey quicksort with 8 bytes as a key: each step splits the runs of suffixes that are still equal, and
-    runs of one are done. At shallow bytes the remaining runs go into blind tries: each run's first suffix is a path,
-    the others hang on it where they first differ, and those that hang together form the next, deeper run.
+    runs of one are done. At shallow bytes the remaining runs go into blind tries, built path by path: a run's first
+    suffix is a path from the root to a leaf, the others leave it at the node where they first differ, and of the edge
+    that they leave by only the first 8 bytes count. Those that leave by one edge form the next run, a path that begins
+    behind these bytes, so that no byte of a suffix is looked at twice.
     """
     order = np.argsort(group, kind="stable")
     run = group[order]
@@ -50,11 +52,12 @@ def deep_shallow(words: np.ndarray, starts: np.ndarray, group: np.ndarray, limit
             return order
         key = _masked(words, starts[order[open_]], depth, limit)
         open_, run = _split(order, open_, run, (key,))
-    steps = np.arange(min(shallow, limit) // 8 * 8, limit, 8)
-    while len(open_) and len(steps):
-        own = run[open_]
+    known = np.full(len(starts), -(-min(shallow, limit) // 8) * 8)  # bytes in which a suffix equals its run's
+    while len(open_) and shallow < limit:
+        own, rows = run[open_], order[open_]
         head = open_[np.searchsorted(own, own)]
-        lcp, mine, other = _first_difference(words, starts[order[open_]], starts[order[head]], steps, limit)
+        lcp, mine, other = _first_difference(words, starts[rows], starts[order[head]], known[rows], limit)
+        known[rows] = lcp + 8
         side = np.sign((mine > other).astype(np.int8) - (mine < other).astype(np.int8))
         # smaller suffixes leave the path from the top down, then those on the path, then larger ones from the bottom up
         open_, run = _split(order, open_, run, (mine, np.where(side > 0, -lcp, lcp), side), done=side == 0)
@@ -84,25 +87,26 @@ def _split(order: np.ndarray, open_: np.ndarray, run: np.ndarray, keys: tuple[np
     return open_[still], out
 
 
-def _masked(words: np.ndarray, at: np.ndarray, depth: int, limit: int) -> np.ndarray:
+def _masked(words: np.ndarray, at: np.ndarray, depth: int | np.ndarray, limit: int) -> np.ndarray:
+    """The word depth bytes on, without bytes from limit on; zeros follow the end."""
     place = at + depth
     key = words[np.minimum(place, len(words) - 1)]
     key = np.where(place < len(words), key, np.uint64(0))
-    return key if depth + 8 <= limit else key >> np.uint64(8 * (depth + 8 - limit))
+    return key >> (8 * np.maximum(depth + 8 - limit, 0)).astype(np.uint64)
 
 
-def _first_difference(words: np.ndarray, a: np.ndarray, b: np.ndarray, steps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each pair of suffixes: the first step where their words differ (limit if none), and their words there."""
+def _first_difference(words: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of suffixes equal in known bytes: the first step where their words differ (limit if none), and their words there."""
     where, mine, other = np.full(len(a), limit), np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64)
-    left = np.arange(len(a))
-    for d in steps.tolist():
+    left, depth = np.arange(len(a)), known.copy()
+    while len(left := left[depth[left] < limit]):
+        d = depth[left]
         x, y = _masked(words, a[left], d, limit), _masked(words, b[left], d, limit)
         off = x != y
         at = left[off]
-        where[at], mine[at], other[at] = d, x[off], y[off]
+        where[at], mine[at], other[at] = d[off], x[off], y[off]
         left = left[~off]
-        if not len(left):
-            break
+        depth[left] += 8
     return where, mine, other
 
 
@@ -110,7 +114,7 @@ def repeated(words: np.ndarray, starts: np.ndarray, group: np.ndarray, limit: in
     """True for suffixes whose first limit bytes are also those of another suffix of the group."""
     order = deep_shallow(words, starts, group, limit)
     a, b = order[:-1], order[1:]
-    lcp, _, _ = _first_difference(words, starts[a], starts[b], np.arange(0, limit, 8), limit)
+    lcp, _, _ = _first_difference(words, starts[a], starts[b], np.zeros(len(a), np.int64), limit)
     same = (lcp == limit) & (group[a] == group[b])
     out = np.zeros(len(starts), bool)
     out[a[same]] = out[b[same]] = True
@@ -148,7 +152,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor:
 
 
 #: again: 0 for surroundings met once in a slice of the input, 1 for the first of several, 2 for the others.
-_ANCHOR_ROW = "k long, s long, doc long, first int, last int, place int, again int"
+_ANCHOR_ROW = "k long, s long, doc long, more int, first int, last int, place int, again int"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +160,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     others, the rest are dealt out evenly, so that copies and periodic texts do not gather at one place."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        data, offsets = string_parts(batch.column(1))
+        more = batch.column(1).to_numpy(zero_copy_only=False)
+        data, offsets = string_parts(batch.column(2))
         for lo, _, part, cuts in slices(data, offsets):
             row, first, last, place, k, s = anchors(part, cuts)
             order = np.lexsort((s, k))
@@ -165,7 +170,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             again = np.zeros(len(k), np.int64)
             again[order] = np.where(before, 2, after)
             k = np.where(again == 2, mixed(k + (ids[lo + row].view(np.uint64) + place.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)), k)
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(s.view(np.int64)), pa.array(ids[lo + row]), *(pa.array(x.astype(np.int32)) for x in (first, last, place, again))], [f.split()[0] for f in _ANCHOR_ROW.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(s.view(np.int64)), pa.array(ids[lo + row]), pa.array(more[lo + row]), *(pa.array(x.astype(np.int32)) for x in (first, last, place, again))], [f.split()[0] for f in _ANCHOR_ROW.split(", ")])
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +186,7 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same[0] &= before is not None
         same[-1] &= after is not None
         equal = same & (s1[1:] == s1[:-1])
-        again = table.column(6).to_numpy()
+        again = table.column(7).to_numpy()
         out = table.append_column("copy", pa.array(equal[1:] | equal[:-1] | (again > 0))).append_column("lead", pa.array(~equal[:-1] & (again < 2)))
         return out.filter(pa.array(same[1:] | same[:-1] | (again > 0))).combine_chunks()
 
@@ -196,26 +201,27 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from judged(kept, None).to_batches()
 
 
-_PIECE = "k long, h1 long, h2 long, doc long, first int, last int, place int, copy boolean, bytes binary"
+_PIECE = "k long, h1 long, h2 long, doc long, more int, first int, last int, place int, copy boolean, bytes binary"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes around each anchor asked for; of a crowded anchor instead a row with the hash of each string."""
     names = [f.split()[0] for f in _PIECE.split(", ")]
     for batch in batches:
-        for doc, text, asked in zip(*(batch.column(i) for i in range(3)), strict=True):
+        for doc, more, text, asked in zip(*(batch.column(i) for i in range(4)), strict=True):
+            doc, more = doc.as_py(), more.as_py()
             data = np.frombuffer(text.as_py().encode(), np.uint8)
             wanted = asked.as_py()
             crowded = [w for w in wanted if w["crowd"]]
-            rows = [(w["k"], 0, 0, doc.as_py(), w["first"], w["last"], w["place"], w["copy"], data[w["first"] : w["last"] + LENGTH].tobytes()) for w in wanted if not w["crowd"]]
+            rows = [(w["k"], 0, 0, doc, more, w["first"], w["last"], w["place"], w["copy"], data[w["first"] : w["last"] + LENGTH].tobytes()) for w in wanted if not w["crowd"]]
             if crowded:
                 prefix, other = prefix_hash(data), prefix_hash(255 - data)
                 for w in crowded:
                     p = np.arange(w["first"], w["last"] + 1)
                     h1, h2 = (span_hash(x, p, p + LENGTH).view(np.int64).tolist() for x in (prefix, other))
-                    rows += [(w["k"], a, b, doc.as_py(), i, i, w["place"], w["copy"], None) for a, b, i in zip(h1, h2, p.tolist(), strict=True)]
+                    rows += [(w["k"], a, b, doc, more, i, i, w["place"], w["copy"], None) for a, b, i in zip(h1, h2, p.tolist(), strict=True)]
             if rows:
-                kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.bool_(), pa.binary()]
+                kinds = [pa.int64()] * 4 + [pa.int32()] * 4 + [pa.bool_(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
@@ -223,8 +229,8 @@ def _sorted_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Ranges of starts whose strings recur, from pieces sorted by k."""
 
     def judge(rows: list[tuple]) -> pa.RecordBatch:
-        data, cuts = string_parts(pa.array([r[5] for r in rows], pa.binary()))
-        key, doc, first, last, place = (np.array([r[i] for r in rows], np.int64) for i in range(5))
+        data, cuts = string_parts(pa.array([r[6] for r in rows], pa.binary()))
+        key, doc, more, first, last, place = (np.array([r[i] for r in rows], np.int64) for i in range(6))
         n = last - first + 1
         piece = np.repeat(np.arange(len(rows)), n)
         step = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
@@ -235,17 +241,17 @@ def _sorted_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         new[1:] = (np.diff(hit) != 1) | (np.diff(piece[hit]) != 0)
         a = hit[new]
         b = hit[np.concatenate([np.flatnonzero(new)[1:], [len(hit)]]) - 1] if len(hit) else hit
-        return pa.RecordBatch.from_arrays([pa.array(doc[piece[a]]), pa.array((first[piece[a]] + step[a]).astype(np.int32)), pa.array((first[piece[b]] + step[b]).astype(np.int32))], ["doc", "first", "last"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[piece[a]]), pa.array(more[piece[a]].astype(np.int32)), pa.array((first[piece[a]] + step[a]).astype(np.int32)), pa.array((first[piece[b]] + step[b]).astype(np.int32))], ["doc", "more", "first", "last"])
 
     held: list[tuple] = []
     weight = 0
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+        for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
             if weight >= BATCH and row[0] != held[-1][0]:
                 yield judge(held)
                 held, weight = [], 0
             held.append(row)
-            weight += row[3] - row[2] + 1
+            weight += row[4] - row[3] + 1
     if held:
         yield judge(held)
 
@@ -268,22 +274,30 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string(), pa.binary()], strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def row_key() -> list[Column]:
+    """doc, more: 96 bits of hashes of a row's id and text, by which rows are told apart. Rows equal in both are copies.
+
+    Among 10**11 different rows two have one key with a probability of 1e-7.
+    """
+    return [F.xxhash64("doc_id", "text").alias("doc"), F.hash("doc_id", "text").alias("more")]
+
+
 def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc, first, last: starts first..last of row doc (a hash of id and text) all begin strings that start elsewhere too."""
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= LENGTH)
+    """doc, more, first, last: starts first..last of the row with this key all begin strings that start elsewhere too."""
+    rows = docs.select(*row_key(), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= LENGTH)
     dealt = rows.mapInArrow(_anchor_rows, _ANCHOR_ROW).repartition("k").sortWithinPartitions("k", "s")
     paired = written(spark, dealt.mapInArrow(_paired, _ANCHOR_ROW + ", copy boolean, lead boolean"), "anchors")
     # surroundings that recur are settled; the others are compared with one another and with one of each recurring kind
     counts = paired.where("lead").groupBy("k").agg(F.count("*").alias("kinds"), F.count_if(~F.col("copy")).alias("single")).where("kinds > 1 AND single > 0")
     asked = paired.where("lead").join(counts.select("k", (F.col("kinds") > CROWD).alias("crowd")), "k")
-    asked = asked.groupBy("doc").agg(F.collect_list(F.struct("k", "first", "last", "place", "copy", "crowd")).alias("asked"))
-    pieces = written(spark, rows.dropDuplicates(["doc"]).join(asked, "doc").mapInArrow(_pieces, _PIECE), "pieces")
-    few = pieces.where("bytes IS NOT NULL").select("k", "doc", "first", "last", "place", "bytes")
-    sorted_ = few.repartition("k").sortWithinPartitions("k").mapInArrow(_sorted_pieces, "doc long, first int, last int")
+    asked = asked.groupBy("doc", "more").agg(F.collect_list(F.struct("k", "first", "last", "place", "copy", "crowd")).alias("asked"))
+    pieces = written(spark, rows.dropDuplicates(["doc", "more"]).join(asked, ["doc", "more"]).mapInArrow(_pieces, _PIECE), "pieces")
+    few = pieces.where("bytes IS NOT NULL").select("k", "doc", "more", "first", "last", "place", "bytes")
+    sorted_ = few.repartition("k").sortWithinPartitions("k").mapInArrow(_sorted_pieces, "doc long, more int, first int, last int")
     crowded = pieces.where("bytes IS NULL")
     often = crowded.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    hashed = crowded.join(often, ["h1", "h2"]).select("doc", "first", "last")
-    return paired.where("copy").select("doc", "first", "last").union(sorted_).union(hashed)
+    hashed = crowded.join(often, ["h1", "h2"]).select("doc", "more", "first", "last")
+    return paired.where("copy").select("doc", "more", "first", "last").union(sorted_).union(hashed)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -293,7 +307,6 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     strings are judged on the input and never cross rows. Null and empty texts have no bytes. Repeated rows are copies
     of one another, and lose all their strings. kept may end within a character. An empty table gives no rows.
     """
-    found = repeats(spark, docs).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc"))
-    cut = keyed.join(found, "doc", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "ranges")
+    found = repeats(spark, docs).groupBy("doc", "more").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    cut = docs.select("doc_id", "text", *row_key()).join(found, ["doc", "more"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "ranges")
     return cut.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
