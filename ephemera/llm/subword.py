@@ -9,13 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import BYTE_VALUES, SPACE, held_out, mixed, powers, BASE, INVERSE, slices, string_parts
+from .common import BASE, BYTE_VALUES, INVERSE, SPACE, held_out, mixed, powers, slices, string_parts, written
 
 #: Buckets of the hashed vectors (a power of two), their length, and the character n-grams' lengths.
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4)
-#: The model is fitted on at most this many labelled rows, those with the smallest hash of their id.
-LABELLED_ROWS = 5000
+#: The model is fitted on at most this many labelled rows, those with the smallest hash of their id, and of these on no
+#: more than come to so many bytes of text together (the first counts whatever its length).
+LABELLED_ROWS, LABELLED_BYTES = 5000, 64_000_000
 #: Steps of the descent, a document each, however few rows there are; and the first step's rate.
 STEPS, RATE = 30_000, 0.4
 THRESHOLD = 0.7
@@ -96,12 +98,21 @@ def scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> tuple[list[str], list[int]]:
-    """Texts and quality labels of at most most rows. Held-out ids, null ids and null labels are never learned from."""
+def labelled(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS, most_bytes: int = LABELLED_BYTES) -> tuple[list[str], list[int]]:
+    """Texts and quality labels of at most most rows; one text of each id. Held-out ids, null ids and null labels are never learned from."""
     fit = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     # most bounds the broadcast side
-    chosen = fit.select("doc_id", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("rank")).orderBy("rank", "doc_id", "quality").limit(most)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").orderBy("rank", "doc_id", "quality", "text").limit(most).collect()
+    chosen = fit.select("doc_id", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("rank")).distinct().orderBy("rank", "doc_id", "quality").limit(most)
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    one = keyed.select("doc_id", "text_hash", F.octet_length("text").alias("size")).join(F.broadcast(chosen), "doc_id").groupBy(*chosen.columns).agg(F.min(F.struct("text_hash", "size")).alias("one"))
+    total = F.sum("one.size").over(Window.orderBy("rank", "doc_id", "quality"))
+    place = F.row_number().over(Window.orderBy("rank", "doc_id", "quality"))
+    within = one.withColumns({"total": total, "place": place}).where((F.col("total") <= most_bytes) | (F.col("place") == 1)).select(*chosen.columns, "one.text_hash")
+    # no more than most rows, so that they may go to every executor
+    kept = written(spark, within, "labelled")
+    rows = keyed.join(F.broadcast(kept), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "quality"]).select("rank", "doc_id", "quality", "text").collect()
+    rows.sort(key=lambda r: (r["rank"], r["doc_id"], r["quality"]))
     return [r["text"] for r in rows], [r["quality"] for r in rows]
 
 
@@ -118,7 +129,7 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold:
 def with_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str = "score") -> DataFrame:
     """docs with one more column; an own column of that name is replaced."""
     docs = docs.drop(column)
-    shared = spark.sparkContext.broadcast(train(*labelled(docs, labels)))
+    shared = spark.sparkContext.broadcast(train(*labelled(spark, docs, labels)))
     at = docs.columns.index("text")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
