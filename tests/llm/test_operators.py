@@ -32,13 +32,39 @@ def test_lines_equal_their_twin(spark, duck, sf):
 def test_lines_generalise_and_keep_the_first(spark):
     rows = [(i, f"intro {i} of its own kind\nuser {name} logged in from the office at noon on day {i}\n12 34\nend {i}x") for i, name in enumerate(["ann", "bob", "cy", "dee"])]
     out = {r["doc_id"]: r["text"].split("\n") for r in templates.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    # the varying name becomes a wild card only where the leading tokens agree, so masked numbers alone unite these lines
-    assert out[0][1].startswith("user ann") and all("12 34" in v for v in out.values())
+    # names on the path keep lines apart; a line of digits is its own template, so that its repeats go
+    assert all(v[i == 0].startswith("user") for i, v in out.items()) and out[0] == ["intro 0 of its own kind", "user ann logged in from the office at noon on day 0", "12 34", "end 0x"]
+    assert all(len(out[i]) == 1 for i in (1, 2, 3))
     rows = [(i, f"the user has {name} logged in from the office at noon on day {i}") for i, name in enumerate(["ann", "bob", "cy", "dee"])]
     out = {r["doc_id"]: r["n_dropped"] for r in templates.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {0: 0, 1: 1, 2: 1, 3: 1}
 
 
+def test_a_leaf_holds_several_families_and_unrelated_lines(spark):
+    rng = random.Random(2)
+    word = lambda: f"w{''.join(rng.choice('abcdefghij') for _ in range(6))}"
+    rows, n = [], 12
+    for i in range(n):
+        rows.append((i, f"the user has {word()} logged in from {word()} at noon on {word()}"))
+        rows.append((100 + i, f"the user has {word()} been sent a bill of {word()} for march"))
+        rows += [(1000 + 40 * i + j, f"the user has {' '.join(word() for _ in range(9))}") for j in range(40)]
+        # common words at some places are no family
+        rows += [(5000 + 40 * i + j, f"the user has {' '.join(rng.choice(['of', 'in', word(), word()]) for _ in range(9))}") for j in range(40)]
+    out = {r["doc_id"]: r["n_dropped"] for r in templates.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[i] for i in range(n)] == [0, *[1] * (n - 1)] and [out[100 + i] for i in range(n)] == [0, *[1] * (n - 1)]
+    assert not any(v for k, v in out.items() if k >= 1000)
+
+
+def test_passages_recur_in_two_documents_and_digits_within_tokens(spark):
+    passage = " ".join(f"word{'abcdefgh'[i % 8]}{'klmnopqr'[i // 8]}" for i in range(60))
+    rows = [(1, passage + "\nshort line of five words"), (2, "other\n" + passage), (3, "short line of five words")]
+    rows += [(10 + i, f"日本語の文章{i}年です。\n3.5\n{i}.{i + 1}") for i in range(4)]
+    out = {r["doc_id"]: r["text"] for r in templates.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1] == rows[0][1] and out[2] == "other" and out[3] == rows[2][1]
+    # a family of lines without spaces; figures alone are told apart by their digits
+    assert out[10] == rows[3][1] and [out[i] for i in (11, 12, 13)] == ["1.2", "2.3", "3.4"]
+
+
 def test_lines_odd_rows(spark, odd, none):
     out = templates.dedup_lines(spark, odd)
     assert out.count() == odd.count() and out.columns[: len(odd.columns) - 1] == [c for c in odd.columns if c != "n_lines"]
@@ -402,6 +428,29 @@ def test_pairs_at_the_threshold_within_a_crowd_just_under_it(spark):
     assert {r["doc_id"]: r["component_id"] for r in out} == {i: min(pair) for k in range(1500) for pair in [ids[2 * k : 2 * k + 2]] for i in pair}
 
 
+def test_a_region_that_is_looked_at_in_parts_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(forest, "RUN", 60)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    rng = random.Random(13)
+    passage, docs = [f"p{i}" for i in range(104)], []
+    for k in range(150):
+        docs += [(2 * k + j, " ".join([*passage, f"o{k}", f"q{k}", *(f"t{rng.randrange(1 << 40)}" for _ in range(17))])) for j in range(2)]
+    out = forest.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["doc_id"]: r["component_id"] for r in out} == {i: i - i % 2 for i in range(300)}
+
+
+def test_different_texts_of_one_id(spark):
+    rng = random.Random(14)
+    a, b = ([f"w{rng.randrange(1 << 30)}" for _ in range(60)] for _ in range(2))
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (5, " ".join(b)), (9, " ".join(a)), (10, " ".join(b)), (11, " ".join([*a, "more"])), (12, " ".join([*b, "more"]))]
+    runs = [sorted(map(tuple, forest.near_duplicates(spark, spark.createDataFrame(order, "doc_id long, text string")).collect())) for order in (rows, rows[::-1])]
+    assert runs[0] == runs[1]
+    got = {i: c for i, _, c, _ in runs[0]}
+    # equal texts are linked under every id; of near ones those of the text that stands for the id
+    assert got[5] == got[9] == got[10] == 5 and sorted([got[11], got[12]]) in ([5, 12], [5, 11])
+
+
 def test_near_duplicates_odd_rows(spark, odd, none):
     out = forest.near_duplicates(spark, odd)
     assert out.count() == odd.count()
@@ -494,14 +543,52 @@ def test_all_lacing_and_bad_files():
         matroska.parse_media(b"\x00" * 9)
 
 
+def plain_features(text):
+    p = matroska.payload_of(text)
+    x = [b - 128 for b in p]
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+    return f"tracks=1;packets={-(-len(p) // 512)};clusters={-(-len(p) // 131072)};ms={len(p) / 8:.3f};energy={sum(v * v for v in x)};peak={max(map(abs, x))};crossings={crossings}"
+
+
+def test_unknown_sizes_and_timestamps():
+    """Clusters and the segment as a live stream writes them, without sizes, and frames of a lace in turn."""
+    payload = np.random.default_rng(5).integers(0, 256, 400_001, dtype=np.uint8).tobytes()
+    data = matroska.write_media(payload)
+    head = next(e for e in matroska.elements(data, 0, len(data)) if e[0] == matroska.SEGMENT)
+    live = bytearray(data[: head[1]][: data.index(b"\x18\x53\x80\x67") + 4] + b"\x01" + b"\xff" * 7)
+    for ident, a, b in matroska.elements(data, head[1], head[2]):
+        live += ident.to_bytes(4, "big") + b"\xff" + data[a:b] if ident == matroska.CLUSTER else matroska.element(ident, data[a:b])
+    live = bytes(live)
+    media, whole = matroska.parse_media(live), matroska.parse_media(data)
+    assert b"".join(live[p.offset : p.offset + p.length] for p in media.packets) == payload
+    assert [(p.timestamp_ns, p.cluster) for p in media.packets] == [(p.timestamp_ns, p.cluster) for p in whole.packets]
+    assert [p.timestamp_ns for p in whole.packets] == [64_000_000 * i for i in range(len(whole.packets))]
+
+
+def test_bad_files_have_an_error_each(spark):
+    whole, rng = matroska.write_media(b"abc" * 5000), random.Random(4)
+    files = [whole, whole[:700], b"\x00" * 9, None] + [bytes(b ^ (rng.randrange(256) if rng.random() < 0.01 else 0) for b in whole) for _ in range(60)] + [whole[: rng.randrange(len(whole))] for _ in range(40)]
+    for f in filter(None, files):
+        try:
+            matroska.parse_media(f)
+        except ValueError:
+            pass
+    df = spark.createDataFrame([(i, 1, f) for i, f in enumerate(files)], "doc_id long, n_bytes long, media binary")
+    out = {r["doc_id"]: r for r in matroska.digest_files(df).collect()}
+    assert len(out) == len(files) and out[0]["error"] is None and out[0]["payload_bytes"] == 15000 and out[1]["error"] and out[1]["feature"] is None
+    rows = matroska.packets(df).collect()
+    assert sum(r["doc_id"] == 0 for r in rows) == 30 and [r["error"] is not None for r in rows if r["doc_id"] == 1] == [True] and not any(r["doc_id"] == 3 for r in rows)
+
+
 def test_media_of_odd_rows(spark, odd, none):
     out = matroska.digests(spark, odd).collect()
     want = Counter()
     for i, t in texts(odd):
         p = matroska.payload_of(t)
         assert len(p) % 64 == 0 and len(p) >= 64 and p.startswith((t or "").encode())
-        want[i, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])] += 1
-    assert Counter(tuple(r)[:5] for r in out) == want
+        media = matroska.write_media(p)
+        want[i, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(media), hashlib.sha256(media).hexdigest(), plain_features(t), None] += 1
+    assert Counter(map(tuple, out)) == want
     assert matroska.packets(matroska.store(spark, odd)).count() > odd.count() and matroska.digests(spark, none).count() == 0
 
 
