@@ -25,8 +25,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars follows a changed text.
     """
-    cut = templates.dedup_lines(spark, docs).where((F.col("n_dropped") < F.col("n_lines")) | (F.col("n_lines") == 0))
-    chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
+    cut = templates.dedup_lines(spark, docs, counts=(n_lines, n_dropped)).where((F.col(n_dropped) < F.col(n_lines)) | (F.col(n_lines) == 0))
+    chars = F.when(F.col(n_dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", chars).select(*docs.columns)
 
 
