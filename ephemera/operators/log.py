@@ -231,15 +231,3 @@ def repeats_within(messages: DataFrame, key: Column, order: str, window_s: int =
     before = F.lag(order).over(Window.partitionBy("_key").orderBy(order, "message_id"))
     close = F.col("_key").isNotNull() & (F.col(order).cast("double") - before.cast("double") <= window_s)
     return keyed.withColumn("duplicate", F.coalesce(close, F.lit(False))).drop("_key")
-
-
-def fixed_window_limits(requests: DataFrame, key: str, time: str, limit: int, window_s: int) -> DataFrame:
-    """requests by key: how many a fixed-window limiter lets through. A window starts with the first request more than window_s after the last start."""
-    times = F.array_sort(F.collect_list(F.col(time).cast("double")))
-    state = F.aggregate(
-        times, F.struct(F.lit(None).cast("double").alias("start"), F.lit(0).alias("n"), F.lit(0).alias("passed")),
-        lambda s, x: F.when(s["start"].isNull() | (x - s["start"] > window_s), F.struct(x.alias("start"), F.lit(1).alias("n"), (s["passed"] + 1).alias("passed"))).otherwise(
-            F.struct(s["start"].alias("start"), (s["n"] + 1).alias("n"), (s["passed"] + F.when(s["n"] + 1 <= limit, 1).otherwise(0)).alias("passed"))
-        ),
-    )
-    return requests.groupBy(key).agg(F.count("*").alias("requests"), state.alias("s")).select(key, "requests", F.col("s.passed").cast("long").alias("passed"))

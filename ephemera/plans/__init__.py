@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import geo_queries, log_queries, match_queries, report_queries, stream_queries, text_queries
+from . import geo_queries, log_queries, match_queries, metric_queries, report_queries, stream_queries, text_queries
 
-_MODULES = (report_queries, log_queries, text_queries, geo_queries, match_queries, stream_queries)
+_MODULES = (report_queries, log_queries, text_queries, geo_queries, match_queries, metric_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import log as o
+from ..operators import metrics as m
 from ..operators.reports import rounded
 from ..sources import tables as t
 from .report_queries import r3
@@ -92,7 +93,7 @@ _all = {
     "d05_hourly_windows": (_log(lambda e, n: e.groupBy(F.window("event_time", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "n")), "SELECT strftime(date_trunc('hour', event_time), '%Y-%m-%d %H:%M') AS hour, count(*) AS n FROM events_log GROUP BY 1"),
     "d09_changes_or_resync": (lambda s, d: o.changes_after(t.events_log(s, d), _marks(s)), f"SELECT mark, count(*) AS n, max(id) AS last FROM (SELECT unnest({list(MARKS)})::BIGINT AS mark), (SELECT min(message_id) AS lo, max(message_id) AS hi FROM events_log), events_log WHERE NOT (mark > hi OR (lo > 0 AND mark < lo - 1)) AND message_id > mark GROUP BY 1"),
     "d11_subscriber_deliveries": (lambda s, d: o.deliveries(t.events_log(s, d), _subscriptions(s)).groupBy("subscriber").agg(F.count("*").alias("n")), "SELECT subscriber, count(*) AS n FROM (VALUES ('all', []::VARCHAR[]), ('clicks', ['click']), ('two', ['error', 'view']), ('none', ['absent'])) s(subscriber, layers) JOIN events_log ON len(layers) = 0 OR list_contains(layers, layer) GROUP BY 1"),
-    "d14_fixed_window_limits": (_log(lambda e, n: o.fixed_window_limits(e, "user_id", "event_time", limit=3, window_s=86400)), """, RECURSIVE ordered AS (SELECT user_id, epoch(event_time) AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_time) AS rn FROM events_log),
+    "d14_fixed_window_limits": (_log(lambda e, n: m.fixed_window_limits(e, "user_id", "event_time", limit=3, window_s=86400)), """, RECURSIVE ordered AS (SELECT user_id, epoch(event_time) AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_time) AS rn FROM events_log),
       fold AS (SELECT user_id, rn, x AS start, 1 AS n, 1 AS passed FROM ordered WHERE rn = 1 UNION ALL
         SELECT o.user_id, o.rn, CASE WHEN x - start > 86400 THEN x ELSE start END, CASE WHEN x - start > 86400 THEN 1 ELSE n + 1 END, passed + CASE WHEN x - start > 86400 OR n + 1 <= 3 THEN 1 ELSE 0 END FROM fold f JOIN ordered o ON o.user_id = f.user_id AND o.rn = f.rn + 1)
       SELECT user_id, max(rn) AS requests, CAST(max(passed) AS BIGINT) AS passed FROM fold GROUP BY 1"""),

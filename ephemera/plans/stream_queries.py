@@ -52,7 +52,7 @@ def stream_once_per_key(spark, d):
 def stream_meta(spark, d):
     """The change counter after all batches."""
     rows = sink.run_to_table(spark, sink.events_stream(spark, d), "meta", each=sink.meta)
-    return rows.agg(F.sum("rows").alias("rows"), F.max("max_event_id").alias("max_event_id"))
+    return rows.agg(F.sum("rows").alias("rows"), F.max("max_event_id").alias("max_event_id"), (F.max("version") + 1).alias("versions"))
 
 
 _REPEATS = "SELECT coalesce(epoch(event_time) - epoch(b) <= 1800, false) AS duplicate, count(*) AS n FROM (SELECT event_time, lag(event_time) OVER (PARTITION BY description ORDER BY event_time, message_id) AS b FROM events_log) GROUP BY 1"
@@ -66,7 +66,7 @@ _all = {
     "stream_d03_late_split": (stream_late_split, "SELECT CASE WHEN event_time < TIMESTAMP '2024-01-14 12:00:00' THEN 'late' WHEN event_time > TIMESTAMP '2024-01-15 13:00:00' THEN 'future' ELSE 'accepted' END AS verdict, count(*) AS n FROM events_log GROUP BY 1"),
     "stream_d05_hourly": (stream_hourly, "SELECT strftime(date_trunc('hour', event_time), '%Y-%m-%d %H:%M') AS hour, layer, count(*) AS n FROM events_log GROUP BY ALL"),
     "stream_d02_once_per_key": (stream_once_per_key, "SELECT layer, count(*) AS n FROM events_log GROUP BY 1"),
-    "stream_m03_change_counter": (stream_meta, "SELECT count(*) AS rows, max(id) AS max_event_id FROM events_log"),
+    "stream_m03_change_counter": (stream_meta, "SELECT count(*) AS rows, max(id) AS max_event_id, 3::BIGINT AS versions FROM events_log"),
 }
 QUERIES = {k: f for k, (f, _) in _all.items()}
 ORACLE_SQL = {k: f"WITH RECURSIVE {t.EVENTS_LOG}{'' if sql.startswith(',') else ' '}{sql}" for k, (_, sql) in _all.items()}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,24 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.lineage import shared_dir
 from ..sources.tables import FUTURE_MINUTES, TTL_MINUTES
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Where checkpoints and tables of streams go: the folder that driver and executors share."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (where or "file://" + tempfile.mkdtemp(prefix="ephemera-")).rstrip("/")
-
-
 def file_stream(spark: SparkSession, sf_dir: str, table: str, files_per_batch: int = 64) -> DataFrame:
     """A table's files as a stream; the pattern makes a single file as good as a folder of them."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{sf_dir}/{table[:-1]}[{table[-1]}].parquet")
 
 
+def in_order(spark: SparkSession, rows: DataFrame, order: str, parts: int = 3, rows_per_file: int = 1_000_000) -> DataFrame:
+    """rows as a stream of parts that come one after the other in ranges of order, a batch each."""
+    path = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
+    bounds = rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)
+    files = max(1, rows.count() // (parts * rows_per_file))
+    at = F.col(order)
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        held = F.lit(True) if low is None else at >= low
+        held = (held | at.isNull()) if low is None else held
+        part = rows.where(held if high is None else held & ((at < high) | at.isNull()))
+        part.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, user_id, layer, event_time, at (seconds) of the events as they come."""
-    e = file_stream(spark, sf_dir, "events").withColumn("event_time", F.col("ts").cast("timestamp"))
+    """id, user_id, layer, event_time, at (seconds) of the events, in several batches in order of time."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("event_time", F.col("ts").cast("timestamp"))
+    return shaped(in_order(spark, e.withColumn("_at", F.col("event_time").cast("double")), "_at"))
+
+
+def shaped(e: DataFrame) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("layer"), "event_time", F.col("event_time").cast("double").alias("at"))
 
 
@@ -55,5 +67,5 @@ def split_late(events: DataFrame, now: str, past: int = TTL_MINUTES, future: int
 
 
 def meta(batch: DataFrame, number: int) -> DataFrame:
-    """The change record of a batch: its number as version, its rows, and its greatest id."""
+    """The change record of a batch: its number as version, its rows, and its greatest id. Versions count from 0 without gaps."""
     return batch.agg(F.lit(number).cast("long").alias("version"), F.count("*").alias("rows"), F.max("id").alias("max_event_id"))

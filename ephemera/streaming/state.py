@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,6 +22,10 @@ def _sorted(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(list(by), kind="stable")
 
 
+def _mode(ttl_ms: int | None) -> str:
+    return "ProcessingTime" if ttl_ms else "None"
+
+
 class SlidingRepeats(StatefulProcessor):
     """Marks messages whose key was seen at most window seconds before; each sighting moves the time on.
 
@@ -35,69 +40,89 @@ class SlidingRepeats(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         data = _sorted(rows, "at", "message_id")
-        before = self.last.get()[0] if self.last.exists() else None
-        marks = []
-        for at in data["at"]:
-            marks.append(before is not None and key[0] is not None and at - before <= self.window_s)
-            before = at
-        self.last.update((float(before),))
-        yield pd.DataFrame({"message_id": data["message_id"], "key": key[0], "at": data["at"], "duplicate": marks})
+        at = data["at"].to_numpy(float)
+        before = np.concatenate([[self.last.get()[0] if self.last.exists() else -np.inf], at[:-1]])
+        self.last.update((float(at[-1]),))
+        yield pd.DataFrame({"message_id": data["message_id"], "key": key[0], "at": at, "duplicate": at - before <= self.window_s})
 
     def close(self) -> None:
         pass
 
 
 def sliding_repeats(messages: DataFrame, window_s: int = 1800, ttl_ms: int | None = None) -> DataFrame:
-    """messages (message_id, key, at in seconds) with duplicate; batches must come in time order."""
+    """messages (message_id, key, at in seconds) with duplicate; batches must come in time order.
+
+    Messages without a key are never duplicates, and pass by the state. ttl_ms is of processing time: give it to a stream
+    that runs on, so that its state stays bounded; a replay of what is there needs None, as Spark asks for batch after
+    batch as long as a state may run out.
+    """
     out = "message_id long, key string, at double, duplicate boolean"
-    return messages.groupBy("key").transformWithStateInPandas(SlidingRepeats(window_s, ttl_ms), out, "Append", "ProcessingTime" if ttl_ms else "None")
+    keyed = messages.where("key IS NOT NULL").groupBy("key").transformWithStateInPandas(SlidingRepeats(window_s, ttl_ms), out, "Append", _mode(ttl_ms))
+    return keyed.unionByName(messages.where("key IS NULL").selectExpr("message_id", "key", "at", "false AS duplicate"))
 
 
 class LatestRow(StatefulProcessor):
     """The newest row of each key and how often it changed."""
 
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.row = handle.getValueState("row", "id long, at double, layer string, revision long")
+        self.row = handle.getValueState("row", "id long, at double, layer string, revision long", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now = self.row.get() if self.row.exists() else (None, None, None, 0)
-        ident, at, layer, revision = now
-        for r in _sorted(rows, "at", "id").itertuples():
-            if at is None or (r.at, r.id) > (at, ident):
-                ident, at, layer, revision = int(r.id), float(r.at), r.layer, revision + 1
-        self.row.update((ident, at, layer, revision))
+        ident, at, layer, revision = self.row.get() if self.row.exists() else (0, -np.inf, None, 0)
+        data = _sorted(rows, "at", "id").drop_duplicates(["at", "id"])
+        newer = data[(data["at"] > at) | ((data["at"] == at) & (data["id"] > ident))]
+        if len(newer):
+            last = newer.iloc[-1]
+            ident, at, layer, revision = int(last["id"]), float(last["at"]), last["layer"], revision + len(newer)
+            self.row.update((ident, at, layer, revision))
         yield pd.DataFrame({"user_id": [key[0]], "id": [ident], "at": [at], "layer": [layer], "revision": [revision]})
 
     def close(self) -> None:
         pass
 
 
-def latest_rows(events: DataFrame) -> DataFrame:
-    """user_id, id, at, layer, revision: each batch emits the keys it touched."""
-    return events.groupBy("user_id").transformWithStateInPandas(LatestRow(), "user_id long, id long, at double, layer string, revision long", "Update", "None")
+def latest_rows(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """user_id, id, at, layer, revision: each batch emits the keys it touched. Rows without a key have no latest one and go."""
+    out = "user_id long, id long, at double, layer string, revision long"
+    return events.where("user_id IS NOT NULL").groupBy("user_id").transformWithStateInPandas(LatestRow(ttl_ms), out, "Update", _mode(ttl_ms))
+
+
+def windows_of(at: np.ndarray, start: float | None, n: int, window_s: float) -> tuple[np.ndarray, float, int]:
+    """The place of each sorted request in its window, with the last window's start and count. A step per window."""
+    place, i = np.zeros(len(at), np.int64), 0
+    while i < len(at):
+        if start is None or at[i] - start > window_s:
+            start, n = float(at[i]), 0
+        end = i + max(1, int(np.searchsorted(at[i:] - start, window_s, "right")))
+        place[i:end] = n + np.arange(1, end - i + 1)
+        n, i = n + end - i, end
+    return place, start, n
 
 
 class FixedWindow(StatefulProcessor):
     """Lets limit requests through in a window that begins with the first request after the last one ran out."""
 
-    def __init__(self, limit: int, window_s: float):
-        self.limit, self.window_s = limit, window_s
+    def __init__(self, limit: int, window_s: float, ttl_ms: int | None = None):
+        self.limit, self.window_s, self.ttl_ms = limit, window_s, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("window", "start double, n long")
+        self.window = handle.getValueState("window", "start double, n long", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         start, n = self.window.get() if self.window.exists() else (None, 0)
-        data, passed = _sorted(rows, "at", "id"), []
-        for at in data["at"]:
-            start, n = (at, 1) if start is None or at - start > self.window_s else (start, n + 1)
-            passed.append(n <= self.limit)
+        data = _sorted(rows, "at", "id")
+        place, start, n = windows_of(data["at"].to_numpy(float), start, n, self.window_s)
         self.window.update((float(start), int(n)))
-        yield pd.DataFrame({"user_id": key[0], "id": data["id"], "passed": passed})
+        yield pd.DataFrame({"user_id": key[0], "id": data["id"], "passed": place <= self.limit})
 
     def close(self) -> None:
         pass
 
 
-def limited(requests: DataFrame, limit: int, window_s: float) -> DataFrame:
-    return requests.groupBy("user_id").transformWithStateInPandas(FixedWindow(limit, window_s), "user_id long, id long, passed boolean", "Append", "None")
+def limited(requests: DataFrame, limit: int, window_s: float, ttl_ms: int | None = None) -> DataFrame:
+    """user_id, id, passed. Requests without a user are not limited, and pass by the state."""
+    keyed = requests.where("user_id IS NOT NULL").groupBy("user_id").transformWithStateInPandas(FixedWindow(limit, window_s, ttl_ms), "user_id long, id long, passed boolean", "Append", _mode(ttl_ms))
+    return keyed.unionByName(requests.where("user_id IS NULL").selectExpr("user_id", "id", "true AS passed"))
