@@ -70,11 +70,12 @@ def generalised(spark: SparkSession, docs: DataFrame, lines: DataFrame, key: str
     asked = distinct.join(many, "path").groupBy(f"at.{key}").agg(F.collect_set("at.line_no").alias("asked")).withColumnRenamed(key, "_key")
     found = docs.select(key, "text").join(asked.hint("merge"), F.col(key) == F.col("_key"))
     texts = found.select(F.explode(F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(F.array_contains("asked", i), masked(x))), lambda m: m.isNotNull())).alias("mask"))
-    once = written(spark, texts.distinct(), "masks").where(n_tokens(F.col("mask")) > DEPTH + 1)
-    each = once.select(
-        F.xxhash64("mask").alias("h1"), F.xxhash64(F.lit(1), "mask").alias("h2"), F.xxhash64(path(F.col("mask"))).alias("path"), F.substring_index("mask", " ", DEPTH).alias("head"),
-        F.posexplode(F.slice(F.split("mask", " "), DEPTH + 1, n_tokens(F.col("mask")))).alias("pos", "token"),
+    # all that is about a whole mask is worked out and written before its tokens are unfolded, once
+    once = texts.distinct().where(n_tokens(F.col("mask")) > DEPTH + 1).select(
+        F.xxhash64("mask").alias("h1"), F.xxhash64(F.lit(1), "mask").alias("h2"), F.xxhash64(path(F.col("mask"))).alias("path"),
+        F.substring_index("mask", " ", DEPTH).alias("head"), F.slice(F.split("mask", " "), DEPTH + 1, n_tokens(F.col("mask"))).alias("rest"),
     )
+    each = written(spark, once, "masks").select("h1", "h2", "path", "head", F.posexplode("rest").alias("pos", "token"))
     # as a table of its own: a third of all rows may have one path and token, and Spark can split the join's other side
     counts = written(spark, each.groupBy("path", "pos", "token").agg(F.count("*").alias("n")), "tokens")
     kept = each.join(counts.where("n > 1"), ["path", "pos", "token"], "left")
