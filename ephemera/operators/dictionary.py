@@ -2,32 +2,74 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions.text import clean, tokens
 
-#: Word ends that fall off, longest first, and number words with their digits.
-ENDINGS = "(ing|ers|er|ed|es|s)$"
-NUMBERS = {"first": "1", "second": "2", "third": "3", "fourth": "4", "fifth": "5"}
+@dataclass(frozen=True)
+class Normaliser:
+    """How a language's words become stems: word ends that fall off, the letters that must remain, number words and ordinals' ends.
+
+    Another language, or a morphology with a dictionary, is another instance or a subclass with its own stem.
+    """
+
+    endings: str = "(ing|ers|er|ed|es|s)$"
+    least: int = 3
+    numbers: tuple[tuple[str, str], ...] = (("first", "1"), ("second", "2"), ("third", "3"), ("fourth", "4"), ("fifth", "5"), ("sixth", "6"), ("seventh", "7"), ("eighth", "8"), ("ninth", "9"), ("tenth", "10"))
+    ordinals: str = "st|nd|rd|th"
+
+    def stem(self, word: Column) -> Column:
+        """A word's stem: digits of number words and ordinals, else the word without its ending if enough letters remain."""
+        w = F.lower(word)
+        number = F.coalesce(*(F.when(w == k, F.lit(v)) for k, v in self.numbers), F.when(w.rlike(f"^[0-9]+({self.ordinals})$"), F.regexp_extract(w, "^[0-9]+", 0)))
+        cut = F.regexp_replace(w, self.endings, "")
+        return F.coalesce(number, F.when(F.length(cut) >= self.least, cut).otherwise(w))
 
 
-def stem(word: Column) -> Column:
-    """A word's stem: digits of number words and ordinals, else the word without its ending if three letters remain."""
-    w = F.lower(word)
-    number = F.coalesce(*(F.when(w == k, F.lit(v)) for k, v in NUMBERS.items()), F.when(w.rlike("^[0-9]+(st|nd|rd|th)$"), F.regexp_extract(w, "^[0-9]+", 0)))
-    cut = F.regexp_replace(w, ENDINGS, "")
-    return F.coalesce(number, F.when(F.length(cut) >= 3, cut).otherwise(w))
+ENGLISH = Normaliser()
 
 
-def stems(text: Column) -> Column:
-    return F.transform(tokens(clean(text)), stem)
+def stem(word: Column, language: Normaliser = ENGLISH) -> Column:
+    return language.stem(word)
 
 
-def aliases(places: DataFrame) -> DataFrame:
+def stems(text: Column, language: Normaliser = ENGLISH) -> Column:
+    return F.transform(tokens(clean(text)), language.stem)
+
+
+def case_forms(index: DataFrame, forms: DataFrame, proper: DataFrame, most_forms: int = 8, most_products: int = 200, most: int = 50) -> DataFrame:
+    """geo_id, alias, phrase: the spellings of each alias with a proper word, of every word's forms in turn.
+
+    forms has word and form, proper has word; a word has itself and its first most_forms - 1 other forms. Aliases with
+    more than most_products combinations have only themselves; of the others the first most in order of the alphabet stay.
+    """
+    words = index.select("geo_id", "alias", F.posexplode(F.split("alias", " ")).alias("pos", "word"))
+    named = words.join(proper.select("word").distinct(), "word", "left_semi").select("geo_id", "alias").distinct()
+    own = forms.where("form <> word").groupBy("word").agg(F.slice(F.array_sort(F.collect_set("form")), 1, most_forms - 1).alias("others"))
+    each = words.join(named, ["geo_id", "alias"], "left_semi").join(own, "word", "left").withColumn("options", F.concat(F.array("word"), F.coalesce("others", F.array().cast("array<string>"))))
+    lists = each.groupBy("geo_id", "alias").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "options"))), lambda x: x["options"]).alias("options"))
+    count = F.aggregate("options", F.lit(1), lambda n, x: n * F.size(x))
+    product = F.aggregate("options", F.array(F.lit("")), lambda done, x: F.flatten(F.transform(done, lambda a: F.transform(x, lambda b: F.trim(F.concat(a, F.lit(" "), b))))))
+    phrases = F.when(count > most_products, F.array("alias")).otherwise(F.slice(F.array_sort(F.array_distinct(product)), 1, most))
+    return lists.select("geo_id", "alias", F.explode(phrases).alias("phrase"))
+
+
+def healed(table: DataFrame, source: DataFrame) -> DataFrame:
+    """id, lon, lat, mx, my: places without a point take that of the source's row with their canonical name; metres follow."""
+    new = source.select(F.element_at("names", 1).alias("canonical"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
+    both = table.select("id", F.element_at("names", 1).alias("canonical"), "lon", "lat").join(new, "canonical", "left")
+    found = both.select("id", F.coalesce("lon", "_lon").alias("lon"), F.coalesce("lat", "_lat").alias("lat"))
+    return found.withColumns({"mx": geo.mercator_x(F.col("lon")), "my": geo.mercator_y(F.col("lat"))})
+
+
+def aliases(places: DataFrame, language: Normaliser = ENGLISH) -> DataFrame:
     """geo_id, name, alias, stems, key, sorted_key: one row per alias of each place."""
     each = places.select(F.col("id").alias("geo_id"), F.element_at("names", 1).alias("name"), F.explode("names").alias("raw"))
-    each = each.select("geo_id", "name", clean(F.col("raw")).alias("alias"), stems(F.col("raw")).alias("stems")).where(F.size("stems") > 0)
+    each = each.select("geo_id", "name", clean(F.col("raw")).alias("alias"), stems(F.col("raw"), language).alias("stems")).where(F.size("stems") > 0)
     return each.withColumns({"key": F.array_join("stems", " "), "sorted_key": F.array_join(F.array_sort("stems"), " ")}).distinct()
 
 

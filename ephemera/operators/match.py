@@ -25,6 +25,20 @@ def surfaces(grams: DataFrame, stop: DataFrame | None = None) -> DataFrame:
     return s.withColumns({"key": F.array_join("stems", " "), "sorted_key": F.array_join(F.array_sort("stems"), " ")})
 
 
+def guarded(found: DataFrame, other_words: DataFrame, index: DataFrame) -> DataFrame:
+    """Surfaces of one word that is no name (other_words: word) go, unless some alias has their stem."""
+    known = index.select(F.explode("stems").alias("stem")).distinct()
+    stop = found.where(F.size("stems") == 1).join(other_words.select(F.col("word").alias("surface")), "surface", "left_semi").select("surface", F.col("stems")[0].alias("stem"))
+    return found.join(stop.join(known, "stem", "left_anti").select("surface"), "surface", "left_anti")
+
+
+def known_surfaces(found: DataFrame, index: DataFrame) -> DataFrame:
+    """Surfaces all of whose stems some alias has: others can only be typos, so the exact tiers need not see them."""
+    known = index.select(F.explode("stems").alias("stem")).distinct()
+    each = found.select("surface", F.explode(F.array_distinct("stems")).alias("stem")).join(known, "stem", "left_anti").select("surface").distinct()
+    return found.join(each, "surface", "left_anti")
+
+
 def exact(found: DataFrame, index: DataFrame) -> DataFrame:
     return found.join(index.select("geo_id", "name", "alias", "key"), "key").select("surface", "geo_id", "name", "alias", F.lit("stem_exact").alias("source"))
 
@@ -68,12 +82,12 @@ def typos(found: DataFrame, index: DataFrame, types: DataFrame, least: float = T
 def linked_surfaces(found: DataFrame, index: DataFrame, types: DataFrame) -> DataFrame:
     """surface, geo_id, name, score, source: each surface's best place. Each tier sees only what the earlier ones left."""
     found, index = cut(found), cut(index)
-    a = cut(exact(found, index))
-    rest = found.join(a.select("surface"), "surface", "left_anti")
-    b = cut(reordered(rest, index))
-    rest = rest.join(b.select("surface"), "surface", "left_anti")
-    c = cut(partial(rest, index))
-    rest = rest.join(c.select("surface"), "surface", "left_anti")
+    known = known_surfaces(found, index)
+    a = cut(exact(known, index))
+    known = known.join(a.select("surface"), "surface", "left_anti")
+    b = cut(reordered(known, index))
+    c = cut(partial(known.join(b.select("surface"), "surface", "left_anti"), index))
+    rest = found.join(a.select("surface").union(b.select("surface")).union(c.select("surface")).distinct(), "surface", "left_anti")
     hits = a.unionByName(b).unionByName(c).withColumns({"r": ratio_of("surface", "alias"), "p": partial_ratio_of("surface", "alias")})
     best = hits.groupBy("surface").agg(F.max_by(F.struct("geo_id", "name", "source", "r", "p"), F.struct("r", "p", -F.col("geo_id"))).alias("b"))
     first = best.select("surface", "b.geo_id", "b.name", F.greatest(F.col("b.r"), F.col("b.p") * 0.85).alias("score"), "b.source")

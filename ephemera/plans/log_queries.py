@@ -80,6 +80,8 @@ _all = {
     "m07_retention": (_log(o.expired_summary), "SELECT count(*) AS deleted, count(photo_url) AS files FROM events_log, as_of WHERE event_time < t - INTERVAL 60 MINUTE"),
     "m07_expired_files": (_log(o.expired_files), "SELECT DISTINCT regexp_replace(photo_url, '^.*/', '') AS name FROM events_log, as_of WHERE photo_url IS NOT NULL AND event_time < t - INTERVAL 60 MINUTE"),
     "m08_partitions_to_drop": (lambda s, d: o.partitions_to_drop(t.table_stats(s, d), t.as_of(t.events_log(s, d))), "SELECT relname FROM table_stats, as_of WHERE strptime(substring(relname, 6, 13), '%Y_%m_%d_%H') + INTERVAL 1 HOUR <= t - INTERVAL 60 MINUTE"),
+    "m09_safety_drop": (lambda s, d: o.partitions_to_drop(t.table_stats(s, d), t.as_of(t.events_log(s, d)), 180), "SELECT relname FROM table_stats, as_of WHERE strptime(substring(relname, 6, 13), '%Y_%m_%d_%H') + INTERVAL 1 HOUR <= t - INTERVAL 180 MINUTE"),
+    "o07_limited_json": (_log(lambda e, n: o.feature_collection(o.updates(_placed(e), after_id=7000, limit=100), ["id"])), f"SELECT '{{\"type\":\"FeatureCollection\",\"features\":[' || coalesce(string_agg(f, ',' ORDER BY id), '') || ']}}' AS geojson, CAST(count(*) AS INT) AS n FROM (SELECT id, {_FEATURE} AS f FROM events_log WHERE id > 7000 ORDER BY id LIMIT 100)"),
     "m09_partition_plan": (_log(lambda e, n: o.partition_plan(n)), "SELECT 'events_' || strftime(date_trunc('hour', t) + to_hours(i::INT), '%Y_%m_%d_%H') AS name FROM as_of, (SELECT unnest([-1, 0, 1]) AS i)"),
     "m10_queue_expiry": (_queue(o.queue_expiry), "SELECT count(*) FILTER (status = 'pending' AND (event_time < t - INTERVAL 60 MINUTE OR event_time > t + INTERVAL 5 MINUTE)) AS expired, count(*) FILTER (status IN ('done', 'error', 'expired') AND created_at < t - INTERVAL 60 MINUTE) AS purged FROM queue, as_of"),
     "m17_geometry_violations": (_log(lambda e, n: o.violations(e)), "SELECT id, v AS violation FROM (SELECT id, CASE WHEN strategy = 'street_segment' AND gtype IS DISTINCT FROM 'LINESTRING' THEN 'segment needs a line' WHEN strategy IN ('intersection', 'weighted_centroid') AND gtype IS DISTINCT FROM 'POINT' THEN 'needs a point' WHEN strategy = 'single_match' AND gtype IS NULL THEN 'needs a geometry' END AS v FROM events_log) WHERE v IS NOT NULL"),

@@ -47,23 +47,25 @@ def _address(spark, d):
 
 
 _ADDRESS = "SELECT c_custkey AS id, 'Repair' AS title, concat(c_name, ', ', c_custkey, ', Block \"Unit Old ', c_mktsegment, '\", ', c_mktsegment, ' street, 12345') AS address, 'none' AS note, [concat(c_mktsegment, ' street'), c_name, concat('Old ', c_mktsegment)] AS segments FROM customer"
-_dedup = "CASE WHEN length(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', '', 'g')) >= 4 THEN regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', '', 'g') END"
+_FOLD = "replace(replace(replace(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff')"
+_dedup = f"CASE WHEN length(regexp_replace({_FOLD}, '[^\\p{{L}}\\p{{N}}_]+', '', 'g')) >= 4 THEN regexp_replace({_FOLD}, '[^\\p{{L}}\\p{{N}}_]+', '', 'g') END"
 
 _all = {
     "t01_strip_tail": (lambda s, d: t.messages(s, d).select("message_id", x.strip_tail(F.concat("text", F.lit(" Send NEWS to us, subscribe"))).alias("text")), "SELECT message_id, trim(text) AS text FROM messages"),
     "t02_clean_light": (lambda s, d: _noisy(s, d).select("message_id", x.clean_light(F.col("text")).alias("text")), f"SELECT message_id, {LIGHT} AS text FROM noisy"),
     "t03_canonical_form": (lambda s, d: _noisy(s, d).select("message_id", x.clean(F.col("text")).alias("text")), f"SELECT message_id, {CLEAN} AS text FROM noisy".replace("$$", "'")),
-    "t04_strip_emoji": (lambda s, d: t.messages(s, d).select("message_id", x.strip_emoji(F.concat(F.lit("📍 "), "text", F.lit("🏠 x"))).alias("text")), f"SELECT message_id, {_SPACES.format('concat(text, $$ x$$)')} AS text FROM messages".replace("$$", "'")),
+    "t04_strip_emoji": (lambda s, d: t.messages(s, d).select("message_id", x.strip_emoji(F.concat(F.lit("📍→ "), "text", F.lit("🏠🇫🇷👨\u200d👩 1\ufe0f\u20e3™ x"))).alias("text")), f"SELECT message_id, {_SPACES.format('concat(text, $$ 1 x$$)')} AS text FROM messages".replace("$$", "'")),
     "t05_promotional": (lambda s, d: t.read(s, d, "pages").select("page_id", x.is_promotional(F.col("html")).alias("promotional")), "SELECT page_id, regexp_matches(lower(html), '(https?://|www\\.|@[a-z][a-z0-9_]{3,}|paid subscription|our channel)') AS promotional FROM pages"),
     "t06_truncate_middle": (lambda s, d: t.messages(s, d).select("message_id", x.truncate_middle(F.col("text"), 120).alias("text")), "SELECT message_id, CASE WHEN length(text) <= 120 THEN text ELSE concat(regexp_replace(left(text, 60), ' [^ ]*$', ''), ' … ', regexp_replace(right(text, 60), '^[^ ]* ', '')) END AS text FROM messages"),
     "t07_valid_utf8": (lambda s, d: t.messages(s, d).select("message_id", F.length(x.valid_utf8(F.col("text"))).alias("n")), "SELECT message_id, CAST(length(text) AS INT) AS n FROM messages"),
-    "t08_dedup_keys": (lambda s, d: t.messages(s, d).select("message_id", x.dedup_key(F.col("text")).alias("key")), f"SELECT message_id, {_dedup} AS key FROM messages"),
+    "t08_dedup_keys": (lambda s, d: t.messages(s, d).select("message_id", x.dedup_key(F.concat("text", F.lit(" Straße ΟΔΟΣ ﬁ"))).alias("key")), f"SELECT message_id, {_dedup.replace('text', "concat(text, ' Straße ΟΔΟΣ ﬁ')")} AS key FROM messages"),
     "t09_tokens": (lambda s, d: _noisy(s, d).select("message_id", F.posexplode(x.tokens(F.col("text"))).alias("pos", "token")).withColumn("token", F.lower("token")), f"WITH {t.MESSAGES}, {_NOISY_MESSAGES}, {TOKENS} SELECT * FROM toks"),
     "t17_segments": (lambda s, d: x.token_rows(_noisy(s, d), "message_id"), f"WITH {t.MESSAGES}, {_NOISY_MESSAGES}, {TOKENS} SELECT * FROM segs"),
     "t18_ngrams": (lambda s, d: _grams(s, d).groupBy("surface").agg(F.count("*").alias("n"), F.count_if("anchored").alias("anchored"), F.max("segment").alias("last_segment")), f"WITH {t.MESSAGES}, {_NOISY_MESSAGES}, {TOKENS} SELECT surface, count(*) AS n, count(*) FILTER (anchored) AS anchored, max(segment) AS last_segment FROM grams GROUP BY 1"),
     "t20_stop_phrases": (lambda s, d: _grams(s, d).where("n = 1").join(s.createDataFrame([(k,) for k, _, _ in KEYWORDS], "surface string"), "surface", "left_anti").groupBy("message_id").agg(F.count("*").alias("n")), f"WITH {t.MESSAGES}, {_NOISY_MESSAGES}, {TOKENS} SELECT message_id, count(*) AS n FROM grams WHERE n = 1 AND surface NOT IN ({', '.join(repr(k) for k, _, _ in KEYWORDS)}) GROUP BY 1"),
     "t25_structured_messages": (_address, _ADDRESS),
     "t28_categories": (lambda s, d: x.classify(t.messages(s, d), "message_id", s.createDataFrame(list(KEYWORDS), "keyword string, category string, priority int"), F.when(F.length("text") < 20, "short")), f"WITH {t.MESSAGES}, kw(k, c, p) AS (VALUES {_KW}), noisy AS (SELECT * FROM messages), {TOKENS.partition(chr(10) + ' rows_ AS')[0].rstrip(',')}, found AS (SELECT message_id, arg_min(c, (p, c)) AS c FROM toks JOIN kw ON token = k GROUP BY 1) SELECT message_id, CASE WHEN length(text) < 20 THEN 'short' ELSE coalesce(c, 'other') END AS category FROM messages LEFT JOIN found USING (message_id)"),
+    "t30_highlighted": (lambda s, d: t.events_log(s, d).select("id", x.highlighted(F.concat(F.lit("clicker "), "description", F.lit(" a.c")), F.col("layer")).alias("text")), f"WITH {t.EVENTS_LOG} SELECT id, concat(CASE WHEN layer = 'click' THEN '<b>clicker</b> <b>click</b>' ELSE concat('clicker <b>', layer, '</b>') END, ' ', user_id, ' a.c') AS text FROM events_log"),
     "t32_quality_decisions": (lambda s, d: t.events_log(s, d).select("id", F.when(F.col("layer") == "error", "promotional").when(F.col("candidate_count") == 0, "no_geo").otherwise("geo_match").alias("source")).groupBy("source").agg(F.count("*").alias("n")), f"WITH {t.EVENTS_LOG} SELECT CASE WHEN layer = 'error' THEN 'promotional' WHEN candidate_count = 0 THEN 'no_geo' ELSE 'geo_match' END AS source, count(*) AS n FROM events_log GROUP BY 1"),
     "d01_text_repeats": (lambda s, d: t.messages(s, d).withColumn("at", F.timestamp_seconds(F.lit(1704067200) + F.col("message_id") % 7 * 900 + F.col("turn"))).transform(lambda m: repeats_within(m, x.dedup_key(F.col("text")), "at")).groupBy("duplicate").agg(F.count("*").alias("n")), f"SELECT coalesce(a - b <= 1800 AND key IS NOT NULL, false) AS duplicate, count(*) AS n FROM (SELECT key, a, lag(a) OVER (PARTITION BY key ORDER BY a, message_id) AS b FROM (SELECT message_id, {_dedup} AS key, message_id % 7 * 900 + turn AS a FROM messages)) GROUP BY 1"),
 }
