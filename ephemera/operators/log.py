@@ -231,3 +231,21 @@ def repeats_within(messages: DataFrame, key: Column, order: str, window_s: int =
     before = F.lag(order).over(Window.partitionBy("_key").orderBy(order, "message_id"))
     close = F.col("_key").isNotNull() & (F.col(order).cast("double") - before.cast("double") <= window_s)
     return keyed.withColumn("duplicate", F.coalesce(close, F.lit(False))).drop("_key")
+
+
+#: Widest time window in minutes, most rows of one answer, and the windows that a client may choose.
+MOST_MINUTES, MOST_ROWS, WINDOWS = 1440, 5000, (15, 30, 60)
+
+
+def checked_request(minutes: int | None = None, limit: int = MOST_ROWS, after_id: int = 0, layers: Sequence[str] | None = None, known: Sequence[str] | None = None) -> dict[str, object]:
+    """The arguments of recent and updates after their bounds were checked; a ValueError names the first that breaks one."""
+    if minutes is not None and not 0 <= minutes <= MOST_MINUTES:
+        raise ValueError(f"minutes must lie between 0 and {MOST_MINUTES}")
+    if not 1 <= limit <= MOST_ROWS:
+        raise ValueError(f"limit must lie between 1 and {MOST_ROWS}")
+    if after_id < 0:
+        raise ValueError("after_id must not be negative")
+    wrong = [x for x in layers or () if not x or len(x) > 50 or (known is not None and x not in known)]
+    if wrong:
+        raise ValueError(f"unknown category {wrong[0]!r}")
+    return {"minutes": minutes, "limit": limit, "after_id": after_id, "layers": list(dict.fromkeys(layers)) if layers else None}

@@ -1,13 +1,15 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ephemera.functions import geo, similarity, text
-from ephemera.operators import dictionary, log, resolve
+from ephemera.operators import dictionary, log, metrics, resolve
+from ephemera.streaming.state import windows_of
 
 
 def lcs(a, b):
@@ -152,3 +154,62 @@ def test_arbiter_cases(spark):
     assert got[4]["geom"]["pts"][0]["x"] == 5049.5
     assert [got[m]["reason"] for m in (6, 7, 9)] == ["no_valid_candidates", "district_only", "no_candidates"]
     assert got[8]["geo_id"] == 8
+
+
+def test_requests_are_checked():
+    assert log.checked_request(60, 100, 5, ["a", "b", "a"], ["a", "b"]) == {"minutes": 60, "limit": 100, "after_id": 5, "layers": ["a", "b"]}
+    for bad in ({"minutes": -1}, {"minutes": 1441}, {"limit": 0}, {"limit": 5001}, {"after_id": -1}, {"layers": ["c"], "known": ["a"]}, {"layers": [""]}):
+        with pytest.raises(ValueError):
+            log.checked_request(**bad)
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(0, 60), max_size=40), st.integers(1, 20), st.integers(0, 40))
+def test_fixed_windows_in_two_parts(times, window, cut):
+    """The places in windows do not depend on how the requests are dealt over batches."""
+    at, want, start, n = np.array(sorted(times), float), [], None, 0
+    for t in at.tolist():
+        start, n = (t, 1) if start is None or t - start > window else (start, n + 1)
+        want.append(n)
+    a, s, k = windows_of(at[:cut], None, 0, window)
+    b, _, _ = windows_of(at[cut:], s, k, window)
+    assert [*a, *b] == want
+
+
+@settings(deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 30)), max_size=40), st.integers(1, 3), st.integers(1, 10), st.integers(1, 7))
+def test_sliding_limits_whatever_the_batches(rows, limit, window, size):
+    rows = sorted(rows)
+    want, kept = {}, {}
+    for key, at in rows:
+        inside = [t for t in kept.get(key, []) if at - t < window]
+        n, passed = want.get(key, (0, 0))
+        want[key] = n + 1, passed + (len(inside) < limit)
+        kept[key] = [*inside, at] if len(inside) < limit else inside
+
+    def judge():
+        seen = []
+
+        def step(at):
+            n = 0
+            for t in at.tolist():
+                if sum(t - s < window for s in seen) < limit:
+                    seen.append(t)
+                    n += 1
+            return n
+
+        return step
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + size]], pa.string()), pa.array([float(r[1]) for r in rows[i : i + size]])], ["key", "at"]) for i in range(0, len(rows), size)]
+    out = [r for b in metrics._judged(judge, iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert {k: (n, p) for k, n, p in out} == want and len(out) == len(want)
+
+
+def test_streams_let_rows_without_a_key_pass_by(spark):
+    from ephemera.streaming import sink, state
+
+    rows = [(i, None if i % 2 else "k", float(i)) for i in range(30)]
+    stream = sink.in_order(spark, spark.createDataFrame(rows, "message_id long, key string, at double"), "at")
+    state.with_state_store(spark)
+    out = sink.run_to_table(spark, state.sliding_repeats(stream, 2), "nulls").collect()
+    assert {r["message_id"]: r["duplicate"] for r in out} == {i: i % 2 == 0 and i > 0 for i in range(30)} and len({r["batch"] for r in out}) == 3
