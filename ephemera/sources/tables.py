@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Minutes that an event lives, and that one may lie in the future.
 TTL_MINUTES, FUTURE_MINUTES = 60, 5
@@ -15,12 +16,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with their time as an instant. In UTC it is read as one, so that bounds of time reach the scan; a cast would keep them off."""
+    e = read(spark, sf_dir, "events")
+    if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC") or e.schema["ts"].dataType != T.TimestampNTZType():
+        return e.withColumn("ts", F.col("ts").cast("timestamp"))
+    fields = [T.StructField(f.name, T.TimestampType() if f.name == "ts" else f.dataType) for f in e.schema]
+    return spark.read.schema(T.StructType(fields)).parquet(f"{sf_dir}/events.parquet")
+
+
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The located-event log: one row per event with category, strategy, confidence, diagnostics and a point."""
-    e = read(spark, sf_dir, "events")
+    e = events(spark, sf_dir)
     names = ", ".join(f"'{s}'" for s in STRATEGIES)
     return e.selectExpr(
-        "event_id AS id", "event_id AS message_id", "CAST(ts AS TIMESTAMP) AS event_time", "event_type AS layer", "concat(event_type, ' ', user_id) AS description",
+        "event_id AS id", "event_id AS message_id", "ts AS event_time", "event_type AS layer", "concat(event_type, ' ', user_id) AS description",
         "CAST(get_json_object(props, '$.k') AS INT) AS k", "user_id", "value", "event_type", "props",
     ).selectExpr(
         "*", "CAST(k AS DOUBLE) / 100 AS confidence", f"element_at(array({names}), CAST(id % 5 + 1 AS INT)) AS strategy", "CAST(id % 4 AS INT) AS candidate_count",
