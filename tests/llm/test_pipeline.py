@@ -37,6 +37,23 @@ def test_stages(spark, duck, sf, tmp_path):
         previous = out
 
 
+def test_stages_take_odd_rows(spark, sf, odd, none):
+    """Nulls, empty texts, repeated rows and ids, an empty table, and columns with names that the operators use."""
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (odd, none):
+            out = stage(spark, table, sf)
+            rows = out.collect()
+            if name == "SentencePiece encoding":
+                assert len(rows) == table.count() and set(out.columns) >= set(table.columns) - {"ids"}
+                continue
+            assert out.columns == table.columns and len(rows) <= table.count()
+            # what the stage does not judge passes as it is, own columns included
+            assert all(r["n_lines"] == r["score"] == r["key"] == "z" for r in rows)
+            if name != "quality classifier" and table is odd:
+                kept = [r["text"] for r in rows]
+                assert None in kept and "" in kept and "日本語のテキスト" in kept
+
+
 def viterbi_model():
     import public_tokenizers
 
