@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, matroska, ppm, ring, seeds, store, subword, suffixes, templates, viterbi
+from . import forest, matroska, periods, ppm, ring, seeds, store, subword, suffixes, templates, viterbi, whitening
 from .common import read
 
 
@@ -54,6 +54,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.identify(spark, read(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark, read(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digest(periods.with_runs(spark, periods.looped(read(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_store": op2_token_store,
@@ -65,5 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": op8_media_columns,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": templates.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": templates.SQL, "op13_periodic_runs": periods.SQL}
