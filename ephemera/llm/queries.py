@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, matroska, periods, ppm, ring, seeds, store, subword, suffixes, templates, viterbi, whitening
+from . import forest, markov, matroska, periods, ppm, ring, seeds, store, subword, suffixes, templates, viterbi, whitening
 from .common import read
 
 
@@ -58,6 +58,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(spark, read(spark, sf_dir, "embeddings"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markov.digest(markov.scan(spark, read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digest(periods.with_runs(spark, periods.looped(read(spark, sf_dir, "documents"))))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_secret_scan": op12_secret_scan,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": templates.SQL, "op13_periodic_runs": periods.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": templates.SQL, "op12_secret_scan": markov.SQL, "op13_periodic_runs": periods.SQL}
