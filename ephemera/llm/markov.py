@@ -28,7 +28,7 @@ SECRETS, TEXTS = 20000, 2000
 #: Symbols that both models spread some weight over evenly, and the weight that the counts keep.
 SYMBOLS, RANDOM_WEIGHT, ORDINARY_WEIGHT = 66, 0.5, 0.98
 #: Least log-likelihood ratio a pair on average, in thousandths of a nat.
-THRESHOLD = 1000
+THRESHOLD = 800
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
