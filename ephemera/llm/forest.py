@@ -74,8 +74,8 @@ def set_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key1, key2 (of the set), signature (null for an empty set)."""
-    fields = ["doc_id", "n_shingles", "key1", "key2", "signature"]
+    """doc_id, n_shingles, key1, key2 (of the set), signature (null for an empty set), text_hash."""
+    fields = ["doc_id", "n_shingles", "key1", "key2", "signature", "text_hash"]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,9 +89,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                 if len(full):
                     for r, s in zip(full.tolist(), signatures(h, at[full]), strict=True):
                         sign[r] = s.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(size, pa.int64()), *(pa.array(k.view(np.int64)) for k in keys), pa.array(sign, pa.binary())], fields)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(size, pa.int64()), *(pa.array(k.view(np.int64)) for k in keys), pa.array(sign, pa.binary()), batch.column(2).slice(first, end - first)], fields)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, key1 long, key2 long, signature binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(sketch, "doc_id long, n_shingles long, key1 long, key2 long, signature binary, text_hash long")
 
 
 def orders(sketched: DataFrame) -> DataFrame:
@@ -208,7 +209,7 @@ def agreeing(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, members, crowded: the whole shingle set of each document, sorted, if it is the set that its keys name."""
+    """doc_id, members, crowded: the whole shingle set of each text, sorted, if it is the set that its keys name."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,43 +334,71 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return labels
 
 
+def numbered_classes(spark: SparkSession, classes: DataFrame) -> DataFrame:
+    """classes with the column node, an own number for each: its doc_id, or where an id heads several, for all but one a hash.
+
+    Those hashes are few, so that 64 bits tell them from one another and from the ids.
+    """
+    several = classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.struct("key1", "key2")).alias("one")).where("n > 1").select("doc_id", "one")
+    node = F.when(F.col("one").isNull() | (F.struct("key1", "key2") == F.col("one")), F.col("doc_id")).otherwise(F.xxhash64(F.lit("class"), "key1", "key2"))
+    return written(spark, classes.join(written(spark, several, "several"), "doc_id", "left").select(*classes.columns, node.alias("node")), "nodes")
+
+
+def between_ids(links: DataFrame, others: DataFrame) -> DataFrame:
+    """Links of classes as links of the ids that head them."""
+    named = links.join(others.toDF("a", "ia"), "a", "left").join(others.toDF("b", "ib"), "b", "left")
+    named = named.select(F.coalesce("ia", "a").alias("a"), F.coalesce("ib", "b").alias("b")).where("a <> b")
+    return named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def same_id(spark: SparkSession, full: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: each id that has several sets, with the ids that head their classes."""
+    key = F.struct("key1", "key2")
+    several = full.groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low <> high").select("doc_id")
+    own = full.select("doc_id", "key1", "key2").join(written(spark, several, "several"), "doc_id").distinct()
+    met = own.join(classes.select("key1", "key2", F.col("doc_id").alias("head")), ["key1", "key2"]).where("head <> doc_id")
+    return met.select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs.
 
     Words are runs of bytes other than ASCII white space with A-Z in lower case; a document's set has its distinct
-    shingles of WORDS words, or its whole sequence as one if shorter. Documents with equal sets are one class, of which
-    the smallest id goes through the forest. Candidates are confirmed on full sets in two steps: first each document's
-    best candidate with a smaller id, then all candidates that these links leave in different components. To the second
+    shingles of WORDS words, or its whole sequence as one if shorter. Documents with equal sets are one class, which
+    goes through the forest under the smallest id. Candidates are confirmed on full sets in two steps: first each class's
+    best candidate with a smaller number, then all candidates that these links leave in different components. To the second
     step come all pairs that can be linked of documents that lie in a crowded region of any order, by an exact join of
     their rarest shingles. So a link is found if its documents share the first minima of any order: their region there
     is either small, and all its pairs are candidates, or crowded, and both documents are joined exactly.
     component_id is the smallest id reachable over links; kept says that it is the row's own. Null and empty texts and
     texts of white space alone have n_shingles 0 and are linked with nothing, as are rows without an id: those have no
-    component and are kept. Repeated rows of an id share its component. Of an id's different texts the set with the
-    smallest keys stands for the id; its other sets are linked with equal ones alone. An empty table gives no rows.
+    component and are kept. Rows of one id with different texts are one document: all their sets are searched, and
+    all are in its component. An empty table gives no rows.
     """
     sketched = written(spark, sketches(docs), "sketches")
     full = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(spark, full.groupBy("key1", "key2", "n_shingles").agg(F.min(F.struct("doc_id", "signature")).alias("m")).select("key1", "key2", "n_shingles", "m.*"), "classes")
-    # one class of each id: nearly always the only one
-    nodes = classes.groupBy("doc_id").agg(F.min(F.struct("key1", "key2", "n_shingles", "signature")).alias("m")).select("doc_id", "m.*")
-    nodes = written(spark, nodes, "nodes")
-    found = written(spark, candidates(orders(nodes)), "pairs")
-    crowd = found.where("a = b").select(F.col("a").alias("doc_id"))
-    pairs = written(spark, agreeing(found.where("a < b"), nodes), "agreeing")
+    classes = written(spark, full.groupBy("key1", "key2", "n_shingles").agg(F.min(F.struct("doc_id", "text_hash", "signature")).alias("m")).select("key1", "key2", "n_shingles", "m.*"), "classes")
+    nodes = numbered_classes(spark, classes)
+    others = nodes.where("node <> doc_id").select("node", "doc_id")
+    searched = nodes.select(F.col("node").alias("doc_id"), "n_shingles", "signature")
+    found = written(spark, candidates(orders(searched)), "pairs")
+    crowd = found.where("a = b").select(F.col("a").alias("node"))
+    pairs = written(spark, agreeing(found.where("a < b"), searched), "agreeing")
     # merged at every size: a broadcast here would only be a smaller input's plan
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), F.lit(False).alias("crowded")).union(crowd.select("doc_id", F.lit(True)))
-    wanted = wanted.groupBy("doc_id").agg(F.max("crowded").alias("crowded")).join(nodes.select("doc_id", "key1", "key2").hint("merge"), "doc_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(wanted.hint("merge"), "doc_id")
-    texts = texts.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"])
-    sets = written(spark, full_sets(texts), "sets")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.lit(False).alias("crowded")).union(crowd.select("node", F.lit(True)))
+    wanted = wanted.groupBy("node").agg(F.max("crowded").alias("crowded")).join(nodes.select("node", "doc_id", "text_hash", "key1", "key2").hint("merge"), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("text IS NOT NULL")
+    texts = texts.join(wanted.hint("merge"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", "node"])
+    sets = written(spark, full_sets(texts.drop("doc_id").withColumnRenamed("node", "doc_id")), "sets")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
-    first = written(spark, confirmed(best, sets), "first")
+    linked = written(spark, confirmed(best, sets), "first")
+    first = written(spark, between_ids(linked, others).union(same_id(spark, full, classes)), "first")
     early = components(spark, first)
+    early = early.union(others.join(early, "doc_id", "left").select("node", F.coalesce("component", "doc_id")))
     left = pairs.join(early.toDF("a", "ca"), "a", "left").join(early.toDF("b", "cb"), "b", "left")
     left = left.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").union(exact_pairs(spark, sets.where("crowded"), early)).distinct()
     second = confirmed(left.join(best, ["a", "b"], "left_anti"), sets)
-    whole = components(spark, first.union(second))
+    whole = components(spark, first.union(between_ids(second, others)))
     named = classes.join(whole, "doc_id", "left").select("key1", "key2", "n_shingles", F.coalesce("component", "doc_id").alias("class_component"))
     out = sketched.join(named, ["key1", "key2", "n_shingles"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("class_component", "doc_id")).otherwise(F.col("doc_id"))

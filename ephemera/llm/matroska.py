@@ -264,7 +264,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each whole text as a Matroska file in a written table. A null text is an empty one."""
-    return written(spark, docs.select("doc_id", "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary"), "media")
+    return written(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary"), "media")
 
 
 def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +288,7 @@ def packets(media: DataFrame) -> DataFrame:
 
     A file that cannot be read has one row with its error in place of all else. A null file has no packets.
     """
-    return media.select("doc_id", "media").mapInArrow(_packets, "doc_id long, track int, timestamp_ns long, offset long, length long, keyframe boolean, cluster int, codec string, error string")
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(_packets, "doc_id long, track int, timestamp_ns long, offset long, length long, keyframe boolean, cluster int, codec string, error string")
 
 
 def features(media: Media, payload: bytes) -> str:

@@ -184,10 +184,10 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None) -
                 ascii_letter = (LOWER[part] >= 97) & (LOWER[part] <= 122)
                 count = np.concatenate([[0], np.cumsum(ascii_letter)])[cuts]
                 for i in range(end - first):
-                    lettered = count[i + 1] > count[i] or any(map(str.isalpha, part[cuts[i] : cuts[i + 1]].tobytes().decode()))
+                    lettered = count[i + 1] > count[i] or any(map(str.isalpha, part[cuts[i] : cuts[i + 1]].tobytes().decode(errors="replace")))
                     labels.append(own.languages[best[i]] if lettered else UNDETERMINED)
                     scores.append(float(share[i]) if lettered else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")

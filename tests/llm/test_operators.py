@@ -447,8 +447,33 @@ def test_different_texts_of_one_id(spark):
     runs = [sorted(map(tuple, forest.near_duplicates(spark, spark.createDataFrame(order, "doc_id long, text string")).collect())) for order in (rows, rows[::-1])]
     assert runs[0] == runs[1]
     got = {i: c for i, _, c, _ in runs[0]}
-    # equal texts are linked under every id; of near ones those of the text that stands for the id
-    assert got[5] == got[9] == got[10] == 5 and sorted([got[11], got[12]]) in ([5, 12], [5, 11])
+    assert got[5] == got[9] == got[10] == got[11] == got[12] == 5
+
+
+def test_a_class_headed_by_an_id_with_several_texts_is_searched(spark):
+    """Id 5 heads the classes of all its texts; 9 and 12 have one text each, and are near."""
+    rng = random.Random(21)
+    for _ in range(3):
+        own = [[f"w{rng.randrange(1 << 30)}" for _ in range(60)] for _ in range(4)]
+        rows = [(5, " ".join(w)) for w in own] + [x for k, w in enumerate(own) for x in ((9 + 10 * k, " ".join(w)), (12 + 10 * k, " ".join([*w, "more"])))]
+        # 100 has two sets of its own, neither equal to another's, and so joins 200 and 300
+        two = [[f"v{rng.randrange(1 << 30)}" for _ in range(60)] for _ in range(2)]
+        rows += [(100, " ".join(two[0])), (100, " ".join(two[1])), (200, " ".join([*two[0], "x"])), (300, " ".join([*two[1], "x"])), (400, " ".join(two[1]))]
+        got = {r["doc_id"]: r["component_id"] for r in forest.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {i: 5 if i < 100 else 100 for i, _ in rows}
+
+
+def test_an_id_with_a_third_of_all_rows_and_many_texts(spark):
+    rng = random.Random(22)
+    texts_ = [" ".join(f"w{rng.randrange(1 << 30)}" for _ in range(30)) for _ in range(300)]
+    rows = [(7, t) for t in texts_] + [(1000 + i, t + " more") for i, t in enumerate(texts_)] + [(5000 + i, " ".join(f"u{rng.randrange(1 << 30)}" for _ in range(30))) for i in range(300)]
+    got = {r["doc_id"]: r["component_id"] for r in forest.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 7 if i < 5000 else i for i, _ in rows}
+
+
+def test_integer_ids(spark):
+    docs = spark.createDataFrame([(1, "some text of a few words", "en"), (2, None, None)], "doc_id int, text string, lang string")
+    assert [r["doc_id"] for r in ppm.identify(spark, docs).collect()] == [1, 2] and matroska.digests(spark, docs).count() == 2
 
 
 def test_near_duplicates_odd_rows(spark, odd, none):
