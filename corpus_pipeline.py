@@ -23,10 +23,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go, but for each one's first; so do documents that lose every line they had.
 
-    n_chars follows a changed text. What only two documents share stays for the next stage, which sees them as copies.
+    n_chars follows a changed text. Passages that two documents share go from the second, as in the operator's own query.
     """
     n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
-    cut = templates.dedup_lines(spark, docs, passage_docs=templates.MIN_DOCS, counts=(n_lines, n_dropped)).where((F.col(n_dropped) < F.col(n_lines)) | (F.col(n_lines) == 0))
+    cut = templates.dedup_lines(spark, docs, counts=(n_lines, n_dropped)).where((F.col(n_dropped) < F.col(n_lines)) | (F.col(n_lines) == 0))
     chars = F.when(F.col(n_dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", chars).select(*docs.columns)
 
