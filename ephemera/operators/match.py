@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.similarity import partial_ratio_of, ratio_of, typo_score_of
+from ..functions.similarity import partial_ratio_of, ratio_of
 from .dictionary import stems, word_objects
 from .lineage import cut
+from .typo import typo_pairs
 
 #: Least score of a typo match; the boost of an anchored candidate and the score it reaches at most; entities of a message.
 TYPO, BOOST, BOOSTED, MOST = 0.9, 0.05, 0.85, 5
@@ -62,19 +63,15 @@ def partial(found: DataFrame, index: DataFrame, generic: tuple[str, ...] = ("str
 def typos(found: DataFrame, index: DataFrame, types: DataFrame, least: float = TYPO) -> DataFrame:
     """Surfaces of five letters or more with the most similar alias that begins alike and is about as long.
 
-    Candidates share their first three letters, so the comparison is an equi-join; lengths may differ by a fifth (two at
-    least), a quarter (three at least) from ten letters on. The guards come before the choice of the best.
+    Pairs come from the join of near strings, which never lists all pairs that begin alike. The guards (first letters,
+    lengths, no short names of settlements) come before the choice of the best; of equal ones the smallest place.
     """
-    long = found.where(F.length("surface") >= 5).select("surface", F.substring("surface", 1, 3).alias("head"))
     settled = types.where(F.col("type").isin(*SETTLEMENTS)).select("geo_id")
     short = index.join(settled, "geo_id", "left_semi").where(F.length("alias") <= SHORT).select("geo_id", "alias")
-    known = index.join(short, ["geo_id", "alias"], "left_anti").select("geo_id", "name", "alias", F.substring("alias", 1, 3).alias("head"))
-    room = F.when(F.length("surface") >= 10, F.greatest(F.lit(3), F.floor(F.length("surface") * 0.25))).otherwise(F.greatest(F.lit(2), F.floor(F.length("surface") * 0.2)))
-    pairs = long.join(known, "head").where(F.abs(F.length("surface") - F.length("alias")) <= room).select("surface", "geo_id", "name", "alias")
-    # a score of least bounds the insertions and deletions, and they bound the edit distance, which needs no Python
-    edits = F.floor((1 - least) * (F.length("surface") + F.length("alias")) + 1e-9)
-    pairs = pairs.where(F.levenshtein("surface", "alias") <= edits)
-    scored = pairs.withColumn("score", typo_score_of("surface", "alias")).where(F.col("score") >= least)
+    # places of one alias score alike, so that one stands for all
+    names = cut(index.join(short, ["geo_id", "alias"], "left_anti").groupBy("alias").agg(F.min(F.struct("geo_id", "name")).alias("place")))
+    scored = typo_pairs(found.select(F.col("surface").alias("query")), names.select(F.col("alias").alias("name")), least)
+    scored = scored.join(names, F.col("name") == F.col("alias")).select(F.col("query").alias("surface"), "place.geo_id", "place.name", "alias", "score")
     best = scored.groupBy("surface").agg(F.max_by(F.struct("geo_id", "name", "alias", "score"), F.struct("score", -F.col("geo_id"))).alias("b"))
     return best.select("surface", "b.*", F.lit("surface_typo").alias("source"))
 
@@ -91,7 +88,7 @@ def linked_surfaces(found: DataFrame, index: DataFrame, types: DataFrame) -> Dat
     hits = a.unionByName(b).unionByName(c).withColumns({"r": ratio_of("surface", "alias"), "p": partial_ratio_of("surface", "alias")})
     best = hits.groupBy("surface").agg(F.max_by(F.struct("geo_id", "name", "source", "r", "p"), F.struct("r", "p", -F.col("geo_id"))).alias("b"))
     first = best.select("surface", "b.geo_id", "b.name", F.greatest(F.col("b.r"), F.col("b.p") * 0.85).alias("score"), "b.source")
-    return first.unionByName(typos(rest, index, types).drop("alias"))
+    return cut(first.unionByName(typos(rest, index, types).drop("alias")))
 
 
 def link(grams: DataFrame, key: str, linked: DataFrame, most: int = MOST) -> DataFrame:
@@ -104,7 +101,7 @@ def link(grams: DataFrame, key: str, linked: DataFrame, most: int = MOST) -> Dat
     order = Window.partitionBy(key, "geo_id").orderBy(F.desc("score"), "segment", "first", F.desc("n"))
     once = hits.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
     gain = F.when(F.col("anchored") & (F.col("score") < BOOSTED), F.least(F.lit(BOOSTED), F.col("score") + BOOST)).otherwise(F.col("score"))
-    once = once.withColumn("score", gain)
+    once = cut(once.withColumn("score", gain))
     wide = once.select(key, "segment", F.col("first").alias("f2"), F.col("n").alias("n2"))
     covered = once.join(wide, [key, "segment"]).where((F.col("f2") <= F.col("first")) & (F.col("first") + F.col("n") <= F.col("f2") + F.col("n2")) & (F.col("n2") > F.col("n"))).select(key, "geo_id")
     kept = once.join(covered.distinct(), [key, "geo_id"], "left_anti")

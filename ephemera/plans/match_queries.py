@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as x
 from ..operators import dictionary as dic
 from ..operators import match as m
+from ..operators.lineage import cut
 from ..operators.reports import rounded
 from ..sources import tables as t
 
@@ -15,12 +16,18 @@ def mentions(spark, d):
     """Messages that name a place exactly, in another order, in part or with a typo."""
     return t.read(spark, d, "orders").selectExpr(
         "o_orderkey AS message_id",
-        "concat('Seen near ', CASE o_orderkey % 4 WHEN 0 THEN concat('customer ', lpad(o_custkey, 9, '0')) WHEN 1 THEN concat(lpad(o_custkey, 9, '0'), ' customer') WHEN 2 THEN lpad(o_custkey, 9, '0') ELSE concat('custmer ', lpad(o_custkey, 9, '0')) END, ' by noon') AS text",
+        "concat('Seen near ', CASE o_orderkey % 4 WHEN 0 THEN concat('customer ', lpad(o_custkey, 9, '0')) WHEN 1 THEN concat(lpad(o_custkey, 9, '0'), ' customer') WHEN 2 THEN concat('kiln', lpad(o_custkey + 100000, 9, '0')) ELSE concat('custmer ', lpad(o_custkey, 9, '0')) END, ' by noon') AS text",
     )
 
 
+def named(spark, d):
+    """The places with one more alias, none of whose words another place has."""
+    own = "concat('Kiln', lpad(CAST(id AS STRING), 9, '0'), ' Yard', lpad(CAST(id AS STRING), 9, '0'))"
+    return t.places(spark, d).withColumn("names", F.expr(f"concat(names, array({own}))"))
+
+
 def grams(spark, d):
-    return x.ngrams(x.token_rows(mentions(spark, d), "message_id"), "message_id")
+    return x.message_ngrams(mentions(spark, d), "message_id")
 
 
 def source(spark, d):
@@ -33,9 +40,9 @@ SOURCE = """source AS (SELECT rn, CASE rn % 3 WHEN 0 THEN [n, concat(n, ' new')]
 
 
 def _linked(spark, d):
-    places = t.places(spark, d)
-    found = m.surfaces(grams(spark, d))
-    return m.link(grams(spark, d), "message_id", m.linked_surfaces(found, dic.aliases(places), places.select(F.col("id").alias("geo_id"), "type")))
+    places, each = named(spark, d), cut(grams(spark, d))
+    found = m.surfaces(each)
+    return m.link(each, "message_id", m.linked_surfaces(found, dic.aliases(places), places.select(F.col("id").alias("geo_id"), "type")))
 
 
 def _fast(spark, d):
@@ -66,13 +73,13 @@ _all = {
     "a22_word_places": (lambda s, d: dic.word_objects(dic.aliases(t.places(s, d))), "SELECT word, count(DISTINCT id) AS places FROM (SELECT id, unnest(string_split(lower(trim(regexp_replace(n, '[^\\p{L}\\p{N}]+', ' ', 'g'))), ' ')) AS word FROM (SELECT id, unnest(names) AS n FROM places)) GROUP BY 1"),
     "j17_exact_matches": (lambda s, d: m.exact(m.surfaces(grams(s, d)), dic.aliases(t.places(s, d))).select("surface", "geo_id").distinct(), "SELECT DISTINCT concat('customer ', lpad(o_custkey::VARCHAR, 9, '0')) AS surface, o_custkey + 100000 AS geo_id FROM orders WHERE o_orderkey % 4 = 0"),
     "j18_reordered_matches": (lambda s, d: m.reordered(m.surfaces(grams(s, d)), dic.aliases(t.places(s, d))).select("surface", "geo_id").distinct(), "SELECT DISTINCT CASE o_orderkey % 4 WHEN 0 THEN concat('customer ', lpad(o_custkey::VARCHAR, 9, '0')) ELSE concat(lpad(o_custkey::VARCHAR, 9, '0'), ' customer') END AS surface, o_custkey + 100000 AS geo_id FROM orders WHERE o_orderkey % 4 IN (0, 1)"),
-    "j19_linked_sample": (lambda s, d: _linked(s, d).select("message_id", "geo_id", "name", "surface", "source", "rank"), "SELECT o_orderkey AS message_id, o_custkey + 100000 AS geo_id, c_name AS name, CASE o_orderkey % 4 WHEN 0 THEN 'customer ' || lpad(o_custkey::VARCHAR, 9, '0') WHEN 1 THEN lpad(o_custkey::VARCHAR, 9, '0') || ' customer' ELSE 'custmer ' || lpad(o_custkey::VARCHAR, 9, '0') END AS surface, CASE o_orderkey % 4 WHEN 0 THEN 'stem_exact' WHEN 1 THEN 'stem_reorder' ELSE 'surface_typo' END AS source, 1 AS rank FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 4 IN (0, 1, 3)"),
-    "t24_linked_places": (lambda s, d: _linked(s, d).groupBy("source").agg(F.countDistinct("message_id").alias("n"), F.sum("geo_id").alias("ids")), "SELECT CASE o_orderkey % 4 WHEN 0 THEN 'stem_exact' WHEN 1 THEN 'stem_reorder' ELSE 'surface_typo' END AS source, count(*) AS n, CAST(sum(o_custkey + 100000) AS BIGINT) AS ids FROM orders WHERE o_orderkey % 4 IN (0, 1, 3) GROUP BY 1"),
-    "t29_match_tiers": (lambda s, d: m.tier(_linked(s, d), "message_id"), "SELECT o_orderkey AS message_id, CASE WHEN o_orderkey % 4 = 3 THEN 'tier2' ELSE 'tier1' END AS tier FROM orders WHERE o_orderkey % 4 IN (0, 1, 3)"),
+    "j19_linked_sample": (lambda s, d: _linked(s, d).select("message_id", "geo_id", "name", "surface", "source", "rank"), "SELECT o_orderkey AS message_id, o_custkey + 100000 AS geo_id, c_name AS name, CASE o_orderkey % 4 WHEN 0 THEN 'customer ' || lpad(o_custkey::VARCHAR, 9, '0') WHEN 1 THEN lpad(o_custkey::VARCHAR, 9, '0') || ' customer' WHEN 2 THEN 'kiln' || lpad((o_custkey + 100000)::VARCHAR, 9, '0') ELSE 'custmer ' || lpad(o_custkey::VARCHAR, 9, '0') END AS surface, CASE o_orderkey % 4 WHEN 0 THEN 'stem_exact' WHEN 1 THEN 'stem_reorder' WHEN 2 THEN 'stem_subset' ELSE 'surface_typo' END AS source, 1 AS rank FROM orders JOIN customer ON c_custkey = o_custkey"),
+    "t24_linked_places": (lambda s, d: _linked(s, d).groupBy("source").agg(F.countDistinct("message_id").alias("n"), F.sum("geo_id").alias("ids")), "SELECT CASE o_orderkey % 4 WHEN 0 THEN 'stem_exact' WHEN 1 THEN 'stem_reorder' WHEN 2 THEN 'stem_subset' ELSE 'surface_typo' END AS source, count(*) AS n, CAST(sum(o_custkey + 100000) AS BIGINT) AS ids FROM orders GROUP BY 1"),
+    "t29_match_tiers": (lambda s, d: m.tier(_linked(s, d), "message_id"), "SELECT o_orderkey AS message_id, CASE o_orderkey % 4 WHEN 2 THEN 'none' WHEN 3 THEN 'tier2' ELSE 'tier1' END AS tier FROM orders"),
     "t27_fast_path": (_fast, "WITH ranked AS (SELECT msg_id, geo_id, score, CAST(string_split(text, ' ')[2] AS INT) AS no FROM candidates), fast AS (SELECT msg_id, arg_min(geo_id, no) AS geo_id FROM ranked WHERE score >= 0.8 GROUP BY 1), slow AS (SELECT msg_id, geo_id FROM ranked QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY score DESC, no) = 1) SELECT msg_id, coalesce(f.geo_id, s.geo_id) AS geo_id, CASE WHEN f.geo_id IS NULL THEN 'general' ELSE 'fast' END AS path FROM slow s LEFT JOIN fast f USING (msg_id)"),
     "t15_replaced_aliases": (lambda s, d: dic.replaced(dic.aliases(t.places(s, d)), t.places(s, d).where("id % 3 = 0").withColumn("names", F.array(F.concat(F.lit("New "), "id")))).select("geo_id", "alias"), "SELECT DISTINCT id AS geo_id, lower(trim(regexp_replace(n, '[^\\p{L}\\p{N}]+', ' ', 'g'))) AS alias FROM (SELECT id, unnest(CASE WHEN id % 3 = 0 THEN ['New ' || id] ELSE names END) AS n FROM places)"),
     "t13_case_forms": (_forms, "SELECT id AS geo_id, 'at ' || w || ' ' || n AS alias, unnest(['at ' || w || ' ' || n, 'at ' || w || 'a ' || n, 'at ' || w || 'es ' || n]) AS phrase FROM (SELECT id, string_split(lower(names[1]), '#')[1] AS w, string_split(lower(names[1]), '#')[2] AS n FROM places) UNION ALL SELECT id, w || ' ' || n, unnest([w || ' ' || n, w || 'a ' || n, w || 'es ' || n]) FROM (SELECT id, string_split(lower(names[1]), '#')[1] AS w, string_split(lower(names[1]), '#')[2] AS n FROM places)"),
-    "t19_guarded_surfaces": (lambda s, d: m.guarded(m.surfaces(grams(s, d)), s.createDataFrame([("seen",), ("noon",), ("customer",)], "word string"), dic.aliases(t.places(s, d))).where(F.size("stems") == 1).select("surface"), "SELECT DISTINCT lpad(o_custkey::VARCHAR, 9, '0') AS surface FROM orders UNION SELECT 'customer' UNION SELECT 'custmer'"),
+    "t19_guarded_surfaces": (lambda s, d: m.guarded(m.surfaces(grams(s, d)), s.createDataFrame([("seen",), ("noon",), ("customer",)], "word string"), dic.aliases(t.places(s, d))).where(F.size("stems") == 1).select("surface"), "SELECT DISTINCT CASE o_orderkey % 4 WHEN 2 THEN 'kiln' || lpad((o_custkey + 100000)::VARCHAR, 9, '0') ELSE lpad(o_custkey::VARCHAR, 9, '0') END AS surface FROM orders UNION SELECT 'customer' UNION SELECT 'custmer'"),
     "m14_geometry_heal": (lambda s, d: dic.healed(t.places(s, d).withColumn("lon", F.when(F.col("id") % 4 > 0, F.col("lon"))), t.places(s, d).select("names", "lon", "lat")).select("id", rounded("lon").alias("lon"), rounded("mx", 1).alias("mx")), "SELECT id, floor(lon * 1000 + 0.5) / 1000 AS lon, floor(mx * 10 + 0.5) / 10 AS mx FROM places"),
 }
 

@@ -38,7 +38,7 @@ def _noisy(spark, d):
 
 
 def _grams(spark, d):
-    return x.ngrams(x.token_rows(_noisy(spark, d), "message_id"), "message_id")
+    return x.message_ngrams(_noisy(spark, d), "message_id")
 
 
 def _address(spark, d):
