@@ -58,9 +58,19 @@ def case_forms(index: DataFrame, forms: DataFrame, proper: DataFrame, most_forms
     return lists.select("geo_id", "alias", F.explode(phrases).alias("phrase"))
 
 
+def canonical_rows(source: DataFrame, *values: str) -> DataFrame:
+    """canonical and the values: one row for each canonical name, that of the smallest rn (or of the smallest values without one)."""
+    own = F.struct(*[F.col(v).alias(v) for v in values])
+    first = F.min_by(own, "rn") if "rn" in source.columns else F.min(own)
+    return source.groupBy(F.element_at("names", 1).alias("canonical")).agg(first.alias("own")).select("canonical", "own.*")
+
+
 def healed(table: DataFrame, source: DataFrame) -> DataFrame:
-    """id, lon, lat, mx, my: places without a point take that of the source's row with their canonical name; metres follow."""
-    new = source.select(F.element_at("names", 1).alias("canonical"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
+    """id, lon, lat, mx, my: places without a point take that of the source with their canonical name; metres follow.
+
+    Of several source rows of a name the first that has a point counts.
+    """
+    new = canonical_rows(source.where("lon IS NOT NULL AND lat IS NOT NULL"), "lon", "lat").toDF("canonical", "_lon", "_lat")
     both = table.select("id", F.element_at("names", 1).alias("canonical"), "lon", "lat").join(new, "canonical", "left")
     found = both.select("id", F.coalesce("lon", "_lon").alias("lon"), F.coalesce("lat", "_lat").alias("lat"))
     return found.withColumns({"mx": geo.mercator_x(F.col("lon")), "my": geo.mercator_y(F.col("lat"))})
@@ -106,8 +116,8 @@ def merged_aliases(table: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def type_fixes(table: DataFrame, source: DataFrame) -> DataFrame:
-    """id, type of places whose type differs, null-safely, from the source's row of the same canonical name."""
-    new = source.select(F.element_at("names", 1).alias("canonical"), F.col("type").alias("new"))
+    """id, type of places whose type differs, null-safely, from that of the source's first row of the same canonical name."""
+    new = canonical_rows(source, "type").withColumnRenamed("type", "new")
     return table.select("id", "type", F.element_at("names", 1).alias("canonical")).join(new, "canonical").where(~F.col("type").eqNullSafe(F.col("new"))).select("id", F.col("new").alias("type"))
 
 

@@ -172,17 +172,33 @@ def orphans(files: DataFrame, events: DataFrame, oldest: int = 70) -> DataFrame:
 
 
 def deliveries(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Events for each subscriber; an empty subscription takes everything."""
-    wide = events.select("id", "layer").join(small(subscriptions.where(F.size("layers") == 0).select("subscriber")))
-    asked = subscriptions.select("subscriber", F.explode("layers").alias("layer")).distinct()
-    named = events.select("id", "layer").join(small(asked), "layer")
-    return wide.select("subscriber", "id", "layer").unionByName(named.select("subscriber", "id", "layer"))
+    """Events for each subscriber; an empty subscription takes everything.
+
+    Each event stands under its category and once under a name that all categories share, so that one equi-join serves both.
+    """
+    named = lambda c: F.concat(F.lit("="), c)
+    asked = subscriptions.select("subscriber", F.explode(F.when(F.size("layers") == 0, F.array(F.lit("*"))).otherwise(F.transform("layers", named))).alias("topic")).distinct()
+    each = events.select("id", "layer", F.explode(F.array(F.lit("*"), named(F.col("layer")))).alias("topic"))
+    return each.join(asked, "topic").select("subscriber", "id", "layer")
 
 
 def changes_after(events: DataFrame, marks: DataFrame) -> DataFrame:
-    """mark, n, last: for each watermark within the log how many rows came after it, and the greatest id of these."""
-    known = resync_flags(events, marks).where("NOT resync").select("mark")
-    return events.select("message_id", "id").join(small(known), F.col("message_id") > F.col("mark")).groupBy("mark").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+    """mark, n, last: for each distinct watermark within the log how many rows came after it, and the greatest id of these.
+
+    Marks and rows are sorted together, newest first, and dealt by ranges; counts run within a range, and only the ranges'
+    totals, a row for each partition, go through one task. So any number of marks costs one sort.
+    """
+    known = resync_flags(events, marks).where("NOT resync").select(F.col("mark").alias("at")).distinct()
+    rows = events.select(F.col("message_id").alias("at"), "id", F.lit(0).alias("is_mark")).unionByName(known.select("at", F.lit(None).cast("long").alias("id"), F.lit(1).alias("is_mark")))
+    order = [F.desc("at"), F.desc("is_mark"), F.desc("id")]
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    totals = dealt.groupBy("_range").agg(F.count("id").alias("_n"), F.max("id").alias("_last"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"), F.max("_last").over(earlier).alias("_last"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = dealt.withColumns({"n": F.count("id").over(inside), "last": F.max("id").over(inside)}).where("is_mark = 1")
+    met = run.join(F.broadcast(before), "_range").select(F.col("at").alias("mark"), (F.col("n") + F.col("_n")).alias("n"), F.greatest("last", "_last").alias("last"))
+    return met.where("n > 0")
 
 
 def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:

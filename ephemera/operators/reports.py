@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -164,11 +166,16 @@ def long_running(queue: DataFrame, now: DataFrame, minutes: int = 5) -> DataFram
 
 
 def lock_graph(stats: DataFrame) -> DataFrame:
-    """Who waits for whom: an ungranted request and a granted one that agree null-safely in relation and rows, by other processes."""
-    w, h = stats.where("NOT granted").alias("w"), stats.where("granted").alias("h")
-    same = F.col("w.locked_rel").eqNullSafe(F.col("h.locked_rel")) & F.col("w.rows").eqNullSafe(F.col("h.rows")) & F.col("w.shared_blks_read").eqNullSafe(F.col("h.shared_blks_read"))
+    """Who waits for whom: an ungranted request and a granted one that agree null-safely in relation and rows, by other processes.
+
+    Requests are counted by lock and process before they meet, so that a busy lock joins processes, not requests.
+    """
+    lock = ["locked_rel", "rows", "shared_blks_read"]
+    of = lambda side: side.groupBy(*lock, "pid").agg(F.count("*").alias("n"))
+    w, h = of(stats.where("NOT granted")).alias("w"), of(stats.where("granted")).alias("h")
+    same = reduce(lambda a, b: a & b, [F.col(f"w.{c}").eqNullSafe(F.col(f"h.{c}")) for c in lock])
     pairs = w.join(h, same & (F.col("w.pid") != F.col("h.pid")))
-    return pairs.groupBy(F.col("w.pid").alias("waiting"), F.col("h.pid").alias("holding")).agg(F.count("*").alias("locks"))
+    return pairs.groupBy(F.col("w.pid").alias("waiting"), F.col("h.pid").alias("holding")).agg(F.sum(F.col("w.n") * F.col("h.n")).alias("locks"))
 
 
 def bloat(tables: DataFrame, limit: int = 20) -> DataFrame:

@@ -31,12 +31,15 @@ def grams(spark, d):
 
 
 def source(spark, d):
-    """A source table for synchronisation: known places with new aliases and types, new places, and repeated aliases."""
+    """A source table for synchronisation: known places with new aliases and types, new places, repeated aliases and canonical names."""
     s = t.read(spark, d, "supplier").selectExpr("CAST(s_suppkey AS BIGINT) AS rn", "s_name AS n")
-    return s.selectExpr("rn", "CASE rn % 3 WHEN 0 THEN array(n, concat(n, ' new')) WHEN 1 THEN array(concat('New ', rn), concat('shared ', rn % 10)) ELSE array(n) END AS names", "CASE WHEN rn % 5 = 0 THEN 'fixed' ELSE NULL END AS type")
+    own = s.selectExpr("rn", "CASE rn % 3 WHEN 0 THEN array(n, concat(n, ' new')) WHEN 1 THEN array(concat('New ', rn), concat('shared ', rn % 10)) ELSE array(n) END AS names", "CASE WHEN rn % 5 = 0 THEN 'fixed' ELSE NULL END AS type")
+    return own.unionByName(s.where("rn % 7 = 0").selectExpr("rn + 1000000 AS rn", "array(n, concat(n, ' again'), concat(n, ' new')) AS names", "'again' AS type"))
 
 
-SOURCE = """source AS (SELECT rn, CASE rn % 3 WHEN 0 THEN [n, concat(n, ' new')] WHEN 1 THEN [concat('New ', rn), concat('shared ', rn % 10)] ELSE [n] END AS names, CASE WHEN rn % 5 = 0 THEN 'fixed' END AS type FROM (SELECT CAST(s_suppkey AS BIGINT) AS rn, s_name AS n FROM supplier))"""
+SOURCE = """source AS (SELECT rn, CASE rn % 3 WHEN 0 THEN [n, concat(n, ' new')] WHEN 1 THEN [concat('New ', rn), concat('shared ', rn % 10)] ELSE [n] END AS names, CASE WHEN rn % 5 = 0 THEN 'fixed' END AS type FROM (SELECT CAST(s_suppkey AS BIGINT) AS rn, s_name AS n FROM supplier)
+  UNION ALL SELECT CAST(s_suppkey AS BIGINT) + 1000000, [s_name, concat(s_name, ' again'), concat(s_name, ' new')], 'again' FROM supplier WHERE s_suppkey % 7 = 0),
+ by_name AS (SELECT names[1] AS canonical, first(type ORDER BY rn) AS type, list_distinct(flatten(list(names))) AS names FROM source GROUP BY 1)"""
 
 
 def _linked(spark, d):
@@ -60,11 +63,11 @@ def _forms(spark, d):
 
 _all = {
     "m11_sync_inserts": (lambda s, d: dic.to_insert(t.places(s, d), source(s, d)).select("rn"), "SELECT rn FROM source p WHERE NOT EXISTS (SELECT 1 FROM places g WHERE list_has_any(g.names, p.names)) AND NOT EXISTS (SELECT 1 FROM source q WHERE q.rn < p.rn AND list_has_any(q.names, p.names))"),
-    "m12_sync_aliases": (lambda s, d: dic.merged_aliases(t.places(s, d), source(s, d)), "SELECT g.id, list_concat(g.names, list_sort(list_distinct(list_filter(p.names, lambda a: NOT list_contains(g.names, a))))) AS names FROM places g JOIN source p ON g.names[1] = p.names[1] WHERE NOT list_has_all(g.names, p.names)"),
-    "m13_sync_types": (lambda s, d: dic.type_fixes(t.places(s, d), source(s, d)), "SELECT g.id, p.type FROM places g JOIN source p ON g.names[1] = p.names[1] WHERE g.type IS DISTINCT FROM p.type"),
+    "m12_sync_aliases": (lambda s, d: dic.merged_aliases(t.places(s, d), source(s, d)), "SELECT g.id, list_concat(g.names, list_sort(list_filter(p.names, lambda a: NOT list_contains(g.names, a)))) AS names FROM places g JOIN by_name p ON g.names[1] = canonical WHERE NOT list_has_all(g.names, p.names)"),
+    "m13_sync_types": (lambda s, d: dic.type_fixes(t.places(s, d), source(s, d)), "SELECT g.id, p.type FROM places g JOIN by_name p ON g.names[1] = canonical WHERE g.type IS DISTINCT FROM p.type"),
     "m15_sync_report": (lambda s, d: dic.sync_report(t.places(s, d), source(s, d)), "SELECT count(*) FILTER (g IS NULL) AS unmatched, count(g) AS present FROM source p LEFT JOIN (SELECT DISTINCT names[1] AS g FROM places) ON g = p.names[1]"),
     "a09_synchronised": (lambda s, d: dic.synchronised(t.places(s, d), source(s, d)).groupBy("type").agg(F.count("*").alias("n"), F.sum(F.size("names")).alias("aliases")), """SELECT type, count(*) AS n, CAST(sum(len(names)) AS BIGINT) AS aliases FROM (
-      SELECT CASE WHEN p.rn IS NOT NULL THEN p.type ELSE g.type END AS type, CASE WHEN p.rn IS NULL THEN g.names ELSE list_concat(g.names, list_filter(p.names, lambda a: NOT list_contains(g.names, a))) END AS names FROM places g LEFT JOIN source p ON g.names[1] = p.names[1]
+      SELECT CASE WHEN canonical IS NOT NULL THEN p.type ELSE g.type END AS type, CASE WHEN canonical IS NULL THEN g.names ELSE list_concat(g.names, list_filter(p.names, lambda a: NOT list_contains(g.names, a))) END AS names FROM places g LEFT JOIN by_name p ON g.names[1] = canonical
       UNION ALL SELECT p.type, p.names FROM source p WHERE NOT EXISTS (SELECT 1 FROM places g WHERE list_has_any(g.names, p.names)) AND NOT EXISTS (SELECT 1 FROM source q WHERE q.rn < p.rn AND list_has_any(q.names, p.names))) GROUP BY 1"""),
     "j09_aliases": (lambda s, d: t.places(s, d).select("id", F.posexplode("names").alias("pos", "alias")), "SELECT id, CAST(i - 1 AS INT) AS pos, names[i] AS alias FROM (SELECT id, names, unnest(range(1, len(names) + 1)) AS i FROM places)"),
     "t14_alias_index": (lambda s, d: dic.aliases(t.places(s, d)).select("geo_id", "alias", "key", "sorted_key"), """SELECT DISTINCT geo_id, alias, array_to_string(st, ' ') AS key, array_to_string(list_sort(st), ' ') AS sorted_key FROM (

@@ -11,10 +11,10 @@ from ..sources import tables as t
 KEYWORDS = (("the", "common", 3), ("was", "past", 2), ("that", "link", 1), ("der", "german", 1), ("les", "french", 1))
 _KW = ", ".join(f"('{k}', '{c}', {p})" for k, c, p in KEYWORDS)
 #: Text with entities, tags, times, tags and numbers put in, the same in both engines.
-NOISY = "concat('<b>', text, '</b> at 12:30 &amp; #', message_id, ' Hauptstrasse 5th é')"
+NOISY = "concat('<b>', text, '</b> at 12:30 or 7.05, not 99:99 or 24.61, C / P &amp; #', message_id, ' p/O/b Hauptstrasse 5th é')"
 _NOISY_MESSAGES = f"noisy AS (SELECT message_id, {NOISY} AS text FROM messages)"
 _SPACES = "trim(regexp_replace({}, '[ \\t\\n\\r]+', ' ', 'g'))"
-_PLAIN = "regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '<[^>]*>', ' ', 'g'), '\\b[0-9]{{1,2}}:[0-9]{{2}}\\b', ' ', 'g')"
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '<[^>]*>', ' ', 'g'), '\\b([01]?[0-9]|2[0-3])[:.][0-5][0-9]\\b', ' ', 'g'), '\\b[cC]\\s*[/\\\\]\\s*[pP]\\b', 'cp', 'g'), '\\b[pP]\\s*[/\\\\]\\s*[oO]\\s*[/\\\\]\\s*[bB]\\b', 'pob', 'g')"
 _RESPELLED = "regexp_replace(regexp_replace(translate({}, 'éèêëàâîïôûùç', 'eeeeaaiiouuc'), '(?i)strasse\\b', 'street', 'g'), '(?i)gatan\\b', 'street', 'g')"
 LIGHT = _SPACES.format(_RESPELLED.format(f"replace({_PLAIN.format('text')}, '#', ' ')"))
 CLEAN = f"lower({_SPACES.format(_RESPELLED.format('regexp_replace(' + _PLAIN.format('text') + chr(44) + ' $$[^\\p{L}\\p{N}]+$$, $$ $$, $$g$$)'))})"
@@ -51,11 +51,11 @@ _FOLD = "replace(replace(replace(replace(replace(lower(text), 'ß', 'ss'), 'ς',
 _dedup = f"CASE WHEN length(regexp_replace({_FOLD}, '[^\\p{{L}}\\p{{N}}_]+', '', 'g')) >= 4 THEN regexp_replace({_FOLD}, '[^\\p{{L}}\\p{{N}}_]+', '', 'g') END"
 
 _all = {
-    "t01_strip_tail": (lambda s, d: t.messages(s, d).select("message_id", x.strip_tail(F.concat("text", F.lit(" Send NEWS to us, subscribe"))).alias("text")), "SELECT message_id, trim(text) AS text FROM messages"),
+    "t01_strip_tail": (lambda s, d: t.messages(s, d).select("message_id", x.strip_tail(F.concat("text", F.when(F.col("message_id") % 2 == 0, " Send NEWS to us, subscribe").otherwise(" \U0001F310 Show  pin ON map "))).alias("text")), "SELECT message_id, trim(text) AS text FROM messages"),
     "t02_clean_light": (lambda s, d: _noisy(s, d).select("message_id", x.clean_light(F.col("text")).alias("text")), f"SELECT message_id, {LIGHT} AS text FROM noisy"),
     "t03_canonical_form": (lambda s, d: _noisy(s, d).select("message_id", x.clean(F.col("text")).alias("text")), f"SELECT message_id, {CLEAN} AS text FROM noisy".replace("$$", "'")),
     "t04_strip_emoji": (lambda s, d: t.messages(s, d).select("message_id", x.strip_emoji(F.concat(F.lit("📍→ "), "text", F.lit("🏠🇫🇷👨\u200d👩 1\ufe0f\u20e3™ x"))).alias("text")), f"SELECT message_id, {_SPACES.format('concat(text, $$ 1 x$$)')} AS text FROM messages".replace("$$", "'")),
-    "t05_promotional": (lambda s, d: t.read(s, d, "pages").select("page_id", x.is_promotional(F.col("html")).alias("promotional")), "SELECT page_id, regexp_matches(lower(html), '(https?://|www\\.|@[a-z][a-z0-9_]{3,}|paid subscription|our channel)') AS promotional FROM pages"),
+    "t05_promotional": (lambda s, d: t.read(s, d, "pages").select("page_id", x.is_promotional(F.col("html")).alias("promotional")), "SELECT page_id, regexp_matches(regexp_replace(lower(html), '[ \\t\\n\\r]+', ' ', 'g'), 'http://|https://|www[.]|promo code|limited offer|join our group|sponsored post|(^|[^a-z0-9])@[a-z0-9_]{4,}') AS promotional FROM pages"),
     "t06_truncate_middle": (lambda s, d: t.messages(s, d).select("message_id", x.truncate_middle(F.col("text"), 120).alias("text")), "SELECT message_id, CASE WHEN length(text) <= 120 THEN text ELSE concat(regexp_replace(left(text, 60), ' [^ ]*$', ''), ' … ', regexp_replace(right(text, 60), '^[^ ]* ', '')) END AS text FROM messages"),
     "t07_valid_utf8": (lambda s, d: t.messages(s, d).select("message_id", F.length(x.valid_utf8(F.col("text"))).alias("n")), "SELECT message_id, CAST(length(text) AS INT) AS n FROM messages"),
     "t08_dedup_keys": (lambda s, d: t.messages(s, d).select("message_id", x.dedup_key(F.concat("text", F.lit(" Straße ΟΔΟΣ ﬁ"))).alias("key")), f"SELECT message_id, {_dedup.replace('text', "concat(text, ' Straße ΟΔΟΣ ﬁ')")} AS key FROM messages"),
