@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import overlay
+
 _REAL = T.DoubleType()
 _POINTS = T.ArrayType(T.StructType([T.StructField("x", _REAL), T.StructField("y", _REAL)]))
 GEOMETRY = T.StructType([T.StructField("gtype", T.StringType()), T.StructField("pts", _POINTS), T.StructField("starts", T.ArrayType(T.IntegerType()))])
@@ -179,7 +181,10 @@ def parse_wkt(text: str | None) -> dict | None:
 
 
 def made_valid(gtype: str, parts: list[np.ndarray]) -> list[np.ndarray]:
-    """Without repeated points, with closed rings; parts of which too little is left go."""
+    """Without repeated points, with closed rings that do not cross; parts of which too little is left go.
+
+    Rings that cross themselves or one another come back as rings around what lies in an odd number of them.
+    """
     out, least = [], {"POINT": 1, "LINESTRING": 2, "POLYGON": 4}[gtype.removeprefix("MULTI")]
     for pts in parts:
         if len(pts):
@@ -188,7 +193,17 @@ def made_valid(gtype: str, parts: list[np.ndarray]) -> list[np.ndarray]:
             pts = np.vstack([pts, pts[:1]])
         if len(pts) >= least:
             out.append(pts)
-    return out
+    return overlay.repaired(out) if gtype.endswith("POLYGON") and tangled(out) else out
+
+
+def tangled(rings: list[np.ndarray]) -> bool:
+    """Whether segments of closed rings meet anywhere but at the ends of neighbours."""
+    if not rings:
+        return False
+    a, b = overlay.ends(rings)
+    cuts = overlay.cut_places(a, b, a, b, overlay.extent(rings) * overlay.NEAR)
+    once = sum(len(np.unique(r[:-1], axis=0)) for r in rings) == len(a) and len(np.unique(a, axis=0)) == len(a)
+    return not once or any(len(t) > 2 for t in cuts)
 
 
 def inside(p: np.ndarray, rings: list[np.ndarray]) -> bool:
@@ -291,16 +306,8 @@ def shortest_line(gtype_a: str, a: list[np.ndarray], gtype_b: str, b: list[np.nd
 
 
 def surface_point(gtype_a: str, a: list[np.ndarray], gtype_b: str, b: list[np.ndarray]) -> np.ndarray | None:
-    """A point of the intersection: the first crossing in x, y order, else a part's vertex inside the other; None if they are apart."""
-    meet = crossings(a, b)
-    if len(meet):
-        return meet[np.lexsort((meet[:, 1], meet[:, 0]))[0]]
-    for kind, own, other in ((gtype_a, a, b), (gtype_b, b, a)):
-        if kind.endswith("POLYGON"):
-            for part in other:
-                if inside(part[0], own):
-                    return part[0]
-    return None
+    """A point of the intersection: in the middle of its part of the highest dimension; None if they are apart."""
+    return overlay.meeting_point(gtype_a, a, gtype_b, b)
 
 
 def locate(line: np.ndarray, p: np.ndarray) -> tuple[float, float]:
@@ -355,6 +362,68 @@ def line_merged(gtype: pd.Series, pts: pd.Series, starts: pd.Series) -> pd.DataF
     return pd.DataFrame(rows, columns=["gtype", "pts", "starts"])
 
 
+def _shape(kind: str, parts: list[np.ndarray]) -> tuple:
+    """The fields of a geometry; null ones for no parts."""
+    if not parts:
+        return None, None, None
+    starts = None if len(parts) == 1 else np.cumsum([0, *map(len, parts[:-1])]).tolist()
+    kind = kind if len(parts) == 1 or kind == "POLYGON" else f"MULTI{kind}"
+    return kind, [{"x": float(x), "y": float(y)} for part in parts for x, y in part], starts
+
+
+@F.pandas_udf(GEOMETRY)
+def _valid(gtype: pd.Series, pts: pd.Series, starts: pd.Series) -> pd.DataFrame:
+    rows = [_shape(k.removeprefix("MULTI"), made_valid(k, _parts(p, s))) if k is not None else (None, None, None) for k, p, s in zip(gtype, pts, starts, strict=True)]
+    return pd.DataFrame(rows, columns=["gtype", "pts", "starts"])
+
+
+def valid(geometry: Column) -> Column:
+    """The geometry without repeated points and with rings that are closed and do not cross; null fields if nothing is left."""
+    return _valid(geometry["gtype"], geometry["pts"], geometry["starts"])
+
+
+@F.pandas_udf(GEOMETRY)
+def _common(ga: pd.Series, pa_: pd.Series, sa: pd.Series, gb: pd.Series, pb: pd.Series, sb: pd.Series) -> pd.DataFrame:
+    rows = []
+    for kind_a, a, kind_b, b in _pairs(ga, pa_, sa, gb, pb, sb):
+        found = overlay.common(kind_a, a, kind_b, b)
+        rows.append(next((_shape(kind, found[kind]) for kind in ("POLYGON", "LINESTRING", "POINT") if found[kind]), (None, None, None)))
+    return pd.DataFrame(rows, columns=["gtype", "pts", "starts"])
+
+
+def intersection(a: Column, b: Column) -> Column:
+    """What two geometries share, of its highest dimension only; null fields if they are apart."""
+    return _common(*_fields(a, b))
+
+
+@F.pandas_udf(T.StructType([T.StructField("x", _REAL), T.StructField("y", _REAL)]))
+def _point_on(gtype: pd.Series, pts: pd.Series, starts: pd.Series) -> pd.DataFrame:
+    found = [overlay.middle(k.removeprefix("MULTI"), _parts(p, s)) if k is not None else (None, None) for k, p, s in zip(gtype, pts, starts, strict=True)]
+    return pd.DataFrame([(None, None) if f[0] is None else (float(f[0]), float(f[1])) for f in found], columns=["x", "y"])
+
+
+def point_on(geometry: Column) -> Column:
+    """A point on a geometry, well inside it where it has an inside."""
+    return _point_on(geometry["gtype"], geometry["pts"], geometry["starts"])
+
+
+def midpoint(pts: Column) -> Column:
+    """The point of a line at half its length; the point itself of a line without any."""
+    own = steps(pts)
+    ends_ = F.aggregate(own, F.array(F.lit(0.0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s)))
+    half = F.element_at(ends_, -1) / 2
+    k = F.greatest(F.lit(1), F.size(F.filter(F.slice(ends_, F.lit(1), F.size(ends_) - 1), lambda e: e <= half)))
+    a, b = F.element_at(pts, k), F.element_at(pts, F.least(k + 1, F.size(pts)))
+    f = F.coalesce((half - F.element_at(ends_, k)) / F.nullif(F.get(own, k - 1), F.lit(0.0)), F.lit(0.0))
+    return F.struct((a["x"] + f * (b["x"] - a["x"])).alias("x"), (a["y"] + f * (b["y"] - a["y"])).alias("y"))
+
+
+def buffer(x: Column, y: Column, radius: float, corners: int = 32) -> Column:
+    """A polygon of so many corners around a point, on a circle, closed."""
+    corner = lambda i: F.struct((x + radius * F.cos(2 * math.pi * (i % corners) / corners)).alias("x"), (y + radius * F.sin(2 * math.pi * (i % corners) / corners)).alias("y"))
+    return shape("POLYGON", F.transform(F.sequence(F.lit(0), F.lit(corners)), corner))
+
+
 def _pairs(*columns: pd.Series) -> Iterator[tuple[str, list[np.ndarray], str, list[np.ndarray]]]:
     for kind_a, a, sa, kind_b, b, sb in zip(*columns, strict=True):
         yield kind_a, _parts(a, sa), kind_b, _parts(b, sb)
@@ -375,6 +444,23 @@ def _within(ga: pd.Series, pa_: pd.Series, sa: pd.Series, gb: pd.Series, pb: pd.
     return pd.Series([contained(*pair) for pair in _pairs(ga, pa_, sa, gb, pb, sb)], dtype=bool)
 
 
+def meet(gtype_a: str, a: list[np.ndarray], gtype_b: str, b: list[np.ndarray]) -> bool:
+    """Whether two geometries share a point: their edges meet, or one lies in the other."""
+    if len(crossings(a, b)):
+        return True
+    return any(kind.endswith("POLYGON") and any(inside(part[0], own) for part in other) for kind, own, other in ((gtype_a, a, b), (gtype_b, b, a)))
+
+
+@F.pandas_udf(T.BooleanType())
+def _intersects(ga: pd.Series, pa_: pd.Series, sa: pd.Series, gb: pd.Series, pb: pd.Series, sb: pd.Series) -> pd.Series:
+    return pd.Series([meet(*pair) for pair in _pairs(ga, pa_, sa, gb, pb, sb)], dtype=bool)
+
+
+def intersects(a: Column, b: Column) -> Column:
+    """Whether two geometries share a point, on their edges or inside."""
+    return _intersects(*_fields(a, b))
+
+
 def _fields(a: Column, b: Column) -> list[Column]:
     return [g[f] for g in (a, b) for f in ("gtype", "pts", "starts")]
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import resolve as v
+from ..operators import spatial
 from ..operators.reports import rounded
 from ..sources import tables as t
 from .report_queries import r3
@@ -126,7 +127,7 @@ def scattered(spark, d):
     """Mean point and scatter of each type's places."""
     p = t.places(spark, d).select("type", "mx", "my")
     c = p.groupBy("type").agg(F.avg("mx").alias("cx"), F.avg("my").alias("cy"))
-    return p.join(F.broadcast(c), "type").groupBy("type").agg(rounded(F.max(geo.point_distance(F.col("mx"), F.col("my"), F.col("cx"), F.col("cy"))), 1).alias("scatter_m"), F.count("*").alias("n"))
+    return p.join(c, "type").groupBy("type").agg(rounded(F.max(geo.point_distance(F.col("mx"), F.col("my"), F.col("cx"), F.col("cy"))), 1).alias("scatter_m"), F.count("*").alias("n"))
 
 
 def fallback_points(spark, d):
@@ -143,12 +144,90 @@ def wkt_places(spark, d):
     return g.where("geom.gtype IS NOT NULL").select("id", F.size(F.split("names", r"\|")).alias("aliases"), F.col("geom.gtype").alias("gtype"), geo.length(F.col("geom")).alias("length"), F.size("geom.pts").alias("points"))
 
 
+def _districts(spark, d):
+    shapes = line_places(spark, d)
+    return shapes.where("type <> 'district'").select("id", "geom"), shapes.where("type = 'district'").select("id", "geom")
+
+
+def overlapping_districts(spark, d):
+    """Pairs of boxes that share a point."""
+    own = _districts(spark, d)[1]
+    return spatial.join_shapes(own, own).where("a < b")
+
+
+def shapes_in_districts(how):
+    """How many lines and points meet each district, or lie in it."""
+
+    def run(spark, d):
+        shapes, own = _districts(spark, d)
+        kinds = shapes.select(F.col("id").alias("a"), F.col("geom")["gtype"].alias("gtype"))
+        return spatial.join_shapes(shapes, own, how).join(kinds, "a").groupBy(F.col("b").alias("district"), "gtype").agg(F.count("*").alias("n"), F.sum("a").alias("ids"))
+
+    return run
+
+
+def shared_regions(spark, d):
+    """The area that two overlapping districts have in common, and whether its middle lies in both."""
+    own = _districts(spark, d)[1]
+    pairs = spatial.join_shapes(own, own).where("a < b")
+    both = pairs.join(own.toDF("a", "ga"), "a").join(own.toDF("b", "gb"), "b").withColumn("part", geo.intersection(F.col("ga"), F.col("gb"))).withColumn("p", geo.point_on(F.col("part")))
+    middle = geo.point(F.col("p.x"), F.col("p.y"))
+    flat = both.select("a", "b", F.col("part")["gtype"].alias("gtype"), rounded(geo.ring_area(F.col("part")["pts"]) / 1e6, 2).alias("km2"), middle.alias("m"), "ga", "gb")
+    return flat.select("a", "b", "gtype", "km2", (geo.within(F.col("m"), F.col("ga")) & geo.within(F.col("m"), F.col("gb"))).alias("inside"))
+
+
+def mended_rings(spark, d):
+    """Rings in the form of an eight around places, as polygons that do not cross themselves."""
+    xy = lambda dx, dy: F.struct((F.col("mx") + dx).alias("x"), (F.col("my") + dy).alias("y"))
+    w = (F.col("id") % 9 + 1) * 20.0
+    ring = F.array(xy(-w, -w), xy(w, w), xy(w, -w), xy(-w, w), xy(-w, -w))
+    p = t.places(spark, d).select("id", geo.valid(geo.shape("POLYGON", ring)).alias("g"))
+    areas = F.transform(geo.part_arrays(F.col("g")), lambda r: geo.ring_area(r))
+    return p.select("id", F.size(areas).alias("rings"), rounded(F.aggregate(areas, F.lit(0.0), lambda a, b: a + b), 1).alias("area"))
+
+
+def line_middles(spark, d):
+    """The middle of each line by length along it."""
+    p = line_places(spark, d).where("geom.gtype = 'LINESTRING'").select("id", geo.midpoint(F.col("geom")["pts"]).alias("m"))
+    return p.select("id", rounded("m.x", 1).alias("x"), rounded("m.y", 1).alias("y"))
+
+
+def buffers(spark, d):
+    """A polygon of 200 metres around each place: its corners and area."""
+    ring = geo.buffer(F.col("mx"), F.col("my"), 200.0)["pts"]
+    return t.places(spark, d).select("id", F.size(ring).alias("corners"), rounded(geo.ring_area(F.transform(ring, lambda q: F.struct((q["x"] - F.col("mx")).alias("x"), (q["y"] - F.col("my")).alias("y")))), 1).alias("area"))
+
+
+_SHAPES = f"""{t.PLACES},
+ district AS (SELECT id, mx - 5000 AS x0, my - 5000 AS y0, mx + 5000 AS x1, my + 5000 AS y1 FROM places WHERE type = 'district'),
+ shapes AS (SELECT id, mx, my, id % 3 = 0 AS line FROM places WHERE type <> 'district'),
+ segments AS (SELECT id, mx AS px, my AS py, mx + 150 AS qx, my + 200 AS qy FROM shapes WHERE line UNION ALL SELECT id, mx + 150, my + 200, mx + 300, my + 100 FROM shapes WHERE line)"""
+_SIDE = "sign((qx - px) * ({y} - py) - ({x} - px) * (qy - py))"
+_CORNERS = ", ".join(_SIDE.format(x=f"d.{x}", y=f"d.{y}") for x in ("x0", "x1") for y in ("y0", "y1"))
+MEETING = f"""WITH {_SHAPES}, pairs AS (
+ SELECT d.id AS district, 'POINT' AS gtype, s.id FROM shapes s JOIN district d ON NOT line AND mx BETWEEN x0 AND x1 AND my BETWEEN y0 AND y1
+ UNION SELECT d.id, 'LINESTRING', s.id FROM segments s JOIN district d ON least(px, qx) <= x1 AND greatest(px, qx) >= x0 AND least(py, qy) <= y1 AND greatest(py, qy) >= y0
+   WHERE list_min([{_CORNERS}]) <= 0 AND list_max([{_CORNERS}]) >= 0)
+ SELECT district, gtype, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM pairs GROUP BY ALL"""
+WITHIN = f"""WITH {_SHAPES} SELECT d.id AS district, CASE WHEN line THEN 'LINESTRING' ELSE 'POINT' END AS gtype, count(*) AS n, CAST(sum(s.id) AS BIGINT) AS ids FROM shapes s JOIN district d
+ ON mx > x0 AND my > y0 AND CASE WHEN line THEN mx + 300 ELSE mx END < x1 AND CASE WHEN line THEN my + 200 ELSE my END < y1 GROUP BY ALL"""
+_OVERLAP = "FROM district a JOIN district b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"
+
 QUERIES = {
+    "j06_overlapping_districts": overlapping_districts, "j06_shapes_meeting_districts": shapes_in_districts("intersects"), "j07_shapes_within_districts": shapes_in_districts("within"),
+    "g07_shared_regions": shared_regions, "g03_mended_rings": mended_rings, "g21_line_middles": line_middles, "g23_buffers": buffers,
     "r01_arbiter_points": r_arbiter_points, "r02_arbiter_shapes": r_arbiter_shapes, "r03_arbiter_older_rules": r_arbiter_older, "j05_distance_join": near_places, "g02_mercator": mercator, "g24_tiles": tiles,
     "g22_sliver_polygons": rings, "g14_scatter": scattered, "g20_fallback_points": fallback_points, "s03_wkt_dictionary": wkt_places,
     "g17_geojson": lambda s, d: line_places(s, d).select("id", geo.geojson(F.col("geom")).alias("geojson")),
 }
 ORACLE_SQL = {
+    "j06_overlapping_districts": f"WITH {_SHAPES} SELECT a.id AS a, b.id AS b {_OVERLAP}",
+    "j06_shapes_meeting_districts": MEETING,
+    "j07_shapes_within_districts": WITHIN,
+    "g07_shared_regions": f"WITH {_SHAPES} SELECT a.id AS a, b.id AS b, 'POLYGON' AS gtype, floor((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) / 1e6 * 100 + 0.5) / 100 AS km2, true AS inside {_OVERLAP}",
+    "g03_mended_rings": f"WITH {t.PLACES} SELECT id, 2 AS rings, floor(2 * pow((id % 9 + 1) * 20.0, 2) * 10 + 0.5) / 10 AS area FROM places",
+    "g21_line_middles": f"WITH {t.PLACES}, l AS (SELECT *, ((250 + sqrt(150 * 150 + 100 * 100)) / 2) / 250 AS f FROM places WHERE type <> 'district' AND id % 3 = 0) SELECT id, floor((mx + f * 150) * 10 + 0.5) / 10 AS x, floor((my + f * 200) * 10 + 0.5) / 10 AS y FROM l",
+    "g23_buffers": f"WITH {t.PLACES} SELECT id, 33 AS corners, floor(32 * 200 * 200 / 2 * sin(2 * pi() / 32) * 10 + 0.5) / 10 AS area FROM places",
     "r01_arbiter_points": ARBITER,
     "r03_arbiter_older_rules": OLDER,
     "j05_distance_join": NEAR,
