@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import tables as t
-from ..streaming import sink, state
+from ..streaming import ordered, sink, state
 
 
 def stream_repeats(spark, d):
@@ -55,9 +55,45 @@ def stream_meta(spark, d):
     return rows.agg(F.sum("rows").alias("rows"), F.max("max_event_id").alias("max_event_id"), (F.max("version") + 1).alias("versions"))
 
 
+SPAN = 400 * 86400
+
+
+def stream_unordered_repeats(spark, d):
+    """The repeats of stream_repeats from a stream in no order: the watermark waits for all of it."""
+    state.with_state_store(spark)
+    e = t.events_log(spark, d).select(F.concat_ws(" ", "layer", "user_id").alias("key"), "id", "event_time")
+    found = ordered.unordered_repeats(sink.out_of_order(spark, e, "key", "event_time", SPAN), f"{SPAN} seconds")
+    return sink.run_to_table(spark, found, "unordered").where("key <> ''").groupBy("duplicate").agg(F.count("*").alias("n"))
+
+
+def stream_leases(spark, d):
+    """Users as tasks, whose events claim, finish or fail them; leases of six hours run out as the watermark passes."""
+    state.with_state_store(spark)
+    signal = F.when(F.col("k") % 4 < 2, "claim").when(F.col("k") % 4 == 2, "done").otherwise("failed")
+    e = t.events_log(spark, d).select(F.col("user_id").cast("string").alias("task"), "id", "event_time", signal.alias("signal"))
+    found = ordered.leased_tasks(sink.out_of_order(spark, e, "task", "event_time", SPAN), f"{SPAN} seconds", 21600, 7200, 3)
+    return sink.run_to_table(spark, found, "leases").groupBy("status", "attempts").agg(F.count("*").alias("n"))
+
+
+#: One row a signal: what the task is before it (run out, if its lease ended), then after it.
+_LEASES = """, signals AS (SELECT user_id, epoch(event_time) AS x, CASE WHEN k % 4 < 2 THEN 'claim' WHEN k % 4 = 2 THEN 'done' ELSE 'failed' END AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_time, id) AS rn FROM events_log),
+ fold AS (SELECT user_id, 0::BIGINT AS rn, 'free' AS status, 0::BIGINT AS n, 0::DOUBLE AS until, NULL::VARCHAR AS ran_out, NULL::VARCHAR AS became FROM (SELECT DISTINCT user_id FROM events_log)
+  UNION ALL SELECT user_id, rn, coalesce(became, status), CASE WHEN became = 'leased' THEN n + 1 ELSE n END,
+    CASE became WHEN 'leased' THEN x + 21600 WHEN 'retry' THEN x + 7200 * pow(2, n - 1) ELSE until END, ran_out, became FROM (
+    SELECT *, CASE WHEN s = 'claim' AND (status IN ('free', 'expired') OR (status = 'retry' AND until <= x)) THEN 'leased' WHEN s = 'done' AND status = 'leased' THEN 'done'
+      WHEN s = 'failed' AND status = 'leased' THEN CASE WHEN n >= 3 THEN 'dead' ELSE 'retry' END END AS became FROM (
+      SELECT f.user_id, o.rn, o.x, o.s, f.n, f.until, CASE WHEN f.status = 'leased' AND f.until < o.x THEN CASE WHEN f.n >= 3 THEN 'dead' ELSE 'expired' END END AS ran_out, coalesce(ran_out, f.status) AS status
+      FROM (SELECT user_id, rn, status, n, until FROM fold) f JOIN signals o ON o.user_id = f.user_id AND o.rn = f.rn + 1))),
+ ends AS (SELECT status, n FROM fold QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) = 1),
+ changes AS (SELECT ran_out AS status, CASE WHEN became = 'leased' THEN n - 1 ELSE n END AS attempts FROM fold WHERE ran_out IS NOT NULL UNION ALL SELECT became, n FROM fold WHERE became IS NOT NULL
+  UNION ALL SELECT CASE WHEN n >= 3 THEN 'dead' ELSE 'expired' END, n FROM ends WHERE status = 'leased')
+ SELECT status, attempts, count(*) AS n FROM changes GROUP BY ALL"""
+
 _REPEATS = "SELECT coalesce(epoch(event_time) - epoch(b) <= 1800, false) AS duplicate, count(*) AS n FROM (SELECT event_time, lag(event_time) OVER (PARTITION BY description ORDER BY event_time, message_id) AS b FROM events_log) GROUP BY 1"
 _all = {
     "stream_d01_repeats": (stream_repeats, _REPEATS),
+    "stream_d01_any_order": (stream_unordered_repeats, _REPEATS),
+    "stream_d07_leases": (stream_leases, _LEASES),
     "stream_d13_latest_row": (stream_latest, "SELECT user_id, id, layer FROM events_log QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_time DESC, id DESC) = 1"),
     "stream_d14_limits": (stream_limits, """, ordered AS (SELECT user_id, epoch(event_time) AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_time) AS rn FROM events_log),
       fold AS (SELECT user_id, rn, x AS start, 1 AS n, 1 AS passed FROM ordered WHERE rn = 1 UNION ALL

@@ -26,7 +26,7 @@ def sides(pts):
 
 
 def meeting(a, b):
-    """The first point in x, y order that two vertex lists share, or None."""
+    """Of the points that two vertex lists share the one nearest to their centre, the first in x, y order of equals; or None."""
     found = [v for v in a if any(hypot(v, foot(v, *s)[0]) < 1e-9 for s in sides(b))]
     found += [v for v in b if any(hypot(v, foot(v, *s)[0]) < 1e-9 for s in sides(a))]
     for p, p2 in sides(a):
@@ -38,7 +38,15 @@ def meeting(a, b):
                 u = ((q[0] - p[0]) * ry - (q[1] - p[1]) * rx) / cross
                 if 0 <= t <= 1 and 0 <= u <= 1:
                     found.append((p[0] + t * rx, p[1] + t * ry))
-    return min(found) if found else None
+    once = []
+    for p in sorted(found):
+        if not any(hypot(p, q) < 1e-6 for q in once):
+            once.append(p)
+    if not once:
+        return None
+    centre = tuple(sum(p[k] for p in once) / len(once) for k in (0, 1))
+    least = min(hypot(p, centre) for p in once)
+    return next(p for p in once if hypot(p, centre) <= least * (1 + 1e-9))
 
 
 def nearest(a, b):
