@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import stemming
 from ..functions import text as x
 from ..operators.log import repeats_within
 from ..sources import tables as t
@@ -41,6 +42,22 @@ def _grams(spark, d):
     return x.message_ngrams(_noisy(spark, d), "message_id")
 
 
+def _words(spark, d):
+    return t.messages(spark, d).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+
+
+def stem_families(spark, d):
+    """How many distinct words of the messages share each stem, and the first of them."""
+    return stemming.english_stems(_words(spark, d)).groupBy("stem").agg(F.count("*").alias("words"), F.min("word").alias("first"))
+
+
+def plural_lemmas(spark, d):
+    """Plurals of the messages' words: those of an even number of letters are known, the others follow their endings."""
+    words = _words(spark, d)
+    forms = words.where(F.length("word") % 2 == 0).select(F.concat("word", F.lit("s")).alias("form"), F.col("word").alias("lemma"), F.lit("noun").alias("pos"))
+    return stemming.lemmas(words.select(F.concat("word", F.lit("s")).alias("word")), forms)
+
+
 def _address(spark, d):
     c = t.read(spark, d, "customer").selectExpr("c_custkey AS id", "concat('Title: Repair Address: ', c_name, ', ', c_custkey, ', Block \"Unit Old ', c_mktsegment, '\", ', c_mktsegment, ' street, 12345 Note: none') AS text")
     return c.withColumn("m", x.structured(F.col("text"))).select("id", "m.title", "m.address", "m.note", x.address_segments(F.col("m.address")).alias("segments"))
@@ -60,6 +77,8 @@ _all = {
     "t07_valid_utf8": (lambda s, d: t.messages(s, d).select("message_id", F.length(x.valid_utf8(F.col("text"))).alias("n")), "SELECT message_id, CAST(length(text) AS INT) AS n FROM messages"),
     "t08_dedup_keys": (lambda s, d: t.messages(s, d).select("message_id", x.dedup_key(F.concat("text", F.lit(" Straße ΟΔΟΣ ﬁ"))).alias("key")), f"SELECT message_id, {_dedup.replace('text', "concat(text, ' Straße ΟΔΟΣ ﬁ')")} AS key FROM messages"),
     "t09_tokens": (lambda s, d: _noisy(s, d).select("message_id", F.posexplode(x.tokens(F.col("text"))).alias("pos", "token")).withColumn("token", F.lower("token")), f"WITH {t.MESSAGES}, {_NOISY_MESSAGES}, {TOKENS} SELECT * FROM toks"),
+    "t10_plural_lemmas": (plural_lemmas, "SELECT DISTINCT w || 's' AS word, w AS lemma, 'noun' AS pos, length(w) % 2 = 0 AS known FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations)"),
+    "t11_stem_families": (stem_families, None),
     "t17_segments": (lambda s, d: x.token_rows(_noisy(s, d), "message_id"), f"WITH {t.MESSAGES}, {_NOISY_MESSAGES}, {TOKENS} SELECT * FROM segs"),
     "t18_ngrams": (lambda s, d: _grams(s, d).groupBy("surface").agg(F.count("*").alias("n"), F.count_if("anchored").alias("anchored"), F.max("segment").alias("last_segment")), f"WITH {t.MESSAGES}, {_NOISY_MESSAGES}, {TOKENS} SELECT surface, count(*) AS n, count(*) FILTER (anchored) AS anchored, max(segment) AS last_segment FROM grams GROUP BY 1"),
     "t20_stop_phrases": (lambda s, d: _grams(s, d).where("n = 1").join(s.createDataFrame([(k,) for k, _, _ in KEYWORDS], "surface string"), "surface", "left_anti").groupBy("message_id").agg(F.count("*").alias("n")), f"WITH {t.MESSAGES}, {_NOISY_MESSAGES}, {TOKENS} SELECT message_id, count(*) AS n FROM grams WHERE n = 1 AND surface NOT IN ({', '.join(repr(k) for k, _, _ in KEYWORDS)}) GROUP BY 1"),
@@ -71,4 +90,4 @@ _all = {
 }
 
 QUERIES = {k: f for k, (f, _) in _all.items()}
-ORACLE_SQL = {k: sql if sql.startswith("WITH") else f"WITH {t.MESSAGES}, {_NOISY_MESSAGES} {sql}" for k, (_, sql) in _all.items()}
+ORACLE_SQL = {k: sql if sql.startswith("WITH") else f"WITH {t.MESSAGES}, {_NOISY_MESSAGES} {sql}" for k, (_, sql) in _all.items() if sql}
