@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import limits
 from ..operators import log as o
 from ..operators import metrics as m
 from ..operators.reports import rounded
@@ -45,11 +46,12 @@ def _resigned(e, n):
     return e.withColumn("message_id", F.when(F.col("id") % n == 0, F.col("message_id")).otherwise(-F.col("message_id")))
 
 
-def _half(e, rest):
-    return e.where(f"id % 3 <> {rest}").select("id", F.when(F.col("id") % 5 == rest, F.lit("x")).otherwise(F.col("layer")).alias("layer"))
+def _wanted(e):
+    """The whole table with some rows under new ids, and others in another category."""
+    return e.select(F.when(F.col("id") % 7 == 0, F.col("id") + 10**9).otherwise(F.col("id")).alias("id"), F.when(F.col("id") % 5 == 0, F.lit("x")).otherwise(F.col("layer")).alias("layer"))
 
 
-_H = "SELECT id, CASE WHEN id % 5 = {0} THEN 'x' ELSE layer END AS layer FROM events_log WHERE id % 3 <> {0}"
+_H = "SELECT CASE WHEN id % 7 = 0 THEN id + 1000000000 ELSE id END AS id, CASE WHEN id % 5 = 0 THEN 'x' ELSE layer END AS layer FROM events_log"
 _FEATURE = """'{"type":"Feature","geometry":{"type":"Point","coordinates":[' || floor(lon * 1000 + 0.5) / 1000 || ',' || floor(lat * 1000 + 0.5) / 1000 || ']},"properties":{"id":' || id || ',"message_id":' || message_id || ',"layer":"' || layer || '","description":"' || description || '","strategy":"' || strategy || '","confidence":' || confidence || '}}'"""
 _EPOCH = "CAST(epoch(date_trunc('second', {})) AS BIGINT)"
 
@@ -74,7 +76,7 @@ _all = {
     "s12_parallel_unnest": (lambda s, d: t.candidates(s, d).groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("geo_id", "score"))).alias("x")).select("msg_id", F.col("x.geo_id").alias("ids"), F.col("x.score").alias("scores")).select("msg_id", F.inline(F.arrays_zip("ids", "scores"))), "SELECT msg_id, geo_id AS ids, score AS scores FROM candidates"),
     "m01_insert_new": (_log(lambda e, n: o.insert_new(_resigned(e, 2), _twice(e), ["message_id", "event_time"], ["seq"]).select(*_SHOWN)), f"SELECT {SHOWN} FROM events_log WHERE id % 2 = 1"),
     "m02_upsert": (_log(lambda e, n: o.upsert(e.select("id", "layer"), _twice(e).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-F.col("id")).alias("id"), F.when(F.col("seq") == 0, "x").otherwise(F.col("layer")).alias("layer"), "seq"), "id", ["seq"])), "SELECT id, CASE WHEN id % 3 = 0 THEN upper(layer) ELSE layer END AS layer FROM events_log UNION ALL SELECT -id, upper(layer) FROM events_log WHERE id % 3 <> 0"),
-    "m04_status_transitions": (_queue(lambda q, n: q.withColumn("slot", F.col("id") % 50).transform(lambda h: o.transitions(h, "slot", "created_at"))), "SELECT slot, id, before, status FROM (SELECT id % 50 AS slot, id, status, lag(status) OVER (PARTITION BY id % 50 ORDER BY created_at, id) AS before FROM queue) WHERE before IS DISTINCT FROM status"),
+    "m04_status_transitions": (_queue(lambda q, n: o.transitions(q, "text", "created_at")), "SELECT text, id, before, status FROM (SELECT text, id, status, lag(status) OVER (PARTITION BY text ORDER BY created_at, id) AS before FROM queue) WHERE before IS DISTINCT FROM status"),
     "m05_lease_expiry": (_queue(lambda q, n: o.requeued(q, n).groupBy("status").agg(F.count("*").alias("n"))), "SELECT CASE WHEN status = 'processing' AND locked_at < t - INTERVAL 5 MINUTE THEN 'pending' ELSE status END AS status, count(*) AS n FROM queue, as_of GROUP BY 1"),
     "m06_single_use_update": (_queue(lambda q, n: q.join(F.broadcast(n)).where("processed_at IS NULL AND status <> 'expired' AND created_at + INTERVAL 7 DAYS > t").select("id")), "SELECT id FROM queue, as_of WHERE processed_at IS NULL AND status <> 'expired' AND created_at + INTERVAL 7 DAY > t"),
     "m07_retention": (_log(o.expired_summary), "SELECT count(*) AS deleted, count(photo_url) AS files FROM events_log, as_of WHERE event_time < t - INTERVAL 60 MINUTE"),
@@ -87,7 +89,7 @@ _all = {
     "m17_geometry_violations": (_log(lambda e, n: o.violations(e)), "SELECT id, v AS violation FROM (SELECT id, CASE WHEN strategy = 'street_segment' AND gtype IS DISTINCT FROM 'LINESTRING' THEN 'segment needs a line' WHEN strategy IN ('intersection', 'weighted_centroid') AND gtype IS DISTINCT FROM 'POINT' THEN 'needs a point' WHEN strategy = 'single_match' AND gtype IS NULL THEN 'needs a geometry' END AS v FROM events_log) WHERE v IS NOT NULL"),
     "m18_change_notifications": (_queue(lambda q, n: q.where("status = 'done'").join(q.where("photo_file_id IS NOT NULL").select("message_id", "event_time"), ["message_id", "event_time"], "left_semi").select("id", "photo_file_id")), "SELECT id, photo_file_id FROM queue WHERE status = 'done' AND photo_file_id IS NOT NULL"),
     "m19_value_migration": (_log(lambda e, n: e.select("id", F.regexp_replace("photo_url", "^.*/", "").alias("photo"), F.when(F.col("strategy") == "random", "fallback").otherwise(F.col("strategy")).alias("strategy"))), "SELECT id, regexp_replace(photo_url, '^.*/', '') AS photo, CASE WHEN strategy = 'random' THEN 'fallback' ELSE strategy END AS strategy FROM events_log"),
-    "m20_orphan_files": (_log(lambda e, n: o.orphans(e.where("id % 4 = 0").select(F.concat("id", F.lit(".jpg")).alias("name"), (F.col("id") % 200).alias("age_min")), e)), "SELECT concat(id, '.jpg') AS name, id % 200 AS age_min FROM events_log WHERE id % 4 = 0 AND id % 200 > 70 AND NOT id % 6 = 0"),
+    "m20_orphan_files": (_log(lambda e, n: o.orphans(e.select(F.concat("id", F.lit(".jpg")).alias("name"), (F.col("id") % 200).alias("age_min")), e)), "SELECT concat(id, '.jpg') AS name, id % 200 AS age_min FROM events_log WHERE id % 200 > 70 AND NOT id % 6 = 0"),
     "m21_missing_attachments": (lambda s, d: t.queue(s, d).where("photo_file_id IS NOT NULL").select("message_id", "event_time", "photo_file_id").join(t.events_log(s, d).where("photo_url IS NULL").select("message_id", "event_time", "id"), ["message_id", "event_time"]).select("id", "photo_file_id"), "SELECT e.id, photo_file_id FROM queue q JOIN events_log e ON q.message_id = e.message_id AND q.event_time = e.event_time WHERE photo_file_id IS NOT NULL AND photo_url IS NULL"),
     "w05_latest_per_key": (_log(lambda e, n: o.latest(e.select("user_id", "event_time", "id", "layer"), "user_id", ["event_time", "id"]).select("user_id", "id", "layer")), "SELECT user_id, id, layer FROM events_log QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_time DESC, id DESC) = 1"),
     "w06_repeats_within_gap": (_log(lambda e, n: o.repeats_within(e, F.when(F.length("description") >= 4, F.col("description")), "event_time").groupBy("duplicate").agg(F.count("*").alias("n"))), "SELECT coalesce(epoch(event_time) - epoch(b) <= 1800, false) AS duplicate, count(*) AS n FROM (SELECT event_time, lag(event_time) OVER (PARTITION BY description ORDER BY event_time, message_id) AS b FROM events_log) GROUP BY 1"),
@@ -95,6 +97,10 @@ _all = {
     "d05_hourly_windows": (_log(lambda e, n: e.groupBy(F.window("event_time", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "n")), "SELECT strftime(date_trunc('hour', event_time), '%Y-%m-%d %H:%M') AS hour, count(*) AS n FROM events_log GROUP BY 1"),
     "d09_changes_or_resync": (lambda s, d: o.changes_after(t.events_log(s, d), _marks(s)), f"SELECT mark, count(*) AS n, max(id) AS last FROM (SELECT unnest({list(MARKS)})::BIGINT AS mark), (SELECT min(message_id) AS lo, max(message_id) AS hi FROM events_log), events_log WHERE NOT (mark > hi OR (lo > 0 AND mark < lo - 1)) AND message_id > mark GROUP BY 1"),
     "d11_subscriber_deliveries": (lambda s, d: o.deliveries(t.events_log(s, d), _subscriptions(s)).groupBy("subscriber").agg(F.count("*").alias("n")), "SELECT subscriber, count(*) AS n FROM (VALUES ('all', []::VARCHAR[]), ('clicks', ['click']), ('two', ['error', 'view']), ('none', ['absent'])) s(subscriber, layers) JOIN events_log ON len(layers) = 0 OR list_contains(layers, layer) GROUP BY 1"),
+    "d14_spread_limits": (_log(lambda e, n: limits.passed_counts(e, "user_id", "event_time", "id", 3, 86400)), """, RECURSIVE ordered AS (SELECT user_id, epoch(event_time) AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_time) AS rn FROM events_log),
+      fold AS (SELECT user_id, rn, x AS start, 1 AS n, 1 AS passed FROM ordered WHERE rn = 1 UNION ALL
+        SELECT o.user_id, o.rn, CASE WHEN x - start > 86400 THEN x ELSE start END, CASE WHEN x - start > 86400 THEN 1 ELSE n + 1 END, passed + CASE WHEN x - start > 86400 OR n + 1 <= 3 THEN 1 ELSE 0 END FROM fold f JOIN ordered o ON o.user_id = f.user_id AND o.rn = f.rn + 1)
+      SELECT user_id, max(rn) AS requests, CAST(max(passed) AS BIGINT) AS passed FROM fold GROUP BY 1"""),
     "d14_fixed_window_limits": (_log(lambda e, n: m.fixed_window_limits(e, "user_id", "event_time", limit=3, window_s=86400)), """, RECURSIVE ordered AS (SELECT user_id, epoch(event_time) AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_time) AS rn FROM events_log),
       fold AS (SELECT user_id, rn, x AS start, 1 AS n, 1 AS passed FROM ordered WHERE rn = 1 UNION ALL
         SELECT o.user_id, o.rn, CASE WHEN x - start > 86400 THEN x ELSE start END, CASE WHEN x - start > 86400 THEN 1 ELSE n + 1 END, passed + CASE WHEN x - start > 86400 OR n + 1 <= 3 THEN 1 ELSE 0 END FROM fold f JOIN ordered o ON o.user_id = f.user_id AND o.rn = f.rn + 1)
@@ -103,7 +109,7 @@ _all = {
     "o08_nearest_first": (_log(lambda e, n: e.where("gtype = 'POINT'").withColumn("far", F.pow(F.col("lon") - 30.5, 2) + F.pow(F.col("lat") - 46.5, 2)).orderBy("far", "id").limit(100).select("id", F.row_number().over(o.Window.orderBy("far", "id")).alias("place"))), "SELECT id, CAST(row_number() OVER (ORDER BY pow(lon - 30.5, 2) + pow(lat - 46.5, 2), id) AS INT) AS place FROM events_log WHERE gtype = 'POINT' QUALIFY place <= 100"),
     "o10_chunks": (_log(lambda e, n: o.numbered(e.select("id"), ["id"], "place").groupBy(F.floor(F.col("place") / 200).alias("chunk")).agg(F.count("*").alias("n"), F.min("id").alias("first"))), "SELECT CAST(floor((rn - 1) / 200) AS BIGINT) AS chunk, count(*) AS n, min(id) AS first FROM (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM events_log) GROUP BY 1"),
     "o11_capped_store": (_log(lambda e, n: o.capped(e).select("id")), "SELECT id FROM (SELECT id, row_number() OVER (ORDER BY event_time DESC, id DESC) AS rn, count(*) OVER () AS n FROM events_log) WHERE n <= 5000 OR rn <= 4500"),
-    "u05_incremental_diff": (_log(lambda e, n: o.difference(_half(e, 0), _half(e, 1), "id", "layer")), f"SELECT id, CASE WHEN a.layer IS NULL THEN 'added' WHEN b.layer IS NULL THEN 'removed' ELSE 'updated' END AS change FROM ({_H.format(0)}) a FULL JOIN ({_H.format(1)}) b USING (id) WHERE a.layer IS DISTINCT FROM b.layer"),
+    "u05_incremental_diff": (_log(lambda e, n: o.difference(e, _wanted(e), "id", "layer")), f"SELECT id, CASE WHEN a.layer IS NULL THEN 'added' WHEN b.layer IS NULL THEN 'removed' ELSE 'updated' END AS change FROM events_log a FULL JOIN ({_H}) b USING (id) WHERE a.layer IS DISTINCT FROM b.layer"),
     "u03_array_sets": (lambda s, d: t.training(s, d).select("event_id", F.array_sort(F.array_union("correct_geo_ids", "detected_geo_ids")).alias("all_ids"), F.arrays_overlap("correct_geo_ids", "detected_geo_ids").alias("overlap"), F.size(F.array_except("detected_geo_ids", "correct_geo_ids")).alias("extra"), F.array_contains("detected_geo_ids", 3).alias("has3"), F.array_repeat(F.lit(1.0), F.size("detected_geo_ids")).alias("ones")), "SELECT event_id, list_sort(list_distinct(list_concat(correct_geo_ids, detected_geo_ids))) AS all_ids, list_has_any(correct_geo_ids, detected_geo_ids) AS overlap, CAST(len(list_filter(list_distinct(detected_geo_ids), lambda x: NOT list_contains(correct_geo_ids, x))) AS INT) AS extra, list_contains(detected_geo_ids, 3) AS has3, list_transform(detected_geo_ids, lambda x: 1.0::DOUBLE) AS ones FROM training"),
     "e01_filtered_events": (_log(lambda e, n: o.recent(e, n, 60, layers=["click", "view", "error"]).select(*_SHOWN, "lon", "lat")), f"SELECT {SHOWN}, lon, lat FROM events_log, as_of WHERE event_time >= t - INTERVAL 60 MINUTE AND layer IN ('click', 'view', 'error')"),
     "e02_incremental_events": (_log(lambda e, n: o.recent(e, n, 2880, since="2024-01-29 12:00:00", inclusive=True).select(*_SHOWN)), f"SELECT {SHOWN} FROM events_log, as_of WHERE event_time >= t - INTERVAL 2880 MINUTE AND event_time >= TIMESTAMP '2024-01-29 12:00:00'"),
