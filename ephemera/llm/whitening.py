@@ -1,4 +1,4 @@
-"""Embedding whitening: the covariance is summed by Spark as one column per pair of dimensions, and decomposed with LAPACK."""
+"""Embedding whitening: Spark sums a centred product for each pair of dimensions, and LAPACK decomposes their covariance."""
 
 from __future__ import annotations
 
@@ -14,8 +14,8 @@ from .common import written
 STEPS = 256
 #: Components kept, those of the greatest eigenvalues.
 COMPONENTS = 4
-#: Sums that one aggregation holds at most; tables of more than 127 dimensions take several passes over the fit list.
-SUMS = 8192
+#: Columns of sums in one aggregation, few enough for generated code; beyond 178 dimensions there are several aggregations.
+SUMS = 90
 #: An eigenvalue under this share of the trace is rounding, and its component has no scale to divide by.
 RANK = 1e-12
 _LONG = (-(2**63), 2**63 - 1)
@@ -53,15 +53,21 @@ def centred(fit: DataFrame, mean: np.ndarray) -> DataFrame:
 
 
 def covariance(fit: DataFrame, mean: np.ndarray, n: int, sums: int = SUMS) -> np.ndarray:
-    """The upper triangle as one aggregation of a sum of centred products for every pair of dimensions, mirrored."""
+    """The upper triangle as one aggregation of centred products, mirrored.
+
+    Each dimension i has a row of sums, with a column for each distance to a second dimension, up to half way round: the
+    product of dimensions i and i + k, which wraps around at the last, so that every pair is in one of the columns. A
+    column for every single pair would leave Spark's generated code, at many times the cost.
+    """
     d = len(mean)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    columns, out = centred(fit, mean), np.zeros((d, d))
-    for first in range(0, len(pairs), sums):
-        part = pairs[first : first + sums]
-        row = columns.selectExpr(*[f"sum(c{i} * c{j}) AS s{i}_{j}" for i, j in part]).first()
-        for (i, j), s in zip(part, row, strict=True):
-            out[i, j] = out[j, i] = s / n
+    whole = centred(fit, mean).select(F.array(*[F.col(f"c{i}") for i in range(d)]).alias("c"))
+    rows, out, far = whole.select(F.posexplode("c").alias("i", "ci"), "c"), np.zeros((d, d)), d // 2 + 1
+    for first in range(0, far, sums):
+        part = range(first, min(first + sums, far))
+        for row in rows.groupBy("i").agg(*[F.expr(f"sum(ci * c[(i + {k}) % {d}]) AS s{k}") for k in part]).collect():
+            for k in part:
+                i, j = row["i"], (row["i"] + k) % d
+                out[i, j] = out[j, i] = row[f"s{k}"] / n
     return out
 
 
