@@ -3,25 +3,46 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .lineage import cut
+from .lineage import cut, tasks
 
-#: Shapes of a cell that is not split again, the deepest level, and by how much rows may grow when a cell is split.
-CAPACITY, DEEPEST, GROWTH = 64, 24, 3.0
+#: Shapes of a cell that is not split again, the deepest level, and what a split must save: pairs left, where it copies so many rows.
+CAPACITY, DEEPEST, SAVED, COPIES = 64, 24, 0.75, 1.25
 #: Cells of a level that go to every executor with their counts; below that level they are joined.
 FEW_CELLS = 4**5
+#: What is known of a shape besides its box: nothing, that it is a point, that it fills its box, or that it is one short line (whose vertices are kept).
+OTHER, POINT, FULL, LINE = range(4)
+#: Vertices of a line that go with it.
+SHORT = 64
 _BOX = ("x0", "y0", "x1", "y1")
 
 
-def boxes(shapes: DataFrame, margin: float = 0.0) -> DataFrame:
-    """id and the box around each shape, wider by a margin; shapes without a vertex have none."""
+def _kind(geometry: Column) -> Column:
+    pts, kind, n = geometry["pts"], geometry["gtype"], F.size(geometry["pts"])
+    p = [F.get(pts, i) for i in range(5)]
+    same = lambda axis, *sides: reduce(lambda u, v: u & v, [p[i][axis] == p[j][axis] for i, j in sides])
+    across = lambda x, y: same(y, (0, 1), (2, 3)) & same(x, (1, 2), (3, 0))
+    far = lambda axis: (F.abs(p[2][axis] - p[0][axis]) > 0) & (F.abs(p[2][axis] - p[0][axis]) < 1e300)
+    one = geometry["starts"].isNull() | (F.size(geometry["starts"]) == 1)
+    box = (n == 5) & same("x", (0, 4)) & same("y", (0, 4)) & far("x") & far("y") & (across("x", "y") | across("y", "x"))
+    finite = F.forall(pts, lambda v: (F.abs(v["x"]) < 1e300) & (F.abs(v["y"]) < 1e300))
+    line = (n > 1) & (n <= SHORT) & F.exists(pts, lambda v: (v["x"] != p[0]["x"]) | (v["y"] != p[0]["y"]))
+    found = F.when((kind == "POINT") & (n == 1) & one & finite, POINT).when((kind == "POLYGON") & one & box & finite, FULL).when((kind == "LINESTRING") & one & line & finite, LINE)
+    return F.coalesce(found, F.lit(OTHER))
+
+
+def boxes(shapes: DataFrame, margin: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id and the box around each shape, wider by a margin; shapes without a vertex have none. kind and line say what shape it is. Columns to keep follow."""
     side = lambda f, c, by: (f(F.transform(F.col("geom")["pts"], lambda p: p[c])) + by).alias
     found = [side(F.array_min, "x", -margin)("x0"), side(F.array_min, "y", -margin)("y0"), side(F.array_max, "x", margin)("x1"), side(F.array_max, "y", margin)("y1")]
-    return shapes.where(F.size(F.col("geom")["pts"]) > 0).select("id", *found)
+    kind = _kind(F.col("geom"))
+    return shapes.where(F.size(F.col("geom")["pts"]) > 0).select("id", *found, kind.alias("kind"), F.when(kind == LINE, F.col("geom")["pts"]).alias("line"), *[F.col(c).alias(f"keep_{c}") for c in keep])
 
 
 class Grid:
@@ -46,10 +67,12 @@ class Grid:
 def leaves(left: DataFrame, right: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, Grid] | None:
     """side, id, box, depth, ix, iy: the cells of the tree that each box touches; None if a side is empty.
 
-    A cell that holds more than capacity boxes is split in four, unless that multiplies its rows (boxes that cover it all
-    would only be copied); a cell with boxes of one side alone goes. Cells of all levels together tile the square.
+    A cell that holds more than capacity boxes is split in four, unless that copies rows and leaves most pairs to be compared
+    (boxes that cover it all would only be copied); a cell with boxes of one side alone goes. Cells of all levels together
+    tile the square. More columns of the boxes stay with them.
     """
-    both = cut(left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))))
+    own = [c for c in left.columns if c not in ("id", *_BOX)]
+    both = cut(left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)), allowMissingColumns=True))
     span = F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
     e = both.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1"), span, F.count("*"), F.min("side"), F.max("side")).first()
     if e[5] == 0 or e[6] == e[7]:
@@ -62,17 +85,19 @@ def leaves(left: DataFrame, right: DataFrame, capacity: int = CAPACITY) -> tuple
     rows, done = cut(grid.covered(both, depth, whole(depth), whole(depth))), []
     cell = ["ix", "iy"]
     while True:
-        counts = rows.groupBy(*cell).agg(F.count_if(F.col("side") == 0).alias("l"), F.count_if(F.col("side") == 1).alias("r")).where("l > 0 AND r > 0").withColumn("n", F.col("l") + F.col("r"))
+        counts = rows.groupBy(*cell).agg(F.count_if(F.col("side") == 0).alias("l"), F.count_if(F.col("side") == 1).alias("r")).where("l > 0 AND r > 0").withColumn("n", F.col("l") + F.col("r")).withColumn("pairs", F.col("l").cast("double") * F.col("r"))
         held = rows.join(F.broadcast(counts) if 4**depth <= FEW_CELLS else counts, cell)
         crowded = F.col("n") > capacity if depth < DEEPEST else F.lit(False)
-        done.append(held.where(~crowded).select("side", "id", *_BOX, F.lit(depth).alias("depth"), *cell))
+        done.append(held.where(~crowded).select("side", "id", *_BOX, *own, F.lit(depth).alias("depth"), *cell))
         halves = lambda c: F.struct((F.col(c) * 2).alias("low"), (F.col(c) * 2 + 1).alias("high"))
-        parents = held.where(crowded).select("side", "id", *_BOX, F.col("ix").alias("px"), F.col("iy").alias("py"), "n")
+        parents = held.where(crowded).select("side", "id", *_BOX, *own, F.col("ix").alias("px"), F.col("iy").alias("py"), "n", "pairs")
         split = cut(grid.covered(parents, depth + 1, halves("px"), halves("py")))
-        grown = split.groupBy("px", "py").agg(F.count("*").alias("m"), F.first("n").alias("n")).withColumn("copied", F.col("m") > GROWTH * F.col("n")).select("px", "py", "copied")
+        parts = split.groupBy("px", "py", *cell).agg(F.count_if(F.col("side") == 0).cast("double").alias("l"), F.count_if(F.col("side") == 1).alias("r"), F.first("n").alias("n"), F.first("pairs").alias("pairs"))
+        grown = parts.groupBy("px", "py").agg(F.sum(F.col("l") + F.col("r")).alias("m"), F.first("n").alias("n"), F.sum(F.col("l") * F.col("r")).alias("left"), F.first("pairs").alias("pairs"))
+        grown = grown.select("px", "py", ((F.col("m") > COPIES * F.col("n")) & (F.col("left") > SAVED * F.col("pairs"))).alias("copied"))
         judged = split.join(F.broadcast(grown) if 4**depth <= FEW_CELLS else grown, ["px", "py"])
-        done.append(judged.where("copied").select("side", "id", *_BOX, F.lit(depth).alias("depth"), F.col("px").alias("ix"), F.col("py").alias("iy")).distinct())
-        rows, depth = judged.where("NOT copied").select("side", "id", *_BOX, *cell), depth + 1
+        done.append(judged.where("copied").select("side", "id", *_BOX, *own, F.lit(depth).alias("depth"), F.col("px").alias("ix"), F.col("py").alias("iy")).dropDuplicates(["side", "id", *_BOX, "ix", "iy"]))
+        rows, depth = judged.where("NOT copied").select("side", "id", *_BOX, *own, *cell), depth + 1
         if not rows.limit(1).count():
             break
         rows = cut(rows)
@@ -82,34 +107,132 @@ def leaves(left: DataFrame, right: DataFrame, capacity: int = CAPACITY) -> tuple
     return cut(out), grid
 
 
-def near_boxes(left: DataFrame, right: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """a, b: ids of all pairs of boxes that meet, each pair once: in the cell that holds the lower left corner of what they share."""
+def _met(left: DataFrame, right: DataFrame, capacity: int) -> Callable[..., DataFrame] | None:
+    """A function that gives all pairs of boxes that meet, each once, with what is known of both as a_ and b_; it takes conditions for either side.
+
+    A pair counts in the one cell that holds the lower left corner of what its boxes share: there one of them begins across,
+    and one upwards.
+    """
     found = leaves(left, right, capacity)
     if found is None:
-        return left.select(F.col("id").alias("a")).limit(0).join(right.select(F.col("id").alias("b")).limit(0), F.lit(False))
+        return None
     cells, grid = found
-    own = lambda side, name: cells.where(F.col("side") == side).select("depth", "ix", "iy", F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in _BOX])
-    met = own(0, "a").join(own(1, "b"), ["depth", "ix", "iy"])
-    met = met.where((F.col("a_x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1")) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1")))
     side = F.lit(grid.size) / F.pow(F.lit(2.0), F.col("depth"))
-    here = (F.floor((F.greatest("a_x0", "b_x0") - grid.x) / side) == F.col("ix")) & (F.floor((F.greatest("a_y0", "b_y0") - grid.y) / side) == F.col("iy"))
-    return met.where(here).select("a", "b")
+    begins = lambda c, by, at: (F.floor((F.col(c) - by) / side) == F.col(at))
+    cells = cells.withColumns({"sx": begins("x0", grid.x, "ix"), "sy": begins("y0", grid.y, "iy")})
+    n, cell = tasks(left.sparkSession), ["depth", "ix", "iy"]
+    own = lambda k, name: cells.where(F.col("side") == k).select(*cell, F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cells.columns if c not in ("id", "side", *cell)])
+
+    def pairs(a: Column | None = None, b: Column | None = None) -> DataFrame:
+        # the pairs of a cell are much work for few bytes: no two tasks are joined
+        l, r = (df.repartition(n, *cell) for df in (own(0, "a") if a is None else own(0, "a").where(a), own(1, "b") if b is None else own(1, "b").where(b)))
+        met = l.join(r, cell).where((F.col("a_sx") | F.col("b_sx")) & (F.col("a_sy") | F.col("b_sy")))
+        return met.where((F.col("a_x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1")) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1")))
+
+    return pairs
+
+
+def _no_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.select(F.col("id").alias("a")).limit(0).join(right.select(F.col("id").alias("b")).limit(0), F.lit(False))
+
+
+def near_boxes(left: DataFrame, right: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """a, b: ids of all pairs of boxes that meet, each pair once."""
+    pairs = _met(left, right, capacity)
+    return _no_pairs(left, right) if pairs is None else pairs().select("a", "b")
+
+
+def _slack() -> Column:
+    """How near to an edge rounding may decide."""
+    return F.greatest(*[F.abs(f"{s}_{c}") for s in "ab" for c in _BOX]) * 1e-14 + 2e-9
+
+
+def _inside(a: str, b: str, by: Column | float) -> Column:
+    """Whether a's box lies in b's, so far from its edges at least."""
+    at = lambda s, c: F.col(f"{s}_{c}")
+    return (at(a, "x0") >= at(b, "x0") + by) & (at(a, "y0") >= at(b, "y0") + by) & (at(a, "x1") <= at(b, "x1") - by) & (at(a, "y1") <= at(b, "y1") - by)
 
 
-def join_shapes(left: DataFrame, right: DataFrame, how: str = "intersects", distance: float = 0.0, capacity: int = CAPACITY) -> DataFrame:
+def _crosses(line: str, box: str) -> Column:
+    """Whether a segment of a line meets a full box: not beside it, and with its corners not all on one side."""
+    pts = F.col(f"{line}_line")
+    x0, y0, x1, y1 = (F.col(f"{box}_{c}") for c in _BOX)
+
+    def hits(p: Column, q: Column) -> Column:
+        turn = lambda x, y: (q["x"] - p["x"]) * (y - p["y"]) - (x - p["x"]) * (q["y"] - p["y"])
+        turns = [turn(x, y) for x in (x0, x1) for y in (y0, y1)]
+        beside = (F.least(p["x"], q["x"]) > x1) | (F.greatest(p["x"], q["x"]) < x0) | (F.least(p["y"], q["y"]) > y1) | (F.greatest(p["y"], q["y"]) < y0)
+        return ~beside & (F.least(*turns) <= 0) & (F.greatest(*turns) >= 0)
+
+    return F.exists(F.arrays_zip(F.slice(pts, 1, F.size(pts) - 1).alias("p"), F.slice(pts, 2, F.size(pts) - 1).alias("q")), lambda s: hits(s["p"], s["q"]))
+
+
+def _is(side: str, *kinds: int) -> Column:
+    return F.col(f"{side}_kind").isin(*kinds)
+
+
+def _open() -> Column:
+    """Whether _meeting() is null."""
+    return ~((_is("a", POINT, FULL) & _is("b", POINT, FULL)) | (_is("a", LINE) & _is("b", FULL)) | (_is("a", FULL) & _is("b", LINE)))
+
+
+def _meeting() -> Column:
+    """Whether shapes whose boxes meet do so too; null where only a look at them tells."""
+    one = lambda line, box: F.when(_is(line, LINE) & _is(box, FULL), F.when(_inside(line, box, 0.0), True).otherwise(_crosses(line, box)))
+    return F.when(_is("a", POINT, FULL) & _is("b", POINT, FULL), True).otherwise(F.coalesce(one("a", "b"), one("b", "a")))
+
+
+def _holding() -> Column:
+    """Whether the left one lies in the right one, by their boxes; null where only a look at them tells."""
+    return F.when(_is("a", POINT, FULL, LINE) & _is("b", FULL), F.when(_inside("a", "b", _slack()), True).when(~_inside("a", "b", -_slack()), False))
+
+
+def join_shapes(left: DataFrame, right: DataFrame, how: str = "intersects", distance: float = 0.0, capacity: int = CAPACITY, keep: tuple[str, ...] = ()) -> DataFrame:
     """a, b: ids of left(id, geom) and right(id, geom) whose shapes meet, lie within, or are at most distance apart.
 
     how is intersects, within (the left one in the right one) or near. Ids tell a side's rows apart. Null geometries and
-    those without a vertex match nothing, and an empty side gives no rows. Boxes decide which pairs are looked at exactly.
+    those without a vertex match nothing, and an empty side gives no rows. Boxes decide which pairs are looked at, and settle
+    those of points, upright rectangles and short lines; only others are compared shape by shape. keep names columns of the
+    left side that follow a and b, which saves a join of the many pairs.
     """
     if how not in ("intersects", "within", "near"):
         raise ValueError(f"unknown join {how!r}")
-    pairs = near_boxes(boxes(left, distance if how == "near" else 0.0), boxes(right), capacity)
-    both = pairs.join(left.select(F.col("id").alias("a"), F.col("geom").alias("ga")), "a").join(right.select(F.col("id").alias("b"), F.col("geom").alias("gb")), "b")
+    met = _met(boxes(left, distance if how == "near" else 0.0, keep), boxes(right), capacity)
+    if met is None:
+        return _no_pairs(left, right).join(left.select(F.col("id").alias("a"), *keep).limit(0), "a").select("a", "b", *keep)
+    told = lambda pairs: pairs.select("a", "b", *[F.col(f"a_keep_{c}").alias(c) for c in keep])
+    looked = lambda pairs: told(pairs).join(left.select(F.col("id").alias("a"), F.col("geom").alias("ga")), "a").join(right.select(F.col("id").alias("b"), F.col("geom").alias("gb")), "b")
+    if how == "near":
+        both = looked(met())
+        return both.where(geo.pair_measures(F.col("ga"), F.col("gb"))["distance"] <= distance).select("a", "b", *keep)
     if how == "within":
-        fit = geo.within(F.col("ga"), F.col("gb"))
-    elif how == "intersects":
-        fit = geo.intersects(F.col("ga"), F.col("gb"))
-    else:
-        fit = geo.pair_measures(F.col("ga"), F.col("gb"))["distance"] <= distance
-    return both.where(fit).select("a", "b")
+        both = looked(met().where(_holding().isNull()))
+        return told(met().where(_holding())).unionByName(both.where(geo.within(F.col("ga"), F.col("gb"))).select("a", "b", *keep))
+    # of a point and a full shape boxes tell all, so that only pairs with another kind are met again
+    rest = met(_is("a", OTHER, LINE)).unionByName(met(_is("a", POINT, FULL), _is("b", OTHER, LINE))).where(_open())
+    both = looked(rest)
+    return told(met().where(_meeting())).unionByName(both.where(geo.intersects(F.col("ga"), F.col("gb"))).select("a", "b", *keep))
+
+
+def shared(left: DataFrame, right: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """a, b, part, p, inside: what two meeting shapes have in common (its highest dimension), a point on it, and whether that lies within both.
+
+    What two upright rectangles have in common is one; other pairs are laid over each other.
+    """
+    met = _met(boxes(left), boxes(right), capacity)
+    point = "struct<x:double,y:double>"
+    if met is None:
+        return _no_pairs(left, right).select("a", "b", F.lit(None).cast(geo.GEOMETRY).alias("part"), F.lit(None).cast(point).alias("p"), F.lit(True).alias("inside"))
+    x0, y0, x1, y1 = (f(f"a_{c}", f"b_{c}") for f, c in zip((F.greatest, F.greatest, F.least, F.least), _BOX, strict=True))
+    wide = F.least(x1 - x0, y1 - y0) > _slack() * 1e5
+    flat = met(_is("a", FULL), _is("b", FULL))
+    xy = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    mid = xy((x0 + x1) / 2, (y0 + y1) / 2)
+    held = [F.col(f"{s}_{c}") < m if c.endswith("0") else F.col(f"{s}_{c}") > m for s in "ab" for c, m in zip(_BOX, (mid["x"], mid["y"]) * 2, strict=True)]
+    ring = F.array(xy(x0, y0), xy(x1, y0), xy(x1, y1), xy(x0, y1), xy(x0, y0))
+    out = flat.where(wide).select("a", "b", geo.shape("POLYGON", ring).cast(geo.GEOMETRY).alias("part"), mid.cast(point).alias("p"), reduce(lambda u, v: u & v, held).alias("inside"))
+    rest = flat.where(~wide).select("a", "b").unionByName(met(_is("a", OTHER, POINT, LINE)).select("a", "b")).unionByName(met(_is("a", FULL), _is("b", OTHER, POINT, LINE)).select("a", "b"))
+    both = rest.join(left.select(F.col("id").alias("a"), F.col("geom").alias("ga")), "a").join(right.select(F.col("id").alias("b"), F.col("geom").alias("gb")), "b")
+    over = both.withColumn("part", geo.intersection(F.col("ga"), F.col("gb"))).where("part.gtype IS NOT NULL").withColumn("p", geo.point_on(F.col("part")))
+    at = geo.point(F.col("p.x"), F.col("p.y"))
+    return out.unionByName(over.withColumn("m", at).select("a", "b", "part", "p", (geo.within(F.col("m"), F.col("ga")) & geo.within(F.col("m"), F.col("gb"))).alias("inside")))

@@ -160,8 +160,7 @@ def shapes_in_districts(how):
 
     def run(spark, d):
         shapes, own = _districts(spark, d)
-        kinds = shapes.select(F.col("id").alias("a"), F.col("geom")["gtype"].alias("gtype"))
-        return spatial.join_shapes(shapes, own, how).join(kinds, "a").groupBy(F.col("b").alias("district"), "gtype").agg(F.count("*").alias("n"), F.sum("a").alias("ids"))
+        return spatial.join_shapes(shapes.withColumn("gtype", F.col("geom")["gtype"]), own, how, keep=("gtype",)).groupBy(F.col("b").alias("district"), "gtype").agg(F.count("*").alias("n"), F.sum("a").alias("ids"))
 
     return run
 
@@ -169,11 +168,10 @@ def shapes_in_districts(how):
 def shared_regions(spark, d):
     """The area that two overlapping districts have in common, and whether its middle lies in both."""
     own = _districts(spark, d)[1]
-    pairs = spatial.join_shapes(own, own).where("a < b")
-    both = pairs.join(own.toDF("a", "ga"), "a").join(own.toDF("b", "gb"), "b").withColumn("part", geo.intersection(F.col("ga"), F.col("gb"))).withColumn("p", geo.point_on(F.col("part")))
-    middle = geo.point(F.col("p.x"), F.col("p.y"))
-    flat = both.select("a", "b", F.col("part")["gtype"].alias("gtype"), rounded(geo.ring_area(F.col("part")["pts"]) / 1e6, 2).alias("km2"), middle.alias("m"), "ga", "gb")
-    return flat.select("a", "b", "gtype", "km2", (geo.within(F.col("m"), F.col("ga")) & geo.within(F.col("m"), F.col("gb"))).alias("inside"))
+    part = F.col("part")["pts"]
+    # from a corner of its own, as the figures of the map would swallow the small ones
+    near = F.transform(part, lambda q: F.struct((q["x"] - F.get(part, 0)["x"]).alias("x"), (q["y"] - F.get(part, 0)["y"]).alias("y")))
+    return spatial.shared(own, own).where("a < b").select("a", "b", F.col("part")["gtype"].alias("gtype"), rounded(geo.ring_area(near) / 1e6, 2).alias("km2"), "inside")
 
 
 def mended_rings(spark, d):

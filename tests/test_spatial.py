@@ -119,3 +119,32 @@ def test_middles_and_buffers_as_columns(spark):
     df = spark.createDataFrame([(1, ("LINESTRING", [{"x": 0.0, "y": 0.0}, {"x": 4.0, "y": 0.0}, {"x": 4.0, "y": 2.0}], None)), (2, ("LINESTRING", [{"x": 1.0, "y": 1.0}, {"x": 1.0, "y": 1.0}], None)), (3, ("POINT", [{"x": 7.0, "y": 8.0}], None))], GEOM)
     got = {r["id"]: tuple(r["m"]) for r in df.select("id", geo.midpoint(df["geom"]["pts"]).alias("m")).collect()}
     assert got == {1: (3.0, 0.0), 2: (1.0, 1.0), 3: (7.0, 8.0)}
+
+
+def test_upright_boxes_points_and_lines_need_no_look_at_each_pair(spark, monkeypatch):
+    """Crowded rectangles: their pairs were compared in Python one at a time, which only shapes of other kinds need."""
+    rng = np.random.default_rng(5)
+    kinds = ["POINT", "LINESTRING", "POLYGON", "POLYGON"]
+    at = rng.integers(0, 12, (80, 2)).astype(float)  # whole numbers, so that many only touch
+    forms = lambda x, y: [[(x, y)], [(x, y), (x + 3, y + 4), (x + 6, y + 2)], square(x, y, 4).tolist(), [(x, y + 4), (x + 4, y + 4), (x + 4, y), (x, y), (x, y + 4)]]
+    rows = [(i, (kinds[i % 4], [{"x": a, "y": b} for a, b in forms(x, y)[i % 4]], None)) for i, (x, y) in enumerate(at.tolist())]
+    left = spark.createDataFrame(rows, GEOM)
+    right = left.where("id % 4 >= 2")
+    parts = {i: (g[0], geo._parts(g[1], None)) for i, g in rows}
+    said = {r["id"]: r["kind"] for r in spatial.boxes(left).collect()}
+    assert [said[i] for i in range(4)] == [spatial.POINT, spatial.LINE, spatial.FULL, spatial.FULL]
+    with monkeypatch.context() as m:
+        m.setattr(geo, "intersects", lambda a, b: a["gtype"] == "none")  # no pair may be left for it
+        met = sorted(map(tuple, spatial.join_shapes(left, right).collect()))
+    assert met == sorted((i, j) for i in parts for j in parts if j % 4 >= 2 and geo.meet(*parts[i], *parts[j]))
+    held = sorted(map(tuple, spatial.join_shapes(left, right, "within").collect()))
+    assert held == sorted((i, j) for i in parts for j in parts if j % 4 >= 2 and geo.contained(*parts[i], *parts[j]))
+    got = {(r["a"], r["b"]): r for r in spatial.shared(right, right).collect()}
+    want = {(i, j): overlay.common(*parts[i], *parts[j]) for i in parts for j in parts if i % 4 >= 2 and j % 4 >= 2 and geo.meet(*parts[i], *parts[j])}
+    assert got.keys() == want.keys()
+    for k, w in want.items():
+        kind = next(n for n in ("POLYGON", "LINESTRING", "POINT") if w[n])
+        assert got[k]["part"]["gtype"] == kind and got[k]["inside"] == (kind == "POLYGON")
+        if kind == "POLYGON":
+            ring = np.array([tuple(p) for p in got[k]["part"]["pts"]])
+            assert overlay.area([ring]) == pytest.approx(overlay.area(w[kind])) and tuple(got[k]["p"]) == pytest.approx(overlay.middle(kind, w[kind]).tolist())
