@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import WINDOW, WORDS, weighted_ratio_of
-from .lineage import cut
+from .lineage import cut, large
 
 #: Variants of one string and length at most, and of an arrangement of words; beyond that, pairs are met by a part.
 VARIANTS, ARRANGED_VARIANTS = 1000, 100
@@ -59,7 +59,7 @@ def plan(queries: DataFrame, names: DataFrame, rate: float, head: int, most: int
 
 
 def _variants(side: DataFrame, lengths: DataFrame, own: str, k: str, head: int) -> DataFrame:
-    rows = side.withColumn(own, F.length("s")).join(lengths.where("whole"), own)
+    rows = side.withColumn(own, F.length("s")).join(F.broadcast(lengths.where("whole")), own)
     gone = F.when(F.col(k) == 0, without_letters(F.col("s"), 0, head))
     for i in (1, 2, 3):
         gone = gone.when(F.col(k) == i, without_letters(F.col("s"), i, head))
@@ -68,7 +68,7 @@ def _variants(side: DataFrame, lengths: DataFrame, own: str, k: str, head: int)
 
 def _parts(side: DataFrame, lengths: DataFrame, own: str, head: int, shifted: bool) -> DataFrame:
     """Half as many parts again of a name as edits can reach, or what a query has there and up to edits letters beside it."""
-    rows = side.withColumn(own, F.length("s")).join(lengths.where("NOT whole"), own)
+    rows = side.withColumn(own, F.length("s")).join(F.broadcast(lengths.where("NOT whole")), own)
     rows = rows.withColumn("parts", F.col("edits") + 1 + F.floor((F.col("edits") + 2) / 2).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     begin = lambda p: F.floor(p * F.col("m") / F.col("parts")).cast("int")
     shift = F.explode(F.sequence(-F.col("edits"), F.col("edits"))) if shifted else F.lit(0)
@@ -81,7 +81,7 @@ def _parts(side: DataFrame, lengths: DataFrame, own: str, head: int, shifted: bo
 def _rarest(parts: DataFrame) -> DataFrame:
     """Of each name's parts one more than edits can reach, those that the fewest names have: one of them is whole in a near query."""
     often = parts.groupBy("n", "m", "key").agg(F.count("*").alias("names"))
-    each = parts.join(often, ["n", "m", "key"]).groupBy("id", "n", "m", "edits").agg(F.array_sort(F.collect_list(F.struct("names", "key"))).alias("found"))
+    each = large(parts).join(often, ["n", "m", "key"]).groupBy("id", "n", "m", "edits").agg(F.array_sort(F.collect_list(F.struct("names", "key"))).alias("found"))
     return each.select("id", "n", "m", F.explode(F.slice("found", F.lit(1), F.col("edits") + 1)).alias("x")).select("id", "n", "m", "x.key")
 
 
@@ -90,7 +90,8 @@ def near_letters(queries: DataFrame, names: DataFrame, rate: float, head: int, m
     with head equal letters in front and lengths within room. Pairs met by a part may be further apart.
     """
     lengths = cut(plan(queries, names, rate, head, most))
-    named = lambda df, side: df.withColumnRenamed("id", side)
+    # lengths are few, what they make of the strings is not
+    named = lambda df, side: large(df.withColumnRenamed("id", side))
     whole = named(_variants(queries, lengths, "n", "a", head), "q").join(named(_variants(names, lengths, "m", "b", head), "t"), ["n", "m", "key"])
     part = named(_parts(queries, lengths, "n", head, True), "q").join(named(_rarest(cut(_parts(names, lengths, "m", head, False))), "t"), ["n", "m", "key"])
     return whole.select("q", "t").union(part.select("q", "t")).distinct()
@@ -146,17 +147,17 @@ def typo_pairs(queries: DataFrame, names: DataFrame, least: float = 0.9) -> Data
     """
     if least < WINDOW:
         raise ValueError(f"least must be {WINDOW} or more")
-    t = cut(names.where(F.length("name") >= HEAD).select(F.col("name").alias("s")).distinct().withColumn("id", F.xxhash64("s")))
+    t = large(cut(names.where(F.length("name") >= HEAD).select(F.col("name").alias("s")).distinct().withColumn("id", F.xxhash64("s"))))
     # queries that begin as no name does have no pair
     heads = t.select(F.substring("s", 1, HEAD).alias("head")).distinct()
     q = queries.where(F.length("query") >= LEAST_LETTERS).select(F.col("query").alias("s")).distinct().withColumn("id", F.xxhash64("s"))
-    q = cut(q.withColumn("head", F.substring("s", 1, HEAD)).join(heads, "head", "left_semi").select("s", "id"))
+    q = large(cut(q.withColumn("head", F.substring("s", 1, HEAD)).join(F.broadcast(heads), "head", "left_semi").select("s", "id")))
     of_words = 1 - least / WORDS
-    by_words = [cut(arranged(side)) for side in (q, t)]
+    by_words = [large(cut(arranged(side))) for side in (q, t)]
     found = near_letters(q, t, 1 - least, HEAD).union(near_letters(*map(joined, by_words), of_words, 0, ARRANGED_VARIANTS)).union(near_words(*by_words, least / WORDS))
     if least == WINDOW:
         found = found.union(within(q, t))
-    both = found.distinct().join(q.select(F.col("id").alias("q"), F.col("s").alias("query")), "q").join(t.select(F.col("id").alias("t"), F.col("s").alias("name")), "t")
+    both = large(found.distinct()).join(q.select(F.col("id").alias("q"), F.col("s").alias("query")), "q").join(t.select(F.col("id").alias("t"), F.col("s").alias("name")), "t")
     both = both.where((F.substring("query", 1, HEAD) == F.substring("name", 1, HEAD)) & (F.abs(F.length("query") - F.length("name")) <= room(F.length("query"))))
     # few bytes a pair, but much work: spread over all cores
     pairs = both.select("query", "name").distinct().repartition(queries.sparkSession.sparkContext.defaultParallelism * 2, "query", "name")
