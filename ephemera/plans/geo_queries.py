@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import resolve as v
 from ..operators import spatial
+from ..operators.lineage import large
 from ..operators.reports import rounded
 from ..sources import tables as t
 from .report_queries import r3
@@ -91,7 +92,8 @@ def near_places(spark, d):
     """Pairs of places within 300 m: an equi-join on grid cells, then the exact distance."""
     p = t.places(spark, d).select("id", "mx", "my")
     cx, cy = geo.grid_cell(F.col("mx"), F.col("my"), 300.0)
-    a = p.withColumns({"cx": cx, "cy": cy})
+    # nine rows a place, from files of few bytes: not to be sent to every executor
+    a = large(p.withColumns({"cx": cx, "cy": cy}))
     near = p.select(F.col("id").alias("b"), F.col("mx").alias("bx"), F.col("my").alias("by"), F.explode(F.array(*(F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("c")).select("b", "bx", "by", "c.*")
     dist = geo.point_distance(F.col("mx"), F.col("my"), F.col("bx"), F.col("by"))
     return a.join(near, ["cx", "cy"]).where("id < b").where(dist <= 300).select(F.col("id").alias("a"), "b", rounded(dist, 1).alias("distance"))
