@@ -201,9 +201,10 @@ def tangled(rings: list[np.ndarray]) -> bool:
     if not rings:
         return False
     a, b = overlay.ends(rings)
-    cuts = overlay.cut_places(a, b, a, b, overlay.extent(rings) * overlay.NEAR)
-    once = sum(len(np.unique(r[:-1], axis=0)) for r in rings) == len(a) and len(np.unique(a, axis=0)) == len(a)
-    return not once or any(len(t) > 2 for t in cuts)
+    some = lambda pts: len(set(map(tuple, pts.tolist())))
+    if sum(some(r[:-1]) for r in rings) != len(a) or some(a) != len(a):
+        return True
+    return any(len(t) > 2 for t in overlay.cut_places(a, b, a, b, overlay.extent(rings) * overlay.NEAR))
 
 
 def inside(p: np.ndarray, rings: list[np.ndarray]) -> bool:
