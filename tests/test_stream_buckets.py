@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +44,17 @@ def test_repeats_of_many_keys_in_few_states(spark, made):
     assert {r["message_id"]: r["duplicate"] for r in sink.run_to_table(spark, out, "b-repeats").collect()} == want and 0 < sum(want.values()) < len(want)
 
 
+def test_limits_of_many_keys_in_few_states(spark, made):
+    rows, df = made
+    out = state.limited(sink.in_order(spark, df, "at"), 2, 3000, buckets=BUCKETS)
+    assert 0 < rows_held(out) <= BUCKETS
+    want = {}
+    for own in by_key(rows).values():
+        place, *_ = state.windows_of(np.array([at for _, at in own]), None, 0, 3000)
+        want |= {i: bool(p <= 2) for (i, _), p in zip(own, place, strict=True)}
+    assert {r["id"]: r["passed"] for r in sink.run_to_table(spark, out, "b-limits").collect()} == want and 0 < sum(want.values()) < len(want)
+
+
 def test_latest_rows_of_many_keys_in_few_states(spark, made):
     rows, df = made
     out = state.latest_rows(sink.in_order(spark, df.withColumn("layer", F.concat(F.lit("l"), "id")), "at"), buckets=BUCKETS)
