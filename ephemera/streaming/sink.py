@@ -19,7 +19,7 @@ def file_stream(spark: SparkSession, sf_dir: str, table: str, files_per_batch: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{sf_dir}/{table[:-1]}[{table[-1]}].parquet")
 
 
-def in_order(spark: SparkSession, rows: DataFrame, order: str, parts: int = 3, rows_per_file: int = 1_000_000) -> DataFrame:
+def in_order(spark: SparkSession, rows: DataFrame, order: str, parts: int = 3, rows_per_file: int = 250_000) -> DataFrame:
     """rows as a stream of parts that come one after the other in ranges of order, a batch each."""
     path = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
     bounds = rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)
@@ -33,18 +33,19 @@ def in_order(spark: SparkSession, rows: DataFrame, order: str, parts: int = 3, r
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def out_of_order(spark: SparkSession, rows: DataFrame, key: str, time: str, delay_s: int, parts: int = 3) -> DataFrame:
+def out_of_order(spark: SparkSession, rows: DataFrame, key: str, time: str, delay_s: int, parts: int = 3, rows_per_file: int = 250_000) -> DataFrame:
     """rows as a stream of parts in no order of time, a batch each, then one row without a key that moves the watermark past them.
 
     That row's time is two delays after the newest, so that with a watermark of delay_s everything before it is over.
     """
     path = f"{shared_dir(spark)}/mixed-{uuid.uuid4().hex}"
+    files = max(1, rows.count() // (parts * rows_per_file))
     for k in range(parts):
-        rows.where(F.pmod(F.xxhash64(*[c for c in rows.columns if c != time]), F.lit(parts)) == k).coalesce(1).write.mode("append").parquet(path)
+        rows.where(F.pmod(F.xxhash64(*[c for c in rows.columns if c != time]), F.lit(parts)) == k).repartition(files).write.mode("append").parquet(path)
     end = rows.agg((F.max(time) + F.make_dt_interval(secs=F.lit(2 * delay_s))).alias(time))
     blank = [F.col(time) if c == time else F.lit("").cast(rows.schema[c].dataType).alias(c) if c == key else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]
     end.select(*blank).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ephemera.streaming import sink, state
+from ephemera.streaming import ordered, sink, state
 
 BASE, KEYS, BUCKETS = 1_700_000_000, 400, 8
 
@@ -85,3 +85,11 @@ def test_a_key_is_forgotten_alone():
     put(["b", "c"], [3.0, 4.0], 1060)
     assert held.get(["t"], 1099)["t"].to_dict() == {"a": 1.0, "b": 3.0, "c": 4.0}
     assert held.get(["t"], 1100)["t"].to_dict() == {"b": 3.0, "c": 4.0} and not len(held.get(["t"], 1160))
+
+
+def test_any_order_in_few_states(spark, made):
+    rows, df = made
+    shuffled = df.select(F.col("user_id").cast("string").alias("key"), "id", F.timestamp_seconds("at").alias("event_time"))
+    out = ordered.unordered_repeats(sink.out_of_order(spark, shuffled, "key", "event_time", 100_000), "100000 seconds", 600, buckets=BUCKETS)
+    # a buffer, a due time and the last sightings for each bucket, and its timer in two orders
+    assert 0 < rows_held(out) <= BUCKETS * 8
