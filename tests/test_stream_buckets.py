@@ -93,3 +93,12 @@ def test_any_order_in_few_states(spark, made):
     out = ordered.unordered_repeats(sink.out_of_order(spark, shuffled, "key", "event_time", 100_000), "100000 seconds", 600, buckets=BUCKETS)
     # a buffer, a due time and the last sightings for each bucket, and its timer in two orders
     assert 0 < rows_held(out) <= BUCKETS * 8
+
+
+def test_leases_in_few_states(spark, made):
+    rows, df = made
+    signals = df.select(F.col("user_id").cast("string").alias("task"), "id", F.timestamp_seconds("at").alias("event_time"), F.element_at(F.array(F.lit("claim"), F.lit("done"), F.lit("failed")), (F.col("id") % 3 + 1).cast("int")).alias("signal"))
+    leases = lambda n: ordered.leased_tasks(sink.out_of_order(spark, signals, "task", "event_time", 100_000), "100000 seconds", 900, 200, 3, buckets=n)
+    assert 0 < rows_held(leases(BUCKETS)) <= BUCKETS * 8
+    changes = lambda n: sorted(map(tuple, sink.run_to_table(spark, leases(n), "b-leases").where("task <> ''").collect()))
+    assert changes(BUCKETS) == changes(1 << 40)
