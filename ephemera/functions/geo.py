@@ -355,6 +355,10 @@ def from_wkt(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_wkt(t) or none for t in text], columns=["gtype", "pts", "starts"])
 
 
+# a deterministic function would be worked out once for a condition on it and once more for the column, by two workers a task
+from_wkt = from_wkt.asNondeterministic()
+
+
 @F.pandas_udf(GEOMETRY)
 def line_merged(gtype: pd.Series, pts: pd.Series, starts: pd.Series) -> pd.DataFrame:
     """Lines of several parts joined end to end; null fields where they branch or leave a gap."""
