@@ -40,8 +40,8 @@ def out_of_order(spark: SparkSession, rows: DataFrame, key: str, time: str, dela
     """
     path = f"{shared_dir(spark)}/mixed-{uuid.uuid4().hex}"
     files = max(1, rows.count() // (parts * rows_per_file))
-    for k in range(parts):
-        rows.where(F.pmod(F.xxhash64(*[c for c in rows.columns if c != time]), F.lit(parts)) == k).repartition(files).write.mode("append").parquet(path)
+    # dealt by hash in one pass, as rows may be dear to make; the files of a batch hold rows of all times
+    rows.repartition(parts * files, *rows.columns).write.mode("append").parquet(path)
     end = rows.agg((F.max(time) + F.make_dt_interval(secs=F.lit(2 * delay_s))).alias(time))
     blank = [F.col(time) if c == time else F.lit("").cast(rows.schema[c].dataType).alias(c) if c == key else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]
     end.select(*blank).write.mode("append").parquet(path)

@@ -48,3 +48,24 @@ def test_leases_run_out_between_batches(spark):
         "tired": [(0, "leased", 1), (300, "expired", 1), (1000, "leased", 2), (1300, "expired", 2), (2000, "leased", 3), (2300, "dead", 3)],
         "idle": [],
     }
+
+
+def test_rows_of_a_stream_in_no_order_are_made_once(spark):
+    calls, n = spark.sparkContext.accumulator(0), 3000
+
+    @F.udf("string")
+    def signal(i):
+        calls.add(1)
+        return f"s{i % 7}"
+
+    rows = spark.range(n).select(F.col("id").cast("string").alias("task"), "id", F.timestamp_seconds(F.lit(BASE) + F.col("id")).alias("event_time"), signal("id").alias("signal"))
+    mixed = sink.out_of_order(spark, rows, "task", "event_time", 10_000, rows_per_file=500)
+    assert calls.value == n
+    got = sink.run_to_table(spark, mixed.withColumn("at", F.col("event_time").cast("long") - BASE), "t-mixed").collect()
+    batches = {}
+    for r in got:
+        batches.setdefault(r["batch"], []).append(r)
+    *parts, end = (batches[b] for b in sorted(batches))
+    assert len(parts) == 3 and all(min(r["at"] for r in p) < n / 4 and max(r["at"] for r in p) > n * 3 / 4 for p in parts)
+    assert sorted((r["id"], r["task"], r["at"], r["signal"]) for p in parts for r in p) == [(i, str(i), i, f"s{i % 7}") for i in range(n)]
+    assert [(r["id"], r["task"], r["at"], r["signal"]) for r in end] == [(None, "", n - 1 + 20_000, None)]
