@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import WINDOW, WORDS, weighted_ratio_of
-from .lineage import cut, large
+from .lineage import cut, large, spread
 
 #: Variants of one string and length at most, and of an arrangement of words; beyond that, pairs are met by a part.
 VARIANTS, ARRANGED_VARIANTS = 1000, 100
@@ -39,15 +39,16 @@ def ways(letters: Column, k: Column) -> Column:
     return F.when(k == 0, F.lit(1.0)).when(k == 1, n).when(k == 2, n * (n - 1) / 2).when(k == 3, n * (n - 1) * (n - 2) / 6)
 
 
-def plan(queries: DataFrame, names: DataFrame, rate: float, head: int, most: int = VARIANTS) -> DataFrame:
+def plan(queries: DataFrame, names: DataFrame, rate: float, head: int, most: int = VARIANTS, nearest: int | None = None) -> DataFrame:
     """n, m, edits, a, b, whole: a row for each two lengths that can be near; the query loses a letters, the name b.
 
-    edits bounds the letters that are not common: rate of both lengths. Fewer than a and b are never needed: a pair with
-    more in common is still equal with more letters gone.
+    edits bounds the letters that are not common: rate of both lengths, and nearest if it is given. Fewer than a and b are
+    never needed: a pair with more in common is still equal with more letters gone.
     """
     n = queries.select(F.length("s").alias("n")).distinct()
     m = names.select(F.length("s").alias("m")).distinct()
     edits = F.floor((F.col("n") + F.col("m")) * rate + 1e-9).cast("int")
+    edits = edits if nearest is None else F.least(edits, F.lit(nearest))
     each = n.select("n", F.explode(F.sequence(F.greatest(F.lit(max(head, 1)), F.col("n") - room(F.col("n"))), F.col("n") + room(F.col("n")))).alias("m"))
     near = each.join(m, "m").withColumn("edits", edits).where((F.abs(F.col("n") - F.col("m")) <= F.col("edits")) & (F.col("n") >= head))
     a = F.floor((F.col("edits") - F.col("m") + F.col("n")) / 2).cast("int")
@@ -85,11 +86,11 @@ def _rarest(parts: DataFrame) -> DataFrame:
     return each.select("id", "n", "m", F.explode(F.slice("found", F.lit(1), F.col("edits") + 1)).alias("x")).select("id", "n", "m", "x.key")
 
 
-def near_letters(queries: DataFrame, names: DataFrame, rate: float, head: int, most: int = VARIANTS) -> DataFrame:
-    """q, t: ids of all pairs (id, s) whose letters outside a longest common subsequence are at most rate of both lengths,
-    with head equal letters in front and lengths within room. Pairs met by a part may be further apart.
+def near_letters(queries: DataFrame, names: DataFrame, rate: float, head: int, most: int = VARIANTS, nearest: int | None = None) -> DataFrame:
+    """q, t: ids of all pairs (id, s) whose letters outside a longest common subsequence are at most rate of both lengths
+    (and at most nearest), with head equal letters in front and lengths within room. Pairs met by a part may be further apart.
     """
-    lengths = cut(plan(queries, names, rate, head, most))
+    lengths = cut(plan(queries, names, rate, head, most, nearest))
     # lengths are few, what they make of the strings is not
     named = lambda df, side: large(df.withColumnRenamed("id", side))
     whole = named(_variants(queries, lengths, "n", "a", head), "q").join(named(_variants(names, lengths, "m", "b", head), "t"), ["n", "m", "key"])
@@ -138,6 +139,35 @@ def within(queries: DataFrame, names: DataFrame) -> DataFrame:
     return pieces.join(names.select(F.col("id").alias("t"), "s"), "s").select("q", "t")
 
 
+def _sides(queries: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """id, s of the distinct strings on either side that begin as, and are about as long as, one of the other side."""
+    each = lambda df, c, least: df.where(F.length(c) >= least).select(F.col(c).alias("s")).distinct().select("s", F.xxhash64("s").alias("id"), F.substring("s", 1, HEAD).alias("head"), F.length("s").alias("n"))
+    q, t = large(cut(each(queries, "query", LEAST_LETTERS))), large(cut(each(names, "name", HEAD)))
+    sizes = lambda df: df.select("head", "n").distinct()
+    reach = sizes(q).select("head", F.col("n").alias("own"), F.explode(F.sequence(F.col("n") - room(F.col("n")), F.col("n") + room(F.col("n")))).alias("n"))
+    both = cut(reach.join(sizes(t), ["head", "n"]))
+    kept = lambda df, c: large(cut(df.join(F.broadcast(both.select("head", F.col(c).alias("n")).distinct()), ["head", "n"], "left_semi").select("s", "id")))
+    return kept(q, "own"), kept(t, "n")
+
+
+def _scored(found: DataFrame, q: DataFrame, t: DataFrame, least: float) -> DataFrame:
+    """query, name, score of the found pairs (q, t) that are near, each once."""
+    both = large(found.distinct()).join(q.select(F.col("id").alias("q"), F.col("s").alias("query")), "q").join(t.select(F.col("id").alias("t"), F.col("s").alias("name")), "t")
+    both = both.where((F.substring("query", 1, HEAD) == F.substring("name", 1, HEAD)) & (F.abs(F.length("query") - F.length("name")) <= room(F.length("query"))))
+    # few bytes a pair, but much work: spread over all cores
+    pairs = spread(both.select("query", "name").distinct(), "query", "name")
+    return pairs.withColumn("score", weighted_ratio_of("query", "name")).where(F.col("score") >= least)
+
+
+def _pairs(q: DataFrame, t: DataFrame, least: float) -> DataFrame:
+    of_words = 1 - least / WORDS
+    by_words = [large(cut(arranged(side))) for side in (q, t)]
+    found = near_letters(q, t, 1 - least, HEAD).union(near_letters(*map(joined, by_words), of_words, 0, ARRANGED_VARIANTS)).union(near_words(*by_words, least / WORDS))
+    if least == WINDOW:
+        found = found.union(within(q, t))
+    return _scored(found, q, t, least)
+
+
 def typo_pairs(queries: DataFrame, names: DataFrame, least: float = 0.9) -> DataFrame:
     """query, name, score of all pairs of distinct strings in queries(query) and names(name) that are near.
 
@@ -147,18 +177,21 @@ def typo_pairs(queries: DataFrame, names: DataFrame, least: float = 0.9) -> Data
     """
     if least < WINDOW:
         raise ValueError(f"least must be {WINDOW} or more")
-    t = large(cut(names.where(F.length("name") >= HEAD).select(F.col("name").alias("s")).distinct().withColumn("id", F.xxhash64("s"))))
-    # queries that begin as no name does have no pair
-    heads = t.select(F.substring("s", 1, HEAD).alias("head")).distinct()
-    q = queries.where(F.length("query") >= LEAST_LETTERS).select(F.col("query").alias("s")).distinct().withColumn("id", F.xxhash64("s"))
-    q = large(cut(q.withColumn("head", F.substring("s", 1, HEAD)).join(F.broadcast(heads), "head", "left_semi").select("s", "id")))
-    of_words = 1 - least / WORDS
-    by_words = [large(cut(arranged(side))) for side in (q, t)]
-    found = near_letters(q, t, 1 - least, HEAD).union(near_letters(*map(joined, by_words), of_words, 0, ARRANGED_VARIANTS)).union(near_words(*by_words, least / WORDS))
-    if least == WINDOW:
-        found = found.union(within(q, t))
-    both = large(found.distinct()).join(q.select(F.col("id").alias("q"), F.col("s").alias("query")), "q").join(t.select(F.col("id").alias("t"), F.col("s").alias("name")), "t")
-    both = both.where((F.substring("query", 1, HEAD) == F.substring("name", 1, HEAD)) & (F.abs(F.length("query") - F.length("name")) <= room(F.length("query"))))
-    # few bytes a pair, but much work: spread over all cores
-    pairs = both.select("query", "name").distinct().repartition(queries.sparkSession.sparkContext.defaultParallelism * 2, "query", "name")
-    return pairs.withColumn("score", weighted_ratio_of("query", "name")).where(F.col("score") >= least)
+    return _pairs(*_sides(queries, names), least)
+
+
+def nearest_typos(queries: DataFrame, names: DataFrame, least: float = 0.9) -> DataFrame:
+    """query, name, score: of each query's rows in typo_pairs all with its greatest score, and perhaps others.
+
+    Numbered names have many near ones, and more the more there are, of which one is meant. So pairs that are one letter
+    apart come first. What they leave out is two letters apart or more, or near by its words alone, which bounds its score:
+    only queries that have nothing better than that go on to all pairs.
+    """
+    if least < WINDOW:
+        raise ValueError(f"least must be {WINDOW} or more")
+    q, t = _sides(queries, names)
+    first = large(cut(_scored(near_letters(q, t, 1 - least, HEAD, nearest=1), q, t, least)))
+    n = F.length("query")
+    settled = first.where(F.col("score") > F.greatest(F.lit(max(WORDS, WINDOW)), 1 - 2 / (2 * n + room(n))))
+    rest = q.join(settled.select(F.col("query").alias("s")).distinct(), "s", "left_anti").select("s")
+    return settled.unionByName(_pairs(*_sides(rest.withColumnRenamed("s", "query"), t.select(F.col("s").alias("name"))), least))

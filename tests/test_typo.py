@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from ephemera.functions import similarity, text
-from ephemera.operators.typo import near_letters, typo_pairs
+from ephemera.operators.typo import near_letters, nearest_typos, typo_pairs
 from ephemera.plans import match_queries
 
 WORDS = ["oak", "hill", "street", "mill", "lane", "north", "old", "park", "a", "of", "the", "river", "stone", "meadow", "saint", "ann", "bridge", "upper", "kirk"]
@@ -84,6 +84,34 @@ def test_names_that_begin_alike_make_no_pairs_unless_near(spark):
         assert {(i, i) for i in range(3000)} <= found and len(found) < 400 * 3000
 
 
+def _best(rows):
+    top = {}
+    for r in rows:
+        top.setdefault(r["query"], []).append((r["score"], r["name"]))
+    return {q: sorted(x for x in found if x[0] == max(found)[0]) for q, found in top.items()}
+
+
+@pytest.mark.parametrize("seed", [5, 7])
+def test_nearest_names_are_the_best_of_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    names = sorted({" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 5))) for _ in range(200)} | {"gre", "aaaa", *(f"mill lane {i:03d}" for i in range(60))})
+    queries = sorted({changed(rng, rng.choice(names)) for _ in range(300)} | {"green", "aaaaab", "mil lane 017", *names[:5]})
+    q, t = spark.createDataFrame([(x,) for x in [*queries, None]], "query string"), spark.createDataFrame([(x,) for x in [*names, None]], "name string")
+    want, got = typo_pairs(q, t).collect(), nearest_typos(q, t).collect()
+    assert _best(got) == _best(want) and len(_best(got)) > 100
+    assert {tuple(r) for r in got} <= {tuple(r) for r in want} and len(got) == len(set(map(tuple, got)))
+    assert nearest_typos(q, t.limit(0)).count() == 0
+
+
+def test_numbered_names_are_not_compared_with_all_their_neighbours(spark):
+    names = spark.range(2000).selectExpr("concat('customer ', lpad(id, 9, '0')) AS name")
+    queries = names.selectExpr("concat('custmer ', substring(name, 10)) AS query")
+    got = nearest_typos(queries, names)
+    assert got.count() == 2000 and got.where("substring(query, 9) = substring(name, 10)").count() == 2000
+    few = queries.where("query LIKE '%77'")
+    assert typo_pairs(few, names).count() > 10 * few.count()
+
+
 def test_message_ngrams_equal_those_of_token_rows(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choice(["at", "on", "near", "st", "No", "Mill", "lane", "5th", "5", "th", "x,y", "3a", "by"]) for _ in range(rng.randint(0, 12)))) for i in range(200)] + [(900, None), (901, "")]
