@@ -8,9 +8,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import geo
-from .lineage import cut, tasks
+from .lineage import cut, large, spread, tasks
 
 #: Shapes of a cell that is not split again, the deepest level, and what a split must save: pairs left, where it copies so many rows.
 CAPACITY, DEEPEST, SAVED, COPIES = 64, 24, 0.75, 1.25
@@ -20,6 +21,9 @@ FEW_CELLS = 4**5
 OTHER, POINT, FULL, LINE = range(4)
 #: Vertices of a line that go with it.
 SHORT = 64
+#: Of a tally: shapes for each cell of its finest grid, cells of a strip that are one block, shapes of a cell beyond which it is not
+#: worth while, and vertices of a line whose segments are compared in generated code.
+EACH, BLOCK, CROWDED, FEW = 4, 16, 4096, 4
 _BOX = ("x0", "y0", "x1", "y1")
 
 
@@ -153,17 +157,19 @@ def _inside(a: str, b: str, by: Column | float) -> Column:
     return (at(a, "x0") >= at(b, "x0") + by) & (at(a, "y0") >= at(b, "y0") + by) & (at(a, "x1") <= at(b, "x1") - by) & (at(a, "y1") <= at(b, "y1") - by)
 
 
+def _segment_hits(px: Column, py: Column, qx: Column, qy: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether a segment meets a full box. A corner's turn is u - v, and rounding keeps the order of differences, so that the least and greatest of either tell the signs."""
+    beside = ((px > x1) & (qx > x1)) | ((px < x0) & (qx < x0)) | ((py > y1) & (qy > y1)) | ((py < y0) & (qy < y0))
+    u, v = [(qx - px) * (y - py) for y in (y0, y1)], [(x - px) * (qy - py) for x in (x0, x1)]
+    return ~beside & (F.least(*u) <= F.greatest(*v)) & (F.greatest(*u) >= F.least(*v))
+
+
 def _crosses(line: str, box: str) -> Column:
     """Whether a segment of a line meets a full box: not beside it, and with its corners not all on one side."""
     pts = F.col(f"{line}_line")
     x0, y0, x1, y1 = (F.col(f"{box}_{c}") for c in _BOX)
 
-    def hits(p: Column, q: Column) -> Column:
-        turn = lambda x, y: (q["x"] - p["x"]) * (y - p["y"]) - (x - p["x"]) * (q["y"] - p["y"])
-        turns = [turn(x, y) for x in (x0, x1) for y in (y0, y1)]
-        beside = (F.least(p["x"], q["x"]) > x1) | (F.greatest(p["x"], q["x"]) < x0) | (F.least(p["y"], q["y"]) > y1) | (F.greatest(p["y"], q["y"]) < y0)
-        return ~beside & (F.least(*turns) <= 0) & (F.greatest(*turns) >= 0)
-
+    hits = lambda p, q: _segment_hits(p["x"], p["y"], q["x"], q["y"], x0, y0, x1, y1)
     return F.exists(F.arrays_zip(F.slice(pts, 1, F.size(pts) - 1).alias("p"), F.slice(pts, 2, F.size(pts) - 1).alias("q")), lambda s: hits(s["p"], s["q"]))
 
 
@@ -214,6 +220,126 @@ def join_shapes(left: DataFrame, right: DataFrame, how: str = "intersects", dist
     return told(met().where(_meeting())).unionByName(both.where(geo.intersects(F.col("ga"), F.col("gb"))).select("a", "b", *keep))
 
 
+def _sums(rows: DataFrame, depths: list[int]) -> DataFrame:
+    """cls, ix, iy, n, total: of each class and cell of its grid, what the cells up to it in column and row hold together."""
+    cells = rows.groupBy("cls", "ix", "iy").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    every = reduce(DataFrame.unionByName, [rows.sparkSession.range(4**k).select(F.lit(k).alias("k"), (F.col("id") % 2**k).alias("ix"), F.floor(F.col("id") / 2**k).cast("long").alias("iy")) for k in depths])
+    grid = rows.select("cls").distinct().withColumn("k", F.col("cls.k")).join(every, "k").drop("k")
+    out = spread(grid.join(cells, ["cls", "ix", "iy"], "left").select("cls", "ix", "iy", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0)).alias("total")), "cls", "iy")
+    for along, across in (("ix", "iy"), ("iy", "ix")):
+        w = Window.partitionBy("cls", across).orderBy(along).rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumns({c: F.sum(c).over(w) for c in ("n", "total")})
+    return out
+
+
+def _told(left: DataFrame, right: DataFrame, how: str) -> tuple[DataFrame, DataFrame | None] | None:
+    """b, by, n, total of pairs that boxes settle, and a, b of those that only a look at them tells: see tally. None if a cell is crowded or a side is empty.
+
+    Shapes of like extent are a class with a grid of its own, whose cells are no smaller, and stand in the cell of their lower left
+    corner. Cells that surely lie in a full box count by four sums, whatever they hold; the strips along its edges pair by pair.
+    """
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    left = left.withColumn("extent", extent)
+    e = left.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1"), F.count("*")).first()
+    far = right.agg(F.max(F.greatest(*[F.abs(c) for c in _BOX]))).first()[0]
+    if not e[4] or far is None:
+        return None
+    size = max(e[2] - e[0], e[3] - e[1]) * (1 + 1e-9) or 1.0
+    deepest = max(0, int(math.log(max(e[4] / EACH, 1), 4)))
+    k = F.when(F.col("extent") > 0, F.greatest(F.lit(0), F.least(F.lit(deepest), F.floor(F.log2(F.lit(size) / F.col("extent")))))).otherwise(deepest).cast("int")
+    own = [c for c in left.columns if c.startswith("keep_by_")]
+    side = lambda depth: F.lit(size) / F.pow(F.lit(2.0), depth)
+    at = lambda x, begin, depth: F.floor((x - begin) / side(depth)).cast("long")
+    top = F.pow(F.lit(2.0), F.col("k")).cast("long") - 1
+    within_grid = lambda c: F.greatest(F.lit(0).cast("long"), F.least(top, c))
+    rows = left.withColumn("k", k).withColumns({"ix": within_grid(at(F.col("x0"), e[0], F.col("k"))), "iy": within_grid(at(F.col("y0"), e[1], F.col("k")))})
+    rows = cut(rows.withColumn("cls", F.struct("k", *own)).withColumnRenamed("keep_value", "value"))
+    found = rows.groupBy("k", "ix", "iy").count().groupBy("k").agg(F.max("count").alias("most")).join(rows.groupBy("k").agg(F.max("extent").alias("reach")), "k").collect()
+    if max(r["most"] for r in found) > CROWDED:
+        return None
+    # rounding moves nothing as far as this
+    eps = 1e-9 * size + 1e-12 * max(far, *(abs(x) for x in e[:4])) + 2e-9
+    classes = F.array(*[F.struct(F.lit(r["k"]).alias("k"), F.lit(float(r["reach"])).alias("reach")) for r in found])
+    own_boxes = right.select(F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in (*_BOX, "kind")], F.explode(classes).alias("c")).select("b", *[f"b_{c}" for c in (*_BOX, "kind")], "c.*")
+    for axis, begin in (("x", e[0]), ("y", e[1])):
+        low, high = F.col(f"b_{axis}0"), F.col(f"b_{axis}1")
+        own_boxes = own_boxes.withColumns({
+            f"{axis}lo": F.greatest(F.lit(0).cast("long"), at(low - F.col("reach") - eps, begin, F.col("k"))), f"{axis}hi": F.least(top, at(high + eps, begin, F.col("k"))),
+            f"{axis}a": F.ceil((low + eps - begin) / side(F.col("k"))).cast("long"), f"{axis}b": at(high - eps - F.col("reach"), begin, F.col("k")) - 1,
+        })
+        own_boxes = own_boxes.withColumns({f"{axis}a": F.greatest(F.col(f"{axis}a"), F.col(f"{axis}lo")), f"{axis}b": F.least(F.col(f"{axis}b"), F.col(f"{axis}hi"))})
+    hollow = (F.col("xa") > F.col("xb")) | (F.col("ya") > F.col("yb"))
+    # without cells inside, all its columns are strips
+    own_boxes = own_boxes.where("xlo <= xhi AND ylo <= yhi").withColumn("hollow", hollow).withColumns({"xa": F.when(hollow, F.col("xhi") + 1).otherwise(F.col("xa")), "xb": F.when(hollow, F.col("xhi")).otherwise(F.col("xb"))})
+    own_boxes = cut(spread(own_boxes, "b"))
+    corner = lambda x, y, sign: F.struct(F.col(x[0]) + x[1], F.col(y[0]) + y[1], F.lit(sign)).cast("struct<ix:bigint,iy:bigint,sign:bigint>")
+    hi_x, lo_x, hi_y, lo_y = ("xb", 0), ("xa", -1), ("yb", 0), ("ya", -1)
+    corners = own_boxes.where("NOT hollow").select("b", "k", F.explode(F.array(corner(hi_x, hi_y, 1), corner(lo_x, hi_y, -1), corner(hi_x, lo_y, -1), corner(lo_x, lo_y, 1))).alias("c")).select("b", "k", "c.*").where("ix >= 0 AND iy >= 0")
+    n = tasks(left.sparkSession)
+    sums = _sums(rows, sorted(r["k"] for r in found)).withColumn("k", F.col("cls.k"))
+    inside = corners.repartition(n, "k", "ix", "iy").join(large(sums), ["k", "ix", "iy"]).select("b", *[F.col(f"cls.{c}").alias(c) for c in own], (F.col("n") * F.col("sign")).alias("n"), (F.col("total") * F.col("sign")).alias("total"))
+    span = lambda low, high, none: F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>")) if none else F.sequence(low, high)
+    strips = lambda axis: F.concat(span(F.col(f"{axis}lo"), F.least(F.col(f"{axis}a") - 1, F.col(f"{axis}hi")), True), span(F.greatest(F.col(f"{axis}b") + 1, F.col(f"{axis}a")), F.col(f"{axis}hi"), True))
+    blocks = lambda low, high: span(F.floor(F.col(low) / BLOCK).cast("long"), F.floor(F.col(high) / BLOCK).cast("long"), False)
+    up = own_boxes.withColumn("u", F.explode(strips("x"))).withColumn("v", F.explode(blocks("ylo", "yhi"))).withColumn("way", F.lit(0))
+    flat = own_boxes.where("NOT hollow").withColumn("u", F.explode(strips("y"))).withColumn("v", F.explode(blocks("xa", "xb"))).withColumn("way", F.lit(1))
+    key = ["k", "way", "u", "v"]
+    told = up.unionByName(flat).select("b", *[f"b_{c}" for c in (*_BOX, "kind")], "xa", "xb", *key)
+    block = lambda c: F.floor(F.col(c) / BLOCK).cast("long")
+    strip = F.array(*[F.struct(F.lit(w).alias("way"), u.alias("u"), v.alias("v")) for w, u, v in ((0, F.col("ix"), block("iy")), (1, F.col("iy"), block("ix")))])
+    # a short line's last vertex stands for those that it has not: a segment of no length hits a box if it lies in it
+    few = [F.col("line")[F.least(F.size("line") - 1, F.lit(i))][c].alias(f"{c}{i}_") for i in range(FEW) for c in "xy"]
+    strips_of = lambda those, *more: rows.where(those).select(F.col("id").alias("a"), "k", "ix", "value", *own, *[F.col(c).alias(f"a_{c}") for c in (*_BOX, "kind")], *more, F.explode(strip).alias("s")).select("*", "s.*").drop("s")
+    told = large(told.repartition(n, *key))
+
+    def met(each: DataFrame) -> DataFrame:
+        out = each.repartition(n, *key).join(told, key).where((F.col("way") == 0) | F.col("ix").between(F.col("xa"), F.col("xb")))
+        return out.where((F.col("a_x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1")) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1")))
+
+    counted = lambda pairs: pairs.select("b", *own, F.lit(1).cast("long").alias("n"), F.col("value").alias("total"))
+    summed = lambda parts: reduce(DataFrame.unionByName, parts).groupBy("b", *own).agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n > 0")
+    if how == "within":
+        pairs = met(strips_of(F.lit(True)))
+        return summed([inside, counted(pairs.where(_holding()))]), pairs.where(_holding().isNull()).select("a", "b")
+    box = [F.col(f"b_{c}") for c in _BOX]
+    hit = reduce(lambda u, v: u | v, [_segment_hits(*[F.col(f"{c}{i}_") for i in (i, i + 1) for c in "xy"], *box) for i in range(FEW - 1)])
+    many = (F.col("kind") == LINE) & (F.size("line") > FEW)
+    found = [inside, counted(met(strips_of(~many, *few)).where((F.col("a_kind") != LINE) | _inside("a", "b", 0.0) | hit))]
+    if rows.where(many).limit(1).count():
+        found.append(counted(met(strips_of(many, F.col("line").alias("a_line"))).where(_inside("a", "b", 0.0) | _crosses("a", "b"))))
+    return summed(found), None
+
+
+def tally(left: DataFrame, right: DataFrame, how: str = "intersects", by: tuple[str, ...] = (), value: str = "id") -> DataFrame:
+    """b, by, n, total: how many shapes of left(id, geom) meet each one of right(id, geom), or lie in it, and the sum of their value.
+
+    The same as join_shapes with a grouping by b and by, but pairs of points, short lines or upright rectangles with an
+    upright rectangle are only made along its edges. by are columns of few values of the left side, value is of whole numbers.
+    """
+    own = [f"by_{c}" for c in by]
+    kept = left.withColumns({f"by_{c}": F.col(c) for c in by}).withColumn("value", F.col(value).cast("long"))
+    l, r = cut(boxes(kept, keep=(*own, "value"))), cut(boxes(right))
+    simple, full = F.col("kind") != OTHER, F.col("kind") == FULL
+    told = _told(l.where(simple), r.where(full), how)
+    grouped = lambda pairs: pairs.groupBy("b", *own).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    if told is None:
+        out = grouped(join_shapes(kept, right, how, keep=(*own, "value")))
+    else:
+        sums, looked = told
+        parts = [sums.select("b", *[F.col(f"keep_{c}").alias(c) for c in own], "n", "total")]
+        kind = lambda df, those: df.where(those(_kind(F.col("geom"))))
+        if l.where(~simple).limit(1).count():
+            parts.append(grouped(join_shapes(kind(kept, lambda k: k == OTHER), right, how, keep=(*own, "value"))))
+        if r.where(~full).limit(1).count():
+            parts.append(grouped(join_shapes(kind(kept, lambda k: k != OTHER), kind(right, lambda k: k != FULL), how, keep=(*own, "value"))))
+        if looked is not None:
+            both = looked.join(kept.select(F.col("id").alias("a"), F.col("geom").alias("ga"), *own, "value"), "a").join(right.select(F.col("id").alias("b"), F.col("geom").alias("gb")), "b")
+            parts.append(grouped(both.where(geo.within(F.col("ga"), F.col("gb"))).select("a", "b", *own, "value")))
+        out = reduce(DataFrame.unionByName, parts)
+        out = out.groupBy("b", *own).agg(F.sum("n").alias("n"), F.sum("total").alias("total")) if len(parts) > 1 else out
+    return out.select("b", *[F.col(f"by_{c}").alias(c) for c in by], "n", "total")
+
+
 def shared(left: DataFrame, right: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """a, b, part, p, inside: what two meeting shapes have in common (its highest dimension), a point on it, and whether that lies within both.
 

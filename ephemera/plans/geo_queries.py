@@ -162,7 +162,7 @@ def shapes_in_districts(how):
 
     def run(spark, d):
         shapes, own = _districts(spark, d)
-        return spatial.join_shapes(shapes.withColumn("gtype", F.col("geom")["gtype"]), own, how, keep=("gtype",)).groupBy(F.col("b").alias("district"), "gtype").agg(F.count("*").alias("n"), F.sum("a").alias("ids"))
+        return spatial.tally(shapes.withColumn("gtype", F.col("geom")["gtype"]), own, how, by=("gtype",)).select(F.col("b").alias("district"), "gtype", "n", F.col("total").alias("ids"))
 
     return run
 

@@ -1,7 +1,10 @@
 """Shapes joined on place, overlay and ring repair, against comparisons of all pairs and of many points."""
 
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ephemera.functions import geo, overlay
 from ephemera.operators import spatial
@@ -148,3 +151,33 @@ def test_upright_boxes_points_and_lines_need_no_look_at_each_pair(spark, monkeyp
         if kind == "POLYGON":
             ring = np.array([tuple(p) for p in got[k]["part"]["pts"]])
             assert overlay.area([ring]) == pytest.approx(overlay.area(w[kind])) and tuple(got[k]["p"]) == pytest.approx(overlay.middle(kind, w[kind]).tolist())
+
+
+@pytest.mark.parametrize("how", ["intersects", "within"])
+def test_a_tally_equals_the_grouping_of_all_pairs(spark, how, monkeypatch):
+    rng = random.Random(11)
+
+    def point():
+        return rng.randint(0, 400) / 4, rng.randint(0, 400) / 4
+
+    def box(x, y, w, h):
+        return [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+
+    def line(n):
+        x, y = point()
+        return [(x + rng.randint(-8, 8) / 4 * i, y + rng.randint(-8, 8) / 4 * i) for i in range(n)]
+
+    left = [(i, "POINT", [point()]) for i in range(900)] + [(1000 + i, "LINESTRING", line(rng.choice([2, 3, 4, 6]))) for i in range(300)]
+    left += [(2000 + i, "POLYGON", box(*point(), rng.choice([0.5, 3.0, 60.0]), rng.choice([0.25, 2.0, 30.0]))) for i in range(60)] + [(3000, "POLYGON", [(1.0, 1.0), (40.0, 1.0), (1.0, 40.0), (1.0, 1.0)]), (3001, None, None)]
+    right = [(i, "POLYGON", box(*point(), rng.randint(1, 200) / 4, rng.randint(1, 200) / 4)) for i in range(40)] + [(50, "POLYGON", [(10.0, 10.0), (60.0, 10.0), (10.0, 60.0), (10.0, 10.0)]), (51, "POLYGON", box(-500.0, -500.0, 2000.0, 2000.0)), (52, None, None)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, g string, p array<struct<x:double,y:double>>").select("id", F.when(F.col("g").isNotNull(), F.struct(F.col("g").alias("gtype"), F.col("p").alias("pts"), F.lit(None).cast("array<int>").alias("starts"))).alias("geom"), F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("own"))
+    l, r = frame(left), frame(right)
+    joined = spatial.join_shapes(l, r, how, keep=("own",)).groupBy("b", "own").agg(F.count("*"), F.sum("a")).collect()
+    plain = lambda rows: sorted(map(tuple, rows), key=repr)
+    tallied = spatial.tally(l, r, how, by=("own",))
+    assert plain(tallied.collect()) == plain(joined) and tallied.columns == ["b", "own", "n", "total"]
+    # the corners of cells stand for what is inside
+    assert "sign" in tallied._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(spatial, "CROWDED", 1)
+    assert plain(spatial.tally(l, r, how, by=("own",)).collect()) == plain(joined)
+    assert spatial.tally(l.limit(0), r, how).count() == 0
