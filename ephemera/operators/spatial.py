@@ -114,6 +114,8 @@ def leaves(left: DataFrame, right: DataFrame, capacity: int = CAPACITY) -> tuple
 def _met(left: DataFrame, right: DataFrame, capacity: int) -> Callable[..., DataFrame] | None:
     """A function that gives all pairs of boxes that meet, each once, with what is known of both as a_ and b_; it takes conditions for either side.
 
+    edges gives in place of them those of which an edge of one is at most so far within the opposite edge of the other, perhaps several times.
+
     A pair counts in the one cell that holds the lower left corner of what its boxes share: there one of them begins across,
     and one upwards.
     """
@@ -127,12 +129,19 @@ def _met(left: DataFrame, right: DataFrame, capacity: int) -> Callable[..., Data
     n, cell = tasks(left.sparkSession), ["depth", "ix", "iy"]
     own = lambda k, name: cells.where(F.col("side") == k).select(*cell, F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cells.columns if c not in ("id", "side", *cell)])
 
-    def pairs(a: Column | None = None, b: Column | None = None) -> DataFrame:
+    def pairs(a: Column | None = None, b: Column | None = None, edges: float | None = None) -> DataFrame:
         # the pairs of a cell are much work for few bytes: no two tasks are joined
         l, r = (df.repartition(n, *cell) for df in (own(0, "a") if a is None else own(0, "a").where(a), own(1, "b") if b is None else own(1, "b").where(b)))
-        met = l.join(r, cell).where((F.col("a_sx") | F.col("b_sx")) & (F.col("a_sy") | F.col("b_sy")))
+        if edges:
+            stripe = lambda c, by: F.floor(F.col(c) / (2 * edges)) + by
+            struct = lambda way, e: F.struct(F.lit(way).alias("way"), e.cast("long").alias("edge"))
+            opposite = [("x1", "x0", 1), ("y1", "y0", 1), ("x0", "x1", -1), ("y0", "y1", -1)]
+            l = l.withColumn("e", F.explode(F.array(*[struct(i, stripe(f"a_{c}", 0)) for i, (c, _, _) in enumerate(opposite)]))).select("*", "e.*").drop("e")
+            r = r.withColumn("e", F.explode(F.array(*[struct(i, stripe(f"b_{c}", by)) for i, (_, c, to) in enumerate(opposite) for by in (0, to)]))).select("*", "e.*").drop("e")
+        met = l.join(r, [*cell, "way", "edge"] if edges else cell).where((F.col("a_sx") | F.col("b_sx")) & (F.col("a_sy") | F.col("b_sy")))
         return met.where((F.col("a_x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1")) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1")))
 
+    pairs.far = max(abs(grid.x), abs(grid.y), abs(grid.x + grid.size), abs(grid.y + grid.size))
     return pairs
 
 
@@ -343,22 +352,31 @@ def tally(left: DataFrame, right: DataFrame, how: str = "intersects", by: tuple[
 def shared(left: DataFrame, right: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """a, b, part, p, inside: what two meeting shapes have in common (its highest dimension), a point on it, and whether that lies within both.
 
-    What two upright rectangles have in common is one; other pairs are laid over each other.
+    What two upright rectangles have in common is one (box is true, and area the product of its sides, so that part need not be
+    made); other pairs are laid over each other. gtype is that of the part.
     """
     met = _met(boxes(left), boxes(right), capacity)
     point = "struct<x:double,y:double>"
     if met is None:
-        return _no_pairs(left, right).select("a", "b", F.lit(None).cast(geo.GEOMETRY).alias("part"), F.lit(None).cast(point).alias("p"), F.lit(True).alias("inside"))
+        return _no_pairs(left, right).select("a", "b", F.lit(None).cast(geo.GEOMETRY).alias("part"), F.lit(None).cast(point).alias("p"), F.lit(True).alias("inside"), F.lit("").alias("gtype"), F.lit(0.0).alias("area"), F.lit(True).alias("box"))
     x0, y0, x1, y1 = (f(f"a_{c}", f"b_{c}") for f, c in zip((F.greatest, F.greatest, F.least, F.least), _BOX, strict=True))
-    wide = F.least(x1 - x0, y1 - y0) > _slack() * 1e5
-    flat = met(_is("a", FULL), _is("b", FULL))
+    sides = F.least(x1 - x0, y1 - y0)
+    # no pair's slack is more than this, which spares working it out for each; what is narrower has a thin box or opposite edges close together
+    most = (met.far * 1e-9 + 2e-4) * (1 + 1e-6)
+    thin = lambda s: F.least(F.col(f"{s}x1") - F.col(f"{s}x0"), F.col(f"{s}y1") - F.col(f"{s}y0")) <= most
+    a_full, b_full = _is("a", FULL), _is("b", FULL)
+    narrow = met(a_full & thin("a_"), b_full).unionByName(met(a_full, b_full & thin("b_"))).unionByName(met(a_full, b_full, edges=most).drop("way", "edge"))
+    narrow = cut(narrow.where(sides <= most).dropDuplicates(["a", "b"]))
+    wide = sides > _slack() * 1e5
     xy = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     mid = xy((x0 + x1) / 2, (y0 + y1) / 2)
-    held = [F.col(f"{s}_{c}") < m if c.endswith("0") else F.col(f"{s}_{c}") > m for s in "ab" for c, m in zip(_BOX, (mid["x"], mid["y"]) * 2, strict=True)]
+    held = [F.col(f"{s}_{c}") < m if c.endswith("0") else F.col(f"{s}_{c}") > m for s in "ab" for c, m in zip(_BOX, ((x0 + x1) / 2, (y0 + y1) / 2) * 2, strict=True)]
     ring = F.array(xy(x0, y0), xy(x1, y0), xy(x1, y1), xy(x0, y1), xy(x0, y0))
-    out = flat.where(wide).select("a", "b", geo.shape("POLYGON", ring).cast(geo.GEOMETRY).alias("part"), mid.cast(point).alias("p"), reduce(lambda u, v: u & v, held).alias("inside"))
-    rest = flat.where(~wide).select("a", "b").unionByName(met(_is("a", OTHER, POINT, LINE)).select("a", "b")).unionByName(met(_is("a", FULL), _is("b", OTHER, POINT, LINE)).select("a", "b"))
+    whole = [geo.shape("POLYGON", ring).cast(geo.GEOMETRY).alias("part"), mid.cast(point).alias("p"), reduce(lambda u, v: u & v, held).alias("inside"), F.lit("POLYGON").alias("gtype"), ((x1 - x0) * (y1 - y0)).alias("area"), F.lit(True).alias("box")]
+    out = met(a_full, b_full).where(sides > most).select("a", "b", *whole).unionByName(narrow.where(wide).select("a", "b", *whole))
+    rest = narrow.where(~wide).select("a", "b").unionByName(met(_is("a", OTHER, POINT, LINE)).select("a", "b")).unionByName(met(a_full, _is("b", OTHER, POINT, LINE)).select("a", "b"))
     both = rest.join(left.select(F.col("id").alias("a"), F.col("geom").alias("ga")), "a").join(right.select(F.col("id").alias("b"), F.col("geom").alias("gb")), "b")
     over = both.withColumn("part", geo.intersection(F.col("ga"), F.col("gb"))).where("part.gtype IS NOT NULL").withColumn("p", geo.point_on(F.col("part")))
     at = geo.point(F.col("p.x"), F.col("p.y"))
-    return out.unionByName(over.withColumn("m", at).select("a", "b", "part", "p", (geo.within(F.col("m"), F.col("ga")) & geo.within(F.col("m"), F.col("gb"))).alias("inside")))
+    inside = geo.within(F.col("m"), F.col("ga")) & geo.within(F.col("m"), F.col("gb"))
+    return out.unionByName(over.withColumn("m", at).select("a", "b", "part", "p", inside.alias("inside"), F.col("part.gtype").alias("gtype"), F.lit(None).cast("double").alias("area"), F.lit(False).alias("box")))

@@ -173,7 +173,9 @@ def shared_regions(spark, d):
     part = F.col("part")["pts"]
     # from a corner of its own, as the figures of the map would swallow the small ones
     near = F.transform(part, lambda q: F.struct((q["x"] - F.get(part, 0)["x"]).alias("x"), (q["y"] - F.get(part, 0)["y"]).alias("y")))
-    return spatial.shared(own, own).where("a < b").select("a", "b", F.col("part")["gtype"].alias("gtype"), rounded(geo.ring_area(near) / 1e6, 2).alias("km2"), "inside")
+    found = spatial.shared(own, own).where("a < b")
+    told = lambda rows, area: rows.select("a", "b", "gtype", rounded(area / 1e6, 2).alias("km2"), "inside")
+    return told(found.where("box"), F.col("area")).unionByName(told(found.where("NOT box"), geo.ring_area(near)))
 
 
 def mended_rings(spark, d):
